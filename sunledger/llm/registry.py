@@ -53,3 +53,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sunledger.llm.substring_dedup import substring_dedup
 
     return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sunledger.llm.suffix_dedup import suffix_dedup
+
+    return suffix_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
