@@ -153,3 +153,10 @@ def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+def worker_cache() -> dict:
+    """A dictionary that lasts as long as the Python worker, over all its tasks."""
+    import builtins
+
+    return builtins.__dict__.setdefault("_sunledger_worker_cache", {})
