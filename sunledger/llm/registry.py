@@ -69,3 +69,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sunledger.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sunledger.llm.lm_scoring import score
+
+    return score(table(spark, sf_dir, "documents"))
