@@ -76,3 +76,13 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sunledger.llm.lm_scoring import score
 
     return score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sunledger.llm.language_id import identify, learn
+    from sunledger.llm.lm_scoring import held_out
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out(F.col("doc_id"), 3).alias("held_out"))
+    model = learn(docs.filter("not held_out"))
+    return identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
