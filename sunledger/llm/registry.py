@@ -93,3 +93,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sunledger.llm.jaccard_join import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sunledger.llm.pii import digest, find
+
+    return digest(find(table(spark, sf_dir, "documents")))
