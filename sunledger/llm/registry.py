@@ -100,3 +100,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sunledger.llm.pii import digest, find
 
     return digest(find(table(spark, sf_dir, "documents")))
+
+
+@query
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sunledger.llm.decontamination import matches
+
+    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("th")
