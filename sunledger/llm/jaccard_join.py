@@ -307,7 +307,7 @@ def _verify(percent: int):
 
 
 def jaccard_components(documents: DataFrame, shingle: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, th, n_shingles and component_id (the least doc_id that links reach) of each row."""
+    """doc_id, th, n_shingles, component_id (the least doc_id that links reach) and group (a number for it) of each row."""
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("text")), F.coalesce("text", F.lit("")).alias("text"))
     order = spark.sparkContext.broadcast(_sketch(docs, shingle))  # 2 MB, whatever the corpus
@@ -334,7 +334,7 @@ def jaccard_components(documents: DataFrame, shingle: int = 4, percent: int = 85
     ids = member.filter("n > 0").groupBy("root").agg(least.alias("least"))
     out = member.join(ids, "root", "left")
     component = F.when(F.col("n") > 0, F.when(F.col("least") < (1 << 63) - 1, F.col("least"))).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("root").alias("group"))
 
 
 def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
