@@ -104,19 +104,35 @@ def _sketch(docs: DataFrame, k: int) -> np.ndarray:
     return np.rint(8 * np.log2(1 + total)).astype(np.uint16)
 
 
+def _members(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, th, the set's id and size, and its parity bitmap, of each row."""
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int32()), ("sid", pa.int64()), ("n", pa.int64()), ("bitmap", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Shingles(k)
+        for batch in batches:
+            for i, j, data, bounds in chunks(batch["text"]):
+                h, at = reader.load(data, bounds)
+                row = np.repeat(np.arange(j - i), np.diff(at))
+                bits = np.bincount(row * BITMAP_BITS + (h & U(BITMAP_BITS - 1)).astype(np.int64), minlength=(j - i) * BITMAP_BITS) & 1
+                packed = np.packbits(bits.astype(np.uint8).reshape(j - i, BITMAP_BITS), axis=1)
+                yield pa.record_batch([batch["doc_id"][i:j], batch["th"][i:j], set_ids(h, at), np.diff(at), pa.array([x.tobytes() for x in packed], pa.binary())], schema=schema)
+
+    return docs.mapInArrow(run, "doc_id long, th int, sid long, n long, bitmap binary")
+
+
 def _prefixes(docs: DataFrame, k: int, percent: int, order) -> DataFrame:
-    """A row for each document (shingle null), and for each set a task meets one for each shingle of its prefix."""
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int32()), ("sid", pa.int64()), ("n", pa.int64()), ("shingle", pa.int64())])
+    """sid, n and a shingle of its prefix, for each set that a task meets."""
+    schema = pa.schema([("sid", pa.int64()), ("n", pa.int64()), ("shingle", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, sketch = Shingles(k), order.value
         met: set[int] = set()
         for batch in batches:
-            for i, j, data, bounds in chunks(batch["text"]):
+            for _, _, data, bounds in chunks(batch["text"]):
                 h, at = reader.load(data, bounds)
                 n = np.diff(at)
                 sid = set_ids(h, at)
-                yield pa.record_batch([batch["doc_id"][i:j], batch["th"][i:j], sid, n, pa.nulls(j - i, pa.int64())], schema=schema)
                 fresh = np.zeros(len(n), bool)
                 for row, s in enumerate(sid.tolist()):
                     if s not in met and n[row]:
@@ -130,10 +146,9 @@ def _prefixes(docs: DataFrame, k: int, percent: int, order) -> DataFrame:
                 place = np.arange(len(row)) - np.searchsorted(row, row)
                 take = place < (n - needed(n, percent) + 1)[row]
                 row, h = row[take], h[take]
-                nothing = pa.nulls(len(row), pa.int64())
-                yield pa.record_batch([nothing, pa.nulls(len(row), pa.int32()), sid[row], n[row], signed(h)], schema=schema)
+                yield pa.record_batch([sid[row], n[row], signed(h)], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, th int, sid long, n long, shingle long")
+    return docs.select("text").mapInArrow(run, "sid long, n long, shingle long")
 
 
 def _sets(rows: DataFrame, k: int) -> DataFrame:
@@ -311,22 +326,20 @@ def jaccard_components(documents: DataFrame, shingle: int = 4, percent: int = 85
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("text")), F.coalesce("text", F.lit("")).alias("text"))
     order = spark.sparkContext.broadcast(_sketch(docs, shingle))  # 2 MB, whatever the corpus
-    rows = materialize(_prefixes(docs, shingle, percent, order), "prefixes")
-    members = rows.filter("shingle is null").select("doc_id", "th", "sid", "n")
+    members = materialize(_members(docs, shingle), "members")
     least = F.min(F.coalesce("doc_id", F.lit((1 << 63) - 1)))
     by_list = Window.partitionBy("shingle")
-    lists = rows.filter("shingle is not null").select("shingle", "sid", "n").groupBy("shingle", "sid").agg(F.first("n").alias("n"))
+    lists = _prefixes(docs, shingle, percent, order).repartition("shingle").dropDuplicates(["shingle", "sid"])  # one shuffle serves all three
     lists = materialize(lists.withColumn("length", F.count("*").over(by_list)).filter("length > 1"), "lists")
-    # one document stands for each set that meets another
-    involved = lists.select("sid").distinct()
-    stands = members.filter("n > 0").groupBy("sid").agg(F.min(F.struct("doc_id", "th")).alias("d")).join(involved, "sid", "left_semi").select("sid", "d.*")
-    of_set = docs.withColumn("has_id", F.col("doc_id").isNotNull()).join(stands.withColumnRenamed("doc_id", "of"), (F.col("doc_id").eqNullSafe(F.col("of"))) & (docs["th"] == stands["th"])).select("sid", "text")
-    of_set = materialize(_sets(of_set.select("sid", "text"), shingle).dropDuplicates(["sid"]), "sets")
-    bitmaps = of_set.mapInArrow(_bitmaps, "sid long, bitmap binary")
+    bitmaps = members.filter("n > 0").groupBy("sid").agg(F.first("bitmap").alias("bitmap"))
     near = _in_blocks(lists.join(bitmaps, "sid"), "shingle", "sid", "length").select("shingle", "left", "right", "sid", "n", "bitmap")
     near = near.repartition("shingle", "left", "right").sortWithinPartitions("shingle", "left", "right")
     groups = components(near.mapInArrow(_forest(percent), "a long, b long"))
     groups = groups.join(groups.groupBy("root").agg(F.count("*").alias("size")), "root").withColumnRenamed("node", "sid")
+    # only sets that may have a link are needed whole; one document stands for each
+    stands = members.filter("n > 0").groupBy("sid").agg(F.min(F.struct("doc_id", "th")).alias("d")).join(groups.select("sid"), "sid", "left_semi").select("sid", F.col("d.doc_id").alias("of"), F.col("d.th").alias("of_th"))
+    texts = docs.join(stands, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("th") == F.col("of_th"))).select("sid", "text")
+    of_set = _sets(texts, shingle).dropDuplicates(["sid"])
     whole = _in_blocks(groups.join(of_set, "sid"), "root", "sid", "size").select("root", "left", "right", "sid", "whole")
     whole = whole.repartition("root", "left", "right").sortWithinPartitions("root", "left", "right")
     linked = components(whole.mapInArrow(_verify(percent), "a long, b long"))
@@ -336,12 +349,3 @@ def jaccard_components(documents: DataFrame, shingle: int = 4, percent: int = 85
     component = F.when(F.col("n") > 0, F.when(F.col("least") < (1 << 63) - 1, F.col("least"))).otherwise(F.col("doc_id"))
     return out.select("doc_id", "th", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("root").alias("group"))
 
-
-def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Parity bitmap of each whole set."""
-    for batch in batches:
-        out = []
-        for raw in batch["whole"].to_pylist():
-            at = (np.frombuffer(raw, "<u8") & U(BITMAP_BITS - 1)).astype(np.int64)
-            out.append(np.packbits((np.bincount(at, minlength=BITMAP_BITS) & 1).astype(np.uint8)).tobytes())
-        yield pa.RecordBatch.from_arrays([batch["sid"], pa.array(out, pa.binary())], names=["sid", "bitmap"])
