@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sunledger.llm.common import chunks, materialize, separators, word_spans, worker_cache
+from sunledger.llm.common import chunks, lowered, materialize, separators, word_spans, worker_cache
 
 CAPACITY = 4096
 END_ID = 1
@@ -40,49 +40,83 @@ RELEASED = 48
 
 
 class WordTokenizer:
-    """Ids of texts by a tokenizer that never joins characters across white space: each word is encoded once."""
+    """Ids of texts by a tokenizer that never joins characters across white space, nor ASCII letters with
+    other ASCII signs: each such unit is encoded once, and those met again are remembered.
+    """
 
     def __init__(self, definition: str, remembered: int = REMEMBERED_WORDS) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.last[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
         self.remembered = remembered
-        self.is_sep = separators()
-        self.clear()
-
-    def clear(self) -> None:
+        self.is_sep, self.low = separators(), lowered()
+        self.letter, self.sign = np.zeros(256, bool), np.zeros(256, bool)
+        self.letter[65:91] = self.letter[97:123] = True
+        self.sign[33:48] = self.sign[58:65] = self.sign[91:97] = self.sign[123:127] = True
+        self.sign[[ord(c) for c in "'<|>"]] = False  # contractions and special ids keep their signs
         self.index: dict[bytes, int] = {}
-        self.start = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
+        self.start, self.size, self.seen = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
+    def forget(self) -> None:
+        """Keep what was met more than once, and halve how often."""
+        kept = np.flatnonzero(self.seen > 1)
+        if len(kept) > self.remembered // 2:
+            kept = kept[np.argsort(-self.seen[kept], kind="stable")[: self.remembered // 2]]
+        number = np.full(len(self.seen), -1)
+        number[kept] = np.arange(len(kept))
+        self.index = {w: n for w, i in self.index.items() if (n := int(number[i])) >= 0}
+        size = self.size[kept]
+        end = np.cumsum(size)
+        self.flat = self.flat[np.repeat(self.start[kept] - (end - size), size) + np.arange(int(end[-1]) if len(end) else 0)]
+        self.start, self.size, self.seen = end - size, size, self.seen[kept] // 2
+
     def learn(self, words: list[bytes]) -> None:
-        # one call for all: the words' own ends tell them apart, but only lengths by word are wanted
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))
+        texts = [w.decode("utf-8", "replace") for w in words]
+        one = [t.isalpha() for t in texts]
+        plain = [i for i, x in enumerate(one) if x]
+        other = [i for i, x in enumerate(one) if not x]
+        (joined,) = self.tokenizer.encode_batch_fast(["\n".join([texts[i] for i in plain])], add_special_tokens=False)
+        flat = np.array(joined.ids, np.uint32)
+        end = np.flatnonzero(self.last[flat]) + 1  # a run of letters is one word of the tokenizer
+        if len(end) != len(plain):
+            other, plain, flat, end = list(range(len(texts))), [], flat[:0], end[:0]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([texts[i] for i in other], add_special_tokens=False)]
+        size = np.concatenate([np.diff(end, prepend=0), np.fromiter(map(len, ids), np.int64, len(ids))])
+        flat = np.concatenate([flat, np.fromiter((i for x in ids for i in x), np.uint32, sum(map(len, ids)))])
         n = len(self.start)
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, flat])
-        self.index.update(zip(words, range(n, n + len(words)), strict=True))
+        self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, flat])
+        self.seen = np.concatenate([self.seen, np.zeros(len(words), np.int64)])
+        self.index.update(zip([words[i] for i in plain + other], range(n, n + len(words)), strict=True))
 
     def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows of a chunk, and where each row's begin and end."""
-        raw = data.tobytes()
-        start, end, first = word_spans(data, bounds, self.is_sep)
+        start, end, _ = word_spans(data, bounds, self.is_sep)
+        small = self.low[data]
+        for at in np.unique(np.searchsorted(end, np.flatnonzero(data == ord("<")), side="right")).tolist():
+            small[start[at] : end[at]] = data[start[at] : end[at]]  # special ids are told by case
+        letter, sign = self.letter[small], self.sign[small]
+        cut = np.flatnonzero((letter[:-1] & sign[1:]) | (sign[:-1] & letter[1:])) + 1
+        cut = np.setdiff1d(cut, start, assume_unique=True)  # row bounds may lie there
+        start, end = np.sort(np.concatenate([start, cut])), np.sort(np.concatenate([end, cut]))
+        raw = small.tobytes()
         words = [raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
         new = list(set(words).difference(self.index))
         if len(self.index) + len(new) > self.remembered and self.index:
-            self.clear()
-            new = list(set(words))
+            self.forget()
+            new = list(set(words).difference(self.index))
         if new:
             self.learn(new)
         at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        self.seen += np.bincount(at, minlength=len(self.seen))
         size = self.size[at]
         total = np.concatenate([[0], np.cumsum(size)])
         ids = self.flat[np.repeat(self.start[at] - total[:-1], size) + np.arange(total[-1])]
-        return ids, total[first]
+        return ids, total[np.searchsorted(start, bounds)]
 
 
 def tokenize(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
