@@ -1,10 +1,364 @@
-"""Queries over the library's own operators, and their SQL."""
+"""Queries over the library's own operators, and their SQL.
+
+Tables stand in for logger records: events are irregular readings of one signal for each event
+type, the daily statistics of lineitem a statistical file, conversations header blocks.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sunledger.frame import signal_frame
+from sunledger.functions import shading, solar
+from sunledger.operators import checks, runs
+from sunledger.operators.angles import check_solar_angles
+from sunledger.operators.offset import infer_utc_offset
+from sunledger.plans.spec import SolarAngles, Spec
+from sunledger.plans.specs import DIAGNOSTIC
+from sunledger.schema import from_micros, number
+from sunledger.sources import channels, logger
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+LAT, LON = 44.5, -73.2
+#: The month that the events cover, in microseconds.
+START_US, END_US, TEN_MINUTES = 1_704_067_200_000_000, 1_706_572_800_000_000, 600_000_000
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signal_frame(_read(spark, sf_dir, "events"), "ts", "event_id", ["value"], "event_type")
+
+
+def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of lineitem by day, as a statistical file."""
+    day = F.to_date("l_shipdate")
+    stats = [f(F.col(f"l_{c}")).alias(f"{c}_{s}") for c in ("quantity", "discount", "tax") for s, f in (("Avg", F.avg), ("Min", F.min), ("Max", F.max))]
+    table = _read(spark, sf_dir, "lineitem").groupBy(day.alias("day")).agg(*stats)
+    table = table.withColumn("pos", F.date_diff("day", F.lit("1970-01-01").cast("date")))
+    return signal_frame(table, F.col("day"), "pos", [c for c in table.columns if c not in ("day", "pos")], F.lit("daily"))
+
+
+DAILY = """WITH d AS (SELECT CAST(l_shipdate AS DATE) AS day, avg(l_quantity) AS quantity_Avg, min(l_quantity) AS quantity_Min, max(l_quantity) AS quantity_Max,
+  avg(l_discount) AS discount_Avg, min(l_discount) AS discount_Min, max(l_discount) AS discount_Max, avg(l_tax) AS tax_Avg FROM lineitem GROUP BY 1) """
+
+
+def _shown(found: DataFrame) -> DataFrame:
+    return found.select("series_id", "check", "signal", "detail", F.round("value_num", 6).alias("value_num"), "start_ts", "end_ts", "duration_us", "n_samples")
+
+
+RANGE_SQL = """SELECT event_type AS series_id, 'range' AS "check", 'value' AS signal, 'outside [0.0, 150.0]' AS detail, round(arg_min(v, event_id), 6) AS value_num,
+  arg_min(ts, event_id) AS start_ts, arg_max(ts, event_id) AS end_ts, date_diff('microsecond', arg_min(ts, event_id), arg_max(ts, event_id)) AS duration_us, count(*) AS n_samples
+FROM (SELECT *, {v} AS v FROM events) WHERE {bad} GROUP BY event_type"""
+
+
+@query(RANGE_SQL.format(v="value", bad="NOT (v BETWEEN 0 AND 150)"))
+def range_findings(spark, sf_dir):
+    return _shown(checks.check_ranges(events(spark, sf_dir), {"value": (0, 150), "absent": (0, 1)}))
+
+
+@query("""SELECT event_type AS series_id, 'range' AS "check", 'value' AS signal, 'outside [0.0, 150.0]' AS detail, round(arg_min_null(v, event_id), 6) AS value_num,
+  arg_min(ts, event_id) AS start_ts, arg_max(ts, event_id) AS end_ts, date_diff('microsecond', arg_min(ts, event_id), arg_max(ts, event_id)) AS duration_us, count(*) AS n_samples
+FROM (SELECT *, CASE WHEN event_id % 97 = 0 THEN NULL ELSE value END AS v FROM events) WHERE v IS NULL OR NOT (v BETWEEN 0 AND 150) GROUP BY event_type""")
+def range_with_nulls(spark, sf_dir):
+    table = _read(spark, sf_dir, "events").withColumn("value", F.when(F.col("event_id") % 97 == 0, F.lit(float("nan"))).otherwise(F.col("value")))
+    return _shown(checks.check_ranges(signal_frame(table, "ts", "event_id", ["value"], "event_type"), {"value": (0, 150)}))
+
+
+PAIR_SQL = DAILY + """SELECT 'daily' AS series_id, '{check}' AS "check", '{l} vs {r}' AS signal, {detail} AS detail, round(arg_min({l}, day) FILTER ({bad}), 6) AS value_num,
+  CAST(min(day) FILTER ({bad}) AS TIMESTAMP) AS start_ts, CAST(max(day) FILTER ({bad}) AS TIMESTAMP) AS end_ts,
+  date_diff('microsecond', CAST(min(day) FILTER ({bad}) AS TIMESTAMP), CAST(max(day) FILTER ({bad}) AS TIMESTAMP)) AS duration_us, count(*) FILTER ({bad}) AS n_samples FROM d HAVING count(*) FILTER ({bad}) > 0"""
+
+
+@query(PAIR_SQL.format(check="equivalent", l="discount_Min", r="discount_Max", bad="discount_Min IS DISTINCT FROM discount_Max", detail="concat(count(*) FILTER (discount_Min IS DISTINCT FROM discount_Max), ' of ', count(*), ' rows differ')"))
+def equivalent_findings(spark, sf_dir):
+    return _shown(checks.check_equivalent(daily(spark, sf_dir), [("discount_Min", "discount_Max"), ("discount_Min", "absent")]))
+
+
+@query(PAIR_SQL.format(check="lesser", l="discount_Avg", r="tax_Avg", bad="discount_Avg > tax_Avg", detail="concat('discount_Avg exceeds tax_Avg in ', count(*) FILTER (discount_Avg > tax_Avg), ' of ', count(*), ' rows')"))
+def lesser_findings(spark, sf_dir):
+    return _shown(checks.check_lesser(daily(spark, sf_dir), [("discount_Avg", "tax_Avg"), ("quantity_Min", "quantity_Avg")]))
+
+
+@query("SELECT event_type AS series_id, CAST(median(step) AS DOUBLE) AS interval_us FROM (SELECT event_type, date_diff('microsecond', lag(ts) OVER (PARTITION BY event_type ORDER BY event_id), ts) AS step FROM events) GROUP BY 1")
+def sampling_interval(spark, sf_dir):
+    return runs.sampling_interval(events(spark, sf_dir))
+
+
+GAPS = """WITH s AS (SELECT event_type, ts, lag(ts) OVER w AS prev, date_diff('microsecond', lag(ts) OVER w, ts) AS step FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
+m AS (SELECT event_type, median(step) AS med FROM s GROUP BY 1)
+"""
+
+
+@query(GAPS + "SELECT event_type AS series_id, prev AS start_ts, ts AS end_ts, step AS duration_us, CAST(round_even(step / med, 0) - 1 AS BIGINT) AS n_missing FROM s JOIN m USING (event_type) WHERE med > 0 AND step > 8 * med")
+def gap_runs(spark, sf_dir):
+    return runs.gap_runs(events(spark, sf_dir), 8)
+
+
+@query(GAPS + """SELECT event_type AS series_id, 'gap' AS "check", '(all signals)' AS signal, CAST(round_even(step / med, 0) - 1 AS DOUBLE) AS value_num, prev AS start_ts, ts AS end_ts, step AS duration_us, CAST(0 AS BIGINT) AS n_samples FROM s JOIN m USING (event_type) WHERE med > 0 AND step > 8 * med""")
+def gap_findings(spark, sf_dir):
+    return _shown(runs.gap_findings(events(spark, sf_dir), 8)).drop("detail")
+
+
+SLOTS = """WITH p AS (SELECT DISTINCT event_type, CAST(round_even(date_diff('microsecond', TIMESTAMP '2024-01-01', ts) / 600000000.0, 0) AS BIGINT) AS slot FROM events),
+q AS (SELECT * FROM p WHERE slot BETWEEN 0 AND 4319), t AS (SELECT DISTINCT event_type FROM events)
+"""
+
+
+@query(SLOTS + "SELECT t.event_type AS series_id, CAST(4320 AS BIGINT) AS n_expected, count(slot) AS n_present, round(count(slot) * 100.0 / 4320, 6) AS percent FROM t LEFT JOIN q USING (event_type) GROUP BY 1")
+def availability_percent(spark, sf_dir):
+    share, _ = runs.availability(events(spark, sf_dir), START_US, END_US, TEN_MINUTES)
+    return share.withColumn("percent", F.round("percent", 6))
+
+
+@query(SLOTS + """, f AS (SELECT * FROM q UNION ALL SELECT event_type, x FROM t, (VALUES (-1), (4320)) AS v(x)), g AS (SELECT event_type, slot, lag(slot) OVER (PARTITION BY event_type ORDER BY slot) AS before FROM f)
+SELECT event_type AS series_id, TIMESTAMP '2024-01-01' + to_minutes(10 * (before + 1)) AS start_ts, TIMESTAMP '2024-01-01' + to_minutes(10 * slot) AS end_ts, slot - before - 1 AS n_missing FROM g WHERE slot - before > 1""")
+def availability_missing(spark, sf_dir):
+    return runs.availability(events(spark, sf_dir), START_US, END_US, TEN_MINUTES)[1]
+
+
+STALLS = GAPS.replace("SELECT event_type, ts, lag", "SELECT event_type, event_id, value, ts, lag") + """, r AS (SELECT s.*, med, round_even(value / 50, 0) AS rv, COALESCE(step > 8 * med, FALSE) AS gap FROM s JOIN m USING (event_type)),
+c AS (SELECT *, CASE WHEN prev IS NULL OR gap OR rv IS DISTINCT FROM lag(rv) OVER (PARTITION BY event_type ORDER BY ts, event_id) THEN 1 ELSE 0 END AS changed FROM r),
+n AS (SELECT *, sum(changed) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS run, sum(CAST(gap AS INT)) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS seg FROM c),
+g AS (SELECT event_type, seg, run, arg_min(value / 50, event_id) AS value, min(ts) AS first, max(ts) AS last, count(*) AS n_samples, any_value(med) AS med FROM n GROUP BY 1, 2, 3),
+e AS (SELECT *, COALESCE(lead(first) OVER (PARTITION BY event_type, seg ORDER BY run), last) AS til FROM g)
+"""
+
+
+def _scaled(spark, sf_dir):
+    table = _read(spark, sf_dir, "events").withColumn("value", F.col("value") / 50)
+    return signal_frame(table, "ts", "event_id", ["value"], "event_type")
+
+
+@query(STALLS + "SELECT event_type AS series_id, 'value' AS signal, round(value, 6) AS value, first AS start_ts, til AS end_ts, date_diff('microsecond', first, til) AS duration_us, n_samples FROM e WHERE value IS NOT NULL AND date_diff('microsecond', first, til) > 10 * med")
+def stall_runs(spark, sf_dir):
+    return runs.stall_runs(_scaled(spark, sf_dir), ["value"], max_stall_us=10, decimals=0, gap_factor=8, in_medians=True).withColumn("value", F.round("value", 6))
+
+
+@query(STALLS + """SELECT event_type AS series_id, 'stall' AS "check", 'value' AS signal, round(value, 6) AS value_num, first AS start_ts, til AS end_ts, date_diff('microsecond', first, til) AS duration_us, n_samples FROM e WHERE value IS NOT NULL AND date_diff('microsecond', first, til) > 10 * med""")
+def stall_findings(spark, sf_dir):
+    return _shown(runs.stall_findings(_scaled(spark, sf_dir), ["value"], max_stall_us=10, decimals=0, gap_factor=8, in_medians=True)).drop("detail")
+
+
+def _orders(spark, sf_dir):
+    table = _read(spark, sf_dir, "orders").withColumn("unused", F.when(F.col("o_orderkey") % 5 == 0, 1.0 + F.col("o_orderkey") % 3).otherwise(F.lit(-99.0)))
+    return signal_frame(table, "o_orderdate", "o_orderkey", ["o_orderstatus", "o_custkey", "unused"], "o_orderpriority")
+
+
+SPAN = "arg_min(o_orderdate, o_orderkey) AS start_ts, arg_max(o_orderdate, o_orderkey) AS end_ts, date_diff('microsecond', arg_min(o_orderdate, o_orderkey), arg_max(o_orderdate, o_orderkey)) AS duration_us"
+
+
+@query(f"""SELECT o_orderpriority AS series_id, 'constant' AS "check", 'o_orderstatus' AS signal, 'changes' AS detail, CAST(NULL AS DOUBLE) AS value_num, {SPAN}, count(DISTINCT o_orderstatus) AS n_samples FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderstatus) > 1
+UNION ALL SELECT o_orderpriority, 'constant', 'o_custkey', CASE WHEN min(o_custkey) = 0 THEN 'changes; zero/blank' ELSE 'changes' END, CAST(arg_min(o_custkey, o_orderkey) AS DOUBLE), {SPAN}, count(DISTINCT o_custkey) FROM orders GROUP BY 1 HAVING max(o_custkey) > min(o_custkey)""")
+def constant_findings(spark, sf_dir):
+    return _shown(checks.check_constants(_orders(spark, sf_dir), ["o_orderstatus", "o_custkey"]))
+
+
+@query(f"""SELECT o_orderpriority AS series_id, 'expected' AS "check", 'o_orderstatus' AS signal, concat(count(*), ' value(s) != F (saw [', array_to_string(list_sort(list(DISTINCT o_orderstatus))[1:5], ', '), '])') AS detail, arg_min(o_orderstatus, o_orderkey) AS value_text, {SPAN}, count(*) AS n_samples FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1""")
+def expected_findings(spark, sf_dir):
+    return checks.check_expected(_orders(spark, sf_dir), {"o_orderstatus": "F"}).drop("value_num")
+
+
+@query(f"""SELECT o_orderpriority AS series_id, 'sentinel' AS "check", 'unused' AS signal, concat(count(*), ' value(s) != -99.0 (saw [', array_to_string(list_sort(list(DISTINCT CAST(1.0 + o_orderkey % 3 AS DOUBLE))), ', '), '])') AS detail, CAST(min(1.0 + o_orderkey % 3) AS DOUBLE) AS value_num, {SPAN}, count(*) AS n_samples FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1""")
+def sentinel_findings(spark, sf_dir):
+    return _shown(checks.check_sentinel(_orders(spark, sf_dir), ["unused"]))
+
+
+SPEC = Spec(ranges={"value": (0, 150)}, dynamic=("value",), stall_windows={"value": 86_400_000_000}, constant=("value",), unused=("absent",), lesser=(("value", "gone"),), gap_factor=8)
+
+
+@query("""SELECT '' AS series_id, 'missing' AS "check", s AS signal, 'not present in file' AS detail, CAST(0 AS BIGINT) AS n_samples FROM (VALUES ('absent'), ('gone')) AS v(s)""")
+def missing_signals(spark, sf_dir):
+    return checks.missing_signals(events(spark, sf_dir), SPEC).select("series_id", "check", "signal", "detail", "n_samples")
+
+
+@query()
+def validate_events(spark, sf_dir):
+    return checks.validate(events(spark, sf_dir), SPEC)
+
+
+@query(GAPS + """, n AS (SELECT 'gap' AS c, '(all signals)' AS s, count(*) AS n FROM s JOIN m USING (event_type) WHERE step > 8 * med
+UNION ALL SELECT 'range', 'value', count(DISTINCT event_type) FROM events WHERE NOT (value BETWEEN 0 AND 150)
+UNION ALL SELECT 'constant', 'value', count(*) FROM (SELECT 1 FROM events GROUP BY event_type HAVING max(value) > min(value) OR min(abs(value)) <= 1e-9)
+UNION ALL SELECT 'lesser', 'value vs gone', 0 UNION ALL SELECT 'sentinel', 'absent', 0 UNION ALL SELECT 'stall', 'value', 0)
+SELECT c AS "check", s AS signal, n AS n_findings, n = 0 AS "pass" FROM n""")
+def summary_events(spark, sf_dir):
+    return checks.summarize(validate_events(spark, sf_dir), SPEC)
+
+
+SUN = """WITH a AS (SELECT event_id, ts, epoch_us(ts) AS us, (epoch_us(ts) / 8.64e10 + 2440587.5 - 2451545.0) / 36525.0 AS t FROM events),
+b AS (SELECT *, radians(280.46646 + t * (36000.76983 + t * 0.0003032) - 360.0 * floor((280.46646 + t * (36000.76983 + t * 0.0003032)) / 360.0)) AS l, radians(357.52911 + t * (35999.05029 - 0.0001537 * t)) AS m, 0.016708634 - t * (0.000042037 + 0.0000001267 * t) AS e, radians(125.04 - 1934.136 * t) AS o FROM a),
+c AS (SELECT *, radians(degrees(l) + sin(m) * (1.914602 - t * (0.004817 + 0.000014 * t)) + sin(2 * m) * (0.019993 - 0.000101 * t) + sin(3 * m) * 0.000289 - 0.00569 - 0.00478 * sin(o)) AS lam, radians(23.0 + (26.0 + (21.448 - t * (46.815 + t * (0.00059 - t * 0.001813))) / 60.0) / 60.0 + 0.00256 * cos(o)) AS eps FROM b),
+d AS (SELECT *, asin(sin(eps) * sin(lam)) AS dec, tan(eps / 2) * tan(eps / 2) AS y FROM c),
+f AS (SELECT *, 4.0 * degrees(y * sin(2 * l) - 2 * e * sin(m) + 4 * e * y * sin(m) * cos(2 * l) - 0.5 * y * y * sin(4 * l) - 1.25 * e * e * sin(2 * m)) AS eot FROM d),
+g AS (SELECT *, (us % 86400000000) / 6e7 + eot + 4.0 * -73.2 AS tst FROM f),
+h AS (SELECT *, radians((tst - 1440.0 * floor(tst / 1440.0)) / 4.0 - 180.0) AS ha FROM g),
+i AS (SELECT *, greatest(-1.0, least(1.0, sin(radians(44.5)) * sin(dec) + cos(radians(44.5)) * cos(dec) * cos(ha))) AS cz FROM h),
+j AS (SELECT *, 90.0 - degrees(acos(cz)) AS e0, degrees(acos(greatest(-1.0, least(1.0, (sin(radians(44.5)) * cz - sin(dec)) / (cos(radians(44.5)) * sin(acos(cz))))))) AS az FROM i),
+k AS (SELECT *, CASE WHEN ha > 0 THEN az + 180.0 - 360.0 * floor((az + 180.0) / 360.0) ELSE 540.0 - az - 360.0 * floor((540.0 - az) / 360.0) END AS azimuth,
+  e0 + CASE WHEN e0 > 85 THEN 0 WHEN e0 > 5 THEN 58.1 / tan(radians(e0)) - 0.07 / pow(tan(radians(e0)), 3) + 0.000086 / pow(tan(radians(e0)), 5) WHEN e0 > -0.575 THEN 1735.0 + e0 * (-518.2 + e0 * (103.4 + e0 * (-12.79 + e0 * 0.711))) ELSE -20.772 / tan(radians(e0)) END / 3600.0 AS elevation FROM j)
+"""
+
+
+@query(SUN + "SELECT event_id, round(elevation, 6) AS elevation, round(90.0 - elevation, 6) AS zenith, round(azimuth, 6) AS azimuth FROM k")
+def sun_position(spark, sf_dir):
+    sun = solar.sun_position(events(spark, sf_dir), F.col("us"), LAT, LON)
+    return sun.select(F.col("pos").alias("event_id"), *[F.round(f"sun_{c}", 6).alias(c) for c in ("elevation", "zenith", "azimuth")])
+
+
+@query(SUN + "SELECT event_id, ts FROM k WHERE elevation > 10")
+def daylight_rows(spark, sf_dir):
+    return solar.daylight(events(spark, sf_dir), LAT, LON).select(F.col("pos").alias("event_id"), "ts")
+
+
+@query(SUN + "SELECT event_id, round(sqrt((elevation - value / 10) * (elevation - value / 10) + pow(azimuth - value + 180.0 - 360.0 * floor((azimuth - value + 180.0) / 360.0) - 180.0, 2)), 6) AS miss FROM k JOIN (SELECT event_id, value FROM events) USING (event_id)")
+def angle_deviation(spark, sf_dir):
+    sun = solar.sun_position(events(spark, sf_dir), F.col("us"), LAT, LON)
+    miss = solar.deviation(F.col("sun_elevation") - F.col("value") / 10, F.col("sun_azimuth") - F.col("value"))
+    return sun.select(F.col("pos").alias("event_id"), F.round(miss, 6).alias("miss"))
+
+
+@query("SELECT event_id, round(CASE WHEN e > 85 THEN 0 WHEN e > 5 THEN 58.1 / tan(radians(e)) - 0.07 / pow(tan(radians(e)), 3) + 0.000086 / pow(tan(radians(e)), 5) WHEN e > -0.575 THEN 1735.0 + e * (-518.2 + e * (103.4 + e * (-12.79 + e * 0.711))) ELSE -20.772 / tan(radians(e)) END / 3600.0, 6) AS refraction FROM (SELECT event_id, value / 10 - 5.00001 AS e FROM events)")
+def refraction(spark, sf_dir):
+    return _read(spark, sf_dir, "events").select("event_id", F.round(solar.refraction(F.col("value") / 10 - 5.00001), 6).alias("refraction"))
+
+
+@query()
+def solar_noon_window(spark, sf_dir):
+    days = _read(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("date")).distinct()
+    midnight = F.date_diff("date", F.lit("1970-01-01").cast("date")).cast("bigint") * solar.DAY_US
+    return solar.normalization_window(days, midnight, LON).select("date", "start_ts", "end_ts")
+
+
+@query("""SELECT event_id, CAST(round_even(us / 9e8, 0) * 900000000 AS BIGINT) AS zone_us,
+  concat('UTC', CASE WHEN s < 0 THEN '-' ELSE '+' END, printf('%02d:%02d', abs(s) // 3600, abs(s) // 60 % 60), CASE WHEN abs(s) % 60 <> 0 THEN printf(':%02d', abs(s) % 60) ELSE '' END) AS offset_text,
+  concat(CASE WHEN s < 0 THEN '-' ELSE '+' END, CASE WHEN abs(s) >= 3600 THEN printf('%dh%02dm%02ds', abs(s) // 3600, abs(s) // 60 % 60, abs(s) % 60) WHEN abs(s) >= 60 THEN printf('%dm%02ds', abs(s) // 60, abs(s) % 60) ELSE printf('%ds', abs(s)) END) AS skew_text
+FROM (SELECT event_id, us, CAST(round_even(us / 1e6, 0) AS BIGINT) AS s FROM (SELECT event_id, CAST(round((value - 100) * 6e7) AS BIGINT) AS us FROM events))""")
+def offset_texts(spark, sf_dir):
+    us = F.round((F.col("value") - 100) * 6e7).cast("bigint")
+    return _read(spark, sf_dir, "events").select("event_id", solar.nearest_timezone(us).alias("zone_us"), solar.format_offset(us).alias("offset_text"), solar.format_skew(us).alias("skew_text"))
+
+
+def _recorded(spark, sf_dir, offset_us: int) -> DataFrame:
+    """Angles as a logger would have recorded them, stamped offset_us ahead of UTC."""
+    sun = solar.sun_position(events(spark, sf_dir), F.col("us"), LAT, LON)
+    shifted = F.col("us") + F.lit(offset_us)
+    return sun.select("series_id", "pos", from_micros(shifted).alias("ts"), shifted.alias("us"), F.col("sun_elevation").alias("elevation"), F.col("sun_azimuth").alias("azimuth"))
+
+
+@query("SELECT DISTINCT event_type AS series_id, CAST(-18000000000 AS BIGINT) AS offset_us FROM events")
+def inferred_offset(spark, sf_dir):
+    return infer_utc_offset(_recorded(spark, sf_dir, -18_000_000_000), LAT, LON)
+
+
+@query("""SELECT event_type AS series_id, 'utc' AS "check", '(all signals)' AS signal, 'stamps are UTC-05:00, not UTC' AS detail, count(*) AS n_samples FROM events GROUP BY 1""")
+def solar_angle_findings(spark, sf_dir):
+    angles = SolarAngles(LAT, LON, elevation="elevation", azimuth="azimuth")
+    return check_solar_angles(_recorded(spark, sf_dir, -18_000_000_000), angles).select("series_id", "check", "signal", "detail", "n_samples")
+
+
+@query()
+def shade_track(spark, sf_dir):
+    return shading.shadow_track(spark, "2024-04-01", LAT, LON, "America/New_York").select("pos", "ts", *[F.round(c, 6).alias(c) for c in ("elevation", "azimuth", "miss", "rod_width", "blocked")])
+
+
+@query()
+def shadow_windows(spark, sf_dir):
+    track = shading.shadow_track(spark, "2024-04-01", LAT, LON, "America/New_York")
+    return runs.windows_over(track, "blocked", shading.THRESHOLD, ["elevation", "azimuth"])
+
+
+@query()
+def shadow_season(spark, sf_dir):
+    return shading.shadow_season(spark, "2024-03-01", "2024-05-31", LAT, LON, "America/New_York", 60)
+
+
+@query("""WITH r AS (SELECT *, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS b FROM conversations)
+SELECT CAST(conv_id AS VARCHAR) AS file, b AS block_no, count(DISTINCT role) AS n_labels, arg_min(text, turn) FILTER (role = 'user') AS opened FROM r WHERE b > 0 GROUP BY 1, 2""")
+def channel_blocks(spark, sf_dir):
+    table = _read(spark, sf_dir, "conversations")
+    key = F.when(F.col("role") == "user", "Channel").otherwise(F.col("role"))
+    header = table.select(F.col("conv_id").cast("string").alias("file"), F.col("turn").alias("pos"), key.alias("key"), F.col("text").alias("value"))
+    blocks = channels.channel_blocks(header)
+    return blocks.select("file", "block_no", F.size("fields").cast("bigint").alias("n_labels"), F.element_at("fields", "Channel").alias("opened"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size <= 10 AND contains(lower(p_type), 'brass') THEN 'small brass' WHEN contains(lower(p_name), 'a') AND (contains(lower(p_type), 'steel') OR contains(lower(p_type), 'tin')) THEN 'metal' WHEN p_size <= 10 THEN 'small' END AS kind FROM part""")
+def classified_parts(spark, sf_dir):
+    rules = (("small brass", ("small",), (("brass",),)), ("metal", (), (("steel", "tin"), ("name:a",))), ("small", ("small",), ()))
+    text = F.concat(F.lower("p_type"), F.when(F.lower("p_name").contains("a"), " name:a").otherwise(""))
+    return _read(spark, sf_dir, "part").select("p_partkey", channels.kind_of(F.when(F.col("p_size") <= 10, "small").otherwise(""), text, rules).alias("kind"))
+
+
+@query("""SELECT * FROM (VALUES ('Ch1_Avg_deg_C', 1, 'Avg', 'Avg'), ('Ch4_Total_1.19m_E_Sum_mm', 4, 'Total', 'Sum'), ('Ch12_Samples_W/m^2', 12, '', ''), ('Ch7_NotUsed', 7, 'NotUsed', 'NotUsed'), ('Timestamp', NULL, '', '')) AS v(name, channel, next_statistic, last_statistic)""")
+def column_grammar(spark, sf_dir):
+    names = ["Ch1_Avg_deg_C", "Ch4_Total_1.19m_E_Sum_mm", "Ch12_Samples_W/m^2", "Ch7_NotUsed", "Timestamp"]
+    return channels.column_grammar(spark.createDataFrame([(n,) for n in names], "name string"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS nr FROM documents),
+k AS (SELECT doc_id, nr, len(string_split(line, ' ')) AS n FROM l WHERE trim(line) <> '') SELECT k.doc_id, k.nr - 1 AS pos, k.n AS fields, f.n AS expected FROM k JOIN (SELECT doc_id, arg_min(n, nr) AS n FROM k GROUP BY 1) f USING (doc_id) WHERE k.n <> f.n""")
+def malformed_lines(spark, sf_dir):
+    lines = _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).filter(F.trim("line") != "")
+    sized = lines.select("doc_id", "pos", F.size(F.split("line", " ", -1)).alias("fields"))
+    expected = sized.groupBy("doc_id").agg(F.min_by("fields", "pos").alias("expected"))
+    return sized.join(expected, "doc_id").filter("fields <> expected").select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.col("fields").cast("bigint").alias("fields"), F.col("expected").cast("bigint").alias("expected"))
+
+
+@query("""WITH e AS (SELECT user_id, event_id, ts, event_type = 'error' AS o FROM events WHERE event_type IN ('error', 'view')),
+l AS (SELECT *, COALESCE(lag(o) OVER (PARTITION BY user_id ORDER BY ts, event_id), FALSE) AS was FROM e), d AS (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS til FROM l WHERE o <> was)
+SELECT CAST(user_id AS VARCHAR) AS series_id, ts AS start_ts, COALESCE(til, (SELECT max(ts) FROM e)) AS end_ts, round(date_diff('microsecond', ts, COALESCE(til, (SELECT max(ts) FROM e))) / 1e6, 6) AS seconds FROM d WHERE o""")
+def fault_intervals(spark, sf_dir):
+    table = _read(spark, sf_dir, "events").filter(F.col("event_type").isin("error", "view"))
+    frame = signal_frame(table, "ts", "event_id", ["event_type"], "user_id")
+    return runs.fault_intervals(frame, F.col("event_type") == "error").withColumn("seconds", F.round("seconds", 6))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size < 10 THEN 'low' WHEN p_size < 30 THEN 'middle' ELSE 'high' END AS band FROM part WHERE p_size >= 0 AND p_size < 1000")
+def size_bands(spark, sf_dir):
+    bands = spark.createDataFrame([("low", 0, 10), ("middle", 10, 30), ("high", 30, 1000)], "band string, lo int, hi int")
+    part = _read(spark, sf_dir, "part")
+    return part.join(F.broadcast(bands), (part.p_size >= bands.lo) & (part.p_size < bands.hi)).select("p_partkey", "band")  # three rows
+
+
+@query("""WITH d AS (SELECT DISTINCT o_orderpriority AS p, CAST(o_orderdate AS DATE) AS date FROM orders), i AS (SELECT p, date, date - CAST(row_number() OVER (PARTITION BY p ORDER BY date) AS INTEGER) AS k FROM d)
+SELECT p AS series_id, min(date) AS start_date, max(date) AS end_date, count(*) AS n_days FROM i GROUP BY p, k""")
+def date_bands(spark, sf_dir):
+    days = _read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("series_id"), F.to_date("o_orderdate").alias("date")).distinct()
+    return runs.date_bands(days)
+
+
+@query("SELECT event_id, CAST(regexp_extract(props, ':\\s*([-0-9.]+)', 1) AS DOUBLE) AS k FROM events")
+def props_number(spark, sf_dir):
+    return _read(spark, sf_dir, "events").select("event_id", number(F.get_json_object("props", "$.k")).alias("k"))
+
+
+@query(DAILY + "SELECT 'daily' AS series_id, 'quantity' AS signal, s AS statistic, 'value' AS panel, o AS draw_order, CAST(day AS TIMESTAMP) AS ts, round(CASE s WHEN 'Avg' THEN quantity_Avg WHEN 'Min' THEN quantity_Min ELSE quantity_Max END, 6) AS value FROM d, (VALUES ('Avg', 0), ('Min', 1), ('Max', 2)) AS v(s, o)")
+def chart_rows(spark, sf_dir):
+    return channels.chart_data(daily(spark, sf_dir), ["quantity_Avg", "quantity_Min", "quantity_Max"]).withColumn("value", F.round("value", 6))
+
+
+@query("""SELECT CAST(d AS DATE) AS date FROM generate_series(TIMESTAMP '1992-01-01', TIMESTAMP '1998-12-31', INTERVAL 1 DAY) AS g(d) WHERE CAST(d AS DATE) NOT IN (SELECT CAST(o_orderdate AS DATE) FROM orders WHERE o_orderdate IS NOT NULL)""")
+def export_days_left(spark, sf_dir):
+    return logger.export_days("1992-01-01", "1998-12-31", _read(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("date")))
+
+
+@query()
+def diagnostic_spec(spark, sf_dir):
+    return spark.createDataFrame(DIAGNOSTIC.tested(), "check string, signal string")
