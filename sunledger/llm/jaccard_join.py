@@ -35,7 +35,7 @@ from sunledger.llm.components import components
 #: Slots of the frequency sketch, and of a set's parity bitmap.
 SKETCH_SLOTS, BITMAP_BITS = 1 << 20, 1024
 #: Members of a list or group that are compared in one task with as many others.
-BLOCK = 2048
+BLOCK = 1024
 #: Longest prefix that is tried: shares of required matches.
 MOST_MATCHES = 8
 
@@ -113,10 +113,14 @@ def _members(docs: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             for i, j, data, bounds in chunks(batch["text"]):
                 h, at = reader.load(data, bounds)
-                row = np.repeat(np.arange(j - i), np.diff(at))
-                bits = np.bincount(row * BITMAP_BITS + (h & U(BITMAP_BITS - 1)).astype(np.int64), minlength=(j - i) * BITMAP_BITS) & 1
-                packed = np.packbits(bits.astype(np.uint8).reshape(j - i, BITMAP_BITS), axis=1)
-                yield pa.record_batch([batch["doc_id"][i:j], batch["th"][i:j], set_ids(h, at), np.diff(at), pa.array([x.tobytes() for x in packed], pa.binary())], schema=schema)
+                bitmaps: list[bytes] = []
+                for a in range(0, j - i, 256):  # short texts make many rows
+                    own = at[a : a + 257]
+                    rows = len(own) - 1
+                    bit = (h[own[0] : own[-1]] & U(BITMAP_BITS - 1)).astype(np.int64)
+                    bits = np.bincount(np.repeat(np.arange(rows), np.diff(own)) * BITMAP_BITS + bit, minlength=rows * BITMAP_BITS)
+                    bitmaps += [x.tobytes() for x in np.packbits((bits & 1).astype(np.uint8).reshape(rows, BITMAP_BITS), axis=1)]
+                yield pa.record_batch([batch["doc_id"][i:j], batch["th"][i:j], set_ids(h, at), np.diff(at), pa.array(bitmaps, pa.binary())], schema=schema)
 
     return docs.mapInArrow(run, "doc_id long, th int, sid long, n long, bitmap binary")
 
@@ -173,6 +177,13 @@ def _in_blocks(rows: DataFrame, key: str, member: str, size: str) -> DataFrame:
     return rows.withColumns({"own": own, "other": other}).withColumns({"left": F.least("own", "other"), "right": F.greatest("own", "other")})
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, as Python objects are made of them."""
+    for batch in batches:
+        for i in range(0, len(batch), rows):
+            yield batch.slice(i, rows)
+
+
 def _forest(percent: int):
     """Edges of a forest over the sets of each list that may be linked, by size and bitmaps."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -210,7 +221,7 @@ def _forest(percent: int):
             bitmap = np.frombuffer(b"".join(rows[i][2] for i in first), "<u8").reshape(len(first), -1)
             return solve(sid[first], np.array([rows[i][1] for i in first], np.int64), bitmap)
 
-        for batch in batches:
+        for batch in _slices(batches):
             found: list[tuple[int, int]] = []
             for *at, sid, n, bitmap in zip(*(batch[c].to_pylist() for c in ("shingle", "left", "right", "sid", "n", "bitmap")), strict=True):
                 if at != key:
@@ -218,7 +229,7 @@ def _forest(percent: int):
                     held, key = [], at
                 held.append((sid, n, bitmap))
             fresh = [e for e in dict.fromkeys(found) if e not in seen]
-            if len(seen) < 1_000_000:
+            if len(seen) < 100_000:
                 seen.update(fresh)
             if fresh:
                 yield pa.record_batch(list(zip(*fresh, strict=True)), schema=schema)
@@ -305,7 +316,7 @@ def _verify(percent: int):
             raw = dict(rows)
             return [(sid[a], sid[b]) for a, b in links([np.frombuffer(raw[s], "<u8") for s in sid], percent)] if len(sid) > 1 else []
 
-        for batch in batches:
+        for batch in _slices(batches):
             found: list[tuple[int, int]] = []
             for *at, sid, whole in zip(*(batch[c].to_pylist() for c in ("root", "left", "right", "sid", "whole")), strict=True):
                 if at != key:
