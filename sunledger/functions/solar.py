@@ -140,7 +140,7 @@ def format_offset(offset_us: Column) -> Column:
     seconds = F.rint(offset_us / 1e6).cast("bigint")
     size = F.abs(seconds)
     text = F.concat(F.lit("UTC"), F.when(seconds < 0, "-").otherwise("+"), F.format_string("%02d:%02d", F.floor(size / 3600), F.floor(size / 60) % 60), F.when(size % 60 != 0, F.format_string(":%02d", size % 60)).otherwise(""))
-    return F.coalesce(text, F.lit("UTC?"))
+    return F.when(offset_us.isNull(), "UTC?").otherwise(text)
 
 
 def format_skew(skew_us: Column) -> Column:
@@ -149,7 +149,7 @@ def format_skew(skew_us: Column) -> Column:
     size = F.abs(seconds)
     hours, minutes, rest = F.floor(size / 3600), F.floor(size / 60) % 60, size % 60
     body = F.when(hours > 0, F.format_string("%dh%02dm%02ds", hours, minutes, rest)).when(minutes > 0, F.format_string("%dm%02ds", minutes, rest)).otherwise(F.format_string("%ds", rest))
-    return F.coalesce(F.concat(F.when(seconds < 0, "-").otherwise("+"), body), F.lit("?"))
+    return F.when(skew_us.isNull(), "?").otherwise(F.concat(F.when(seconds < 0, "-").otherwise("+"), body))
 
 
 def is_position(latitude: float, longitude: float) -> bool:
