@@ -12,7 +12,7 @@
    required match would save cost more than its lists: with l - 1 more shingles, l common
    ones are required before a candidate is verified by its whole intersection.
 
-Groups and lists over BLOCK members are split into pairs of blocks, so no task holds more.
+Lists over BLOCK and groups over SET_BLOCK members are split into pairs of blocks, so no task holds more.
 
 Defined cases: null texts and texts without words have no shingles and no links; with fewer
 words than a shingle the whole sequence is the only one; repeated rows and equal sets are
@@ -34,8 +34,8 @@ from sunledger.llm.components import components
 
 #: Slots of the frequency sketch, and of a set's parity bitmap.
 SKETCH_SLOTS, BITMAP_BITS = 1 << 20, 1024
-#: Members of a list or group that are compared in one task with as many others.
-BLOCK = 1024
+#: Members of a list (by bitmap), and of a group (by whole sets), that are compared in one task with as many others.
+BLOCK, SET_BLOCK = 1024, 256
 #: Longest prefix that is tried: shares of required matches.
 MOST_MATCHES = 8
 
@@ -169,9 +169,9 @@ def _sets(rows: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(run, "sid long, whole binary")
 
 
-def _in_blocks(rows: DataFrame, key: str, member: str, size: str) -> DataFrame:
-    """rows with columns left and right: the pair of blocks that a row belongs to; both 0 for keys of up to BLOCK members."""
-    blocks = F.ceil(F.col(size) / BLOCK).cast("int")
+def _in_blocks(rows: DataFrame, member: str, size: str, block: int) -> DataFrame:
+    """rows with columns left and right: the pair of blocks that a row belongs to; both 0 for keys of up to block members."""
+    blocks = F.ceil(F.col(size) / block).cast("int")
     own = F.pmod(F.xxhash64(member), blocks).cast("int")
     other = F.explode(F.sequence(F.lit(0), blocks - 1))
     return rows.withColumns({"own": own, "other": other}).withColumns({"left": F.least("own", "other"), "right": F.greatest("own", "other")})
@@ -244,20 +244,22 @@ def links(sets: list[np.ndarray], percent: int, label: np.ndarray | None = None)
     """A spanning forest of the links of a group, by the adaptive multi-match join (see the module)."""
     n = np.fromiter(map(len, sets), np.int64, len(sets))
     by = np.argsort(n, kind="stable")
-    flat, code, df = np.unique(np.concatenate([sets[i] for i in by]), return_inverse=True, return_counts=True)
-    rank = np.empty(len(df), np.int64)
-    rank[np.argsort(df, kind="stable")] = np.arange(len(df))
+    _, code, df = np.unique(np.concatenate([sets[i] for i in by]), return_inverse=True, return_counts=True)
+    rank = np.empty(len(df), np.int32)
+    rank[np.argsort(df, kind="stable")] = np.arange(len(df), dtype=np.int32)
+    code = rank[code]
     cut = np.concatenate([[0], np.cumsum(n[by])])
-    ordered = [np.sort(rank[code[cut[i] : cut[i + 1]]]) for i in range(len(by))]
-    every = np.concatenate(ordered)
+    for i in range(len(by)):
+        code[cut[i] : cut[i + 1]].sort()
+    ordered = [code[cut[i] : cut[i + 1]] for i in range(len(by))]  # views
     n = n[by]
     base = n - needed(n, percent) + 1
     # lists by shingle: (set, required matches from which the shingle is in its prefix)
     longest = np.minimum(base + MOST_MATCHES - 1, n)
-    owner = np.repeat(np.arange(len(n)), longest)
+    owner = np.repeat(np.arange(len(n), dtype=np.int32), longest)
     place = np.arange(len(owner)) - np.repeat(np.cumsum(longest) - longest, longest)
     token = np.concatenate([o[:m] for o, m in zip(ordered, longest, strict=True)])
-    level = np.maximum(place - base[owner] + 2, 1)
+    level = np.maximum(place - base[owner] + 2, 1).astype(np.int32)
     sort = np.lexsort((owner, token))
     token, owner, level = token[sort], owner[sort], level[sort]
     begin = np.searchsorted(token, np.arange(len(df) + 1))
@@ -296,7 +298,7 @@ def links(sets: list[np.ndarray], percent: int, label: np.ndarray | None = None)
         mark[ordered[x]] = True
         for y in best.tolist():
             if label[y] != label[x]:
-                both = int(np.count_nonzero(mark[every[cut[y] : cut[y + 1]]]))
+                both = int(np.count_nonzero(mark[ordered[y]]))
                 if 100 * both >= percent * (n[x] + n[y] - both):
                     out.append((int(by[y]), int(by[x])))
                     label[label == label[x]] = label[y]
@@ -343,7 +345,7 @@ def jaccard_components(documents: DataFrame, shingle: int = 4, percent: int = 85
     lists = _prefixes(docs, shingle, percent, order).repartition("shingle").dropDuplicates(["shingle", "sid"])  # one shuffle serves all three
     lists = materialize(lists.withColumn("length", F.count("*").over(by_list)).filter("length > 1"), "lists")
     bitmaps = members.filter("n > 0").groupBy("sid").agg(F.first("bitmap").alias("bitmap"))
-    near = _in_blocks(lists.join(bitmaps, "sid"), "shingle", "sid", "length").select("shingle", "left", "right", "sid", "n", "bitmap")
+    near = _in_blocks(lists.join(bitmaps, "sid"), "sid", "length", BLOCK).select("shingle", "left", "right", "sid", "n", "bitmap")
     near = near.repartition("shingle", "left", "right").sortWithinPartitions("shingle", "left", "right")
     groups = components(near.mapInArrow(_forest(percent), "a long, b long"))
     groups = groups.join(groups.groupBy("root").agg(F.count("*").alias("size")), "root").withColumnRenamed("node", "sid")
@@ -351,7 +353,7 @@ def jaccard_components(documents: DataFrame, shingle: int = 4, percent: int = 85
     stands = members.filter("n > 0").groupBy("sid").agg(F.min(F.struct("doc_id", "th")).alias("d")).join(groups.select("sid"), "sid", "left_semi").select("sid", F.col("d.doc_id").alias("of"), F.col("d.th").alias("of_th"))
     texts = docs.join(stands, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("th") == F.col("of_th"))).select("sid", "text")
     of_set = _sets(texts, shingle).dropDuplicates(["sid"])
-    whole = _in_blocks(groups.join(of_set, "sid"), "root", "sid", "size").select("root", "left", "right", "sid", "whole")
+    whole = _in_blocks(groups.join(of_set, "sid"), "sid", "size", SET_BLOCK).select("root", "left", "right", "sid", "whole")
     whole = whole.repartition("root", "left", "right").sortWithinPartitions("root", "left", "right")
     linked = components(whole.mapInArrow(_verify(percent), "a long, b long"))
     member = members.join(linked.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
