@@ -34,6 +34,8 @@ COSINE = 0.5
 #: Share of an item's weight that must be a common subsequence; the second is enough with its answer.
 COMMON, COMMON_WITH_ANSWER, ANSWER = 0.6, 0.45, 0.8
 BLOCK_WORDS = 200_000
+#: Words in more than this share of passages weigh nothing, unless an item would lose half of its weight by that.
+MOST_FREQUENT = 0.15
 
 
 def word_ends() -> np.ndarray:
@@ -78,13 +80,24 @@ class Items:
                     self.words.append(part)
                     self.answer.append(answer if len(words) <= 2 * HALF else part[-HALF // 2 :])
         self.vocabulary = np.unique(np.concatenate(self.words)) if self.words else np.zeros(0, np.int64)
+        self.slots = np.zeros(1 << 20, bool)  # a quick no
+        self.slots[self.vocabulary & (len(self.slots) - 1)] = True
         self.words = [np.searchsorted(self.vocabulary, w) for w in self.words]
         self.answer = [np.searchsorted(self.vocabulary, w) for w in self.answer]
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """Place in the vocabulary, or -1."""
-        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == hashes, at, -1)
+        maybe = np.flatnonzero(self.slots[hashes & (len(self.slots) - 1)])
+        out = np.full(len(hashes), -1, np.int64)
+        found = hashes[maybe]
+        at = np.minimum(np.searchsorted(self.vocabulary, found), len(self.vocabulary) - 1)
+        out[maybe] = np.where(self.vocabulary[at] == found, at, -1)
+        return out
+
+    def forget(self, weights: np.ndarray) -> None:
+        """From now on words without weight are not told from others."""
+        self.slots = np.zeros_like(self.slots)
+        self.slots[self.vocabulary[weights > 0] & (len(self.slots) - 1)] = True
 
 
 def _halves(numbers: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,6 +137,16 @@ def _frequencies(docs: DataFrame, items) -> tuple[np.ndarray, int]:
     return counts, total
 
 
+def _weights(items: Items, counts: np.ndarray, total: int) -> np.ndarray:
+    """Inverse document frequency of each word of the vocabulary."""
+    whole = np.log((1 + total) / (1 + counts))
+    weights = np.where(counts > MOST_FREQUENT * total, 0.0, whole)
+    for words in items.words:
+        if weights[words].sum() < 0.5 * whole[words].sum():
+            weights[words] = whole[words]
+    return weights
+
+
 def _project(half: np.ndarray, number: np.ndarray, weights: np.ndarray, n: int, basis: np.ndarray) -> np.ndarray:
     """Row of each half passage times basis."""
     out = np.zeros((n, basis.shape[1]), np.float32)
@@ -213,6 +236,7 @@ def _search(docs: DataFrame, shared, cosine: float, common: float, with_answer:
         wanted /= length
         mass = np.array([weights[w].sum() for w in own.words])
         least = float(mass.min()) * min(common, with_answer)
+        present = np.zeros(len(weights), bool)
         for batch in batches:
             ids, th = batch["doc_id"].to_pylist(), batch["th"].to_pylist()
             out: list[tuple] = []
@@ -247,13 +271,16 @@ def _search(docs: DataFrame, shared, cosine: float, common: float, with_answer:
                     lo = int(first[r]) + (int(at[p[k]]) - int(head[r])) * HALF
                     a, b = max(int(first[r]), lo - HALF), min(int(first[r + 1]), lo + 3 * HALF)
                     region = numbers[a:b]
+                    region = region[region >= 0]
                     words = own.words[t]
-                    there = np.isin(words, region)
+                    present[region] = True
+                    there, in_answer = present[words], present[own.answer[t]]
+                    present[region] = False
                     if weights[words[there]].sum() < min(common, with_answer) * mass[t]:
                         continue
                     share = weighted_lcs(words, region, weights) / mass[t]
                     goal = own.answer[t]
-                    found = float(weights[goal[np.isin(goal, region)]].sum() / max(weights[goal].sum(), 1e-9)) if len(goal) else 0.0
+                    found = float(weights[goal[in_answer]].sum() / max(weights[goal].sum(), 1e-9)) if len(goal) else 0.0
                     if share >= common or share >= with_answer and found >= answer:
                         key = (r, own.ids[t])
                         if key not in best or best[key][4] < share:
@@ -279,7 +306,8 @@ def matches(documents: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
             continue
         items = Items(mine)
         counts, total = _frequencies(docs, spark.sparkContext.broadcast(items))
-        weights = np.log((1 + total) / (1 + counts))
+        weights = _weights(items, counts, total)
+        items.forget(weights)
         mass = np.array([weights[w].sum() for w in items.words])
         basis = _latent(docs, items, weights, float(mass.min()) * min(common, with_answer) / 2)
         shared = spark.sparkContext.broadcast((items, weights.astype(np.float32), basis))
