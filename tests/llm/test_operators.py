@@ -120,7 +120,9 @@ def test_jaccard_components_against_brute_force(spark, monkeypatch):
     from sunledger.llm import jaccard_join as J
 
     rows = [*corpus(), (5, corpus()[5][1])]
-    for k, percent in ((4, 85), (5, 80)):
+    for k, percent, block in ((4, 85, 1024), (5, 80, 3)):
+        monkeypatch.setattr(J, "BLOCK", block)
+        monkeypatch.setattr(J, "SET_BLOCK", block)
         got = J.jaccard_components(docs(spark, rows), k, percent).select("doc_id", "n_shingles", "component_id").collect()
         assert sorted(map(tuple, got)) == components_of(rows, k, percent)
 
