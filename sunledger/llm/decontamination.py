@@ -161,7 +161,7 @@ def _latent(docs: DataFrame, items: Items, weights: np.ndarray, least: float) ->
     size, width = len(weights), RANK + OVERSAMPLED
     omega = np.random.default_rng(7).standard_normal((size, width)).astype(np.float32)
     schema = pa.schema([("part", pa.int32()), ("sums", pa.binary())])
-    step = 4096
+    step = 128  # words of the vocabulary in a part: the sums of all tasks meet in many small ones
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, (own, w, test) = Words(), shared.value
