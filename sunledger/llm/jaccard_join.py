@@ -35,7 +35,7 @@ from sunledger.llm.components import components
 #: Slots of the frequency sketch, and of a set's parity bitmap.
 SKETCH_SLOTS, BITMAP_BITS = 1 << 20, 1024
 #: Members of a list (by bitmap), and of a group (by whole sets), that are compared in one task with as many others.
-BLOCK, SET_BLOCK = 1024, 256
+BLOCK, SET_BLOCK = 1024, 512
 #: Longest prefix that is tried: shares of required matches.
 MOST_MATCHES = 8
 
@@ -156,7 +156,7 @@ def _prefixes(docs: DataFrame, k: int, percent: int, order) -> DataFrame:
 
 
 def _sets(rows: DataFrame, k: int) -> DataFrame:
-    """rows (sid, text) with the whole set of the text instead."""
+    """rows (sid, root, size, text) with the whole set of the text: root, size, sid, whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Shingles(k)
@@ -164,9 +164,9 @@ def _sets(rows: DataFrame, k: int) -> DataFrame:
             for i, j, data, bounds in chunks(batch["text"]):
                 h, at = reader.load(data, bounds)
                 sets = [h[a:b].astype("<u8").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch["sid"][i:j], pa.array(sets, pa.binary())], names=["sid", "whole"])
+                yield pa.RecordBatch.from_arrays([*(batch[c][i:j] for c in ("root", "size", "sid")), pa.array(sets, pa.binary())], names=["root", "size", "sid", "whole"])
 
-    return rows.mapInArrow(run, "sid long, whole binary")
+    return rows.mapInArrow(run, "root long, size long, sid long, whole binary")
 
 
 def _in_blocks(rows: DataFrame, member: str, size: str, block: int) -> DataFrame:
@@ -349,11 +349,10 @@ def jaccard_components(documents: DataFrame, shingle: int = 4, percent: int = 85
     near = near.repartition("shingle", "left", "right").sortWithinPartitions("shingle", "left", "right")
     groups = components(near.mapInArrow(_forest(percent), "a long, b long"))
     groups = groups.join(groups.groupBy("root").agg(F.count("*").alias("size")), "root").withColumnRenamed("node", "sid")
-    # only sets that may have a link are needed whole; one document stands for each
-    stands = members.filter("n > 0").groupBy("sid").agg(F.min(F.struct("doc_id", "th")).alias("d")).join(groups.select("sid"), "sid", "left_semi").select("sid", F.col("d.doc_id").alias("of"), F.col("d.th").alias("of_th"))
-    texts = docs.join(stands, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("th") == F.col("of_th"))).select("sid", "text")
-    of_set = _sets(texts, shingle).dropDuplicates(["sid"])
-    whole = _in_blocks(groups.join(of_set, "sid"), "sid", "size", SET_BLOCK).select("root", "left", "right", "sid", "whole")
+    # only sets that may have a link are needed whole; one document stands for each, and is read and shuffled once
+    stands = members.filter("n > 0").groupBy("sid").agg(F.min(F.struct("doc_id", "th")).alias("d")).join(groups, "sid").select("sid", "root", "size", F.col("d.doc_id").alias("of"), F.col("d.th").alias("of_th"))
+    texts = docs.join(stands, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("th") == F.col("of_th")))
+    whole = _in_blocks(_sets(texts.select("sid", "root", "size", "text"), shingle), "sid", "size", SET_BLOCK).select("root", "left", "right", "sid", "whole")
     whole = whole.repartition("root", "left", "right").sortWithinPartitions("root", "left", "right")
     linked = components(whole.mapInArrow(_verify(percent), "a long, b long"))
     member = members.join(linked.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
