@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from sunledger.llm.common import Rolling, U, byte_values, chunks, lowered, materialize, mix, row_key, separators, signed, word_spans
 from sunledger.llm.components import components
 
-#: Slots of the frequency sketch, and of a set's parity bitmap.
+#: Slots of the frequency sketch, and least length of a set's parity bitmap.
 SKETCH_SLOTS, BITMAP_BITS = 1 << 20, 1024
 #: Members of a list (by bitmap), and of a group (by whole sets), that are compared in one task with as many others.
 BLOCK, SET_BLOCK = 1024, 512
@@ -74,6 +74,11 @@ def needed(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * n // 100)
 
 
+def bitmap_bits(n: np.ndarray) -> np.ndarray:
+    """Length of the parity bitmap of a set of n: a power of two, at least BITMAP_BITS and half of n."""
+    return BITMAP_BITS << np.ceil(np.log2(np.maximum(n / (2 * BITMAP_BITS), 1))).astype(np.int64)
+
+
 def _sketch(docs: DataFrame, k: int) -> np.ndarray:
     """Logarithm (in eighths) of the number of sets in each slot. Each task sends its non-zero slots in 64 packed parts."""
     step = SKETCH_SLOTS // 64
@@ -116,10 +121,11 @@ def _members(docs: DataFrame, k: int) -> DataFrame:
                 bitmaps: list[bytes] = []
                 for a in range(0, j - i, 256):  # short texts make many rows
                     own = at[a : a + 257]
-                    rows = len(own) - 1
-                    bit = (h[own[0] : own[-1]] & U(BITMAP_BITS - 1)).astype(np.int64)
-                    bits = np.bincount(np.repeat(np.arange(rows), np.diff(own)) * BITMAP_BITS + bit, minlength=rows * BITMAP_BITS)
-                    bitmaps += [x.tobytes() for x in np.packbits((bits & 1).astype(np.uint8).reshape(rows, BITMAP_BITS), axis=1)]
+                    bits = bitmap_bits(np.diff(own))
+                    head = np.concatenate([[0], np.cumsum(bits)])
+                    bit = (h[own[0] : own[-1]] & (np.repeat(bits, np.diff(own)) - 1).astype(U)).astype(np.int64) + np.repeat(head[:-1], np.diff(own))
+                    packed = np.packbits((np.bincount(bit, minlength=int(head[-1])) & 1).astype(np.uint8))
+                    bitmaps += [packed[x // 8 : y // 8].tobytes() for x, y in zip(head[:-1].tolist(), head[1:].tolist(), strict=True)]
                 yield pa.record_batch([batch["doc_id"][i:j], batch["th"][i:j], set_ids(h, at), np.diff(at), pa.array(bitmaps, pa.binary())], schema=schema)
 
     return docs.mapInArrow(run, "doc_id long, th int, sid long, n long, bitmap binary")
@@ -188,9 +194,18 @@ def _forest(percent: int):
     """Edges of a forest over the sets of each list that may be linked, by size and bitmaps."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def solve(sid: np.ndarray, n: np.ndarray, bitmap: np.ndarray) -> list[tuple[int, int]]:
+    def solve(sid: np.ndarray, n: np.ndarray, bitmaps: list[bytes]) -> list[tuple[int, int]]:
         by = np.lexsort((sid, n))
-        sid, n, bitmap = sid[by], n[by], bitmap[by]
+        sid, n, bitmaps = sid[by], n[by], [bitmaps[i] for i in by]
+        width = np.fromiter(map(len, bitmaps), np.int64, len(bitmaps))
+        whole: dict[int, np.ndarray] = {}
+        place = np.zeros(len(sid), np.int64)
+        for w in np.unique(width).tolist():
+            of = np.flatnonzero(width == w)
+            whole[w] = np.frombuffer(b"".join([bitmaps[i] for i in of]), "<u8").reshape(len(of), -1)
+            place[of] = np.arange(len(of))
+        # a bitmap twice as long, folded: parity at half the length
+        folded = {w: m[:, : m.shape[1] // 2] ^ m[:, m.shape[1] // 2 :] for w, m in whole.items()}
         label = np.arange(len(sid))
         edges = []
         for i in range(len(sid) - 1):
@@ -198,7 +213,13 @@ def _forest(percent: int):
             rest = i + 1 + np.flatnonzero(label[i + 1 : last] != label[i])
             if not len(rest):
                 continue
-            differ = np.bitwise_count(bitmap[rest] ^ bitmap[i]).sum(axis=1, dtype=np.int64)
+            w = int(width[i])
+            mine = whole[w][place[i]]
+            differ = np.zeros(len(rest), np.int64)
+            for longer, maps in ((w, whole), (2 * w, folded)):
+                which = np.flatnonzero(width[rest] == longer)
+                if len(which):
+                    differ[which] = np.bitwise_count(maps[longer][place[rest[which]]] ^ mine).sum(axis=1, dtype=np.int64)
             both = n[rest] + n[i]
             # overlap >= percent / (100 + percent) of both sizes, so they differ in at most the rest
             may = rest[differ * (100 + percent) <= both * (100 - percent)]
@@ -218,8 +239,7 @@ def _forest(percent: int):
                 return []
             sid = np.array([r[0] for r in rows], np.int64)
             _, first = np.unique(sid, return_index=True)
-            bitmap = np.frombuffer(b"".join(rows[i][2] for i in first), "<u8").reshape(len(first), -1)
-            return solve(sid[first], np.array([rows[i][1] for i in first], np.int64), bitmap)
+            return solve(sid[first], np.array([rows[i][1] for i in first], np.int64), [rows[i][2] for i in first])
 
         for batch in _slices(batches):
             found: list[tuple[int, int]] = []
