@@ -5,9 +5,10 @@ TF-IDF weights (over the words of the benchmark; document frequencies from all p
 corpus) make passages sparse vectors. A randomised SVD of all passages that could hold
 enough of an item, and of the items, is computed in one distributed pass: every task adds its
 part of A'(A Omega), a matrix of fixed size, and the Nystroem formula gives the right
-singular vectors. Candidates are passages with a cosine of at least `cosine` to an item
-in the latent space; an idf-weighted longest common subsequence of their words with the item's,
-and how much of the item's answer is there, decide.
+singular vectors. An idf-weighted longest common subsequence of an item's words with those of a region
+(four half passages), and how much of the item's answer is there, decide. Candidates follow from the share that
+must be common: the products of regions and items in the latent space and what lies outside of it bound the
+share from above, so no pair that reaches it is left out, however long the region's other text.
 
 The benchmark is worked through in blocks of at most BLOCK_WORDS words, so that what is
 broadcast is bounded however large it is.
@@ -30,10 +31,11 @@ from sunledger.llm.common import Rolling, byte_values, chunks, lowered, material
 
 HALF = 32
 RANK, OVERSAMPLED = 96, 32
-COSINE = 0.5
 #: Share of an item's weight that must be a common subsequence; the second is enough with its answer.
 COMMON, COMMON_WITH_ANSWER, ANSWER = 0.6, 0.45, 0.8
 BLOCK_WORDS = 200_000
+#: For sums of 32-bit numbers: bounds are compared with a little less than what is needed.
+SLACK = 1 - 1e-3
 #: Words in more than this share of passages weigh nothing, unless an item would lose half of its weight by that.
 MOST_FREQUENT = 0.15
 
@@ -210,33 +212,120 @@ def _latent(docs: DataFrame, items: Items, weights: np.ndarray, least: float) ->
     core = omega.T.astype(np.float64) @ image
     values, vectors = np.linalg.eigh((core + core.T) / 2)
     good = values > values[-1] * 1e-10
-    left, singular, _ = np.linalg.svd(image @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)
-    return (left[:, :RANK] / singular[:RANK]).astype(np.float32)  # folding in: V / S
+    left, _, _ = np.linalg.svd(image @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)
+    return left[:, :RANK].astype(np.float32)
 
 
-def weighted_lcs(a: np.ndarray, b: np.ndarray, weights: np.ndarray) -> float:
-    """Greatest total weight of a common subsequence."""
-    best = np.zeros(len(b) + 1)
-    for word in a.tolist():
-        take = np.where(b == word, best[:-1] + weights[word], 0)
-        best = np.concatenate([[0.0], np.maximum.accumulate(np.maximum(best[1:], take))])
-    return float(best[-1])
+def weighted_lcs(a: np.ndarray, b: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Greatest total weight of a common subsequence of each row of a with the same row of b; numbers under 0 fit nothing."""
+    best = np.zeros((len(a), b.shape[1] + 1))
+    for k in range(a.shape[1]):
+        word = a[:, k : k + 1]
+        take = np.where((b == word) & (word >= 0), best[:, :-1] + weights[word], 0)
+        np.maximum.accumulate(np.maximum(best[:, 1:], take), axis=1, out=best[:, 1:])
+    return best[:, -1]
+
+
+def padded(rows: list[np.ndarray]) -> np.ndarray:
+    """Rows of one length, filled up with -1."""
+    out = np.full((len(rows), max(map(len, rows), default=0)), -1, np.int64)
+    for i, row in enumerate(rows):
+        out[i, : len(row)] = row
+    return out
+
+
+class Bounds:
+    """What the items of a block can have in common with a region, at most; never less than the weighted LCS.
+
+    The words of a region that are not frequent are a vector p, a half passage's words counted
+    once; an item's are q. Of p'q the latent space gives a part, and the norms of what lies outside
+    of it give the most that the rest can be (Cauchy-Schwarz). Words matched one to one
+    add no more than p'q in squared weights, so n of them weigh sqrt(n p'q) at most. Frequent words
+    are looked up one by one.
+    """
+
+    def __init__(self, items: Items, weights: np.ndarray, frequent: np.ndarray, basis: np.ndarray) -> None:
+        self.weights, self.basis, self.frequent = weights, basis, frequent
+        self.place = np.cumsum(frequent) - 1
+        self.often = np.zeros((int(frequent.sum()), len(items.words)), np.float32)
+        self.wanted = np.zeros((len(items.words), basis.shape[1]), np.float32)
+        self.outside, self.rare = np.zeros(len(items.words)), np.zeros(len(items.words))
+        for i, words in enumerate(items.words):
+            number, count = np.unique(words, return_counts=True)
+            w, often = count * weights[number], frequent[number]
+            self.often[self.place[number[often]], i] = w[often]
+            self.wanted[i] = w[~often] @ basis[number[~often]]
+            self.outside[i] = np.sqrt(max(0.0, (w[~often] ** 2).sum() - float(self.wanted[i] @ self.wanted[i])))
+            self.rare[i] = count[~often].sum()
+        self.length = np.maximum(np.linalg.norm(self.wanted, axis=1), 1e-9)
+
+    def load(self, half: np.ndarray, number: np.ndarray, head: np.ndarray) -> None:
+        """Of a chunk: a region is a half passage, the one before it and two after it, of the same row."""
+        n, size = int(head[-1]), len(self.weights)
+        row = np.repeat(np.arange(len(head) - 1), np.diff(head))
+        near = {}  # from region to half
+        for d in REGION:
+            to = np.arange(n) + d
+            fits = (to >= 0) & (to < n)
+            fits[fits] = row[to[fits]] == row[fits]
+            near[d] = fits
+        sums = lambda x: sum_near(x, near)
+        self.mass = sums(np.bincount(half, self.weights[number], minlength=n))
+        pairs = np.unique(half * size + number)
+        half, number = pairs // size, pairs % size
+        often = self.frequent[number]
+        there = np.zeros((n, len(self.often)), np.float32)
+        there[half[often], self.place[number[often]]] = 1
+        self.there = np.minimum(sums(there), 1)
+        half, number = half[~often], number[~often]
+        self.rows = sums(_project(half, number, self.weights, n, self.basis))
+        square = self.weights.astype(np.float64) ** 2
+        norm = sums(np.bincount(half, square[number], minlength=n))
+        by = np.sort(number * n + half)
+        number, half = by // max(n, 1), by % max(n, 1)
+        for k in range(1, len(REGION)):  # words in two halves
+            step = np.where(number[k:] == number[:-k], half[k:] - half[:-k], len(REGION))
+            for d in range(k, len(REGION)):
+                both = np.bincount(half[:-k][step == d], square[number[:-k][step == d]], minlength=n)
+                for i in REGION[: len(REGION) - d]:
+                    fits = np.flatnonzero(near[i] & near[i + d])
+                    norm[fits] += 2 * both[fits + i]
+        self.beyond = np.sqrt(np.maximum(0, norm - (self.rows.astype(np.float64) ** 2).sum(axis=1)))
+
+    def most(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each region of at and item: the bound, and the cosine in the latent space."""
+        along = self.rows[at] @ self.wanted.T
+        inner = along + self.beyond[at, None].astype(np.float32) * self.outside.astype(np.float32)
+        bound = self.there[at] @ self.often + np.sqrt(self.rare.astype(np.float32) * np.maximum(inner, 0))
+        cosine = along / self.length.astype(np.float32) / np.maximum(np.linalg.norm(self.rows[at], axis=1, keepdims=True), 1e-9)
+        return bound, cosine
+
+
+#: Half passages of a region, from the one that it is named after.
+REGION = (-1, 0, 1, 2)
+
+
+def sum_near(x: np.ndarray, near: dict[int, np.ndarray]) -> np.ndarray:
+    """Sums over the halves of each region."""
+    out = np.zeros_like(x)
+    for d, fits in near.items():
+        at = np.flatnonzero(fits)
+        out[at] += x[at + d]
+    return out
 
 
 MATCH = pa.schema([("doc_id", pa.int64()), ("th", pa.int32()), ("item_id", pa.int64()), ("start_word", pa.int64()), ("end_word", pa.int64()), ("cosine", pa.float64()), ("common", pa.float64()), ("answer", pa.float64())])
 
 
-def _search(docs: DataFrame, shared, cosine: float, common: float, with_answer: float, answer: float) -> DataFrame:
+def _search(docs: DataFrame, shared, common: float, with_answer: float, answer: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, (own, weights, basis) = Words(), shared.value
-        wanted = np.zeros((len(own.words), basis.shape[1]), np.float32)
-        for i, w in enumerate(own.words):
-            wanted[i] = (basis[w] * weights[w][:, None]).sum(axis=0)
-        length = np.maximum(np.linalg.norm(wanted, axis=1, keepdims=True), 1e-9)
-        wanted /= length
-        mass = np.array([weights[w].sum() for w in own.words])
-        least = float(mass.min()) * min(common, with_answer)
-        present = np.zeros(len(weights), bool)
+        reader, (own, weights, frequent, basis) = Words(), shared.value
+        bounds_of = Bounds(own, weights, frequent, basis)
+        words, goals = padded(own.words), padded(own.answer)
+        heavy = np.append(weights, 0).astype(np.float64)  # the last one is what -1 weighs
+        mass, goal_mass = heavy[words].sum(axis=1), np.maximum(heavy[goals].sum(axis=1), 1e-9)
+        least = min(common, with_answer) * mass
+        present = np.zeros(len(weights) + 1, bool)
         for batch in batches:
             ids, th = batch["doc_id"].to_pylist(), batch["th"].to_pylist()
             out: list[tuple] = []
@@ -244,55 +333,47 @@ def _search(docs: DataFrame, shared, cosine: float, common: float, with_answer:
                 hashes, first = reader.load(data, bounds)
                 numbers = own.numbers(hashes)
                 half, number, head = _halves(numbers, first)
-                n = int(head[-1])
-                # a passage is a half and the next one of its row; the last one stands alone
-                last = np.zeros(n, bool)
-                last[head[1:][np.diff(head) > 0] - 1] = True
-                weight = np.bincount(half, weights[number], minlength=n)
-                both = weight + np.where(last, 0, np.append(weight[1:], 0)) if n else weight
-                # a half of a passage that may be enough
-                used = both >= least
-                wide = used | np.concatenate([[False], used[:-1]]) if n else used
-                keep = wide[half]
-                rows = _project(half[keep], number[keep], weights, n, basis)
-                rows[:-1][~last[:-1]] += rows[1:][~last[:-1]]
-                at = np.flatnonzero(used)
-                rows = rows[at]
-                along = rows @ wanted.T
-                near = along / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
-                # long passages dilute a short item: its own length must be there too
-                p, item = np.nonzero((near >= cosine) & (along >= min(common, with_answer) * length.T))
-                if not len(p):
+                if not len(half):
                     continue
-                row = np.searchsorted(head, at[p], side="right") - 1
+                bounds_of.load(half, number, head)
+                may = np.flatnonzero(bounds_of.mass >= least.min() * SLACK)
                 best: dict[tuple[int, int], tuple] = {}
-                for k in range(len(p)):
-                    r, t = int(row[k]), int(item[k])
-                    lo = int(first[r]) + (int(at[p[k]]) - int(head[r])) * HALF
-                    a, b = max(int(first[r]), lo - HALF), min(int(first[r + 1]), lo + 3 * HALF)
-                    region = numbers[a:b]
-                    region = region[region >= 0]
-                    words = own.words[t]
-                    present[region] = True
-                    there, in_answer = present[words], present[own.answer[t]]
-                    present[region] = False
-                    if weights[words[there]].sum() < min(common, with_answer) * mass[t]:
+                for step in range(0, len(may), 1024):
+                    at = may[step : step + 1024]
+                    bound, cosines = bounds_of.most(at)
+                    p, item = np.nonzero(bound >= least * SLACK)
+                    if not len(p):
                         continue
-                    share = weighted_lcs(words, region, weights) / mass[t]
-                    goal = own.answer[t]
-                    found = float(weights[goal[in_answer]].sum() / max(weights[goal].sum(), 1e-9)) if len(goal) else 0.0
-                    if share >= common or share >= with_answer and found >= answer:
-                        key = (r, own.ids[t])
-                        if key not in best or best[key][4] < share:
-                            best[key] = (a - int(first[r]), b - int(first[r]), float(near[p[k], t]), r, share, found)
-                out += [(ids[i + r], th[i + r], t, a, b, c, s, f) for (r, t), (a, b, c, _, s, f) in best.items()]
+                    cut = np.flatnonzero(np.diff(p, prepend=-1))
+                    pairs: list[tuple] = []
+                    for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(p)], strict=True):
+                        g, t = int(at[p[s]]), item[s:e]
+                        r = int(np.searchsorted(head, g, side="right")) - 1
+                        lo = int(first[r]) + (g - int(head[r])) * HALF
+                        a, b = max(int(first[r]), lo - HALF), min(int(first[r + 1]), lo + 3 * HALF)
+                        region = numbers[a:b]
+                        region = region[region >= 0]
+                        present[region] = True
+                        there = (heavy[words[t]] * present[words[t]]).sum(axis=1)
+                        found = (heavy[goals[t]] * present[goals[t]]).sum(axis=1) / goal_mass[t]
+                        present[region] = False
+                        need = np.where(found >= answer, min(common, with_answer), common) * mass[t]
+                        pairs += [(r, int(t[k]), a - int(first[r]), b - int(first[r]), float(cosines[p[s], t[k]]), float(found[k]), float(need[k]), region) for k in np.flatnonzero(there >= need * SLACK)]
+                    for k in range(0, len(pairs), 512):
+                        some = pairs[k : k + 512]
+                        weight = weighted_lcs(words[[x[1] for x in some]], padded([x[7] for x in some]), heavy)
+                        for (r, t, a, b, near, found, need, _), w in zip(some, weight.tolist(), strict=True):
+                            key = (r, own.ids[t])
+                            if w >= need * (1 - 1e-9) and (key not in best or best[key][3] < w / mass[t]):
+                                best[key] = (a, b, near, w / float(mass[t]), found)
+                out += [(ids[i + r], th[i + r], t, *x) for (r, t), x in best.items()]
             if out:
                 yield pa.record_batch([pa.array(x, MATCH.field(k).type) for k, x in enumerate(zip(*out, strict=True))], schema=MATCH)
 
     return docs.mapInArrow(run, "doc_id long, th int, item_id long, start_word long, end_word long, cosine double, common double, answer double")
 
 
-def matches(documents: DataFrame, benchmark: DataFrame, cosine: float = COSINE, common: float = COMMON, with_answer: float = COMMON_WITH_ANSWER, answer: float = ANSWER) -> DataFrame:
+def matches(documents: DataFrame, benchmark: DataFrame, common: float = COMMON, with_answer: float = COMMON_WITH_ANSWER, answer: float = ANSWER) -> DataFrame:
     """A row for each document and item (item_id, text) that it gives away: where, and how surely."""
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("text")), F.coalesce("text", F.lit("")).alias("text"))
@@ -310,8 +391,8 @@ def matches(documents: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
         items.forget(weights)
         mass = np.array([weights[w].sum() for w in items.words])
         basis = _latent(docs, items, weights, float(mass.min()) * min(common, with_answer) / 2)
-        shared = spark.sparkContext.broadcast((items, weights.astype(np.float32), basis))
-        one = _search(docs, shared, cosine, common, with_answer, answer)
+        shared = spark.sparkContext.broadcast((items, weights.astype(np.float32), np.zeros(len(weights), bool), basis))
+        one = _search(docs, shared, common, with_answer, answer)
         found = one if found is None else found.unionByName(one)
     if found is None:
         found = spark.createDataFrame([], "doc_id long, th int, item_id long, start_word long, end_word long, cosine double, common double, answer double")

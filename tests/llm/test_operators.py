@@ -322,6 +322,60 @@ def test_decontamination(spark):
     assert matches(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+def leaks(seed, steep, longest, n_items=400, n_docs=60):
+    """Items that cover most words in use, and texts of which half hold one in other text, some with words changed."""
+    rng = np.random.default_rng(seed)
+    chance = 1 / np.arange(steep, steep + 1500.0)
+    draw = lambda n: [f"w{x}" for x in rng.choice(1500, n, p=chance / chance.sum())]
+    items = [draw(int(rng.integers(6, longest))) for _ in range(n_items)]
+    texts = []
+    for i in range(n_docs):
+        text = draw(200)
+        if i % 2:
+            item = list(items[int(rng.integers(n_items))])
+            for k in rng.choice(len(item), len(item) // 6 * (i % 3), replace=False):
+                item[k] = draw(1)[0]
+            at = int(rng.integers(150))
+            text[at : at + len(item)] = item
+        texts.append(text)
+    return items, texts
+
+
+def idf(often, total):
+    return math.log((1 + total) / (1 + often))
+
+
+def common_weight(a, b, weight):
+    best = np.zeros(len(b) + 1)
+    b = np.array(b)
+    for w in a:
+        best[1:] = np.maximum.accumulate(np.maximum(best[1:], np.where(b == w, best[:-1] + weight(w), 0)))
+    return best[-1]
+
+
+def against_all_pairs(spark, items, texts):
+    from sunledger.llm.decontamination import matches
+
+    halves = [set(t[i : i + 32]) for t in texts for i in range(0, len(t), 32)]
+    often = Counter(w for h in halves for w in h)
+    want = set()
+    for d, t in enumerate(texts):
+        for i, item in enumerate(items):
+            mass = sum(idf(often[w], len(halves)) for w in item)
+            for g in range(0, len(t), 32):
+                region = t[max(0, g - 32) : g + 96]
+                if sum(idf(often[w], len(halves)) for w in item if w in region) >= 0.6 * mass and common_weight(item, region, lambda w: idf(often[w], len(halves))) >= 0.6 * mass:
+                    want.add((d, i))
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in matches(docs(spark, [(d, " ".join(t)) for d, t in enumerate(texts)]), bench, with_answer=0.6).collect()}
+    assert len(want) > 10 and got == want
+
+
+def test_decontamination_loses_no_item_in_other_text(spark):
+    against_all_pairs(spark, *leaks(11, 1000, 14))
+
+
+
 @pytest.mark.parametrize("name", ["op1_suffix_dedup", "op2_best_fit_packing", "op3_url_filter", "op4_pii", "op5_top_k_search", "op6_jaccard_join", "op7_language_id", "op8_benchmark_decontamination", "op9_lm_scoring", "op10_substring_dedup", "pipeline"])
 def test_empty_tables(spark, tmp_path, name):
     from sunledger.llm.registry import QUERIES
