@@ -20,6 +20,7 @@ with equal words are all reported; rows of documents are told apart by doc_id an
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ COMMON, COMMON_WITH_ANSWER, ANSWER = 0.6, 0.45, 0.8
 BLOCK_WORDS = 200_000
 #: For sums of 32-bit numbers: bounds are compared with a little less than what is needed.
 SLACK = 1 - 1e-3
-#: Words in more than this share of passages weigh nothing, unless an item would lose half of its weight by that.
+#: Words in more than this share of passages are looked up one by one, not by the latent space; their weights stay.
 MOST_FREQUENT = 0.15
 
 
@@ -96,10 +97,12 @@ class Items:
         out[maybe] = np.where(self.vocabulary[at] == found, at, -1)
         return out
 
-    def forget(self, weights: np.ndarray) -> None:
-        """From now on words without weight are not told from others."""
-        self.slots = np.zeros_like(self.slots)
-        self.slots[self.vocabulary[weights > 0] & (len(self.slots) - 1)] = True
+    def without(self, which: np.ndarray) -> Items:
+        """The same, but most of these words of the vocabulary are not told from others."""
+        out = copy.copy(self)
+        out.slots = np.zeros_like(self.slots)
+        out.slots[self.vocabulary[~which] & (len(self.slots) - 1)] = True
+        return out
 
 
 def _halves(numbers: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,14 +142,9 @@ def _frequencies(docs: DataFrame, items) -> tuple[np.ndarray, int]:
     return counts, total
 
 
-def _weights(items: Items, counts: np.ndarray, total: int) -> np.ndarray:
-    """Inverse document frequency of each word of the vocabulary."""
-    whole = np.log((1 + total) / (1 + counts))
-    weights = np.where(counts > MOST_FREQUENT * total, 0.0, whole)
-    for words in items.words:
-        if weights[words].sum() < 0.5 * whole[words].sum():
-            weights[words] = whole[words]
-    return weights
+def _weights(counts: np.ndarray, total: int) -> np.ndarray:
+    """Inverse document frequency of each word of the vocabulary, over 0 also for words of every passage."""
+    return np.log((2 + total) / (1 + counts))
 
 
 def _project(half: np.ndarray, number: np.ndarray, weights: np.ndarray, n: int, basis: np.ndarray) -> np.ndarray:
@@ -207,6 +205,8 @@ def _latent(docs: DataFrame, items: Items, weights: np.ndarray, least: float) ->
     mine = np.zeros((size, width))
     np.add.at(mine, number, rows[half] * weights[number][:, None])
     image = image + mine * max(1.0, np.abs(image).sum() / max(np.abs(mine).sum(), 1e-9))
+    if not image.any():
+        return np.zeros((size, 1), np.float32)
     shift = 1e-6 * np.linalg.norm(image)
     image = image + shift * omega
     core = omega.T.astype(np.float64) @ image
@@ -387,11 +387,14 @@ def matches(documents: DataFrame, benchmark: DataFrame, common: float = COMMON,
             continue
         items = Items(mine)
         counts, total = _frequencies(docs, spark.sparkContext.broadcast(items))
-        weights = _weights(items, counts, total)
-        items.forget(weights)
-        mass = np.array([weights[w].sum() for w in items.words])
-        basis = _latent(docs, items, weights, float(mass.min()) * min(common, with_answer) / 2)
-        shared = spark.sparkContext.broadcast((items, weights.astype(np.float32), np.zeros(len(weights), bool), basis))
+        weights = _weights(counts, total)
+        frequent = counts > MOST_FREQUENT * total
+        # the space may be any: the bounds hold in each, and only get closer
+        rare = np.where(frequent, 0.0, weights)
+        mass = np.array([rare[w].sum() for w in items.words])
+        least = float(mass[mass > 0].min(initial=np.inf)) * min(common, with_answer) / 2
+        basis = _latent(docs, items.without(frequent), rare, least)
+        shared = spark.sparkContext.broadcast((items, weights.astype(np.float32), frequent, basis))
         one = _search(docs, shared, common, with_answer, answer)
         found = one if found is None else found.unionByName(one)
     if found is None:

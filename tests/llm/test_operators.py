@@ -342,7 +342,7 @@ def leaks(seed, steep, longest, n_items=400, n_docs=60):
 
 
 def idf(often, total):
-    return math.log((1 + total) / (1 + often))
+    return math.log((2 + total) / (1 + often))
 
 
 def common_weight(a, b, weight):
@@ -375,6 +375,9 @@ def test_decontamination_loses_no_item_in_other_text(spark):
     against_all_pairs(spark, *leaks(11, 1000, 14))
 
 
+def test_decontamination_weighs_frequent_words(spark):
+    against_all_pairs(spark, *leaks(11, 5, 30))
+
 
 @pytest.mark.parametrize("name", ["op1_suffix_dedup", "op2_best_fit_packing", "op3_url_filter", "op4_pii", "op5_top_k_search", "op6_jaccard_join", "op7_language_id", "op8_benchmark_decontamination", "op9_lm_scoring", "op10_substring_dedup", "pipeline"])
 def test_empty_tables(spark, tmp_path, name):
