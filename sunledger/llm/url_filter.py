@@ -5,8 +5,8 @@ of a unigram model (counts of the words in all page titles), path parts are spli
 and a multinomial naive Bayes model over these tokens, learned from every URL that a rule
 decides, gives block or allow.
 
-Both models are bounded: a word or token stays only if it makes up at least min_share of
-all counted, so no more than 1 / min_share entries can stay, whatever the input.
+Both models stay distributed, with every word and token: counts are joined to the distinct
+candidate words, runs and tokens of each block of about BLOCK_ROWS rows.
 
 Defined cases: null URLs and URLs without :// have empty host and path, fit no rule and are
 allowed; without blocked or without allowed examples everything that no rule fits is allowed;
@@ -16,15 +16,19 @@ equal log odds allow; repeated rows get equal results; other columns of the inpu
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Share of all counts that a word or token must have to stay in a model.
-MIN_SHARE = 1e-5
+from sunledger.llm.common import materialize
+
+#: Rows that a task looks words or tokens up for at a time.
+BLOCK_ROWS = 20_000
 LONGEST_WORD = 24
+RUN = re.compile(r"[0-9]+|[^\W\d_]+")
 
 
 def host_of(url: Column) -> Column:
@@ -46,12 +50,10 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
     return name, action
 
 
-def word_model(titles: DataFrame, min_share: float = MIN_SHARE) -> dict[str, float]:
-    """log10 probability of each word [a-z]{2,} of column title."""
-    words = titles.select(F.explode(F.regexp_extract_all(F.lower("title"), F.lit(r"\p{L}{2,}"), F.lit(0))).alias("word")).groupBy("word").count()
-    total = words.agg(F.sum("count")).first()[0] or 0
-    kept = words.filter(F.col("count") >= F.lit(max(2.0, min_share * total))).collect()  # at most 1 / min_share rows
-    return {"": float(max(total, 1)), **{r["word"]: math.log10(r["count"] / total) for r in kept}}
+def word_counts(titles: DataFrame) -> tuple[DataFrame, int]:
+    """Count of each word of two letters or more of column title, and of all."""
+    words = materialize(titles.select(F.explode(F.regexp_extract_all(F.lower("title"), F.lit(r"\p{L}{2,}"), F.lit(0))).alias("word")).groupBy("word").count(), "title-words")
+    return words, words.agg(F.sum("count")).first()[0] or 0
 
 
 def split_words(name: str, model: dict[str, float]) -> list[str]:
@@ -73,68 +75,86 @@ def split_words(name: str, model: dict[str, float]) -> list[str]:
     return words[::-1]
 
 
-def url_tokens(host: str, path: str, model: dict[str, float], known: dict[str, list[str]]) -> list[str]:
-    """Host words, host endings and path parts; numbers count by their length."""
-    import re
+def parts_of(host: Column, path: Column) -> Column:
+    """Host ending, and runs of letters (h: or p:) that are still to be split; numbers count by their length."""
+
+    def runs(text: str, kind: str) -> list[str]:
+        return [f"{kind}#{len(r)}" if r[0].isdigit() else kind + r for r in RUN.findall(text)]
+
+    @F.pandas_udf("array<string>")
+    def parts(hosts: pd.Series, paths: pd.Series) -> pd.Series:
+        labels = [h.split(".") if h else [] for h in hosts]
+        return pd.Series([runs(" ".join(x[:-1]), "h:") + [f"e:{y}" for y in x[-1:]] + runs(p.lower(), "p:") for x, p in zip(labels, paths, strict=True)], dtype=object)
+
+    return parts(host, path)
+
+
+def is_run(part: str) -> bool:
+    return part[:2] != "e:" and part[2] != "#"
 
-    def parts(text: str, kind: str) -> list[str]:
-        out = []
-        for run in re.findall(r"[0-9]+|[^\W\d_]+", text):
-            if run[0].isdigit():
-                out.append(f"{kind}#{len(run)}")
-                continue
-            if run not in known:
-                if len(known) > 50_000:
-                    known.clear()
-                known[run] = split_words(run, model)
-            out += [kind + w for w in known[run]]
-        return out
 
-    labels = host.split(".") if host else []
-    return parts(" ".join(labels[:-1]), "h:") + ([f"e:{labels[-1]}"] if labels else []) + parts(path.lower(), "p:")
+def pieces(run: str) -> list[str]:
+    """Whatever could be a word of a run."""
+    return [run[i:j] for i in range(len(run)) for j in range(i + 2, min(len(run), i + LONGEST_WORD) + 1)]
 
 
-def tokens_of(host: Column, path: Column, model) -> Column:
-    """model: a broadcast word model."""
+def look_up(rows: DataFrame, by: str, keys: Column, found: DataFrame, work: Callable[[pd.DataFrame, dict], pd.DataFrame], schema: str) -> DataFrame:
+    """work on each block of rows, with the entries of found (key, value) that its keys need."""
+    blocks = max(1, -(-rows.count() // BLOCK_ROWS))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64(by), F.lit(blocks)))
+    wanted = rows.select("block", F.explode(keys).alias("key")).distinct().join(found, "key").select(F.col("block").alias("at"), "key", "value")
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return work(left, dict(zip(right["key"], right["value"], strict=True)))
+
+    return rows.groupBy("block").cogroup(wanted.groupBy("at")).applyInPandas(run, schema)
+
+
+def tokens_of(urls: DataFrame, titles: DataFrame) -> DataFrame:
+    """uid and tokens (host words, host ending, path words, numbers) of urls (uid, parts)."""
+    words, total = word_counts(titles)
+    size = float(max(total, 1))
+    runs = materialize(urls.select(F.explode("parts").alias("part")).filter("part not like 'e:%' and substring(part, 3, 1) <> '#'").select(F.substring("part", 3, 1 << 30).alias("run")).distinct(), "url-runs")
 
     @F.pandas_udf("array<string>")
-    def tokens(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        known: dict[str, list[str]] = {}
-        for hosts, paths in batches:
-            yield pd.Series([url_tokens(h, p, model.value, known) for h, p in zip(hosts, paths, strict=True)])
+    def candidates(names: pd.Series) -> pd.Series:
+        return pd.Series([sorted(set(pieces(n))) for n in names], dtype=object)
+
+    def split(left: pd.DataFrame, counts: dict) -> pd.DataFrame:
+        model = {"": size, **{w: math.log10(n / size) for w, n in counts.items()}}
+        return pd.DataFrame({"key": left["run"], "value": pd.Series([split_words(r, model) for r in left["run"]], index=left.index, dtype=object)})
+
+    splits = materialize(look_up(runs, "run", candidates("run"), words.select(F.col("word").alias("key"), F.col("count").alias("value")), split, "key string, value array<string>"), "url-splits")
+
+    def put(left: pd.DataFrame, known: dict) -> pd.DataFrame:
+        rows = [[t for x in parts for t in ([x[:2] + w for w in known[x[2:]]] if is_run(x) else [x])] for parts in left["parts"]]
+        return pd.DataFrame({"uid": left["uid"], "tokens": pd.Series(rows, index=left.index, dtype=object)})
 
-    return tokens(host, path)
+    return look_up(urls.select("uid", "parts"), "uid", F.transform("parts", lambda x: F.substring(x, 3, 1 << 30)), splits, put, "uid long, tokens array<string>")
 
 
-def bayes_model(rows: DataFrame, min_share: float = MIN_SHARE) -> tuple[float, dict[str, float]]:
-    """Prior log odds of block, and each token's, from columns tokens and action (add-one smoothing)."""
+def token_odds(rows: DataFrame) -> tuple[float, DataFrame]:
+    """Prior log odds of block, and each token's (key, value), from columns tokens and action (add-one smoothing)."""
     flag = F.col("action") == "block"
     n_block, n_allow = rows.agg(F.count_if(flag), F.count_if(~flag)).first()
-    if not n_block or not n_allow:
-        return -math.inf, {}
-    counts = rows.select(F.explode("tokens").alias("token"), flag.alias("flag")).groupBy("token").agg(F.count_if("flag").alias("block"), F.count_if(~F.col("flag")).alias("allow"))
-    block, allow, size = counts.agg(F.sum("block"), F.sum("allow"), F.count("*")).first()
-    kept = counts.filter(F.col("block") + F.col("allow") >= F.lit(min_share * (block + allow))).collect()  # at most 1 / min_share rows
-    log = {r["token"]: math.log((r["block"] + 1) / (block + size)) - math.log((r["allow"] + 1) / (allow + size)) for r in kept}
-    return math.log(n_block / n_allow), log
+    counts = materialize(rows.select(F.explode("tokens").alias("key"), flag.alias("flag")).groupBy("key").agg(F.count_if("flag").alias("block"), F.count_if(~F.col("flag")).alias("allow")), "url-tokens")
+    block, allow, size = (x or 0 for x in counts.agg(F.sum("block"), F.sum("allow"), F.count("*")).first())
+    value = F.log((F.col("block") + 1) / F.lit(float(block + size or 1))) - F.log((F.col("allow") + 1) / F.lit(float(allow + size or 1)))
+    return math.log(n_block / n_allow) if n_block and n_allow else -math.inf, counts.select("key", value.alias("value"))
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], min_share: float = MIN_SHARE) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """Host, path, rule and verdict of each row of pages (page_id, url, html), and the tokens' log odds of block."""
-    spark = pages.sparkSession
     name, action = rule_of(F.col("host"), F.col("path"), rules)
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).withColumns({"rule": name, "action": action})
+    urls = materialize(urls.withColumns({"uid": F.monotonically_increasing_id(), "parts": parts_of(F.col("host"), F.col("path"))}), "urls")
     titles = pages.select(F.regexp_extract("html", r"(?is)<title[^>]*>([^<]*)<", 1).alias("title"))
-    words = spark.sparkContext.broadcast(word_model(titles, min_share))
-    tokens = urls.withColumn("tokens", tokens_of(F.col("host"), F.col("path"), words))
-    model = spark.sparkContext.broadcast(bayes_model(tokens.filter(F.col("action").isNotNull()), min_share))
+    tokens = materialize(urls.drop("parts").join(tokens_of(urls, titles), "uid"), "tokens")
+    prior, log = token_odds(tokens.filter(F.col("action").isNotNull()))
 
-    @F.pandas_udf("double")
-    def odds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        prior, log = model.value
-        for batch in batches:
-            yield pd.Series([prior + sum(log.get(t, 0.0) for t in row) if len(row) else -math.inf for row in batch], dtype="float64")
+    def odds(left: pd.DataFrame, known: dict) -> pd.DataFrame:
+        return pd.DataFrame({"uid": left["uid"], "log_odds": [prior + sum(known.get(t, 0.0) for t in row) if len(row) else -math.inf for row in left["tokens"]]})
 
-    scored = tokens.withColumn("log_odds", odds("tokens"))
+    scored = tokens.join(look_up(tokens.select("uid", "tokens"), "uid", F.col("tokens"), log, odds, "uid long, log_odds double"), "uid")
     verdict = F.coalesce("action", F.when(F.col("log_odds") > 0, "block").otherwise("allow"))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "log_odds", "tokens")

@@ -208,6 +208,13 @@ def test_url_filter(spark):
     assert split_words("thestonelamp", model) == ["the", "stone", "lamp"] and split_words("", model) == []
 
 
+def test_url_filter_keeps_words_met_once(spark):
+    from sunledger.llm.url_filter import judge
+
+    pages = spark.createDataFrame([(1, "http://quietlamp.example.org/x", "<title>quiet river lamp</title>"), (None, "http://quietlamp.example.org/x", None)], "page_id bigint, url string, html string")
+    assert [list(r["tokens"][:2]) for r in judge(pages, [("block", "net/")]).collect()] == [["h:quiet", "h:lamp"]] * 2
+
+
 def test_pii(spark):
     from sunledger.llm.pii import digest, find, sanitize
 
