@@ -1,19 +1,24 @@
 """Language-model scoring by context-tree weighting over bytes.
 
 The text that is modelled: words, A-Z lower-cased, with one space between them and a newline
-at the end. Every byte is coded by binary decisions: five for its class (26 letters, space,
-newline, digit, other ASCII, leading and following bytes of longer characters), then which
-byte of the class. The class decisions have contexts of the last 0 to 4 bytes (by class), the
-byte within its class those of 0 and 1 bytes. At every context and decision a
-Krichevsky-Trofimov estimate is kept, and context-tree weighting mixes the estimates of all
-depths by how well each subtree codes the training text. So the model has a fixed size (2**25
-class counts and 2**16 byte counts, mostly sparse), whatever the corpus.
-
-The base score uses counts of all training words, which grow with the corpus: they stay
-distributed and are joined with the words of bounded blocks of documents.
+at the end; before a text stand newlines. Every byte is coded by eight binary decisions, top
+bit first, each with contexts of the last 0 to DEPTH bytes. Every context and decision keeps a
+Krichevsky-Trofimov estimate, and context-tree weighting mixes those of all depths by how
+well each subtree codes the training text; what training has not met counts 0 to 0.
+
+1. Documents are put into blocks of about BLOCK_BYTES. A block has a row for each distinct
+   word and each distinct run of DEPTH + 1 bytes, with how often training texts have it.
+2. Runs are summed over all blocks and dealt by their last two context bytes (at most 2**24
+   runs share them, whatever the corpus). Each group weighs its depths 2 to DEPTH from the leaves up; depth 1 and the root (255 decisions in
+   256 contexts, whatever the corpus) are weighed by the driver and sent back down, which
+   gives the code length of each run's last byte.
+3. Word counts and code lengths go to the blocks that asked for them, and each block adds
+   up its texts. A word or run is one row for each block, so no key is hot, and nothing that
+   grows with the corpus is broadcast or collected.
 
 Defined cases: null and empty texts hold only the end; a null doc_id counts as training;
-repeated rows count and are scored each; other columns are ignored.
+repeated rows count and are scored each; other columns are ignored; a text longer than a
+block is a block of its own and must fit into a worker. Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -22,42 +27,28 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sunledger.llm.common import Rolling, byte_values, chunks, lowered, materialize, separators, signed, word_spans
 
+#: Bytes of the longest context.
 DEPTH = 4
-CLASSES = 32
-#: Contexts of two classes; each is one group of the distributed model.
-BLOCKS = CLASSES**2
-#: Rows of documents whose words are looked up together, and bytes.
-BLOCK_ROWS, BLOCK_BYTES = 4096, 8 << 20
-#: Steps of a table entry: -log10 p in units of 1 / SCALE.
-SCALE = 8192
-
-
-def byte_classes() -> np.ndarray:
-    """Class of each byte."""
-    out = np.full(256, 29, np.int64)
-    out[97:123] = np.arange(26)
-    out[32], out[10] = 26, 27
-    out[48:58] = 28
-    out[0xC0:] = 30
-    out[0x80:0xC0] = 31
-    return out
+#: Bytes of text whose words and runs are looked up together.
+BLOCK_BYTES = 32 << 20
+#: Runs of a group of the tree, about; those with the same last two context bytes are never parted.
+GROUP_RUNS = 100_000
+WORD, RUN, TEXT = 0, 1, 2
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """ln gamma(x) for x > 0, by Stirling's series above 8."""
     shift = np.ones_like(x)
     for i in range(8):
-        shift = shift * (x + i)
-    y = x + 8
+        shift = shift * np.where(x < 8, x + i, 1.0)
+    y = np.where(x < 8, x + 8, x)
     return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(shift)
 
 
@@ -66,30 +57,6 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - math.log(math.pi)
 
 
-def decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of symbols (..., 2**b) as zeros and ones at each node (..., 2**b - 1) of the binary code, top down."""
-    levels = []
-    while counts.shape[-1] > 1:
-        pair = counts.reshape(*counts.shape[:-1], -1, 2)
-        levels.append(pair)
-        counts = pair.sum(axis=-1)
-    both = np.concatenate(levels[::-1], axis=-2)
-    return both[..., 0], both[..., 1]
-
-
-def symbol_logs(p_one: np.ndarray) -> np.ndarray:
-    """log10 of each symbol's probability from each node's probability of a one."""
-    nodes = p_one.shape[-1]
-    logs = np.zeros((*p_one.shape[:-1], 1))
-    at = 0
-    while at < nodes:
-        width = logs.shape[-1]
-        one = p_one[..., at : at + width]
-        logs = np.stack([logs + np.log10(1 - one), logs + np.log10(one)], axis=-1).reshape(*p_one.shape[:-1], 2 * width)
-        at += width
-    return logs
-
-
 def weigh(zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """ln of the weighted probability, the share of the own estimate in it, and that estimate's chance of a one.
 
@@ -103,6 +70,51 @@ def weigh(zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None) -> tupl
     return total, np.exp(own - math.log(2) - total), chance
 
 
+class Tree:
+    """Depths `top` to `depth` of the context tree over distinct runs (context bytes, then the byte) with counts."""
+
+    def __init__(self, runs: np.ndarray, counts: np.ndarray, depth: int, top: int) -> None:
+        self.runs, self.depth, self.top = runs, depth, top
+        self.byte, context = runs & 255, runs >> 8
+        counts = counts.astype(np.float64)
+        # decisions[k][d]: node of each run, and each node's (weighted, share, chance)
+        self.decisions: list[dict[int, tuple]] = []
+        for k in range(8):
+            prefix, bit = (1 << k) | (self.byte >> (8 - k)), (self.byte >> (7 - k)) & 1
+            levels: dict[int, tuple] = {}
+            for d in range(depth, top - 1, -1):
+                key = ((context & ((1 << 8 * d) - 1)) << 8) | prefix
+                _, first, node = np.unique(key, return_index=True, return_inverse=True)
+                ones = np.bincount(node, counts * bit, len(first))
+                zeros = np.bincount(node, counts * (1 - bit), len(first))
+                below = None
+                if d < depth:
+                    child_first, child = levels[d + 1][0], levels[d + 1][2][0]
+                    below = np.bincount(node[child_first], child, len(first))
+                levels[d] = (first, node, weigh(zeros, ones, below), zeros, ones)
+            self.decisions.append(levels)
+
+    def at_top(self) -> tuple[np.ndarray, ...]:
+        """Of each node of depth `top`: context, decision (1 to 255), zeros, ones, ln weighted probability."""
+        parts = []
+        for k, levels in enumerate(self.decisions):
+            first, _, (weighted, _, _), zeros, ones = levels[self.top]
+            parts.append(((self.runs[first] >> 8) & ((1 << 8 * self.top) - 1), (1 << k) | (self.byte[first] >> (8 - k)), zeros, ones, weighted))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def logs(self, above) -> np.ndarray:
+        """log10 of each run's last byte. above(run, decision, chance so far): chance of a one after mixing in what lies above `top`."""
+        out = np.zeros(len(self.runs))
+        for k, levels in enumerate(self.decisions):
+            chance = np.zeros(len(self.runs))
+            for d in range(self.depth, self.top - 1, -1):
+                _, node, (_, share, own), _, _ = levels[d]
+                chance = share[node] * own[node] + (1 - share[node]) * chance
+            chance = above(self.runs, (1 << k) | (self.byte >> (8 - k)), chance)
+            out += np.log10(np.where((self.byte >> (7 - k)) & 1 == 1, chance, 1 - chance))
+        return out
+
+
 def held_out(doc_id: Column, parts: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(parts)) == 1, F.lit(False))
 
@@ -122,236 +134,157 @@ def _normal(data: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndar
     return text, np.flatnonzero(text == 10) + 1
 
 
-def _codes(text: np.ndarray, ends: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index of each byte's class in its context of DEPTH classes (the nearest first), and of the byte after its predecessor."""
-    own = classes[text]
-    code = np.zeros(len(text), np.int64)
+def runs_of(text: np.ndarray, ends: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """For each byte the `depth` bytes before it (newlines before the start of its row) and itself, in one number."""
     starts = np.concatenate([[0], ends[:-1]])
-    for back in range(1, DEPTH + 1):
-        seen = np.empty(len(text), np.int64)
-        seen[back:], seen[:back] = own[:-back] if back < len(text) else own[:0], classes[10]
-        for k in range(back):  # nothing is seen across the start of a text
-            at = starts + k
-            seen[at[at < len(text)]] = np.where((at < np.append(starts[1:], len(text)))[at < len(text)], classes[10], seen[at[at < len(text)]])
-        code = code * CLASSES + seen
-    before = np.empty(len(text), np.int64)
-    before[1:] = text[:-1]
-    before[starts] = 10
-    return code * CLASSES + own, before * 256 + text
+    place = np.arange(len(text)) - np.repeat(starts, np.diff(np.append(starts, len(text))))
+    out = text.astype(np.int64)
+    for back in range(1, depth + 1):
+        seen = np.full(len(text), 10, np.int64)
+        seen[back:] = np.where(place[back:] >= back, text[: len(text) - back], 10)
+        out |= seen << (8 * back)
+    return out
 
 
 class _Words:
-    """Lower-cased words of a chunk as hashes, and the modelled text."""
+    """Hashes of the lower-cased words of a chunk, and the runs of the modelled text."""
 
-    def __init__(self) -> None:
-        self.values, self.is_sep, self.low, self.roll, self.classes = byte_values(), separators(), lowered(), Rolling(), byte_classes()
+    def __init__(self, depth: int) -> None:
+        self.values, self.is_sep, self.low, self.roll, self.depth = byte_values(), separators(), lowered(), Rolling(), depth
 
     def load(self, data: np.ndarray, bounds: np.ndarray) -> None:
         data = self.low[data]
         start, end, self.first = word_spans(data, bounds, self.is_sep)
         self.roll.load(self.values[data])
         self.hashes = signed(self.roll.slices(start, end))
-        self.text, self.ends = _normal(data, start, end, self.first, bounds, self.is_sep)
+        text, self.ends = _normal(data, start, end, self.first, bounds, self.is_sep)
+        self.runs = runs_of(text, self.ends, self.depth)
 
 
-GATHERED = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("count", pa.int64())])
+BLOCKS = "block long, kind byte, key long, count long, doc_id long, held_out boolean, text string"
+BLOCK_SCHEMA = pa.schema([("block", pa.int64()), ("kind", pa.int8()), ("key", pa.int64()), ("count", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("text", pa.string())])
 
 
-def gather(training: DataFrame) -> DataFrame:
-    """Counts over texts: kind 0 words (key: hash), 1 class codes, 2 byte pairs, 3 documents."""
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and their summed counts."""
+    key, count = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key, kind="stable")
+    key, count = key[order], count[order]
+    head = np.flatnonzero(np.concatenate([[True], np.diff(key) != 0]))
+    return key[head], np.add.reduceat(count, head)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seq = _Words()
-        pairs = np.zeros(1 << 16, np.int64)
-        words: list[np.ndarray] = []
-        codes: list[np.ndarray] = []
-        n = docs = 0
 
-        def out(kind: int, keys: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
-            return pa.record_batch([np.full(len(keys), kind, np.int8), keys.astype(np.int64), count.astype(np.int64)], schema=GATHERED)
+def in_blocks(documents: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows of documents (doc_id, held_out, text) with their block, and a row for each word and run of each block: its count in training."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seq = _Words(depth)
+        number, size = TaskContext.get().partitionId() << 32, 0
+        held: dict[int, tuple[list, list]] = {WORD: ([], []), RUN: ([], [])}
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for kind, parts in ((0, words), (1, codes)):
-                if parts:
-                    yield out(kind, *np.unique(np.concatenate(parts), return_counts=True))
-                    parts.clear()
+            for kind, (keys, counts) in held.items():
+                if keys:
+                    key, count = _summed(keys, counts)
+                    n = len(key)
+                    yield pa.record_batch([np.full(n, number), np.full(n, kind, np.int8), key, count, pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.string())], schema=BLOCK_SCHEMA)
+                held[kind] = ([], [])
 
         for batch in batches:
-            docs += len(batch)
-            for _, _, data, bounds in chunks(batch["text"]):
+            learns = ~batch["held_out"].to_numpy(zero_copy_only=False)
+            for i, j, data, bounds in chunks(batch["text"]):
+                if size and size + len(data) > block_bytes:
+                    yield from flush()
+                    number, size = number + 1, 0
                 seq.load(data, bounds)
-                code, pair = _codes(seq.text, seq.ends, seq.classes)
-                pairs += np.bincount(pair, minlength=1 << 16)
-                words.append(seq.hashes)
-                codes.append(code.astype(np.int32))
-                n += len(code)
-            if n > 16 << 20:
-                yield from flush()
-                n = 0
+                for kind, keys, per_row in ((WORD, seq.hashes, np.diff(seq.first)), (RUN, seq.runs, np.diff(seq.ends, prepend=0))):
+                    mine = np.repeat(learns[i:j], per_row)
+                    for part, known in ((keys[mine], True), (keys[~mine], False)):
+                        if len(part):
+                            key, count = np.unique(part, return_counts=True)
+                            held[kind][0].append(key)
+                            held[kind][1].append(count * known)
+                n, size = j - i, size + len(data)
+                yield pa.record_batch([np.full(n, number), np.full(n, TEXT, np.int8), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), batch["doc_id"][i:j], batch["held_out"][i:j], batch["text"][i:j]], schema=BLOCK_SCHEMA)
+                if sum(map(len, held[RUN][0])) > 1 << 22:  # reduced in steps
+                    for kind in held:
+                        key, count = _summed(*held[kind])
+                        held[kind] = ([key], [count])
         yield from flush()
-        used = np.flatnonzero(pairs)
-        yield out(2, used, pairs[used])
-        yield out(3, np.zeros(1), np.array([docs]))
-
-    return training.select("text").mapInArrow(run, "kind byte, key long, count long")
-
-
-def _block_tree(rows: pd.DataFrame) -> pd.DataFrame:
-    """The part of the class tree below one context of two classes: what the two upper depths need of it, and its own mix."""
-    block = int(rows["block"].iloc[0])
-    counts = np.zeros(CLASSES**3)
-    np.add.at(counts, rows["key"].to_numpy() % CLASSES**3, rows["count"].to_numpy())
-    deep = counts.reshape(CLASSES, CLASSES, CLASSES)
-    weighted, shares, chances = None, [], []
-    for level in (deep, deep.sum(axis=1), deep.sum(axis=(0, 1))):
-        below = weighted.sum(axis=-2) if weighted is not None else None
-        weighted, share, chance = weigh(*decisions(level), below)
-        shares.append(share)
-        chances.append(chance)
-    mixed = chances[0]
-    mixed = shares[1][:, None] * chances[1][:, None] + (1 - shares[1][:, None]) * mixed
-    mixed = shares[2] * chances[2] + (1 - shares[2]) * mixed
-    return pd.DataFrame({"block": [block], "counts": [deep.sum(axis=(0, 1)).astype("<f8").tobytes()], "weighted": [weighted.astype("<f8").tobytes()], "mixed": [mixed.astype("<f4").tobytes()]})
-
-
-def train(gathered: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Class table (contexts, classes), in steps of -log10 p, and byte table (256, 256), log10 p of a byte within its class."""
-    summed = gathered.filter("kind = 1").groupBy("key").agg(F.sum("count").alias("count")).withColumn("block", F.shiftright("key", 15).cast("int"))
-    blocks = summed.groupBy("block").applyInPandas(_block_tree, "block int, counts binary, weighted binary, mixed binary")
-    counts, weighted = np.zeros((BLOCKS, CLASSES)), np.full((BLOCKS, CLASSES - 1), 0.0)
-    fresh = _block_tree(pd.DataFrame({"block": [0], "key": [0], "count": [0]}))
-    table = np.empty((BLOCKS, CLASSES**2, CLASSES), np.uint16)
-    inner: dict[int, np.ndarray] = {}
-    unseen = np.frombuffer(fresh["mixed"][0], "<f4").reshape(-1, CLASSES - 1)
-    for r in blocks.toLocalIterator():  # at most BLOCKS rows of a fixed size
-        counts[r["block"]], weighted[r["block"]] = np.frombuffer(r["counts"], "<f8"), np.frombuffer(r["weighted"], "<f8")
-        inner[r["block"]] = np.frombuffer(r["mixed"], "<f4").reshape(-1, CLASSES - 1).astype(np.float16)
-    one = counts.reshape(CLASSES, CLASSES, CLASSES).sum(axis=1)
-    w1, s1, c1 = weigh(*decisions(one), weighted.reshape(CLASSES, CLASSES, -1).sum(axis=1))
-    _, s0, c0 = weigh(*decisions(one.sum(axis=0)), w1.sum(axis=0))
-    for b in range(BLOCKS):
-        a = b // CLASSES
-        chance = s0 * c0 + (1 - s0) * (s1[a] * c1[a] + (1 - s1[a]) * inner.get(b, unseen).astype(np.float64))
-        table[b] = np.clip(np.rint(-symbol_logs(np.clip(chance, 1e-7, 1 - 1e-7)) * SCALE), 0, 65535)
-    pairs = np.zeros(1 << 16)
-    for r in gathered.filter("kind = 2").groupBy("key").agg(F.sum("count").alias("count")).collect():  # at most 2**16 rows
-        pairs[r["key"]] = r["count"]
-    pairs = pairs.reshape(256, 256)
-    w, s, c = weigh(*decisions(pairs.sum(axis=0)), weigh(*decisions(pairs), None)[0].sum(axis=0))
-    zeros, ones = decisions(pairs)
-    logs = symbol_logs(s * c + (1 - s) * (ones + 0.5) / (zeros + ones + 1.0))
-    classes = byte_classes()
-    in_class = np.zeros((256, CLASSES))
-    np.add.at(in_class.T, classes, 10.0**logs.T)
-    return table.reshape(-1), (logs - np.log10(in_class)[:, classes]).astype(np.float32)
-
-
-BLOCK_SCHEMA = pa.schema([("word", pa.int64()), ("block", pa.int64()), ("rows", pa.binary()), ("ids", pa.list_(pa.int64())), ("flags", pa.binary()), ("tokens", pa.binary()), ("scores", pa.binary())])
-
-
-def blocks_of(documents: DataFrame, model) -> DataFrame:
-    """For each bounded block of rows: one row with their ids and scores, and one for each word with the rows it is in.
-
-    rows: pairs of row number and count, as little-endian 16- and 32-bit numbers.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seq = _Words()
-        table, inside = model.value
-        number = TaskContext.get().partitionId() << 32
-        inside = inside.reshape(-1)
-        ids: list = []
-        flags: list = []
-        tokens: list[np.ndarray] = []
-        scores: list[np.ndarray] = []
-        parts: list[np.ndarray] = []
-        rows: list[np.ndarray] = []
-        n = size = 0
-
-        def flush() -> pa.RecordBatch:
-            word, row = np.concatenate(parts), np.concatenate(rows)
-            order = np.lexsort((row, word))
-            word, row = word[order], row[order]
-            new = np.flatnonzero(np.concatenate([[True], (np.diff(word) != 0) | (np.diff(row) != 0)])) if len(word) else np.zeros(0, np.int64)
-            pair = np.empty(len(new), np.dtype([("row", "<u2"), ("count", "<u4")]))
-            pair["row"], pair["count"] = row[new], np.diff(np.append(new, len(word)))
-            word = word[new]
-            head = np.flatnonzero(np.concatenate([[True], np.diff(word) != 0])) if len(word) else np.zeros(0, np.int64)
-            raw = pair.tobytes()
-            offsets = np.append(head, len(word)).astype(np.int32) * 6
-            payload = pa.BinaryArray.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
-            nothing = len(head)
-            out = pa.record_batch(
-                [
-                    pa.concat_arrays([pa.array(word[head]), pa.nulls(1, pa.int64())]),
-                    pa.array(np.full(nothing + 1, number)),
-                    pa.concat_arrays([payload, pa.nulls(1, pa.binary())]),
-                    pa.concat_arrays([pa.nulls(nothing, BLOCK_SCHEMA.field("ids").type), pa.array([ids], BLOCK_SCHEMA.field("ids").type)]),
-                    *(pa.concat_arrays([pa.nulls(nothing, pa.binary()), pa.array([x], pa.binary())]) for x in (np.array(flags, np.uint8).tobytes(), np.concatenate(tokens).astype("<i8").tobytes(), np.concatenate(scores).astype("<f8").tobytes())),
-                ],
-                schema=BLOCK_SCHEMA,
-            )
-            for x in (ids, flags, tokens, scores, parts, rows):
-                x.clear()
-            return out
+    return documents.mapInArrow(run, BLOCKS)
 
-        for batch in batches:
-            own_ids, own_flags = batch["doc_id"].to_pylist(), batch["held_out"].to_pylist()
-            for i0, j0, data0, bounds0 in chunks(batch["text"]):
-                for i in range(i0, j0, BLOCK_ROWS):
-                    j = min(j0, i + BLOCK_ROWS)
-                    bounds = bounds0[i - i0 : j - i0 + 1]
-                    data, bounds = data0[bounds[0] : bounds[-1]], bounds - bounds[0]
-                    if n and (n + j - i > BLOCK_ROWS or size + len(data) > BLOCK_BYTES):
-                        yield flush()
-                        number, n, size = number + 1, 0, 0
-                    seq.load(data, bounds)
-                    code, pair = _codes(seq.text, seq.ends, seq.classes)
-                    total = np.concatenate([[0.0], np.cumsum(inside[pair] - table[code] / SCALE, dtype=np.float64)])
-                    scores.append(np.diff(total[np.concatenate([[0], seq.ends])]))
-                    tokens.append(np.diff(seq.first) + 1)
-                    parts.append(seq.hashes)
-                    rows.append(np.repeat(np.arange(n, n + j - i), np.diff(seq.first)))
-                    ids += own_ids[i:j]
-                    flags += own_flags[i:j]
-                    n, size = n + j - i, size + len(data)
-        if n:
-            yield flush()
-
-    return documents.mapInArrow(run, "word long, block long, rows binary, ids array<long>, flags binary, tokens binary, scores binary")
-
-
-def score(documents: DataFrame, parts: int = 5) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte's parts of each row."""
-    spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), held_out(F.col("doc_id"), parts).alias("held_out"))
-    gathered = materialize(gather(docs.filter("not held_out")), "lm-counts")
-    vocabulary = gathered.filter("kind = 0").groupBy("key").agg(F.sum("count").alias("known"))
-    n_words, distinct = vocabulary.agg(F.sum("known"), F.count("*")).first()
-    ends = gathered.filter("kind = 3").agg(F.sum("count")).first()[0] or 0
-    total, distinct = (n_words or 0) + ends, distinct + (ends > 0)
+
+def code_lengths(runs: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """key and value (log10 of the last byte's probability) of each distinct run (key, count), by context-tree weighting."""
+    groups = min(1 << 16, max(1, -(-runs.count() // GROUP_RUNS)))
+    near = runs.withColumn("near", F.pmod(F.xxhash64(F.shiftright("key", 8).bitwiseAND(0xFFFF)), F.lit(groups)))
+
+    def up(group: pa.Table) -> pa.Table:
+        context, decision, zeros, ones, weighted = Tree(group["key"].to_numpy(), group["count"].to_numpy(), depth, 2).at_top()
+        return pa.table({"last": context & 255, "decision": decision, "zeros": zeros, "ones": ones, "below": weighted})
+
+    tops = near.groupBy("near").applyInArrow(up, "last long, decision long, zeros double, ones double, below double")
+    shares, chances = np.full((257, 256), 0.5), np.full((257, 256), 0.5)  # by last byte and decision; the root comes last
+    counts, below = np.zeros((257, 256, 2)), np.zeros((257, 256))
+    for r in tops.groupBy("last", "decision").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")]).toLocalIterator():  # at most 256 * 255 rows
+        counts[r["last"], r["decision"]], below[r["last"], r["decision"]] = (r["zeros"], r["ones"]), r["below"]
+    weighted, shares[:256], chances[:256] = weigh(counts[:256, :, 0], counts[:256, :, 1], below[:256])
+    root = counts[:256].sum(axis=0)
+    _, shares[256], chances[256] = weigh(root[:, 0], root[:, 1], weighted.sum(axis=0))
+    shared = runs.sparkSession.sparkContext.broadcast((shares, chances))  # 1 MB, whatever the corpus
+
+    def down(group: pa.Table) -> pa.Table:
+        share, own = shared.value
+
+        def above(run: np.ndarray, decision: np.ndarray, chance: np.ndarray) -> np.ndarray:
+            last = (run >> 8) & 255
+            chance = share[last, decision] * own[last, decision] + (1 - share[last, decision]) * chance
+            return share[256, decision] * own[256, decision] + (1 - share[256, decision]) * chance
+
+        keys = group["key"].to_numpy()
+        return pa.table({"key": keys, "value": Tree(keys, group["count"].to_numpy(), depth, 2).logs(above)})
+
+    return near.groupBy("near").applyInArrow(down, "key long, value double")
+
+
+SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64())])
+
+
+def score(documents: DataFrame, parts: int = 5, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte (of the modelled text) of each row."""
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), parts).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    blocks = materialize(in_blocks(docs, depth, block_bytes), "lm-blocks")
+    keys = blocks.filter(F.col("kind") < TEXT).select("block", "kind", "key", "count")
+    known = materialize(keys.groupBy("kind", "key").agg(F.sum("count").alias("count")), "lm-counts")
+    words = known.filter(F.col("kind") == WORD).select("key", F.col("count").cast("double").alias("value"))
+    n_words, distinct = words.agg(F.sum("value"), F.count_if(F.col("value") > 0)).first()
+    ends = docs.agg(F.count_if(~F.col("held_out"))).first()[0]
+    total, distinct = int(n_words or 0) + ends, distinct + (ends > 0)
     whole = total + 0.5 * (distinct + 1)
-    model = spark.sparkContext.broadcast(train(gathered))  # 64 MB and 256 KB, whatever the corpus
-    blocks = blocks_of(docs, model)
-    joined = blocks.join(vocabulary.withColumnRenamed("key", "word"), "word", "left").select("block", "rows", "known", "ids", "flags", "tokens", "scores")
     end_log = math.log10((ends + 0.5) / whole)
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-
-    def add_up(group: pa.Table) -> pa.Table:
-        head = group.filter(pa.compute.is_valid(group["ids"]))
-        ids = head["ids"][0].as_py()
-        n = len(ids)
-        words = group.filter(pa.compute.is_valid(group["rows"])).combine_chunks()
-        base, known = np.full(n, end_log), np.full(n, int(ends > 0), np.int64)
-        if len(words):
-            raw = words["rows"].to_pylist()
-            pair = np.frombuffer(b"".join(raw), np.dtype([("row", "<u2"), ("count", "<u4")]))
-            c = np.repeat(np.nan_to_num(words["known"].to_numpy().astype("float64")), np.fromiter(map(len, raw), np.int64, len(raw)) // 6)
-            base += np.bincount(pair["row"], pair["count"] * np.log10((c + 0.5) / whole), n)
-            known += np.bincount(pair["row"], pair["count"] * (c > 0), n).astype(np.int64)
-        flags = np.frombuffer(head["flags"][0].as_py(), np.uint8).astype(bool)
-        tokens, scores = np.frombuffer(head["tokens"][0].as_py(), "<i8"), np.frombuffer(head["scores"][0].as_py(), "<f8")
-        return pa.table([pa.array(ids, pa.int64()), flags, tokens, known, base, scores], schema=schema)
-
-    out = joined.groupBy("block").applyInArrow(add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    lengths = code_lengths(known.filter(F.col("kind") == RUN).select("key", "count"), depth)
+    values = words.withColumn("kind", F.lit(WORD).cast("byte")).unionByName(lengths.withColumn("kind", F.lit(RUN).cast("byte")))
+    found = keys.select("block", "kind", "key").join(values, ["kind", "key"]).select(F.col("block").alias("of"), "kind", "key", "value")
+
+    def add_up(texts: pa.Table, entries: pa.Table) -> pa.Table:
+        kind, key, value = (entries[c].to_numpy() for c in ("kind", "key", "value"))
+        order = np.lexsort((key, kind))
+        cut = int(np.count_nonzero(kind == WORD))
+        tables = [(key[x], value[x]) for x in (order[:cut], order[cut:])]
+        seq, out = _Words(depth), []
+        for batch in texts.to_batches():
+            for i, j, data, bounds in chunks(batch["text"]):
+                seq.load(data, bounds)
+                count, size = np.diff(seq.first), np.diff(seq.ends, prepend=0)
+                c, log = (v[np.searchsorted(k, x)] if len(x) else np.zeros(0) for (k, v), x in zip(tables, (seq.hashes, seq.runs), strict=True))
+                row, rows = np.repeat(np.arange(j - i), count), j - i
+                base = np.bincount(row, np.log10((c + 0.5) / whole), rows) + end_log
+                seen = np.bincount(row, c > 0, rows).astype(np.int64) + (ends > 0)
+                score = np.bincount(np.repeat(np.arange(rows), size), log, rows)
+                out.append(pa.record_batch([batch["doc_id"][i:j], batch["held_out"][i:j], count + 1, seen, base, score, size], schema=SCORED))
+        return pa.Table.from_batches(out, SCORED)
+
+    texts = blocks.filter(F.col("kind") == TEXT).select("block", "doc_id", "held_out", "text")
+    out = texts.groupBy("block").cogroup(found.groupBy("of")).applyInArrow(add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", (F.col("score") * -math.log2(10) / F.col("n_bytes")).alias("bits_per_byte"))

@@ -299,15 +299,72 @@ def test_lm_base_score_and_weighting(spark):
         assert r["score"] < 0
 
 
+def tree_log(texts, learns, depth):
+    """ln of each text by context-tree weighting, node by node."""
+    from functools import cache
+
+    count = Counter()
+    for t, fine in zip(texts, learns, strict=True):
+        t = b"\n" * depth + t
+        for i in range(depth, len(t)):
+            bits = f"{t[i]:08b}"
+            for d in range(depth + 1):
+                for k in range(8):
+                    count[(t[i - d : i], bits[:k], bits[k])] += fine
+    children = {}
+    for context, bits, _ in count:
+        if context:
+            children.setdefault((context[1:], bits), set()).add(context)
+
+    def kt(context, bits):
+        z, o = count[(context, bits, "0")], count[(context, bits, "1")]
+        return math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - math.lgamma(z + o + 1) - math.log(math.pi)
+
+    @cache
+    def weighted(context, bits):
+        if len(context) == depth:
+            return kt(context, bits)
+        return float(np.logaddexp(kt(context, bits), sum(weighted(c, bits) for c in children.get((context, bits), ())))) - math.log(2)
+
+    def chance(context, bits, bit):
+        out = 0.0
+        for d in range(depth, -1, -1):
+            c = context[len(context) - d :]
+            z, o = count[(c, bits, "0")], count[(c, bits, "1")]
+            own = ((o if bit == "1" else z) + 0.5) / (z + o + 1)
+            share = 1.0 if d == depth else math.exp(kt(c, bits) - math.log(2) - weighted(c, bits))
+            out = share * own + (1 - share) * out
+        return out
+
+    out = []
+    for t in texts:
+        t = b"\n" * depth + t
+        bits = [f"{x:08b}" for x in t]
+        out.append(sum(math.log10(chance(t[i - depth : i], bits[i][:k], bits[i][k])) for i in range(depth, len(t)) for k in range(8)))
+    return out
+
+
+def test_lm_score_is_context_tree_weighting(spark):
+    from sunledger.llm.lm_scoring import score
+
+    rows = [(i, t) for i, t in corpus() if len(t or "") < 500]
+    texts = [" ".join(WORD.findall(low(t or ""))).encode() + b"\n" for _, t in rows]
+    learns = [zlib.crc32(str(d).encode()) % 5 != 1 for d, _ in rows]
+    for block_bytes in (1 << 20, 100):
+        got = {r["doc_id"]: r for r in score(docs(spark, rows), block_bytes=block_bytes).collect()}
+        for (d, _), t, want in zip(rows, texts, tree_log(texts, learns, 4), strict=True):
+            assert got[d]["score"] == pytest.approx(want, rel=1e-9)
+            assert got[d]["bits_per_byte"] == pytest.approx(-want * math.log2(10) / len(t))
+
+
 def test_context_tree_is_a_distribution():
     from sunledger.llm import lm_scoring as L
 
     assert L.log_gamma(np.array([0.5, 3.0, 100.5])) == pytest.approx([math.lgamma(x) for x in (0.5, 3.0, 100.5)], abs=1e-9)
     assert np.exp(L.log_kt(np.array([1.0]), np.array([0.0]))) == pytest.approx([0.5])
-    chance = np.random.default_rng(0).uniform(0.01, 0.99, (3, 31))
-    assert (10 ** L.symbol_logs(chance)).sum(axis=-1) == pytest.approx([1, 1, 1])
-    zeros, ones = L.decisions(np.arange(8.0)[None])
-    assert (zeros[0, 0], ones[0, 0], zeros[0, 1], ones[0, 6]) == (0 + 1 + 2 + 3, 4 + 5 + 6 + 7, 1, 7)
+    runs = np.array([(c << 8) | x for c in (0x61626364, 0x7A7A7A7A) for x in range(256)])
+    logs = L.Tree(runs, np.random.default_rng(0).integers(0, 9, 512), 4, 2).logs(lambda r, d, chance: chance)
+    assert (10 ** logs.reshape(2, 256)).sum(axis=1) == pytest.approx([1, 1])
 
 
 def test_decontamination(spark):
