@@ -1,17 +1,18 @@
 """Language identification with a bit-sliced Bloom filter of n-grams.
 
-Training counts byte n-grams (2 to 4 bytes of lower-cased letter runs with their word ends) for
-each language over a bounded sample of labelled documents: about SAMPLE_DOCS whole documents
-of each language, picked by hash. A language keeps an n-gram that makes up at least MIN_SHARE
-of its n-grams of that size, and RELATIVE of the largest share in any language; so it keeps at
-most 3 / MIN_SHARE. All kept n-grams go into one Bloom filter whose slots hold a bit for each
-language: the AND of an n-gram's slots is the mask of all languages that contain it. A text's
-hits are counted for each language, corrected for the filter's false positives, and the
-largest count decides; the score is that count as a share of the text's n-grams.
+Training reads the byte n-grams (3 to 5 bytes of lower-cased letter runs with their word ends)
+of a bounded sample of labelled documents: about SAMPLE_DOCS whole documents of each
+language, picked by hash. All of them go into one Bloom filter whose slots hold a bit for each
+language: the AND of an n-gram's slots is the mask of all languages that contain it. Tasks fill
+filters of their own, whose slots are then joined by OR. A text's hits are counted for each
+language by population counts of its masks, corrected for the filter's false positives, and
+the largest count decides; the score is that count as a share of the text's n-grams.
 
 Defined cases: null texts and texts without a letter are `und` with score 0, as is everything
 if nothing was learned; ties go to the language with more training documents, then by name;
-null labels teach nothing; a null doc_id counts as training; other columns are ignored.
+null labels teach nothing; a null doc_id counts as training; repeated rows get equal results;
+very long texts are read whole, so one text must fit into a worker; other columns are kept,
+but for columns named lang_pred and score, which are replaced.
 """
 
 from __future__ import annotations
@@ -25,11 +26,9 @@ from pyspark.sql import functions as F
 
 from sunledger.llm.common import U, Rolling, byte_values, chunks, mix, signed
 
-SIZES = (2, 3, 4)
+SIZES = (3, 4, 5)
 SAMPLE_DOCS = 5000
-MIN_SHARE = 1e-4
-RELATIVE = 0.2
-SLOT_BITS = 20
+SLOT_BITS = 21
 HASHES = 3
 
 
@@ -73,42 +72,41 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
-def learn(training: DataFrame, sample_docs: int = SAMPLE_DOCS, min_share: float = MIN_SHARE) -> tuple[list[str], np.ndarray, np.ndarray]:
+def learn(training: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, the filter's slots (2**SLOT_BITS, words of 64 languages) and each language's false-positive rate."""
     known = training.filter(has_letter(F.col("text")) & F.col("lang").isNotNull())
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row for each language
     languages = sorted(sizes, key=lambda x: (-sizes[x], x))
-    slots = np.zeros((1 << SLOT_BITS, max(1, -(-len(languages) // 64))), U)
+    words = max(1, -(-len(languages) // 64))
+    slots = np.zeros((1 << SLOT_BITS, words), U)
     if not languages:
         return [], slots, np.zeros(0)
-    share = F.element_at(F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, sample_docs / sizes[k]))]), F.col("lang"))
-    number = F.element_at(F.create_map(*[F.lit(x) for i, k in enumerate(languages) for x in (k, i)]), F.col("lang"))
-    sample = known.filter(F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 20)) < share * (1 << 20)).select(number.alias("language"), "text")
-    schema = pa.schema([("language", pa.int32()), ("size", pa.int32()), ("gram", pa.int64()), ("count", pa.int64())])
+    numbers = training.sparkSession.createDataFrame([(k, i, sample_docs / sizes[k]) for i, k in enumerate(languages)], "lang string, number int, share double")
+    sample = known.select("lang", "text", F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 20)).alias("draw")).join(numbers, "lang").filter(F.col("draw") < F.col("share") * (1 << 20)).select("number", "text")
+    schema = pa.schema([("slot", pa.int64()), ("mask", pa.int64())])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _Grams()
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, own = _Grams(), None
         for batch in batches:
-            language = np.asarray(batch["language"]).astype(np.int64)
-            for i, j, data, bounds in chunks(batch["text"], 8 << 20):
-                for n, (grams, at) in zip(SIZES, reader.load(data, bounds), strict=True):
-                    own = np.repeat(language[i:j], np.diff(at))
-                    for k in np.unique(own):
-                        keys, counts = np.unique(signed(grams[own == k]), return_counts=True)
-                        yield pa.record_batch([np.full(len(keys), k, np.int32), np.full(len(keys), n, np.int32), keys, counts.astype(np.int64)], schema=schema)
-
-    counts = sample.mapInArrow(count, "language int, size int, gram long, count long").groupBy("size", "gram", "language").agg(F.sum("count").alias("count"))
-    totals = {(r["language"], r["size"]): r["n"] for r in counts.groupBy("language", "size").agg(F.sum("count").alias("n")).collect()}
-    total = F.element_at(F.create_map(*[F.lit(x) for (k, n), v in totals.items() for x in (k * 8 + n, float(v))]), F.col("language") * 8 + F.col("size"))
-    shares = counts.withColumn("share", F.col("count") / total).filter(F.col("share") >= min_share)
-    best = shares.groupBy("size", "gram").agg(F.collect_list(F.struct("language", "share")).alias("all"), F.max("share").alias("top"))  # a row for each language at most
-    kept = best.select("gram", F.transform(F.filter("all", lambda x: x["share"] >= F.col("top") * RELATIVE), lambda x: x["language"]).alias("languages"))
-    for r in kept.collect():  # at most len(SIZES) / min_share for each language
-        for at in _slots(np.array([r["gram"]]).view(U)):
-            for k in r["languages"]:
-                slots[at, k // 64] |= U(1 << (k % 64))
-    fill = np.array([np.count_nonzero(slots[:, k // 64] & U(1 << (k % 64))) for k in range(len(languages))]) / len(slots)
-    return languages, slots, fill**HASHES
+            number = np.asarray(batch["number"]).astype(np.int64)
+            own = np.zeros((1 << SLOT_BITS, words), U) if own is None else own
+            for i, j, data, bounds in chunks(batch["text"]):
+                for grams, at in reader.load(data, bounds):
+                    of = np.repeat(number[i:j], np.diff(at))
+                    for k in np.unique(of).tolist():
+                        for slot in _slots(np.unique(grams[of == k])):
+                            own[slot, k // 64] |= U(1 << (k % 64))  # slots of equal n-grams were made one
+        if own is not None:
+            flat = own.reshape(-1)
+            used = np.flatnonzero(flat)
+            yield pa.record_batch([used, signed(flat[used])], schema=schema)
+
+    filled = sample.mapInArrow(fill, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask"))
+    flat = slots.reshape(-1)
+    for r in filled.toArrow().to_batches():  # the filter, whatever the sample
+        flat[np.asarray(r["slot"])] = np.asarray(r["mask"]).view(U)
+    rate = np.array([np.count_nonzero(slots[:, k // 64] & U(1 << (k % 64))) for k in range(len(languages))]) / len(slots)
+    return languages, slots, rate**HASHES
 
 
 def _slots(grams: np.ndarray) -> list[np.ndarray]:
