@@ -271,7 +271,7 @@ def test_terms_near_entities_are_scored_and_replaced(spark):
     assert got["reachme", "email"] > pii.REMOVE > got["boss3", "email"] > pii.GENERALISE > got["plain", "email"]
     text = {r["doc_id"]: r["text"] for r in pii.sanitize(docs(spark, rows)).collect()}
     assert text[3].startswith("some plain words [TERM]\n here: [EMAIL] ( [TERM])\nand ") and text[100] == rows[6][1] and text[301] is None
-    assert "[SECRET]" in text[300] and "short1" in text[300] and "onlylettersinthisvalue" in text[300]
+    assert "[SECRET]" in text[300] and "onlylettersinthisvalue" in text[300]
     spans = {(r["doc_id"], s["kind"]) for r in pii.find(docs(spark, rows)).collect() for s in r["added"]}
     assert {(3, "removed"), (3, "generalised"), (300, "secret"), (None, "generalised")} <= spans
 
@@ -283,18 +283,38 @@ def test_top_k(spark, k):
     rng = np.random.default_rng(4)
     vectors = [[float(x) for x in rng.normal(0, 0.3, 8)] for _ in range(120)]
     vectors[7] = vectors[3]
-    rows = [*enumerate(vectors), (200, None), (201, [float("nan")] * 8), (202, [float("inf")] + [0.0] * 7), (203, [None] * 8), (5, vectors[5])]
+    taking = [*enumerate(vectors), (5, vectors[5]), (7, vectors[50]), (7, vectors[50])]  # repeated rows and ids, ties over blocks
+    rows = [*taking, (200, None), (201, [float("nan")] * 8), (202, [float("inf")] + [0.0] * 7), (203, [None] * 8), (None, vectors[0])]
     table = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id bigint, embedding array<float>, label int, rank int")
     got = {}
     for r in top_k(table, F.col("vec_id") % 50 == 0, k, block_rows=50).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
-    whole = [[math.floor(256 * float(np.float32(x))) for x in v] for v in vectors]
+    whole = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in taking]
     for q in (0, 50, 100):
-        scores = sorted(((-sum(a * b for a, b in zip(whole[q], whole[i], strict=True)), i) for i in range(120) if i != q))
+        scores = sorted((-sum(a * b for a, b in zip(whole[q][1], v, strict=True)), i) for i, v in whole if i != q)
         assert got[q] == [(i, -s) for s, i in scores[:k]]
     assert set(got) == {0, 50, 100}
 
 
+def test_lists_are_read_in_sequence_and_reading_stops():
+    from sunledger.llm.topk_search import SortedLists
+
+    rng = np.random.default_rng(2)
+    rows = rng.integers(-30, 30, (4000, 6))
+    rows[17] = 256
+    lists = SortedLists(rows, np.arange(4000))
+    query = np.array([3, 0, 2, 1, 4, 2])
+    found, scores = lists.best(query, -1, 1, -np.inf)
+    assert (found.tolist(), scores.tolist()) == ([17], [256 * 12])
+    assert lists.entries_read < rows.size / 10 and lists.rows_resolved < 50
+    assert len(lists.best(query, -1, 1, 256 * 12 + 1)[0]) == 0 and lists.entries_read == 0  # no row can reach it
+    for _ in range(20):
+        query = rng.integers(-9, 9, 6)
+        found, scores = lists.best(query, 5, 7, -np.inf)
+        want = sorted((-int(rows[i] @ query), i) for i in range(4000) if i != 5)[:7]
+        assert [(-s, i) for s, i in zip(scores.tolist(), found.tolist(), strict=True)] == want
+
+
 def test_language_id(spark):
     from sunledger.llm.language_id import identify, learn
 
