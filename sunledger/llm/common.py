@@ -41,9 +41,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Ids under this stand for null ones.
+NULL_IDS = -(1 << 62)
+
+
 def row_key(text: Column) -> Column:
-    """With doc_id: tells rows apart that share a doc_id; rows alike in both get the same results."""
-    return F.hash(F.coalesce(text, F.lit(""))).alias("th")
+    """With row_id: tells rows apart that share a doc_id; rows alike in both get the same results."""
+    return F.xxhash64(F.coalesce(text, F.lit(""))).alias("th")
+
+
+def row_id(doc_id: Column, text: Column) -> Column:
+    """doc_id, and for null ones another hash of the text, under NULL_IDS: so row_id and row_key have 128 bits or so."""
+    low = F.xxhash64(F.lit(1), F.coalesce(text, F.lit(""))).bitwiseAND(F.lit((1 << 61) - 1))
+    return F.coalesce(doc_id.cast("long"), low.bitwiseOR(F.lit(-(1 << 63)))).alias("doc_id")
+
+
+def own_id(of: Column) -> Column:
+    """The doc_id that row_id was made of."""
+    return F.when(of >= NULL_IDS, of).alias("doc_id")
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

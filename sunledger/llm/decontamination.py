@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sunledger.llm.common import Rolling, byte_values, chunks, lowered, materialize, row_key, signed, word_spans
+from sunledger.llm.common import Rolling, byte_values, chunks, lowered, materialize, own_id, row_id, row_key, signed, word_spans
 
 HALF = 32
 RANK, OVERSAMPLED = 96, 32
@@ -314,7 +314,7 @@ def sum_near(x: np.ndarray, near: dict[int, np.ndarray]) -> np.ndarray:
     return out
 
 
-MATCH = pa.schema([("doc_id", pa.int64()), ("th", pa.int32()), ("item_id", pa.int64()), ("start_word", pa.int64()), ("end_word", pa.int64()), ("cosine", pa.float64()), ("common", pa.float64()), ("answer", pa.float64())])
+MATCH = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("item_id", pa.int64()), ("start_word", pa.int64()), ("end_word", pa.int64()), ("cosine", pa.float64()), ("common", pa.float64()), ("answer", pa.float64())])
 
 
 def _search(docs: DataFrame, shared, common: float, with_answer: float, answer: float) -> DataFrame:
@@ -370,13 +370,13 @@ def _search(docs: DataFrame, shared, common: float, with_answer: float, answer:
             if out:
                 yield pa.record_batch([pa.array(x, MATCH.field(k).type) for k, x in enumerate(zip(*out, strict=True))], schema=MATCH)
 
-    return docs.mapInArrow(run, "doc_id long, th int, item_id long, start_word long, end_word long, cosine double, common double, answer double")
+    return docs.mapInArrow(run, "doc_id long, th long, item_id long, start_word long, end_word long, cosine double, common double, answer double")
 
 
 def matches(documents: DataFrame, benchmark: DataFrame, common: float = COMMON, with_answer: float = COMMON_WITH_ANSWER, answer: float = ANSWER) -> DataFrame:
     """A row for each document and item (item_id, text) that it gives away: where, and how surely."""
     spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("text")), F.coalesce("text", F.lit("")).alias("text"))
+    docs = documents.select(row_id(F.col("doc_id"), F.col("text")), row_key(F.col("text")), F.coalesce("text", F.lit("")).alias("text"))
     rows = benchmark.filter(F.col("text").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")).select(F.col("item_id").cast("long").alias("item_id"), "text")
     words = rows.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     found = None
@@ -398,12 +398,12 @@ def matches(documents: DataFrame, benchmark: DataFrame, common: float = COMMON,
         one = _search(docs, shared, common, with_answer, answer)
         found = one if found is None else found.unionByName(one)
     if found is None:
-        found = spark.createDataFrame([], "doc_id long, th int, item_id long, start_word long, end_word long, cosine double, common double, answer double")
-    return found
+        found = spark.createDataFrame([], "doc_id long, th long, item_id long, start_word long, end_word long, cosine double, common double, answer double")
+    return found.select(own_id(F.col("doc_id")), F.col("doc_id").alias("row"), *found.columns[1:])
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, **limits: float) -> DataFrame:
     """documents without the rows that give away an item."""
-    bad = materialize(matches(documents, benchmark, **limits).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct(), "leaks")
-    rows = documents.withColumn("__h", row_key(F.col("text")))
-    return rows.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left_anti").select(*documents.columns)
+    bad = materialize(matches(documents, benchmark, **limits).select(F.col("row").alias("__id"), F.col("th").alias("__th")).distinct(), "leaks")
+    rows = documents.withColumns({"__id": row_id(F.col("doc_id"), F.col("text")), "__th": row_key(F.col("text"))})
+    return rows.join(bad, ["__id", "__th"], "left_anti").select(*documents.columns)

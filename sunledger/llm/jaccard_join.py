@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sunledger.llm.common import Rolling, U, byte_values, chunks, lowered, materialize, mix, row_key, separators, signed, word_spans
+from sunledger.llm.common import Rolling, U, byte_values, chunks, lowered, materialize, mix, own_id, row_id, row_key, separators, signed, word_spans
 from sunledger.llm.components import components
 
 #: Slots of the frequency sketch, and least length of a set's parity bitmap.
@@ -111,7 +111,7 @@ def _sketch(docs: DataFrame, k: int) -> np.ndarray:
 
 def _members(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, th, the set's id and size, and its parity bitmap, of each row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int32()), ("sid", pa.int64()), ("n", pa.int64()), ("bitmap", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("sid", pa.int64()), ("n", pa.int64()), ("bitmap", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Shingles(k)
@@ -128,7 +128,7 @@ def _members(docs: DataFrame, k: int) -> DataFrame:
                     bitmaps += [packed[x // 8 : y // 8].tobytes() for x, y in zip(head[:-1].tolist(), head[1:].tolist(), strict=True)]
                 yield pa.record_batch([batch["doc_id"][i:j], batch["th"][i:j], set_ids(h, at), np.diff(at), pa.array(bitmaps, pa.binary())], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, th int, sid long, n long, bitmap binary")
+    return docs.mapInArrow(run, "doc_id long, th long, sid long, n long, bitmap binary")
 
 
 def _prefixes(docs: DataFrame, k: int, percent: int, order) -> DataFrame:
@@ -355,12 +355,12 @@ def _verify(percent: int):
 
 
 def jaccard_components(documents: DataFrame, shingle: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, th, n_shingles, component_id (the least doc_id that links reach) and group (a number for it) of each row."""
+    """doc_id, row and th (see row_id and row_key), n_shingles, component_id (the least doc_id that links reach) and group (a number for it) of each row."""
     spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("text")), F.coalesce("text", F.lit("")).alias("text"))
+    docs = documents.select(row_id(F.col("doc_id"), F.col("text")), row_key(F.col("text")), F.coalesce("text", F.lit("")).alias("text"))
     order = spark.sparkContext.broadcast(_sketch(docs, shingle))  # 2 MB, whatever the corpus
     members = materialize(_members(docs, shingle), "members")
-    least = F.min(F.coalesce("doc_id", F.lit((1 << 63) - 1)))
+    least = F.min(F.coalesce(own_id(F.col("doc_id")), F.lit((1 << 63) - 1)))
     by_list = Window.partitionBy("shingle")
     lists = _prefixes(docs, shingle, percent, order).repartition("shingle").dropDuplicates(["shingle", "sid"])  # one shuffle serves all three
     lists = materialize(lists.withColumn("length", F.count("*").over(by_list)).filter("length > 1"), "lists")
@@ -371,13 +371,13 @@ def jaccard_components(documents: DataFrame, shingle: int = 4, percent: int = 85
     groups = groups.join(groups.groupBy("root").agg(F.count("*").alias("size")), "root").withColumnRenamed("node", "sid")
     # only sets that may have a link are needed whole; one document stands for each, and is read and shuffled once
     stands = members.filter("n > 0").groupBy("sid").agg(F.min(F.struct("doc_id", "th")).alias("d")).join(groups, "sid").select("sid", "root", "size", F.col("d.doc_id").alias("of"), F.col("d.th").alias("of_th"))
-    texts = docs.join(stands, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("th") == F.col("of_th")))
+    texts = docs.join(stands, (F.col("doc_id") == F.col("of")) & (F.col("th") == F.col("of_th")))
     whole = _in_blocks(_sets(texts.select("sid", "root", "size", "text"), shingle), "sid", "size", SET_BLOCK).select("root", "left", "right", "sid", "whole")
     whole = whole.repartition("root", "left", "right").sortWithinPartitions("root", "left", "right")
     linked = components(whole.mapInArrow(_verify(percent), "a long, b long"))
     member = members.join(linked.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     ids = member.filter("n > 0").groupBy("root").agg(least.alias("least"))
     out = member.join(ids, "root", "left")
-    component = F.when(F.col("n") > 0, F.when(F.col("least") < (1 << 63) - 1, F.col("least"))).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("root").alias("group"))
+    component = F.when(F.col("n") > 0, F.when(F.col("least") < (1 << 63) - 1, F.col("least"))).otherwise(own_id(F.col("doc_id")))
+    return out.select(own_id(F.col("doc_id")), F.col("doc_id").alias("row"), "th", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("root").alias("group"))
 

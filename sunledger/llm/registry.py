@@ -106,7 +106,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sunledger.llm.decontamination import matches
 
-    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("th")
+    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row", "th")
 
 
 @query

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sunledger.llm.common import Rolling, U, byte_values, chunks, mix, row_key, separators, signed, sliding_min, word_spans
+from sunledger.llm.common import NULL_IDS, Rolling, U, byte_values, chunks, mix, row_id, row_key, separators, signed, sliding_min, word_spans
 
 #: Bits of an anchor's hash that are shuffled; a chance clash only adds work.
 ANCHOR_BITS = 48
@@ -69,7 +69,7 @@ class Sequences:
         return grams[picked[lo]] >> U(64 - ANCHOR_BITS), row[cut], lo, hi
 
 
-OCCURRENCES = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int32()), ("place", pa.int64()), ("times", pa.int32())])
+OCCURRENCES = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("place", pa.int64()), ("times", pa.int32())])
 
 
 def _reduce(rows: list[tuple[np.ndarray, ...]], earliest: bool) -> pa.RecordBatch:
@@ -82,7 +82,7 @@ def _reduce(rows: list[tuple[np.ndarray, ...]], earliest: bool) -> pa.RecordBatc
     first = np.flatnonzero(new)
     times = np.diff(np.append(first, len(new)))[group].astype(np.int32)
     if earliest:  # only documents after the first one repeat it
-        known = doc > doc[first[group]]
+        known = doc > np.maximum(doc[first[group]], NULL_IDS)
         keep_rep, times = np.flatnonzero(~known), np.ones(len(new), np.int32)
     else:
         known, keep_rep = times > 1, first
@@ -119,7 +119,7 @@ def occurrences(docs: DataFrame, unit: str, window: int, gram: int, earliest: bo
         if rows:
             yield _reduce(rows, earliest)
 
-    return docs.mapInArrow(run, "anchor long, context long, doc_id long, th int, place long, times int")
+    return docs.mapInArrow(run, "anchor long, context long, doc_id long, th long, place long, times int")
 
 
 def settle(found: DataFrame, earliest: bool) -> DataFrame:
@@ -135,8 +135,8 @@ def settle(found: DataFrame, earliest: bool) -> DataFrame:
     rows = rows.withColumns({"partners": F.count_if(F.col("nr") == 1).over(group), "group_least": F.min("doc_id").over(group)})
     known = F.col("times") == 0
     if earliest:
-        whole = known | (F.col("doc_id") > F.col("least"))
-        alone = ~whole & (F.col("doc_id") > F.col("group_least"))
+        whole = known | (F.col("doc_id") > F.greatest("least", F.lit(NULL_IDS)))
+        alone = ~whole & (F.col("doc_id") > F.greatest("group_least", F.lit(NULL_IDS)))
     else:
         whole = known | (F.col("total") > 1)
         alone = ~whole
@@ -151,8 +151,8 @@ def settle(found: DataFrame, earliest: bool) -> DataFrame:
 
 
 def keyed(documents: DataFrame) -> DataFrame:
-    """doc_id, th, text of documents; a null doc_id counts as the least id."""
-    return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), row_key(F.col("text")), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").isNull().alias("no_id"))
+    """doc_id, th, text of documents; null ids are told apart by text and count as the least id."""
+    return documents.select(row_id(F.col("doc_id"), F.col("text")), row_key(F.col("text")), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").isNull().alias("no_id"))
 
 
 def per_document(settled: DataFrame, kind: int) -> DataFrame:
@@ -176,7 +176,7 @@ def list_rows(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return np.concatenate([[0], np.cumsum(lengths)]), column.flatten()
 
 
-WINDOWS = pa.schema([("content", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int32()), ("place", pa.int64()), ("alone", pa.bool_()), ("known", pa.bool_())])
+WINDOWS = pa.schema([("content", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("place", pa.int64()), ("alone", pa.bool_()), ("known", pa.bool_())])
 
 
 def edge_windows(docs: DataFrame, edges: DataFrame, unit: str, window: int, earliest: bool) -> DataFrame:
@@ -192,7 +192,7 @@ def edge_windows(docs: DataFrame, edges: DataFrame, unit: str, window: int, earl
         new = np.concatenate([[True], np.diff(content) != 0])
         group, first = np.cumsum(new) - 1, np.flatnonzero(new)
         if earliest:
-            known = doc > doc[first[group]]
+            known = doc > np.maximum(doc[first[group]], NULL_IDS)
             keep = np.flatnonzero((known & alone) | (~known & (alone | new)))
         else:
             known = np.diff(np.append(first, len(new)))[group] > 1
@@ -232,9 +232,9 @@ def edge_windows(docs: DataFrame, edges: DataFrame, unit: str, window: int, earl
         if n:
             yield reduce(parts)
 
-    rows = docs.join(edges, ["doc_id", "th"]).select("doc_id", "th", "text", "found").mapInArrow(run, "content long, doc_id long, th int, place long, alone boolean, known boolean")
+    rows = docs.join(edges, ["doc_id", "th"]).select("doc_id", "th", "text", "found").mapInArrow(run, "content long, doc_id long, th long, place long, alone boolean, known boolean")
     same = Window.partitionBy("content")
-    again = (F.col("doc_id") > F.min("doc_id").over(same)) if earliest else (F.count("*").over(same) > 1)
+    again = (F.col("doc_id") > F.greatest(F.min("doc_id").over(same), F.lit(NULL_IDS))) if earliest else (F.count("*").over(same) > 1)
     return rows.withColumn("again", F.col("known") | again).filter("alone and again").select("doc_id", "th", "place")
 
 

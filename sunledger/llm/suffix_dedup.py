@@ -109,7 +109,7 @@ def repeated_starts(contents: list[bytes], counts: np.ndarray, window: int) -> l
     return out
 
 
-EDGES = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int32()), ("place", pa.int64()), ("alone", pa.bool_()), ("content", pa.binary())])
+EDGES = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("place", pa.int64()), ("alone", pa.bool_()), ("content", pa.binary())])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -129,7 +129,7 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBa
 
 def _expand(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by anchor; whole anchor groups are sorted together."""
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int32()), ("place", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("place", pa.int64())])
 
     def solve(rows: pa.Table) -> pa.RecordBatch:
         place = rows["place"].to_numpy()
@@ -173,8 +173,8 @@ def suffix_dedup(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, m
     settled = materialize(settle(occurrences(texts, "byte", window, gram, False), False), "repeats")
     small, large = settled.filter(F.col("partners") <= max_partners), settled.filter(F.col("partners") > max_partners)
     edges = texts.join(per_document(small, 1), ["doc_id", "th"]).select("doc_id", "th", "text", "found")
-    edges = edges.mapInArrow(lambda b: _cut(b, window), "anchor long, doc_id long, th int, place long, alone boolean, content binary")
-    starts = edges.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda b: _expand(b, window), "doc_id long, th int, place long")
+    edges = edges.mapInArrow(lambda b: _cut(b, window), "anchor long, doc_id long, th long, place long, alone boolean, content binary")
+    starts = edges.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda b: _expand(b, window), "doc_id long, th long, place long")
     places = [settled.filter("kind = 2").select("doc_id", "th", "place"), starts]
     if large.filter("kind = 1").limit(1).count():
         places.append(edge_windows(texts, per_document(large, 1), "byte", window, False))
