@@ -11,10 +11,11 @@ must be common: the products of regions and items in the latent space and what l
 share from above, so no pair that reaches it is left out, however long the region's other text.
 
 The benchmark is worked through in blocks of at most BLOCK_WORDS words, so that what is
-broadcast is bounded however large it is.
+broadcast is bounded however large it is (BLOCK_WORDS words, or one item if it is longer).
 
-Defined cases: null and empty texts and items match nothing; the answer of an item is its
-last sentence, or its whole text if it has one only; repeated rows are judged each; items
+Defined cases: null and empty texts and items match nothing; the answer of an item of up to two halves is its
+last sentence, or its whole text if it has one only, that of a passage of a longer item its last HALF / 2
+words; repeated rows are judged each; null ids are rows of their own; very long texts are read whole; items
 with equal words are all reported; rows of documents are told apart by doc_id and text.
 """
 
@@ -31,7 +32,10 @@ from pyspark.sql import functions as F
 from sunledger.llm.common import Rolling, byte_values, chunks, lowered, materialize, own_id, row_id, row_key, signed, word_spans
 
 HALF = 32
-RANK, OVERSAMPLED = 96, 32
+#: Dimensions of the latent space (no more than the block has passages), and random ones besides.
+RANK, OVERSAMPLED = 256, 32
+#: Weight of the items in the decomposed matrix, as a multiple of the corpus's: their own directions come first.
+ITEMS_WEIGHT = 100.0
 #: Share of an item's weight that must be a common subsequence; the second is enough with its answer.
 COMMON, COMMON_WITH_ANSWER, ANSWER = 0.6, 0.45, 0.8
 BLOCK_WORDS = 200_000
@@ -158,14 +162,15 @@ def _project(half: np.ndarray, number: np.ndarray, weights: np.ndarray, n: int,
 
 def _latent(docs: DataFrame, items: Items, weights: np.ndarray, least: float) -> np.ndarray:
     """Right singular vectors (vocabulary, RANK) of the passages' matrix, by a randomised SVD in one pass."""
-    size, width = len(weights), RANK + OVERSAMPLED
+    size, rank = len(weights), min(RANK, len(items.words) + OVERSAMPLED)
+    width = rank + OVERSAMPLED
     omega = np.random.default_rng(7).standard_normal((size, width)).astype(np.float32)
     schema = pa.schema([("part", pa.int32()), ("sums", pa.binary())])
     step = 128  # words of the vocabulary in a part: the sums of all tasks meet in many small ones
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, (own, w, test) = Words(), shared.value
-        total = np.zeros((size, width))
+        total = np.zeros((size, width), np.float32)
         for batch in batches:
             for _, _, data, bounds in chunks(batch["text"]):
                 hashes, first = reader.load(data, bounds)
@@ -198,13 +203,13 @@ def _latent(docs: DataFrame, items: Items, weights: np.ndarray, least: float) ->
     for r in parts.collect():  # the block's vocabulary times RANK + OVERSAMPLED numbers
         part = np.frombuffer(r["sums"], "<f4").reshape(-1, width)
         image[r["part"] : r["part"] + len(part)] = part
-    # the items, with as much weight in all as the corpus has
+    # the items, with ITEMS_WEIGHT times the weight that the corpus has in all
     half = np.repeat(np.arange(len(items.words)), list(map(len, items.words)))
     number = np.concatenate(items.words)
     rows = _project(half, number, weights.astype(np.float32), len(items.words), omega)
     mine = np.zeros((size, width))
     np.add.at(mine, number, rows[half] * weights[number][:, None])
-    image = image + mine * max(1.0, np.abs(image).sum() / max(np.abs(mine).sum(), 1e-9))
+    image = image + mine * max(1.0, ITEMS_WEIGHT * np.abs(image).sum() / max(np.abs(mine).sum(), 1e-9))
     if not image.any():
         return np.zeros((size, 1), np.float32)
     shift = 1e-6 * np.linalg.norm(image)
@@ -213,7 +218,7 @@ def _latent(docs: DataFrame, items: Items, weights: np.ndarray, least: float) ->
     values, vectors = np.linalg.eigh((core + core.T) / 2)
     good = values > values[-1] * 1e-10
     left, _, _ = np.linalg.svd(image @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)
-    return left[:, :RANK].astype(np.float32)
+    return left[:, :rank].astype(np.float32)
 
 
 def weighted_lcs(a: np.ndarray, b: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -325,7 +330,7 @@ def _search(docs: DataFrame, shared, common: float, with_answer: float, answer:
         heavy = np.append(weights, 0).astype(np.float64)  # the last one is what -1 weighs
         mass, goal_mass = heavy[words].sum(axis=1), np.maximum(heavy[goals].sum(axis=1), 1e-9)
         least = min(common, with_answer) * mass
-        present = np.zeros(len(weights) + 1, bool)
+        present = np.zeros((256, len(weights) + 1), bool)
         for batch in batches:
             ids, th = batch["doc_id"].to_pylist(), batch["th"].to_pylist()
             out: list[tuple] = []
@@ -338,34 +343,36 @@ def _search(docs: DataFrame, shared, common: float, with_answer: float, answer:
                 bounds_of.load(half, number, head)
                 may = np.flatnonzero(bounds_of.mass >= least.min() * SLACK)
                 best: dict[tuple[int, int], tuple] = {}
-                for step in range(0, len(may), 1024):
-                    at = may[step : step + 1024]
+                for step in range(0, len(may), 256):
+                    at = may[step : step + 256]
                     bound, cosines = bounds_of.most(at)
                     p, item = np.nonzero(bound >= least * SLACK)
                     if not len(p):
                         continue
-                    cut = np.flatnonzero(np.diff(p, prepend=-1))
-                    pairs: list[tuple] = []
-                    for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(p)], strict=True):
-                        g, t = int(at[p[s]]), item[s:e]
-                        r = int(np.searchsorted(head, g, side="right")) - 1
-                        lo = int(first[r]) + (g - int(head[r])) * HALF
-                        a, b = max(int(first[r]), lo - HALF), min(int(first[r + 1]), lo + 3 * HALF)
-                        region = numbers[a:b]
-                        region = region[region >= 0]
-                        present[region] = True
-                        there = (heavy[words[t]] * present[words[t]]).sum(axis=1)
-                        found = (heavy[goals[t]] * present[goals[t]]).sum(axis=1) / goal_mass[t]
-                        present[region] = False
+                    # the words of each region
+                    r = np.searchsorted(head, at, side="right") - 1
+                    lo = first[r] + (at - head[r]) * HALF
+                    a, b = np.maximum(first[r], lo - HALF), np.minimum(first[r + 1], lo + 3 * HALF)
+                    own_words = np.repeat(a - (np.cumsum(b - a) - (b - a)), b - a) + np.arange((b - a).sum())
+                    present[:] = False
+                    present[np.repeat(np.arange(len(at)), b - a), numbers[own_words]] = True  # the last column is for -1
+                    present[:, -1] = False
+                    pairs: list[tuple[int, int, float, float]] = []
+                    for k in range(0, len(p), 8192):  # what words are there bounds the subsequence from above
+                        u, t = p[k : k + 8192], item[k : k + 8192]
+                        there = (heavy[words[t]] * present[u[:, None], words[t]]).sum(axis=1)
+                        found = (heavy[goals[t]] * present[u[:, None], goals[t]]).sum(axis=1) / goal_mass[t]
                         need = np.where(found >= answer, min(common, with_answer), common) * mass[t]
-                        pairs += [(r, int(t[k]), a - int(first[r]), b - int(first[r]), float(cosines[p[s], t[k]]), float(found[k]), float(need[k]), region) for k in np.flatnonzero(there >= need * SLACK)]
+                        fine = np.flatnonzero(there >= need * SLACK)
+                        pairs += zip(u[fine].tolist(), t[fine].tolist(), found[fine].tolist(), need[fine].tolist(), strict=True)
                     for k in range(0, len(pairs), 512):
                         some = pairs[k : k + 512]
-                        weight = weighted_lcs(words[[x[1] for x in some]], padded([x[7] for x in some]), heavy)
-                        for (r, t, a, b, near, found, need, _), w in zip(some, weight.tolist(), strict=True):
-                            key = (r, own.ids[t])
+                        regions = [x[x >= 0] for x in (numbers[a[u] : b[u]] for u, *_ in some)]
+                        weight = weighted_lcs(words[[x[1] for x in some]], padded(regions), heavy)
+                        for (u, t, goal, need), w in zip(some, weight.tolist(), strict=True):
+                            key = (int(r[u]), own.ids[t])
                             if w >= need * (1 - 1e-9) and (key not in best or best[key][3] < w / mass[t]):
-                                best[key] = (a, b, near, w / float(mass[t]), found)
+                                best[key] = (int(a[u] - first[r[u]]), int(b[u] - first[r[u]]), float(cosines[u, t]), w / float(mass[t]), goal)
                 out += [(ids[i + r], th[i + r], t, *x) for (r, t), x in best.items()]
             if out:
                 yield pa.record_batch([pa.array(x, MATCH.field(k).type) for k, x in enumerate(zip(*out, strict=True))], schema=MATCH)
