@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from sunledger.llm.common import Rolling, byte_values, chunks, lowered, materialize, own_id, row_id, row_key, signed, word_spans
 
 HALF = 32
+#: Words of a chunk whose sums are a matrix product.
+MATRIX_WORDS = 512
 #: Dimensions of the latent space (no more than the block has passages), and random ones besides.
 RANK, OVERSAMPLED = 256, 32
 #: Weight of the items in the decomposed matrix, as a multiple of the corpus's: their own directions come first.
@@ -151,15 +153,37 @@ def _weights(counts: np.ndarray, total: int) -> np.ndarray:
     return np.log((2 + total) / (1 + counts))
 
 
-def _project(half: np.ndarray, number: np.ndarray, weights: np.ndarray, n: int, basis: np.ndarray) -> np.ndarray:
-    """Row of each half passage times basis."""
-    out = np.zeros((n, basis.shape[1]), np.float32)
-    if len(half):
-        head = np.flatnonzero(np.concatenate([[True], np.diff(half) != 0]))
-        out[half[head]] = np.add.reduceat(basis[number] * weights[number][:, None], head, axis=0)
+def _project(half: np.ndarray, number: np.ndarray, n: int, scaled: np.ndarray) -> np.ndarray:
+    """Row of each half passage times a basis whose rows are scaled by the words' weights."""
+    out = np.zeros((n, scaled.shape[1]), np.float32)
+    place = np.arange(len(half)) - np.searchsorted(half, half)
+    for k in range(int(place.max(initial=-1)) + 1):  # the first word of each half, then the second, and so on
+        which = np.flatnonzero(place == k)
+        out[half[which]] += scaled[number[which]]
     return out
 
 
+def _add_by_word(total: np.ndarray, half: np.ndarray, number: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> None:
+    """total[word] += weight of the word * rows[half] for each word of each half."""
+    count = np.bincount(number, minlength=len(total))
+    often = np.argsort(-count, kind="stable")[:MATRIX_WORDS]
+    place = np.full(len(total), -1)
+    place[often] = np.arange(len(often))
+    column = place[number]
+    for lo in range(0, len(rows), 1024):  # the frequent words: a matrix product
+        mine = np.flatnonzero((half >= lo) & (half < lo + 1024) & (column >= 0))
+        dense = np.zeros((min(1024, len(rows) - lo), len(often)), np.float32)
+        np.add.at(dense, (half[mine] - lo, column[mine]), weights[number[mine]])
+        total[often] += dense.T @ rows[lo : lo + 1024]
+    half, number = half[column < 0], number[column < 0]
+    by = np.argsort(number, kind="stable")
+    half, number = half[by], number[by]
+    nth = np.arange(len(number)) - np.searchsorted(number, number)
+    for k in range(int(nth.max(initial=-1)) + 1):  # the first place of each of the others, then the second, and so on
+        which = np.flatnonzero(nth == k)
+        total[number[which]] += rows[half[which]] * weights[number[which]][:, None]
+
+
 def _latent(docs: DataFrame, items: Items, weights: np.ndarray, least: float) -> np.ndarray:
     """Right singular vectors (vocabulary, RANK) of the passages' matrix, by a randomised SVD in one pass."""
     size, rank = len(weights), min(RANK, len(items.words) + OVERSAMPLED)
@@ -170,7 +194,7 @@ def _latent(docs: DataFrame, items: Items, weights: np.ndarray, least: float) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, (own, w, test) = Words(), shared.value
-        total = np.zeros((size, width), np.float32)
+        total, scaled = np.zeros((size, width), np.float32), test * w[:, None]
         for batch in batches:
             for _, _, data, bounds in chunks(batch["text"]):
                 hashes, first = reader.load(data, bounds)
@@ -181,13 +205,8 @@ def _latent(docs: DataFrame, items: Items, weights: np.ndarray, least: float) ->
                 if not len(half):
                     continue
                 _, half = np.unique(half, return_inverse=True)
-                rows = _project(half, number, w, int(half[-1]) + 1, test)
-                by = np.argsort(number, kind="stable")
-                head = np.flatnonzero(np.concatenate([[True], np.diff(number[by]) != 0]))
-                for a in range(0, len(head), 512):  # in bounded steps
-                    cut = head[a : a + 512]
-                    end = head[a + 512] if a + 512 < len(head) else len(by)
-                    total[number[by[cut]]] += np.add.reduceat(rows[half[by[cut[0] : end]]], cut - cut[0], axis=0) * w[number[by[cut]]][:, None]
+                rows = _project(half, number, int(half[-1]) + 1, scaled)
+                _add_by_word(total, half, number, w, rows)
         yield pa.record_batch([pa.array(range(0, size, step), pa.int32()), pa.array([total[i : i + step].astype("<f4").tobytes() for i in range(0, size, step)], pa.binary())], schema=schema)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +225,7 @@ def _latent(docs: DataFrame, items: Items, weights: np.ndarray, least: float) ->
     # the items, with ITEMS_WEIGHT times the weight that the corpus has in all
     half = np.repeat(np.arange(len(items.words)), list(map(len, items.words)))
     number = np.concatenate(items.words)
-    rows = _project(half, number, weights.astype(np.float32), len(items.words), omega)
+    rows = _project(half, number, len(items.words), omega * weights.astype(np.float32)[:, None])
     mine = np.zeros((size, width))
     np.add.at(mine, number, rows[half] * weights[number][:, None])
     image = image + mine * max(1.0, ITEMS_WEIGHT * np.abs(image).sum() / max(np.abs(mine).sum(), 1e-9))
@@ -250,7 +269,7 @@ class Bounds:
     """
 
     def __init__(self, items: Items, weights: np.ndarray, frequent: np.ndarray, basis: np.ndarray) -> None:
-        self.weights, self.basis, self.frequent = weights, basis, frequent
+        self.weights, self.frequent, self.scaled = weights, frequent, basis * weights[:, None].astype(np.float32)
         self.place = np.cumsum(frequent) - 1
         self.often = np.zeros((int(frequent.sum()), len(items.words)), np.float32)
         self.wanted = np.zeros((len(items.words), basis.shape[1]), np.float32)
@@ -283,7 +302,7 @@ class Bounds:
         there[half[often], self.place[number[often]]] = 1
         self.there = np.minimum(sums(there), 1)
         half, number = half[~often], number[~often]
-        self.rows = sums(_project(half, number, self.weights, n, self.basis))
+        self.rows = sums(_project(half, number, n, self.scaled))
         square = self.weights.astype(np.float64) ** 2
         norm = sums(np.bincount(half, square[number], minlength=n))
         by = np.sort(number * n + half)
