@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from sunledger.functions.solar import format_offset, format_skew, nearest_timezone, short_way, sun_position
 from sunledger.operators.offset import infer_utc_offset
+
 from sunledger.schema import ALL_SIGNALS, as_findings, clean, no_findings
+from sunledger.stored import stored
 
 CLOCK_TOLERANCE_US = 120_000_000
 
@@ -25,7 +27,7 @@ def _coordinate(frame: DataFrame, value: float | str, limit: float) -> DataFrame
 def check_solar_angles(frame: DataFrame, angles) -> DataFrame:
     """One `solar` finding for each angle off by more than the tolerance; else `utc` and `clock` findings of an inferred offset.
 
-    Coordinates must be constants or columns with one value. Inference needs constants.
+    Coordinates must be constants, or columns with one value in each series; every series has its own position and offset.
     """
     named = angles.angles()
     if not named or any(c not in frame.columns for c in angles.columns()):
@@ -34,18 +36,15 @@ def check_solar_angles(frame: DataFrame, angles) -> DataFrame:
     lost = as_findings(place.filter("lat IS NULL OR lon IS NULL").withColumns({"check": F.lit("solar"), "signal": F.lit(ALL_SIGNALS), "detail": F.lit("no usable site position"), "n_samples": F.lit(0)}))
     place = place.filter("lat IS NOT NULL AND lon IS NOT NULL")
     value = {k: clean(F.col(f"`{c}`").cast("double")) for k, c in named.items()}
-    rows = frame.join(place, "series_id").select("series_id", "pos", "ts", "us", "lat", "lon", *[v.alias(f"r_{k}") for k, v in value.items()])
+    # own names only: the frame may have columns of these
+    rows = frame.select("series_id", "pos", "ts", "us", *[v.alias(f"r_{k}") for k, v in value.items()]).join(place, "series_id")
     none = None
     if angles.utc_offset_us is not None:
         rows = rows.withColumn("offset_us", F.lit(angles.utc_offset_us).cast("bigint"))
     else:
         elevation = F.col("r_elevation") if "elevation" in named else (90.0 - F.col("r_zenith") if "zenith" in named else F.lit(None).cast("double"))
-        lat, lon = angles.latitude, angles.longitude
-        if isinstance(lat, str) or isinstance(lon, str):
-            first = place.first()
-            lat, lon = (first["lat"], first["lon"]) if first else (0.0, 0.0)
         source = rows.withColumns({"elevation": elevation, **({"azimuth": F.col("r_azimuth")} if "azimuth" in named else {})})
-        offsets = infer_utc_offset(source, lat, lon, "azimuth" in named, angles.refract)
+        offsets = stored(infer_utc_offset(source, F.col("lat"), F.col("lon"), "azimuth" in named, angles.refract), "utc-offsets")
         none = as_findings(place.join(offsets, "series_id", "left_anti").withColumns({"check": F.lit("solar"), "signal": F.lit(ALL_SIGNALS), "detail": F.lit("no UTC offset can be inferred"), "n_samples": F.lit(0)}))
         rows = rows.join(offsets, "series_id")
     rows = sun_position(rows, F.col("us") - F.col("offset_us"), F.col("lat"), F.col("lon"), angles.refract, "c_")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sunledger.frame import KEYS, long, signals_of
@@ -33,7 +33,6 @@ def check_ranges(frame: DataFrame, ranges: dict[str, tuple[float, float]]) -> Da
     """Readings outside [lo, hi]; a missing one is outside."""
     there = {s: r for s, r in ranges.items() if s in frame.columns}
     rows = long(frame, list(there), lo={s: float(r[0]) for s, r in there.items()}, hi={s: float(r[1]) for s, r in there.items()})
-    rows = rows.withColumn("detail", F.concat(F.lit("outside ["), number_text(F.col("lo")), F.lit(", "), number_text(F.col("hi")), F.lit("]")))
     bad = ~F.coalesce(F.col("value_num").between(F.col("lo"), F.col("hi")), F.lit(False))
     found = _bad_spans(rows, bad, F.col("value_num")).drop("rows")
     details = F.create_map(*[F.lit(x) for s, (lo, hi) in there.items() for x in (s, f"outside [{float(lo)}, {float(hi)}]")]) if there else F.create_map(F.lit(""), F.lit(""))
@@ -89,8 +88,15 @@ def check_constants(frame: DataFrame, signals: list[str], zero_tol: float = ZERO
     return as_findings(found.filter("detail <> ''"))
 
 
-def check_expected(frame: DataFrame, expected: dict[str, float | str], eps: float = 0.0) -> DataFrame:
-    """Signals that must always show one value; the comparison is numeric if the value and any reading are."""
+def _five(values: DataFrame) -> DataFrame:
+    """series_id, signal and seen: the five least of the distinct values in column shown."""
+    least = Window.partitionBy("series_id", "signal").orderBy("shown")
+    some = values.select("series_id", "signal", "shown").distinct().withColumn("nr", F.row_number().over(least)).filter("nr <= 5")
+    return some.groupBy("series_id", "signal").agg(F.array_sort(F.collect_list("shown")).alias("seen"))
+
+
+def _expected_rows(frame: DataFrame, expected: dict[str, float | str], eps: float) -> DataFrame:
+    """Long rows with text and whether they deviate, compared as numbers (off_num) and as text (off_text)."""
     there = {s: v for s, v in expected.items() if s in frame.columns}
 
     def as_number(v) -> float | None:
@@ -101,33 +107,66 @@ def check_expected(frame: DataFrame, expected: dict[str, float | str], eps: floa
 
     rows = long(frame, list(there), want_num={s: as_number(v) for s, v in there.items()}, want_text={s: str(v) for s, v in there.items()})
     rows = rows.withColumn("text", F.when(~F.lower("value_text").eqNullSafe("nan"), F.col("value_text")))
-    any_number = rows.groupBy("series_id", "signal").agg((F.count("value_num") > 0).alias("any_number"))
-    rows = rows.join(any_number, ["series_id", "signal"])
-    same = F.when(F.col("want_num").isNotNull() & F.col("any_number"), F.abs(F.col("value_num") - F.col("want_num").cast("double")) <= eps).otherwise(F.col("text") == F.col("want_text"))
-    rows = rows.withColumns({"bad": ~F.coalesce(same, F.lit(False)), "known": F.col("text").isNotNull()}).filter("bad")
-    other = F.when(F.col("known"), F.col("pos"))
-    found = rows.groupBy("series_id", "signal").agg(
-        F.min_by("value_num", other).alias("value_num"), F.min_by("text", other).alias("first_text"), F.min_by("ts", "pos").alias("start_ts"), F.max_by("ts", "pos").alias("end_ts"),
-        F.count("*").alias("n_samples"), F.count_if("known").alias("differ"), F.count_if(~F.col("known")).alias("missing"), F.array_sort(F.collect_set("text")).alias("seen"), F.first("want_text").alias("want"),
-    )
-    saw = F.concat(F.lit(" (saw ["), F.array_join(F.slice("seen", 1, 5), ", "), F.lit("])"))
+    off_num = ~F.coalesce(F.abs(F.col("value_num") - F.col("want_num").cast("double")) <= eps, F.lit(False))
+    return rows.withColumns({"off_num": off_num, "off_text": ~F.coalesce(F.col("text") == F.col("want_text"), F.lit(False))})
+
+
+def _as_numbers(rows: DataFrame) -> DataFrame:
+    """series_id, signal, numeric: whether the wanted value and any reading are numbers."""
+    return rows.groupBy("series_id", "signal").agg(((F.count("value_num") > 0) & (F.count("want_num") > 0)).alias("numeric"))
+
+
+def expected_deviations(frame: DataFrame, expected: dict[str, float | str], eps: float = 0.0) -> DataFrame:
+    """Readings that do not show the signal's expected value, missing ones too: KEYS, signal, value_text, value_num."""
+    rows = _expected_rows(frame, expected, eps)
+    off = F.when(F.col("numeric"), F.col("off_num")).otherwise(F.col("off_text"))
+    return rows.join(_as_numbers(rows), ["series_id", "signal"]).filter(off).select(*KEYS, "signal", "value_text", "value_num")
+
+
+def check_expected(frame: DataFrame, expected: dict[str, float | str], eps: float = 0.0) -> DataFrame:
+    """Signals that must always show one value; the comparison is numeric if the value and any reading are."""
+    rows = _expected_rows(frame, expected, eps)
+
+    def deviating(off: str) -> Column:
+        is_off, known = F.col(off), F.col("text").isNotNull()
+        at, other = F.when(is_off, F.col("pos")), F.when(is_off & known, F.col("pos"))
+        return F.struct(
+            F.min_by("value_num", other).alias("value_num"), F.min_by("text", other).alias("first_text"), F.min_by("ts", at).alias("start_ts"), F.max_by("ts", at).alias("end_ts"),
+            F.count_if(is_off).alias("n_samples"), F.count_if(is_off & known).alias("differ"), F.count_if(is_off & ~known).alias("missing"),
+        )
+
+    numeric = (F.count("value_num") > 0) & (F.count("want_num") > 0)
+    groups = rows.groupBy("series_id", "signal").agg(numeric.alias("numeric"), deviating("off_num").alias("by_num"), deviating("off_text").alias("by_text"), F.first("want_text").alias("want"))
+    found = groups.select("series_id", "signal", "want", F.inline(F.array(F.when(F.col("numeric"), F.col("by_num")).otherwise(F.col("by_text"))))).filter("n_samples > 0")
+    seen = _five(expected_deviations(frame, expected, eps).filter("lower(value_text) <> 'nan'").withColumn("shown", F.col("value_text")))
+    found = found.join(seen, ["series_id", "signal"], "left")
+    saw = F.concat(F.lit(" (saw ["), F.array_join("seen", ", "), F.lit("])"))
     detail = F.concat_ws("; ", F.when(F.col("differ") > 0, F.concat(F.col("differ").cast("string"), F.lit(" value(s) != "), F.col("want"), saw)), F.when(F.col("missing") > 0, F.concat(F.col("missing").cast("string"), F.lit(" missing"))))
     return as_findings(found.withColumns({"check": F.lit("expected"), "detail": detail, "value_text": F.when(F.col("value_num").isNull(), F.col("first_text")), "duration_us": F.timestamp_diff("microsecond", F.col("start_ts"), F.col("end_ts"))}))
 
 
-def check_sentinel(frame: DataFrame, signals: list[str], sentinel: float | dict[str, float] = -99.0, eps: float = 0.0) -> DataFrame:
-    """Unused signals that must show their sentinel; missing readings are counted apart. value: least deviating number."""
+def _sentinel_rows(frame: DataFrame, signals: list[str], sentinel: float | dict[str, float], eps: float) -> DataFrame:
     want = {s: float(sentinel.get(s, -99.0) if isinstance(sentinel, dict) else sentinel) for s in signals}
     rows = long(frame, signals, want=want)
-    rows = rows.withColumns({"bad": F.coalesce(F.abs(F.col("value_num") - F.col("want").cast("double")) > eps, F.lit(False)), "lost": F.col("value_num").isNull()})
+    return rows.withColumns({"bad": F.coalesce(F.abs(F.col("value_num") - F.col("want").cast("double")) > eps, F.lit(False)), "lost": F.col("value_num").isNull()})
+
+
+def sentinel_deviations(frame: DataFrame, signals: list[str], sentinel: float | dict[str, float] = -99.0, eps: float = 0.0) -> DataFrame:
+    """Readings of unused signals that are not their sentinel, missing ones too: KEYS, signal, value_text, value_num."""
+    return _sentinel_rows(frame, signals, sentinel, eps).filter("bad OR lost").select(*KEYS, "signal", "value_text", "value_num")
+
+
+def check_sentinel(frame: DataFrame, signals: list[str], sentinel: float | dict[str, float] = -99.0, eps: float = 0.0) -> DataFrame:
+    """Unused signals that must show their sentinel; missing readings are counted apart. value: least deviating number."""
+    rows = _sentinel_rows(frame, signals, sentinel, eps)
     at = F.when(F.col("bad"), F.col("pos"))
     found = rows.groupBy("series_id", "signal").agg(
-        F.min(F.when(F.col("bad"), F.col("value_num"))).alias("value_num"), F.min_by("ts", at).alias("start_ts"), F.max_by("ts", at).alias("end_ts"), F.count_if("bad").alias("differ"), F.count_if("lost").alias("missing"),
-        F.array_sort(F.collect_set(F.when(F.col("bad"), F.col("value_num")))).alias("seen"), F.first("want").alias("want"),
-    )
-    saw = F.when(F.col("differ") > 0, F.concat(F.lit(" (saw ["), F.array_join(F.transform(F.slice("seen", 1, 5), number_text), ", "), F.lit("])"))).otherwise("")
+        F.min(F.when(F.col("bad"), F.col("value_num"))).alias("value_num"), F.min_by("ts", at).alias("start_ts"), F.max_by("ts", at).alias("end_ts"), F.count_if("bad").alias("differ"), F.count_if("lost").alias("missing"), F.first("want").alias("want"),
+    ).filter("differ + missing > 0")
+    found = found.join(_five(rows.filter("bad").withColumn("shown", F.col("value_num"))), ["series_id", "signal"], "left")
+    saw = F.when(F.col("differ") > 0, F.concat(F.lit(" (saw ["), F.array_join(F.transform("seen", number_text), ", "), F.lit("])"))).otherwise("")
     detail = F.concat(F.concat_ws("; ", F.when(F.col("differ") > 0, F.concat(F.col("differ").cast("string"), F.lit(" value(s) != "), number_text(F.col("want").cast("double")))), F.when(F.col("missing") > 0, F.concat(F.col("missing").cast("string"), F.lit(" NaN/non-numeric")))), saw)
-    return as_findings(found.withColumns({"check": F.lit("sentinel"), "detail": detail, "n_samples": F.col("differ") + F.col("missing"), "duration_us": F.timestamp_diff("microsecond", F.col("start_ts"), F.col("end_ts"))}).filter("n_samples > 0"))
+    return as_findings(found.withColumns({"check": F.lit("sentinel"), "detail": detail, "n_samples": F.col("differ") + F.col("missing"), "duration_us": F.timestamp_diff("microsecond", F.col("start_ts"), F.col("end_ts"))}))
 
 
 def missing_signals(frame: DataFrame, spec) -> DataFrame:
@@ -165,4 +204,4 @@ def summarize(findings: DataFrame, spec) -> DataFrame:
     return out.withColumn("pass", F.col("n_findings") == 0).orderBy("pass", "check", "signal")
 
 
-__all__ = ["ALL_SIGNALS", "check_constants", "check_equivalent", "check_expected", "check_lesser", "check_ranges", "check_sentinel", "missing_signals", "summarize", "validate"]
+__all__ = ["ALL_SIGNALS", "check_constants", "check_equivalent", "check_expected", "check_lesser", "check_ranges", "check_sentinel", "expected_deviations", "missing_signals", "sentinel_deviations", "summarize", "validate"]

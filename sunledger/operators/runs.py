@@ -1,6 +1,7 @@
 """Runs over time: cadence, gaps, stalls, availability, windows, intervals and date bands.
 
-All windows are partitioned by series (and signal), so no step needs the whole table in one task.
+Cadence, gaps and stalls run in windows of a series' day, with the last row of each day carried over; the other
+windows are partitioned by series and see few rows of each.
 """
 
 from __future__ import annotations
@@ -15,22 +16,50 @@ GAP_FACTOR = 1.5
 MAX_STALL_US = 20_000_000
 
 
+DAY_US, BUCKET_ROWS = 86_400_000_000, 1 << 16
+
+
+def in_order(rows: DataFrame, keys: list[str], order: list[str], bucket: Column, carried: list[str]) -> DataFrame:
+    """rows with `nr` (place within keys, from 1) and `before`: a struct of carried of the row before it, NULL for the first.
+
+    Windows run inside buckets of keys, whose order must be that of the rows; only the last row and the
+    number of rows of each bucket are looked at over a whole key, so no task holds all rows of one.
+    """
+    rows = rows.withColumn("__bucket", bucket)
+    inside = Window.partitionBy(*keys, "__bucket").orderBy(*order)
+    ends = rows.groupBy(*keys, "__bucket").agg(F.max_by(F.struct(*carried), F.struct(*order)).alias("__last"), F.count("*").alias("__n"))
+    over = Window.partitionBy(*keys).orderBy("__bucket")
+    ends = ends.withColumns({"__before": F.lag("__last").over(over), "__offset": F.coalesce(F.sum("__n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    rows = rows.join(ends.drop("__last", "__n"), [*keys, "__bucket"])
+    placed = {"nr": F.col("__offset") + F.row_number().over(inside), "before": F.coalesce(F.lag(F.struct(*carried)).over(inside), F.col("__before"))}
+    return rows.withColumns(placed).drop("__bucket", "__before", "__offset")
+
+
+def exact_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys and median of value: equal values are counted first, so a buffer holds distinct ones only."""
+    return rows.groupBy(*keys, value).agg(F.count("*").alias("n")).groupBy(*keys).agg(F.percentile(value, F.lit(0.5), F.when(F.col(value).isNotNull(), F.col("n")).otherwise(0)).alias("median"))
+
+
 def steps(frame: DataFrame) -> DataFrame:
-    """frame's readings in time order with prev_us (NULL for the first) and step."""
-    w = Window.partitionBy("series_id").orderBy("us", "pos")
-    return frame.withColumn("prev_us", F.lag("us").over(w)).withColumn("step", F.col("us") - F.col("prev_us"))
+    """frame's readings with the time since the one before (prev_us and step, NULL for the first), by time."""
+    rows = in_order(frame, ["series_id"], ["us", "pos"], F.floor(F.col("us") / DAY_US), ["us"])
+    return rows.withColumn("prev_us", F.col("before.us")).withColumn("step", F.col("us") - F.col("prev_us")).drop("nr", "before")
 
 
 def sampling_interval(frame: DataFrame, in_time_order: bool = False) -> DataFrame:
     """series_id, interval_us: exact median of consecutive steps, in file order unless told otherwise."""
-    w = Window.partitionBy("series_id").orderBy(*(["us", "pos"] if in_time_order else ["pos"]))
-    return frame.select("series_id", (F.col("us") - F.lag("us").over(w)).alias("step")).groupBy("series_id").agg(F.median("step").alias("interval_us"))
+    if in_time_order:
+        stepped = steps(frame.select("series_id", "pos", "us"))
+    else:
+        rows = in_order(frame.select("series_id", "pos", "us"), ["series_id"], ["pos"], F.floor(F.col("pos") / BUCKET_ROWS), ["us"])
+        stepped = rows.withColumn("step", F.col("us") - F.col("before.us"))
+    return exact_median(stepped, ["series_id"], "step").withColumnRenamed("median", "interval_us")
 
 
 def gap_runs(frame: DataFrame, gap_factor: float = GAP_FACTOR) -> DataFrame:
     """Steps wider than gap_factor medians: series_id, start_ts, end_ts, duration_us, n_missing."""
     stepped = steps(frame.select("series_id", "pos", "us"))
-    median = stepped.groupBy("series_id").agg(F.median("step").alias("interval"))
+    median = exact_median(stepped, ["series_id"], "step").withColumnRenamed("median", "interval")
     wide = stepped.join(median, "series_id").filter((F.col("interval") > 0) & (F.col("step") > gap_factor * F.col("interval")))
     return wide.select("series_id", from_micros(F.col("prev_us")).alias("start_ts"), from_micros(F.col("us")).alias("end_ts"), F.col("step").alias("duration_us"), (F.rint(F.col("step") / F.col("interval")) - 1).cast("bigint").alias("n_missing"))
 
@@ -42,24 +71,25 @@ def stall_runs(frame: DataFrame, signals: list[str], max_stall_us: float | Colum
     A run ends where the next of its segment starts; the last at its segment's last reading.
     in_medians: windows are multiples of the series' median step. A window below the median step is refused.
     """
+    keys = ["series_id", "signal"]
     rows = long(frame, signals, window={s: float((windows or {}).get(s, max_stall_us)) for s in signals} if not isinstance(max_stall_us, Column) else {})
     rows = rows.withColumn("seen", F.bround("value_num", decimals) if decimals is not None else F.col("value_num"))
-    by_time = Window.partitionBy("series_id", "signal").orderBy("us", "pos")
-    rows = rows.withColumn("prev_us", F.lag("us").over(by_time)).withColumn("step", F.col("us") - F.col("prev_us"))
-    median = steps(frame.select("series_id", "pos", "us")).groupBy("series_id").agg(F.median("step").alias("interval"))
+    median = sampling_interval(frame, in_time_order=True).withColumnRenamed("interval_us", "interval")
+    whole = rows.groupBy(*keys).agg(F.max("us").alias("last_us"), F.count("*").alias("rows"))
+    rows = in_order(rows.select(*keys, "pos", "us", "value_num", "seen", "window"), keys, ["us", "pos"], F.floor(F.col("us") / DAY_US), ["us", "seen"])
     rows = rows.join(median, "series_id").filter("interval IS NOT NULL")
     window = F.col("window") * F.col("interval") if in_medians else F.col("window")
     refused = F.when(window < F.col("interval"), F.raise_error(F.concat(F.lit("max_stall is below the sampling interval of "), "signal"))).otherwise(window)
-    gap = F.coalesce((F.col("interval") > 0) & (F.col("step") > gap_factor * F.col("interval")), F.lit(False))
-    changed = ~F.col("seen").eqNullSafe(F.lag("seen").over(by_time)) | F.col("prev_us").isNull() | gap
-    rows = rows.withColumns({"limit": refused, "segment": F.sum(gap.cast("int")).over(by_time), "run": F.sum(changed.cast("int")).over(by_time)})
-    runs = rows.groupBy("series_id", "signal", "segment", "run").agg(
-        F.min_by("value_num", F.struct("us", "pos")).alias("value"), F.min("us").alias("first"), F.max("us").alias("last"), F.count("*").alias("n_samples"), F.first("limit").alias("limit")
-    )
-    end = F.coalesce(F.lead("first").over(Window.partitionBy("series_id", "signal", "segment").orderBy("run")), F.col("last"))
-    runs = runs.withColumn("end", end).withColumn("duration_us", F.col("end") - F.col("first"))
-    held = runs.filter(F.col("value").isNotNull() & (F.col("duration_us") > F.col("limit")))
-    return held.select("series_id", "signal", "value", from_micros(F.col("first")).alias("start_ts"), from_micros(F.col("end")).alias("end_ts"), "duration_us", "n_samples")
+    gap = F.coalesce((F.col("interval") > 0) & (F.col("us") - F.col("before.us") > gap_factor * F.col("interval")), F.lit(False))
+    rows = rows.withColumns({"limit": refused, "gap": gap, "prev_us": F.col("before.us")})
+    starts = rows.filter(F.col("before").isNull() | F.col("gap") | ~F.col("seen").eqNullSafe(F.col("before.seen")))
+    # what follows a run: the next start, in descending order the one before
+    starts = starts.select(*keys, (-F.col("us")).alias("back_us"), (-F.col("pos")).alias("back_pos"), "us", "value_num", "limit", "gap", "prev_us", F.col("nr").alias("at"))
+    runs = in_order(starts, keys, ["back_us", "back_pos"], F.floor(F.col("back_us") / DAY_US), ["us", "gap", "prev_us", "at"]).join(whole, keys)
+    end = F.when(F.col("before").isNull(), F.col("last_us")).when(F.col("before.gap"), F.col("before.prev_us")).otherwise(F.col("before.us"))
+    runs = runs.withColumns({"end": end, "n_samples": F.coalesce(F.col("before.at"), F.col("rows") + 1) - F.col("at")}).withColumn("duration_us", F.col("end") - F.col("us"))
+    held = runs.filter(F.col("value_num").isNotNull() & (F.col("duration_us") > F.col("limit")))
+    return held.select(*keys, F.col("value_num").alias("value"), from_micros(F.col("us")).alias("start_ts"), from_micros(F.col("end")).alias("end_ts"), "duration_us", "n_samples")
 
 
 def expected_periods(start_us: int, end_us: int, interval_us: int) -> int:
@@ -117,6 +147,16 @@ def fault_intervals(events: DataFrame, on: Column) -> DataFrame:
     return out.select("series_id", F.col("ts").alias("start_ts"), from_micros(F.col("end")).alias("end_ts"), ((F.col("end") - F.col("us")) / 1e6).alias("seconds"))
 
 
+def fault_totals(intervals: DataFrame) -> DataFrame:
+    """series_id, n_spans, seconds: how often and how long a series was on. intervals: as of fault_intervals."""
+    return intervals.groupBy("series_id").agg(F.count("*").alias("n_spans"), F.sum("seconds").alias("seconds"))
+
+
+def time_slice(frame: DataFrame, start_us: int, end_us: int) -> DataFrame:
+    """Readings from start to end, both ends included."""
+    return frame.filter(F.col("us").between(F.lit(start_us), F.lit(end_us)))
+
+
 def date_bands(dates: DataFrame) -> DataFrame:
     """Runs of consecutive dates: series_id, start_date, end_date, n_days. dates: series_id, date (distinct)."""
     w = Window.partitionBy("series_id").orderBy("date")

@@ -6,6 +6,7 @@ type, the daily statistics of lineitem a statistical file, conversations header
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,13 +14,14 @@ from pyspark.sql import functions as F
 
 from sunledger.frame import signal_frame
 from sunledger.functions import shading, solar
-from sunledger.operators import checks, runs
+from sunledger.operators import checks, runs, status_table
 from sunledger.operators.angles import check_solar_angles
 from sunledger.operators.offset import infer_utc_offset
 from sunledger.plans.spec import SolarAngles, Spec
-from sunledger.plans.specs import DIAGNOSTIC
+from sunledger.plans.specs import DIAGNOSTIC, MODBUS, modbus_signals
 from sunledger.schema import from_micros, number
 from sunledger.sources import channels, logger
+from sunledger.stored import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -188,7 +190,10 @@ def missing_signals(spark, sf_dir):
     return checks.missing_signals(events(spark, sf_dir), SPEC).select("series_id", "check", "signal", "detail", "n_samples")
 
 
-@query()
+@query(GAPS + """SELECT '' AS series_id, 'missing' AS "check", s AS signal, 'not present in file' AS detail, CAST(NULL AS DOUBLE) AS value_num, CAST(NULL AS VARCHAR) AS value_text, CAST(NULL AS TIMESTAMP) AS start_ts, CAST(NULL AS TIMESTAMP) AS end_ts, CAST(NULL AS BIGINT) AS duration_us, CAST(0 AS BIGINT) AS n_samples, 0 AS check_order FROM (VALUES ('absent'), ('gone')) AS v(s)
+UNION ALL SELECT event_type, 'gap', '(all signals)', concat('no data for ', step // 86400000000, ' days ', printf('%02d:%02d:%02d', step // 3600000000 % 24, step // 60000000 % 60, step // 1000000 % 60), ' (~', CAST(round_even(step / med, 0) - 1 AS BIGINT), ' samples missing)'), CAST(round_even(step / med, 0) - 1 AS DOUBLE), NULL, prev, ts, step, 0, 1 FROM s JOIN m USING (event_type) WHERE med > 0 AND step > 8 * med
+UNION ALL SELECT event_type, 'range', 'value', 'outside [0.0, 150.0]', arg_min(value, event_id), NULL, arg_min(ts, event_id), arg_max(ts, event_id), date_diff('microsecond', arg_min(ts, event_id), arg_max(ts, event_id)), count(*), 2 FROM events WHERE NOT (value BETWEEN 0 AND 150) GROUP BY event_type
+UNION ALL SELECT event_type, 'constant', 'value', CASE WHEN min(abs(value)) <= 1e-9 THEN 'changes; zero/blank' ELSE 'changes' END, arg_min(value, event_id), NULL, arg_min(ts, event_id), arg_max(ts, event_id), date_diff('microsecond', arg_min(ts, event_id), arg_max(ts, event_id)), count(DISTINCT value), 6 FROM events GROUP BY event_type HAVING max(value) > min(value)""")
 def validate_events(spark, sf_dir):
     return checks.validate(events(spark, sf_dir), SPEC)
 
@@ -202,11 +207,18 @@ def summary_events(spark, sf_dir):
     return checks.summarize(validate_events(spark, sf_dir), SPEC)
 
 
-SUN = """WITH a AS (SELECT event_id, ts, epoch_us(ts) AS us, (epoch_us(ts) / 8.64e10 + 2440587.5 - 2451545.0) / 36525.0 AS t FROM events),
-b AS (SELECT *, radians(280.46646 + t * (36000.76983 + t * 0.0003032) - 360.0 * floor((280.46646 + t * (36000.76983 + t * 0.0003032)) / 360.0)) AS l, radians(357.52911 + t * (35999.05029 - 0.0001537 * t)) AS m, 0.016708634 - t * (0.000042037 + 0.0000001267 * t) AS e, radians(125.04 - 1934.136 * t) AS o FROM a),
-c AS (SELECT *, radians(degrees(l) + sin(m) * (1.914602 - t * (0.004817 + 0.000014 * t)) + sin(2 * m) * (0.019993 - 0.000101 * t) + sin(3 * m) * 0.000289 - 0.00569 - 0.00478 * sin(o)) AS lam, radians(23.0 + (26.0 + (21.448 - t * (46.815 + t * (0.00059 - t * 0.001813))) / 60.0) / 60.0 + 0.00256 * cos(o)) AS eps FROM b),
-d AS (SELECT *, asin(sin(eps) * sin(lam)) AS dec, tan(eps / 2) * tan(eps / 2) AS y FROM c),
-f AS (SELECT *, 4.0 * degrees(y * sin(2 * l) - 2 * e * sin(m) + 4 * e * y * sin(m) * cos(2 * l) - 0.5 * y * y * sin(4 * l) - 1.25 * e * e * sin(2 * m)) AS eot FROM d),
+def ecliptic_sql(rows: str, us: str, tag: str = "") -> str:
+    """CTEs that add dec and eot at the instant us to the CTE rows; the last one is called {tag}f."""
+    return f"""{tag}a AS (SELECT *, ({us} / 8.64e10 + 2440587.5 - 2451545.0) / 36525.0 AS t FROM {rows}),
+{tag}b AS (SELECT *, radians(280.46646 + t * (36000.76983 + t * 0.0003032) - 360.0 * floor((280.46646 + t * (36000.76983 + t * 0.0003032)) / 360.0)) AS l, radians(357.52911 + t * (35999.05029 - 0.0001537 * t)) AS m, 0.016708634 - t * (0.000042037 + 0.0000001267 * t) AS e, radians(125.04 - 1934.136 * t) AS o FROM {tag}a),
+{tag}c AS (SELECT *, radians(degrees(l) + sin(m) * (1.914602 - t * (0.004817 + 0.000014 * t)) + sin(2 * m) * (0.019993 - 0.000101 * t) + sin(3 * m) * 0.000289 - 0.00569 - 0.00478 * sin(o)) AS lam, radians(23.0 + (26.0 + (21.448 - t * (46.815 + t * (0.00059 - t * 0.001813))) / 60.0) / 60.0 + 0.00256 * cos(o)) AS eps FROM {tag}b),
+{tag}d AS (SELECT *, asin(sin(eps) * sin(lam)) AS dec, tan(eps / 2) * tan(eps / 2) AS y FROM {tag}c),
+{tag}f AS (SELECT * EXCLUDE (t, l, m, e, o, lam, eps, y), 4.0 * degrees(y * sin(2 * l) - 2 * e * sin(m) + 4 * e * y * sin(m) * cos(2 * l) - 0.5 * y * y * sin(4 * l) - 1.25 * e * e * sin(2 * m)) AS eot FROM {tag}d)"""
+
+
+def sun_sql(rows: str) -> str:
+    """A WITH clause whose CTE k has the rows of a query (with us) and the refracted elevation and azimuth at the site."""
+    return f"""WITH q AS ({rows}), {ecliptic_sql("q", "us")},
 g AS (SELECT *, (us % 86400000000) / 6e7 + eot + 4.0 * -73.2 AS tst FROM f),
 h AS (SELECT *, radians((tst - 1440.0 * floor(tst / 1440.0)) / 4.0 - 180.0) AS ha FROM g),
 i AS (SELECT *, greatest(-1.0, least(1.0, sin(radians(44.5)) * sin(dec) + cos(radians(44.5)) * cos(dec) * cos(ha))) AS cz FROM h),
@@ -216,6 +228,27 @@ k AS (SELECT *, CASE WHEN ha > 0 THEN az + 180.0 - 360.0 * floor((az + 180.0) /
 """
 
 
+SUN = sun_sql("SELECT event_id, ts, epoch_us(ts) AS us FROM events")
+
+
+def shade_sql(rows: str) -> str:
+    """As sun_sql; the CTE shade has miss and rod_width (degrees) and blocked of the usual rod, too."""
+    area = "({x} * sqrt(greatest(r * r - {x} * {x}, 0.0)) + r * r * asin(greatest(-1.0, least(1.0, {x} / r))))"
+    cut = "greatest(-r, least(r, miss_rad {sign} half))"
+    strip = f"({area.format(x=cut.format(sign='+'))} - {area.format(x=cut.format(sign='-'))}) / (pi() * r * r)"
+    return sun_sql(rows) + f""", s1 AS (SELECT *, cos(radians(elevation)) * sin(radians(azimuth)) * -4.0 * sin(radians(90.0)) + cos(radians(elevation)) * cos(radians(azimuth)) * -4.0 * cos(radians(90.0)) AS a, sin(radians(elevation)) * 1.5 AS b, radians(0.533 / 2) AS r FROM k),
+s2 AS (SELECT *, greatest(0.0, least(1.0, CASE WHEN abs(a * 2.25) > 1e-12 THEN b * 16.0 / (a * 2.25) ELSE 0.0 END)) AS t FROM s1),
+s3 AS (SELECT *, (a + b * t) / sqrt(16.0 + 2.25 * t * t) AS c0, a / 4.0 AS c1, (a + b) / sqrt(18.25) AS c2 FROM s2),
+s4 AS (SELECT *, acos(greatest(-1.0, least(1.0, greatest(c0, c1, c2)))) AS miss_rad, atan(0.5 * (0.5 / 12) / CASE WHEN c1 <= c0 AND c2 <= c0 THEN sqrt(16.0 + 2.25 * t * t) WHEN c2 <= c1 THEN 4.0 ELSE sqrt(18.25) END) AS half FROM s3),
+shade AS (SELECT *, degrees(miss_rad) AS miss, degrees(2 * half) AS rod_width, CASE WHEN elevation > 0 THEN greatest(0.0, least(1.0, {strip})) ELSE 0.0 END AS blocked FROM s4)
+"""
+
+
+#: A local day's stamps every ten seconds, and a spring's every minute with the change of clocks in it.
+DAY_ROWS = "SELECT i AS pos, TIMESTAMP '2024-04-01 04:00:00' + to_seconds(10 * i) AS ts, epoch_us(TIMESTAMP '2024-04-01 04:00:00') + 10000000 * i AS us FROM range(8640) AS v(i)"
+SEASON_ROWS = "SELECT ts, epoch_us(ts) AS us, CAST(ts - CASE WHEN ts < TIMESTAMP '2024-03-10 07:00:00' THEN INTERVAL 5 HOUR ELSE INTERVAL 4 HOUR END AS DATE) AS date FROM (SELECT unnest(generate_series(TIMESTAMP '2024-03-01 05:00:00', TIMESTAMP '2024-06-01 03:59:00', INTERVAL 1 MINUTE)) AS ts)"
+
+
 @query(SUN + "SELECT event_id, round(elevation, 6) AS elevation, round(90.0 - elevation, 6) AS zenith, round(azimuth, 6) AS azimuth FROM k")
 def sun_position(spark, sf_dir):
     sun = solar.sun_position(events(spark, sf_dir), F.col("us"), LAT, LON)
@@ -239,7 +272,10 @@ def refraction(spark, sf_dir):
     return _read(spark, sf_dir, "events").select("event_id", F.round(solar.refraction(F.col("value") / 10 - 5.00001), 6).alias("refraction"))
 
 
-@query()
+@query(f"""WITH q AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date, epoch_us(CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP)) AS midnight FROM orders WHERE o_orderdate IS NOT NULL),
+{ecliptic_sql("q", "(midnight + 43200000000)")}, n1 AS (SELECT date, midnight, midnight + (720.0 - eot - 4.0 * -73.2) * 6e7 AS us FROM f), {ecliptic_sql("n1", "CAST(us AS BIGINT)", "z")},
+n2 AS (SELECT date, CAST(round_even((midnight + (720.0 - eot - 4.0 * -73.2) * 6e7) / 1e6, 0) * 1000000 AS BIGINT) AS noon FROM zf)
+SELECT date, make_timestamp(noon - 7200000000) AS start_ts, make_timestamp(noon + 7200000000) AS end_ts FROM n2""")
 def solar_noon_window(spark, sf_dir):
     days = _read(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("date")).distinct()
     midnight = F.date_diff("date", F.lit("1970-01-01").cast("date")).cast("bigint") * solar.DAY_US
@@ -273,20 +309,28 @@ def solar_angle_findings(spark, sf_dir):
     return check_solar_angles(_recorded(spark, sf_dir, -18_000_000_000), angles).select("series_id", "check", "signal", "detail", "n_samples")
 
 
-@query()
+@query(shade_sql(DAY_ROWS) + "SELECT pos, ts, round(elevation, 4) AS elevation, round(azimuth, 4) AS azimuth, round(miss, 4) AS miss, round(rod_width, 6) AS rod_width, round(blocked, 4) AS blocked FROM shade")
 def shade_track(spark, sf_dir):
-    return shading.shadow_track(spark, "2024-04-01", LAT, LON, "America/New_York").select("pos", "ts", *[F.round(c, 6).alias(c) for c in ("elevation", "azimuth", "miss", "rod_width", "blocked")])
+    track = shading.shadow_track(spark, "2024-04-01", LAT, LON, "America/New_York")
+    return track.select("pos", "ts", *[F.round(c, n).alias(c) for c, n in (("elevation", 4), ("azimuth", 4), ("miss", 4), ("rod_width", 6), ("blocked", 4))])
 
 
-@query()
+@query(shade_sql(DAY_ROWS) + """, o AS (SELECT *, blocked > 0.01 AS over FROM shade), u AS (SELECT *, sum(CASE WHEN over AND NOT coalesce(was, FALSE) THEN 1 ELSE 0 END) OVER (ORDER BY pos) AS run FROM (SELECT *, lag(over) OVER (ORDER BY pos) AS was FROM o))
+SELECT '2024-04-01' AS series_id, min(ts) AS start_ts, max(ts) + INTERVAL 10 SECOND AS end_ts, max(us) + 10000000 - min(us) AS duration_us, round(max(blocked), 4) AS peak FROM u WHERE over GROUP BY run""")
 def shadow_windows(spark, sf_dir):
     track = shading.shadow_track(spark, "2024-04-01", LAT, LON, "America/New_York")
-    return runs.windows_over(track, "blocked", shading.THRESHOLD, ["elevation", "azimuth"])
+    return runs.windows_over(track, "blocked", shading.THRESHOLD, ["elevation", "azimuth"]).select("series_id", "start_ts", "end_ts", "duration_us", F.round("peak", 4).alias("peak"))
 
 
-@query()
+@query(shade_sql(SEASON_ROWS) + "SELECT date, round(max(blocked), 4) AS peak, CAST(count(*) FILTER (blocked > 0.01) AS DOUBLE) AS minutes FROM shade GROUP BY 1")
 def shadow_season(spark, sf_dir):
-    return shading.shadow_season(spark, "2024-03-01", "2024-05-31", LAT, LON, "America/New_York", 60)
+    season = shading.shadow_season(spark, "2024-03-01", "2024-05-31", LAT, LON, "America/New_York", 60)
+    return season.select("date", F.round("peak", 4).alias("peak"), "minutes")
+
+
+@query(shade_sql(SEASON_ROWS) + "SELECT date, CAST(count(*) FILTER (blocked > 0.01) AS DOUBLE) AS minutes FROM shade GROUP BY 1 HAVING count(*) FILTER (blocked > 0.01) > 0")
+def shadow_days(spark, sf_dir):
+    return shading.shadow_season(spark, "2024-03-01", "2024-05-31", LAT, LON, "America/New_York", 60).filter("minutes > 0").select("date", "minutes")
 
 
 @query("""WITH r AS (SELECT *, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS b FROM conversations)
@@ -359,6 +403,217 @@ def export_days_left(spark, sf_dir):
     return logger.export_days("1992-01-01", "1998-12-31", _read(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("date")))
 
 
-@query()
+@query("""WITH r AS (SELECT unnest(['VIN_RP_V', '+VIN_RP', '-VIN_RP_V', '13_3V_V', '12_4V_V', 'COMA EXC_V', 'COMB EXC_V', '15V_V', '-15V_V', '12V_V', '5V_V', '3_3V_V']) AS s), c AS (SELECT unnest(['12_4V_mA', '3_3V_mA', '12V_mA', 'COMA EXC_mA', 'COMB EXC_mA']) AS s), n AS (FROM r UNION ALL FROM c)
+SELECT 'gap' AS "check", '(all signals)' AS signal UNION ALL SELECT 'range', s || '_' || t FROM n, (VALUES ('Avg'), ('Min'), ('Max'), ('SD')) AS v(t)
+UNION ALL SELECT 'lesser', s || '_Min vs ' || s || '_Avg' FROM n UNION ALL SELECT 'lesser', s || '_Avg vs ' || s || '_Max' FROM n UNION ALL SELECT 'stall', s || '_' || t FROM c, (VALUES ('Avg'), ('SD')) AS v(t)""")
 def diagnostic_spec(spark, sf_dir):
     return spark.createDataFrame(DIAGNOSTIC.tested(), "check string, signal string")
+
+
+def _region_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with a logger file for each region: its nations as rows, every seventh with a field too many."""
+    nation, region = _read(spark, sf_dir, "nation"), _read(spark, sf_dir, "region")
+    rows = nation.join(region, nation.n_regionkey == region.r_regionkey).select("r_regionkey", "r_name", "n_nationkey", "n_name").orderBy("n_nationkey").collect()  # 25 rows
+    files: dict[str, list[str]] = {}
+    for r in rows:
+        head = [f"Site Name:\t{r['r_name']}", f"Latitude:\t{40 + r['r_regionkey']}.5", "Site Longitude\t-73.2", "Channel\t1", "Description\tAir Temp", "Units\tdeg_C", "Channel\t2", "Type\tGauge", "Units\tmm", "Data", "Timestamp\tCh1_Avg_deg_C\tCh1_Min_deg_C\tCh2_Total_mm\tname"]
+        lines = files.setdefault(f"site{r['r_regionkey']}_log.dat", head)
+        extra = "\tover" if r["n_nationkey"] % 7 == 3 else ""
+        lines.append(f"2024-01-01T00:{r['n_nationkey']:02d}:00Z\t{r['n_nationkey'] * 1.5}\t{r['n_nationkey']}\t2\t{r['n_name']}{extra}")
+    folder = f"{shared_dir(spark)}/logger-{uuid.uuid4().hex}"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name, lines in {**files, "notes.txt": ["no logger file"]}.items():
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        out = path.getFileSystem(conf).create(path, True)
+        out.write(bytearray("\n".join(lines).encode()))
+        out.close()
+    return folder
+
+
+@query("""SELECT concat('site', n_regionkey, '_log.dat') AS file, printf('2024-01-01T00:%02d:00Z', n_nationkey) AS "Timestamp", CAST(CAST(n_nationkey * 1.5 AS DOUBLE) AS VARCHAR) AS avg, n_name AS name FROM nation WHERE n_nationkey % 7 <> 3""")
+def logger_rows(spark, sf_dir):
+    data, _, _ = logger.read_files(spark, _region_files(spark, sf_dir))
+    return data.select("file", "Timestamp", F.col("Ch1_Avg_deg_C").alias("avg"), "name")
+
+
+@query("""SELECT concat('site', n_regionkey, '_log.dat') AS file, printf('2024-01-01T00:%02d:00Z', n_nationkey) AS "timestamp", CAST(6 AS INTEGER) AS fields, CAST(5 AS INTEGER) AS expected FROM nation WHERE n_nationkey % 7 = 3""")
+def logger_malformed(spark, sf_dir):
+    return logger.malformed_rows(logger.read_lines(spark, _region_files(spark, sf_dir)))
+
+
+@query("""SELECT concat('site', n_regionkey, '_log.dat') AS file, TIMESTAMP '2024-01-01' + to_minutes(CAST(n_nationkey AS INTEGER)) AS ts, CAST(n_nationkey * 1.5 AS DOUBLE) AS Ch1_Avg_Air_Temp_deg_C, CAST(n_nationkey AS DOUBLE) AS Ch1_Min_Air_Temp_deg_C, CAST(2 AS DOUBLE) AS Ch2_Gauge_mm FROM nation WHERE n_nationkey % 7 <> 3""")
+def logger_indexed(spark, sf_dir):
+    data, header, _ = logger.read_files(spark, _region_files(spark, sf_dir))
+    names = {r["channel"]: r["name"] for r in channels.channel_names(channels.channel_blocks(header)).filter("file = 'site0_log.dat'").collect()}  # two channels
+    frame = logger.indexed(data, "Timestamp", names)
+    return frame.select("file", "ts", *[number(F.col(c)).alias(c) for c in ("Ch1_Avg_Air_Temp_deg_C", "Ch1_Min_Air_Temp_deg_C", "Ch2_Gauge_mm")])
+
+
+@query("""SELECT concat('site', r_regionkey, '_log.dat') AS file, r_name AS site, CAST(40.5 + r_regionkey AS DOUBLE) AS latitude, CAST(-73.2 AS DOUBLE) AS longitude FROM region""")
+def site_positions(spark, sf_dir):
+    _, header, _ = logger.read_files(spark, _region_files(spark, sf_dir))
+    sites = [(r["file"], r["fields"]["Site Name"], *channels.site_coordinates(r["fields"])) for r in channels.site_fields(header).collect()]  # a row for each file
+    return spark.createDataFrame(sites, "file string, site string, latitude double, longitude double")
+
+
+@query("""SELECT concat('site', n_regionkey, '_log.dat') AS file, CAST(13 + row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 2 AS INTEGER) AS pos, n_name AS name, TIMESTAMP '2024-01-01' + to_minutes(CAST(n_nationkey AS INTEGER)) AS ts FROM nation""")
+def capture_rows(spark, sf_dir):
+    folder = _region_files(spark, sf_dir)
+    lines = logger.read_lines(spark, folder).filter(F.col("pos") > 9)  # from the column names on: a capture without a header of its own
+    fields = lines.filter("pos > 10").select("file", (F.col("pos") + 1).cast("int").alias("pos"), F.split("line", "\t").alias("f"))
+    return logger.time_axis(fields.select("file", "pos", F.get("f", 0).alias("Timestamp"), F.get("f", 4).alias("name")), "Timestamp").select("file", "pos", "name", "ts")
+
+
+#: Parts as channels: 50 to a brand, of which the last block counts.
+UNITS_OF = ("W/m^2", "deg_C", "m/s", "%", "mm", "hPa", "V", "deg", "NA")
+PREFIX_OF = ("Soiling ", "Tilt GHI ", "Zenith ", "RHI ", "")
+PART_CHANNELS = f"""WITH p AS (SELECT p_brand AS file, CAST(p_partkey % 50 AS INTEGER) AS channel, p_partkey, concat({list(PREFIX_OF)}[p_partkey % 5 + 1], p_name) AS description, p_type AS measurand, {list(UNITS_OF)}[p_size % 9 + 1] AS units FROM part),
+l AS (SELECT file, channel, arg_max(p, p_partkey) AS b FROM p GROUP BY 1, 2), c AS (SELECT file, channel, b.description AS description, b.measurand AS measurand, b.units AS units, lower(b.units) AS u, lower(concat(b.description, ' ', b.measurand)) AS x FROM l),
+k AS (SELECT * EXCLUDE (u, x), CASE {" ".join("WHEN " + " AND ".join([f"u IN ({', '.join(repr(u) for u in units)})", *("(" + " OR ".join(f"contains(x, {w!r})" for w in any_of) + ")" for any_of in words)]) + f" THEN {kind!r}" for kind, units, words in channels.RULES)} END AS kind FROM c)
+"""
+
+
+def _part_blocks(spark, sf_dir):
+    part = _read(spark, sf_dir, "part")
+    description = F.concat(F.get(F.array(*map(F.lit, PREFIX_OF)), F.col("p_partkey") % 5), "p_name")
+    lines = [("Channel", (F.col("p_partkey") % 50).cast("string")), ("Description:", description), ("Measurand", F.col("p_type")), ("Units", F.get(F.array(*map(F.lit, UNITS_OF)), F.col("p_size") % 9))]
+    header = part.select(F.col("p_brand").alias("file"), F.inline(F.array(*[F.struct((F.col("p_partkey") * 10 + i).alias("pos"), F.lit(k).alias("key"), v.alias("value")) for i, (k, v) in enumerate(lines)])))
+    return channels.channel_blocks(header)
+
+
+@query(PART_CHANNELS + r"SELECT file, channel, concat_ws('_', concat('Ch', channel), regexp_replace(description, '\s+', '_', 'g'), regexp_replace(measurand, '\s+', '_', 'g'), regexp_replace(units, '\s+', '_', 'g')) AS name FROM k")
+def channel_labels(spark, sf_dir):
+    return channels.channel_names(_part_blocks(spark, sf_dir))
+
+
+@query(PART_CHANNELS + "SELECT file, channel, kind FROM k")
+def channel_kinds(spark, sf_dir):
+    return channels.channel_kinds(_part_blocks(spark, sf_dir))
+
+
+LISTED = ["Timestamp", "Ch1_Avg_deg_C", "Ch1_Min_deg_C", "Ch1_SD_deg_C", "Ch2_Total_mm", "Ch3_deg", "Ch3_NotUsed"]
+LISTING = PART_CHANNELS + f""", n AS (SELECT * FROM (VALUES (1, 'Avg Min SD'), (2, 'Total'), (3, 'NotUsed')) AS v(channel, statistics)), b AS (SELECT * FROM (VALUES {", ".join(f"({k!r}, CAST({v.lo} AS DOUBLE), CAST({v.hi} AS DOUBLE), {v.dynamic})" for k, v in channels.KINDS.items())}) AS v(kind, lo, hi, dynamic))
+SELECT file, n.channel AS channel, description, measurand, units, statistics, coalesce(k.kind, '') AS kind, lo, hi, coalesce(dynamic, FALSE) AS dynamic FROM n LEFT JOIN k USING (channel) LEFT JOIN b ON k.kind = b.kind"""
+
+
+@query(LISTING)
+def channel_listing(spark, sf_dir):
+    return channels.channels(LISTED, _part_blocks(spark, sf_dir))
+
+
+@query(f"SELECT * FROM ({LISTING}) WHERE kind = ''")
+def channels_unclassified(spark, sf_dir):
+    return channels.unclassified(channels.channels(LISTED, _part_blocks(spark, sf_dir)))
+
+
+@query("""SELECT * FROM (VALUES ('Ch1_Avg_deg_C', 'Ch1_Avg_Air'), ('Ch1_Min_deg_C', 'Ch1_Min_Air'), ('Ch2_Total_mm', 'Ch2_Rain_mm'), ('Timestamp', 'Timestamp')) AS v("old", "new")""")
+def renamed_channels(spark, sf_dir):
+    new = channels.rename_channels(["Timestamp", "Ch1_Avg_deg_C", "Ch1_Min_deg_C", "Ch2_Total_mm", "Ch9_NotUsed"], {1: "Ch1_Air", 2: "Ch2_Rain_mm"})
+    return spark.createDataFrame(list(new.items()), "old string, new string")
+
+
+@query("""SELECT * FROM (VALUES ('Wind', 'Wind_Avg Wind_Max'), ('Wind_Gust', 'Wind_Gust'), ('plain', 'plain')) AS v(signal, columns)""")
+def signal_groups(spark, sf_dir):
+    groups = channels.signal_groups(["Wind_Avg", "Wind_Gust", "plain", "Wind_Max"])
+    return spark.createDataFrame([(k, " ".join(v)) for k, v in groups.items()], "signal string, columns string")
+
+
+@query("""WITH g AS (SELECT p_brand, list_sort(list(DISTINCT CASE p_size % 4 WHEN 0 THEN 'Avg' WHEN 1 THEN 'Max' WHEN 2 THEN '' ELSE 'SD' END)) AS s FROM part WHERE p_size % 50 < p_partkey % 3 GROUP BY 1)
+SELECT p_brand, CASE WHEN list_contains(s, 'Max') THEN 'Max' WHEN s = [''] THEN '' END AS named, CASE WHEN list_contains(s, 'Avg') THEN 'Avg' WHEN list_contains(s, '') THEN '' ELSE s[1] END AS usual FROM g""")
+def chosen_statistics(spark, sf_dir):
+    kind = F.element_at(F.array(*map(F.lit, ("Avg", "Max", "", "SD"))), (F.col("p_size") % 4 + 1).cast("int"))
+    groups = _read(spark, sf_dir, "part").filter("p_size % 50 < p_partkey % 3").groupBy("p_brand").agg(F.array_sort(F.collect_set(kind)).alias("s"))
+    return groups.select("p_brand", channels.choose_statistic(F.col("s"), "Max").alias("named"), channels.choose_statistic(F.col("s")).alias("usual"))
+
+
+@query("""SELECT * FROM (VALUES ('range', 43), ('equivalent', 1), ('lesser', 2), ('stall', 30), ('constant', 11), ('expected', 2), ('sentinel', 3), ('solar', 3), ('utc', 1), ('clock', 1), ('gap', 1)) AS v("check", n)""")
+def modbus_checks(spark, sf_dir):
+    return spark.createDataFrame(MODBUS.tested(), "check string, signal string").groupBy("check").agg(F.count("*").cast("int").alias("n"))
+
+
+@query("SELECT * FROM (VALUES ('GHI'), ('Counter')) AS v(signal)")
+def measured_columns(spark, sf_dir):
+    return spark.createDataFrame([(c,) for c in modbus_signals(["GHI", "ProtoNode.Modbus_Poll_Timestamp", "reserved_1", "Unnamed: 4", "__x", "Counter"])], "signal string")
+
+
+@query("""SELECT * FROM (VALUES ('gap', '(all signals)'), ('range', 'Ch1_Avg_deg_C'), ('range', 'Ch1_Min_deg_C'), ('range', 'Ch1_Max_deg_C'), ('range', 'Ch1_SD_deg_C'), ('range', 'Ch2_Avg_deg'), ('stall', 'Ch1_Avg_deg_C'), ('stall', 'Ch2_Avg_deg'), ('lesser', 'Ch1_Min_deg_C vs Ch1_Avg_deg_C'), ('lesser', 'Ch1_Avg_deg_C vs Ch1_Max_deg_C'), ('solar', 'Ch2_Avg_deg')) AS v("check", signal)""")
+def header_spec(spark, sf_dir):
+    columns = ["Ch1_Avg_deg_C", "Ch1_Min_deg_C", "Ch1_Max_deg_C", "Ch1_SD_deg_C", "Ch2_Avg_deg", "Ch3_Avg_x", "Ch4_Avg_W"]
+    kinds = {1: "temperature", 2: "solar zenith", 4: "albedo"}
+    spec = channels.spec_for(columns, kinds, solar=channels.solar_angles(columns, kinds, LAT, LON))
+    return spark.createDataFrame(spec.tested(), "check string, signal string")
+
+
+@query("""SELECT * FROM (VALUES ('range', 'a'), ('range', 'b'), ('stall', 'c')) AS v("check", signal)""")
+def overridden_spec(spark, sf_dir):
+    spec = Spec(ranges={"a": (0, 1)}, dynamic=("a",)).override(ranges={"b": (0, 2)}, dynamic=("c",), gaps=False)
+    return spark.createDataFrame(spec.tested(), "check string, signal string")
+
+
+@query("""SELECT o_orderpriority AS series_id, o_orderkey AS pos, 'o_orderstatus' AS signal, o_orderstatus AS value_text FROM orders WHERE o_orderstatus <> 'F' OR o_orderstatus IS NULL""")
+def expected_rows(spark, sf_dir):
+    return checks.expected_deviations(_orders(spark, sf_dir), {"o_orderstatus": "F"}).select("series_id", "pos", "signal", "value_text")
+
+
+@query("""SELECT o_orderpriority AS series_id, o_orderkey AS pos, CAST(1.0 + o_orderkey % 3 AS DOUBLE) AS value_num FROM orders WHERE o_orderkey % 5 = 0""")
+def sentinel_rows(spark, sf_dir):
+    return checks.sentinel_deviations(_orders(spark, sf_dir), ["unused"]).select("series_id", "pos", "value_num")
+
+
+@query("SELECT event_id, ts FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-12 12:00:00'")
+def sliced_rows(spark, sf_dir):
+    return runs.time_slice(events(spark, sf_dir), 1_704_844_800_000_000, 1_705_060_800_000_000).select(F.col("pos").alias("event_id"), "ts")
+
+
+@query("SELECT event_id, ts FROM events WHERE event_type = 'error' AND contains(props, '7') AND starts_with(props, '{')")
+def fault_messages(spark, sf_dir):
+    rows = _read(spark, sf_dir, "events").filter((F.col("event_type") == "error") & F.col("props").contains("7") & F.col("props").startswith("{"))
+    return rows.select("event_id", "ts")
+
+
+@query(ORACLE_SQL["fault_intervals"].replace("SELECT CAST(user_id", "SELECT series_id, count(*) AS n_spans, round(sum(seconds), 4) AS seconds FROM (SELECT CAST(user_id") + ") GROUP BY 1")
+def fault_totals(spark, sf_dir):
+    return runs.fault_totals(fault_intervals(spark, sf_dir)).withColumn("seconds", F.round("seconds", 4))
+
+
+@query("""SELECT event_type AS series_id, 'utc' AS "check", CASE WHEN event_type < 'd' THEN 'stamps are UTC-05:00, not UTC' ELSE 'stamps are UTC+10:00, not UTC' END AS detail, count(*) AS n_samples FROM events GROUP BY event_type""")
+def solar_two_sites(spark, sf_dir):
+    """Series at two places, each with stamps of its own zone; the frame has columns called lat and lon."""
+    near = F.col("series_id") < "d"
+    place = {"lat": F.when(near, 44.5).otherwise(-33.9), "lon": F.when(near, -73.2).otherwise(151.2)}
+    sun = solar.sun_position(events(spark, sf_dir).withColumns(place), F.col("us"), F.col("lat"), F.col("lon"))
+    shifted = F.col("us") + F.when(near, -18_000_000_000).otherwise(36_000_000_000)
+    frame = sun.select("series_id", "pos", from_micros(shifted).alias("ts"), shifted.alias("us"), "lat", "lon", F.col("sun_elevation").alias("elevation"), F.col("sun_azimuth").alias("azimuth"))
+    return check_solar_angles(frame, SolarAngles("lat", "lon", elevation="elevation", azimuth="azimuth")).select("series_id", "check", "detail", "n_samples")
+
+
+def _page_words(spark, sf_dir):
+    """A picture for each region: a header row, and a row of words for each nation."""
+    nation = _read(spark, sf_dir, "nation")
+    key, image = F.col("n_nationkey"), F.col("n_regionkey").cast("string").alias("image")
+    unit = F.when(key % 4 == 0, "bogus").when(key % 4 == 1, "w/sqm").otherwise("deg_C")
+    value = F.when(key % 6 == 5, "n/a").otherwise((key + 0.5).cast("double").cast("string"))
+    words = [(key.cast("string"), 5), (F.lit("PV"), 105), (F.lit("IEC"), 125), (F.col("n_name"), 205), (value, 405), (unit, 440)]
+    y = key * 20 + 40
+    body = nation.select(image, F.inline(F.array(*[F.struct(w.alias("text"), F.lit(float(x)).alias("x"), (y + F.lit(i % 3)).cast("double").alias("y"), F.lit(10.0).alias("w"), F.lit(10.0).alias("h")) for i, (w, x) in enumerate(words)])))
+    head = [("Channel", 0.0), ("Number", 20.0), ("Type", 100.0), ("Description:", 200.0), ("Data", 400.0)]
+    top = nation.select(image).distinct().select("image", F.inline(F.array(*[F.struct(F.lit(w).alias("text"), F.lit(x).alias("x"), F.lit(10.0).alias("y"), F.lit(10.0).alias("w"), F.lit(10.0).alias("h")) for w, x in head])))
+    return body.unionByName(top)
+
+
+PAGE = """WITH p AS (SELECT CAST(n_regionkey AS VARCHAR) AS image, CAST(n_nationkey AS INTEGER) AS channel, n_name AS description, CASE WHEN n_nationkey % 6 = 5 THEN NULL ELSE CAST(n_nationkey + 0.5 AS DOUBLE) END AS value,
+  concat(CASE WHEN n_nationkey % 6 = 5 THEN 'n/a ' ELSE '' END, CASE n_nationkey % 4 WHEN 0 THEN 'bogus' WHEN 1 THEN 'w/sqm' ELSE 'deg_C' END) AS units_raw FROM nation),
+c AS (SELECT image, channel, 'PV_IEC' AS type, description, value, CASE units_raw WHEN 'w/sqm' THEN 'W/Sqm' ELSE units_raw END AS units, units_raw FROM p)
+"""
+
+
+@query(PAGE + "SELECT * FROM c")
+def status_cells(spark, sf_dir):
+    return status_table.channel_table(_page_words(spark, sf_dir))
+
+
+@query(PAGE + """SELECT image, channel, 'no numeric value' AS note FROM c WHERE value IS NULL UNION ALL SELECT image, channel, 'units read as w/sqm, taken as W/Sqm' FROM c WHERE units <> units_raw
+UNION ALL SELECT image, channel, concat('unknown units ', units) FROM c WHERE units NOT IN ('W/Sqm', 'deg_C')
+UNION ALL SELECT image, CAST(unnest(range(before + 1, channel)) AS INTEGER), 'channel is absent' FROM (SELECT image, channel, lag(channel) OVER (PARTITION BY image ORDER BY channel) AS before FROM c) WHERE channel - before > 1""")
+def status_suspects(spark, sf_dir):
+    return status_table.suspect_cells(status_table.channel_table(_page_words(spark, sf_dir)))

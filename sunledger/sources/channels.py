@@ -274,6 +274,17 @@ def site_coordinates(fields: dict[str, str]) -> tuple[float, float]:
     return out[0], out[1]
 
 
+def choose_statistic(statistics: Column, named: str | None = None) -> Column:
+    """The one of an array of statistics ('' for none) that stands for a signal, or NULL.
+
+    Named: that one, or the plain one of a signal without statistics. Else the mean, the plain one, or the first.
+    """
+    there = lambda s: F.when(F.array_contains(statistics, s), s)
+    if named is not None:
+        return F.coalesce(there(named), F.when(F.size(statistics) == 1, there("")))
+    return F.coalesce(there("Avg"), there("Average"), there(""), F.get(statistics, 0))
+
+
 def chart_data(frame: DataFrame, columns: list[str]) -> DataFrame:
     """Readings ready to draw: signal, statistic, panel (value or spread), draw_order, ts, value; text columns are left out."""
     from sunledger.frame import long

@@ -1,6 +1,7 @@
 """Logger text files: a header of key/value lines, a line `Data`, column names, rows; tab-separated.
 
-Whole files are read by executors (gzip by suffix), lines keep their number in the file as pos.
+Whole files are read by executors (gzip by suffix), a file of up to 2 GB in one task; lines keep their number in
+the file as pos.
 """
 
 from __future__ import annotations
@@ -8,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sunledger.sources.channels import rename_channels
+
 #: Suffixes of logger files, and what to do with malformed rows.
 SUFFIXES = (".dat", ".log", ".diag", ".dat.gz", ".log.gz", ".diag.gz")
 ACTIONS = ("drop", "raise", "keep")
@@ -19,7 +22,7 @@ def _files(spark: SparkSession, directory: str):
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(path) or not fs.getFileStatus(path).isDirectory():
         raise NotADirectoryError(directory)
-    return [s.getPath().getName() for s in fs.listStatus(path) if s.isFile()]
+    return {s.getPath().getName(): s.getPath().toString() for s in fs.listStatus(path) if s.isFile()}
 
 
 def read_lines(spark: SparkSession, directory: str, file_type: str = "log", malformed: str = "drop") -> DataFrame:
@@ -27,15 +30,12 @@ def read_lines(spark: SparkSession, directory: str, file_type: str = "log", malf
     if malformed not in ACTIONS:
         raise ValueError(f"malformed must be one of {ACTIONS}, not {malformed!r}")
     names = _files(spark, directory)
-    if not any(file_type in n and n.endswith(SUFFIXES) for n in names):
+    paths = [path for n, path in names.items() if file_type in n and n.endswith(SUFFIXES)]
+    if not paths:
         counts = {s: sum(n.endswith(s) for n in names) for s in SUFFIXES}
         raise FileNotFoundError(f"no {file_type!r} file in {directory}; files by suffix: {counts}")
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    wanted = name.contains(file_type)
-    ends = F.lit(False)
-    for s in SUFFIXES:
-        ends = ends | name.endswith(s)
-    whole = spark.read.text(directory, wholetext=True).select(name.alias("file"), "value").filter(wanted & ends)
+    whole = spark.read.text(paths, wholetext=True).select(name.alias("file"), "value")
     lines = whole.select("file", F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("pos", "line"))
     return lines.filter(F.trim("line") != "")
 
@@ -90,6 +90,14 @@ def time_axis(data: DataFrame, timestamp: str) -> DataFrame:
     return data.withColumn("ts", F.coalesce(F.try_to_timestamp(F.col(f"`{timestamp}`")).cast("timestamp_ntz"), F.col(f"`{timestamp}`").try_cast("timestamp_ntz")))
 
 
+def indexed(data: DataFrame, timestamp: str, names: dict[int, str] | None = None, drop_unused: bool = True) -> DataFrame:
+    """data with its channels renamed (see rename_channels), ts parsed from a column, in time order."""
+    keys = [c for c in ("file", "pos", timestamp) if c in data.columns]
+    new = rename_channels([c for c in data.columns if c not in keys], names or {}, drop_unused)
+    renamed = data.select(*[F.col(f"`{c}`") for c in keys], *[F.col(f"`{old}`").alias(name) for old, name in new.items()])
+    return time_axis(renamed, timestamp).orderBy("ts", *[c for c in ("file", "pos") if c in keys])
+
+
 def export_days(start: str, end: str, present: DataFrame) -> DataFrame:
     """Calendar days from start to end that present (column date) lacks: what an export still has to fetch."""
     spark = present.sparkSession
