@@ -350,9 +350,9 @@ def classified_parts(spark, sf_dir):
     return _read(spark, sf_dir, "part").select("p_partkey", channels.kind_of(F.when(F.col("p_size") <= 10, "small").otherwise(""), text, rules).alias("kind"))
 
 
-@query("""SELECT * FROM (VALUES ('Ch1_Avg_deg_C', 1, 'Avg', 'Avg'), ('Ch4_Total_1.19m_E_Sum_mm', 4, 'Total', 'Sum'), ('Ch12_Samples_W/m^2', 12, '', ''), ('Ch7_NotUsed', 7, 'NotUsed', 'NotUsed'), ('Timestamp', -1, '', '')) AS v(name, channel, next_statistic, last_statistic)""")
+@query("""SELECT * FROM (VALUES ('Ch1_Avg_deg_C', 1, 'Avg', 'Avg'), ('Ch4_Total_low_B_Sum_mm', 4, 'Total', 'Sum'), ('Ch12_Samples_W/m^2', 12, '', ''), ('Ch7_NotUsed', 7, 'NotUsed', 'NotUsed'), ('Timestamp', -1, '', '')) AS v(name, channel, next_statistic, last_statistic)""")
 def column_grammar(spark, sf_dir):
-    names = ["Ch1_Avg_deg_C", "Ch4_Total_1.19m_E_Sum_mm", "Ch12_Samples_W/m^2", "Ch7_NotUsed", "Timestamp"]
+    names = ["Ch1_Avg_deg_C", "Ch4_Total_low_B_Sum_mm", "Ch12_Samples_W/m^2", "Ch7_NotUsed", "Timestamp"]
     return channels.column_grammar(spark.createDataFrame([(n,) for n in names], "name string")).withColumn("channel", F.coalesce("channel", F.lit(-1)))
 
 

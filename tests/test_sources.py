@@ -7,8 +7,8 @@ from sunledger.operators.status_table import channel_table, suspect_cells
 from sunledger.sources import channels, logger
 
 HEADER = [
-    ("Site Number:", "002682"), ("Latitude:", "44.5"), ("Longitude:", "-73.2"), ("Serial Number:", "820900123"), ("Channel:", "1"), ("Description:", "Pt1000"), ("Units:", "deg_C"),
-    ("Serial Number:", "SN-PT-1"), ("Channel:", "108"), ("Sensor Type:", "Hukseflux SR30"), ("Description:", "Hukseflux SR30-POA"), ("Measurand:", "Irradiance"), ("Units:", "W/m^2"), ("Serial Number:", "SN-SR30-9"),
+    ("Site Number:", "100777"), ("Latitude:", "51.2"), ("Longitude:", "6.8"), ("Serial Number:", "Q-11"), ("Channel:", "1"), ("Description:", "Thermo A"), ("Units:", "deg_C"),
+    ("Serial Number:", "T-5"), ("Channel:", "21"), ("Sensor Type:", "Acme P7"), ("Description:", "Acme P7 tilted"), ("Measurand:", "Irradiance"), ("Units:", "W/m^2"), ("Serial Number:", "P-77"),
 ]
 
 
@@ -18,17 +18,17 @@ def header(spark):
 
 
 def write(path, rows, data="Data"):
-    text = "\n".join(["Site Number:\t002682", data, "Timestamp\tCh1_Avg\tCh2_Avg", *rows]) + "\n\n"
+    text = "\n".join(["Site Number:\t100777", data, "Timestamp\tCh1_Avg\tCh2_Avg", *rows]) + "\n\n"
     (gzip.open(path, "wt") if str(path).endswith(".gz") else open(path, "w")).write(text)
 
 
 def test_header(header):
     fields = channels.site_fields(header).first()["fields"]
-    assert fields["Serial Number"] == "SN-SR30-9" and channels.site_coordinates(fields) == (44.5, -73.2)
+    assert fields["Serial Number"] == "P-77" and channels.site_coordinates(fields) == (51.2, 6.8)
     names = {r["channel"]: r["name"] for r in channels.channel_names(channels.channel_blocks(header)).collect()}
-    assert names == {1: "Ch1_Pt1000_deg_C", 108: "Ch108_Hukseflux_SR30-POA_Irradiance_W/m^2"}
+    assert names == {1: "Ch1_Thermo_A_deg_C", 21: "Ch21_Acme_P7_tilted_Irradiance_W/m^2"}
     kinds = {r["channel"]: r["kind"] for r in channels.channel_kinds(channels.channel_blocks(header)).collect()}
-    assert kinds == {1: "temperature", 108: "irradiance"}
+    assert kinds == {1: "temperature", 21: "irradiance"}
 
 
 def test_coordinates_must_be_a_position():
@@ -39,10 +39,10 @@ def test_coordinates_must_be_a_position():
 
 
 def test_renaming():
-    names = {1: "Ch1_Pt1000_deg_C", 4: "Ch4_Rain_mm"}
-    assert channels.rename_channels(["Timestamp", "Ch1_Avg_deg_C", "Ch1_Min_deg_C", "Ch1_NotUsed"], names) == {"Timestamp": "Timestamp", "Ch1_Avg_deg_C": "Ch1_Avg_Pt1000_deg_C", "Ch1_Min_deg_C": "Ch1_Min_Pt1000_deg_C"}
-    assert channels.rename_channels(["Ch4_Total_1.19m_E_Sum_mm", "Ch4_Total_1.19m_E_Avg_mm"], names) == {"Ch4_Total_1.19m_E_Sum_mm": "Ch4_Sum_Rain_mm", "Ch4_Total_1.19m_E_Avg_mm": "Ch4_Avg_Rain_mm"}
-    assert channels.rename_channels(["Ch1_Samples_deg_C"], names) == {"Ch1_Samples_deg_C": "Ch1_Pt1000_deg_C"}
+    names = {1: "Ch1_Thermo_A_deg_C", 4: "Ch4_Rain_mm"}
+    assert channels.rename_channels(["Timestamp", "Ch1_Avg_deg_C", "Ch1_Min_deg_C", "Ch1_NotUsed"], names) == {"Timestamp": "Timestamp", "Ch1_Avg_deg_C": "Ch1_Avg_Thermo_A_deg_C", "Ch1_Min_deg_C": "Ch1_Min_Thermo_A_deg_C"}
+    assert channels.rename_channels(["Ch4_Total_low_B_Sum_mm", "Ch4_Total_low_B_Avg_mm"], names) == {"Ch4_Total_low_B_Sum_mm": "Ch4_Sum_Rain_mm", "Ch4_Total_low_B_Avg_mm": "Ch4_Avg_Rain_mm"}
+    assert channels.rename_channels(["Ch1_Samples_deg_C"], names) == {"Ch1_Samples_deg_C": "Ch1_Thermo_A_deg_C"}
     with pytest.raises(ValueError):
         channels.rename_channels(["Ch1_Bogus_deg_C", "Ch1_Other_deg_C"], names)
 
@@ -56,24 +56,24 @@ def test_spec_for():
 
 
 def test_listing(spark, header):
-    listed = channels.channels(["Ch1_Avg_a", "Ch1_SD_a", "Ch108_Avg_b", "Ch7_Avg_c"], channels.channel_blocks(header))
+    listed = channels.channels(["Ch1_Avg_a", "Ch1_SD_a", "Ch21_Avg_b", "Ch7_Avg_c"], channels.channel_blocks(header))
     rows = {r["units"]: r for r in listed.collect()}
     assert rows["deg_C"]["statistics"] == "Avg SD" and rows["W/m^2"]["hi"] == 1200 and channels.unclassified(listed).count() == 1
 
 
 def test_files(spark, tmp_path):
-    write(tmp_path / "a_statistical.dat", ["2024-05-01 00:00:00\t1.0\t2.0", "2024-05-01 00:01:00\t1.1", "2024-05-01 00:02:00\t1\t2\t3"])
-    write(tmp_path / "b_statistical.dat.gz", ["2024-05-01 00:03:00\t1.0\t2.0"])
-    write(tmp_path / "c_statistical.dat", ["x"], data="nothing")
-    data, header, bad = logger.read_files(spark, str(tmp_path), "statistical")
+    write(tmp_path / "a_log10.dat", ["2023-11-07 00:00:00\t1.0\t2.0", "2023-11-07 00:01:00\t1.1", "2023-11-07 00:02:00\t1\t2\t3"])
+    write(tmp_path / "b_log10.dat.gz", ["2023-11-07 00:03:00\t1.0\t2.0"])
+    write(tmp_path / "c_log10.dat", ["x"], data="nothing")
+    data, header, bad = logger.read_files(spark, str(tmp_path), "log10")
     assert data.count() == 2 and header.filter("key = 'Site Number:'").count() == 3
-    assert sorted(bad.select("timestamp", "fields", "expected").collect()) == [("2024-05-01 00:01:00", 2, 3), ("2024-05-01 00:02:00", 4, 3)]
-    assert logger.read_files(spark, str(tmp_path), "statistical", "keep")[0].count() == 4
+    assert sorted(bad.select("timestamp", "fields", "expected").collect()) == [("2023-11-07 00:01:00", 2, 3), ("2023-11-07 00:02:00", 4, 3)]
+    assert logger.read_files(spark, str(tmp_path), "log10", "keep")[0].count() == 4
     assert logger.time_axis(data, "Timestamp").filter("ts is null").count() == 0
     with pytest.raises(ValueError):
-        logger.read_files(spark, str(tmp_path), "statistical", "raise")
+        logger.read_files(spark, str(tmp_path), "log10", "raise")
     with pytest.raises(ValueError):
-        logger.read_files(spark, str(tmp_path), "statistical", "other")
+        logger.read_files(spark, str(tmp_path), "log10", "other")
     with pytest.raises(FileNotFoundError):
         logger.read_files(spark, str(tmp_path), "diag9")
     with pytest.raises(NotADirectoryError):
@@ -81,7 +81,7 @@ def test_files(spark, tmp_path):
 
 
 def test_tsv(spark, tmp_path):
-    (tmp_path / "m.txt").write_text("ProtoNode.Modbus_Poll_Timestamp\tGHI\n2024-05-01 00:00:01\t5\n2024-05-01 00:00:00\t6\n")
+    (tmp_path / "m.txt").write_text("ProtoNode.Modbus_Poll_Timestamp\tGHI\n2023-11-07 00:00:01\t5\n2023-11-07 00:00:00\t6\n")
     rows = logger.read_tsv(spark, str(tmp_path / "m.txt"), "ProtoNode.Modbus_Poll_Timestamp").orderBy("pos").collect()
     assert [r["GHI"] for r in rows] == ["5", "6"] and rows[0]["ts"].second == 1
 
