@@ -34,7 +34,7 @@ from sunledger.llm.common import Rolling, byte_values, chunks, lowered, material
 HALF = 32
 #: Words of a chunk whose sums are a matrix product.
 MATRIX_WORDS = 512
-#: Dimensions of the latent space (no more than the block has passages), and random ones besides.
+#: Dimensions of the latent space (hardly more than the block has passages), and random ones besides.
 RANK, OVERSAMPLED = 256, 32
 #: Weight of the items in the decomposed matrix, as a multiple of the corpus's: their own directions come first.
 ITEMS_WEIGHT = 100.0
@@ -186,7 +186,7 @@ def _add_by_word(total: np.ndarray, half: np.ndarray, number: np.ndarray, weight
 
 def _latent(docs: DataFrame, items: Items, weights: np.ndarray, least: float) -> np.ndarray:
     """Right singular vectors (vocabulary, RANK) of the passages' matrix, by a randomised SVD in one pass."""
-    size, rank = len(weights), min(RANK, len(items.words) + OVERSAMPLED)
+    size, rank = len(weights), min(RANK, len(items.words) + 8)
     width = rank + OVERSAMPLED
     omega = np.random.default_rng(7).standard_normal((size, width)).astype(np.float32)
     schema = pa.schema([("part", pa.int32()), ("sums", pa.binary())])
@@ -418,7 +418,7 @@ def matches(documents: DataFrame, benchmark: DataFrame, common: float = COMMON,
         # the space may be any: the bounds hold in each, and only get closer
         rare = np.where(frequent, 0.0, weights)
         mass = np.array([rare[w].sum() for w in items.words])
-        least = float(mass[mass > 0].min(initial=np.inf)) * min(common, with_answer) / 2
+        least = float(np.median(mass[mass > 0])) * min(common, with_answer) / 2 if (mass > 0).any() else np.inf  # halves that could hold enough of a middle item
         basis = _latent(docs, items.without(frequent), rare, least)
         shared = spark.sparkContext.broadcast((items, weights.astype(np.float32), frequent, basis))
         one = _search(docs, shared, common, with_answer, answer)
