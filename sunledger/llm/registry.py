@@ -62,6 +62,27 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+ORACLE_SQL["op1_suffix_dedup"] = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+u AS (SELECT doc_id, n, CAST(unnest(range(0, n)) AS BIGINT) AS j FROM d),
+w AS (SELECT u.doc_id, j, CASE WHEN j + 200 <= u.n THEN md5_number(array_slice(b, j + 1, j + 200)) END AS h, array_slice(b, j + 1, j + 1) AS own FROM u JOIN d USING (doc_id)),
+r AS (SELECT h FROM w WHERE h IS NOT NULL GROUP BY h HAVING count(*) > 1),
+m AS (SELECT doc_id, j, own, coalesce(j - max(CASE WHEN h IN (FROM r) THEN j END) OVER (PARTITION BY doc_id ORDER BY j) < 200, FALSE) AS gone FROM w),
+s AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY j), FALSE) AS first FROM m),
+g AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (first) AS n_spans, sha256(unhex(coalesce(string_agg(hex(own), '' ORDER BY j) FILTER (NOT gone), ''))) AS kept_sha256 FROM s GROUP BY 1)
+SELECT doc_id, d.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(kept_sha256, sha256('')) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id)
+"""
+ORACLE_SQL["op10_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, CAST(unnest(range(1, len(w) - 11)) AS BIGINT) AS i FROM d),
+k AS (SELECT doc_id, i, md5_number(array_to_string(w[i : i + 12], ' ')) AS h FROM x JOIN d USING (doc_id)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) AS least FROM k) WHERE least < doc_id),
+g AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 13)))) AS gone FROM r GROUP BY 1),
+o AS (SELECT d.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed, array_to_string(list_filter(w, lambda v, i: NOT list_contains(coalesce(gone, []), CAST(i AS BIGINT))), ' ') AS kept FROM d LEFT JOIN g USING (doc_id))
+SELECT doc_id, n_words, n_removed, sha256(kept) AS kept_sha256 FROM o
+"""
+
+
 @query
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
@@ -95,6 +116,17 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+ORACLE_SQL["op6_jaccard_join"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT DISTINCT doc_id, md5_number(array_to_string(w[i : i + 3], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM x GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM x a JOIN x b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n m ON m.doc_id = a JOIN n o ON o.doc_id = b WHERE 100 * shared >= 85 * (m.n + o.n - shared)),
+c AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(b) FROM c WHERE c.a = d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id)
+"""
+
+
 @query
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sunledger.llm.pii import digest, find
