@@ -11,6 +11,17 @@ from sunledger.llm.common import materialize
 MOST_ROUNDS = 40
 
 
+#: Parts that the rows of one node are dealt into where they meet a number of that node; the planner may split them further.
+SALTS = 16
+
+
+def with_number(rows: DataFrame, numbers: DataFrame, key: str, other: str) -> DataFrame:
+    """rows joined with numbers (one row for each key), so that the rows of a frequent key lie in many tasks, dealt by `other`."""
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int"))
+    copies = numbers.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [key, "__salt"]).drop("__salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node in edges (a, b); root is the least node of its component.
 
@@ -25,11 +36,11 @@ def components(edges: DataFrame) -> DataFrame:
         # large star: neighbours above a node go to the least of its neighbourhood
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = with_number(both, least, "a", "b").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # small star: neighbours below a node, and it, go to the least of them
         down = large.filter("a <> b").distinct()
         low = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(low, "a")
+        small = with_number(down, low, "a", "b")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         now = materialize(small.filter("a <> b").distinct(), "edges")
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.count_distinct("a")).first()

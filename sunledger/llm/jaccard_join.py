@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sunledger.llm.common import Rolling, U, byte_values, chunks, lowered, materialize, mix, own_id, row_id, row_key, separators, signed, word_spans
-from sunledger.llm.components import components
+from sunledger.llm.components import components, with_number
 
 #: Slots of the frequency sketch, and least length of a set's parity bitmap.
 SKETCH_SLOTS, BITMAP_BITS = 1 << 20, 1024
@@ -367,17 +367,22 @@ def jaccard_components(documents: DataFrame, shingle: int = 4, percent: int = 85
     bitmaps = members.filter("n > 0").groupBy("sid").agg(F.first("bitmap").alias("bitmap"))
     near = _in_blocks(lists.join(bitmaps, "sid"), "sid", "length", BLOCK).select("shingle", "left", "right", "sid", "n", "bitmap")
     near = near.repartition("shingle", "left", "right").sortWithinPartitions("shingle", "left", "right")
-    groups = components(near.mapInArrow(_forest(percent), "a long, b long"))
-    groups = groups.join(groups.groupBy("root").agg(F.count("*").alias("size")), "root").withColumnRenamed("node", "sid")
+    groups = materialize(components(near.mapInArrow(_forest(percent), "a long, b long")), "groups")
+    groups = with_number(groups, groups.groupBy("root").agg(F.count("*").alias("size")), "root", "node").withColumnRenamed("node", "sid")
     # only sets that may have a link are needed whole; one document stands for each, and is read and shuffled once
     stands = members.filter("n > 0").groupBy("sid").agg(F.min(F.struct("doc_id", "th")).alias("d")).join(groups, "sid").select("sid", "root", "size", F.col("d.doc_id").alias("of"), F.col("d.th").alias("of_th"))
     texts = docs.join(stands, (F.col("doc_id") == F.col("of")) & (F.col("th") == F.col("of_th")))
     whole = _in_blocks(_sets(texts.select("sid", "root", "size", "text"), shingle), "sid", "size", SET_BLOCK).select("root", "left", "right", "sid", "whole")
     whole = whole.repartition("root", "left", "right").sortWithinPartitions("root", "left", "right")
     linked = components(whole.mapInArrow(_verify(percent), "a long, b long"))
-    member = members.join(linked.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    ids = member.filter("n > 0").groupBy("root").agg(least.alias("least"))
-    out = member.join(ids, "root", "left")
+    # rows of equal sets are made one before sets meet, so neither a frequent set nor a large component fills a task
+    linked = materialize(linked.withColumnRenamed("node", "sid"), "linked")
+    ids = members.filter("n > 0").groupBy("sid").agg(least.alias("own")).join(linked, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    ids = materialize(ids, "set-ids")
+    ids = with_number(ids, ids.groupBy("root").agg(F.min("own").alias("least")), "root", "sid").select("sid", "root", "least")
+    rows = members.select("doc_id", "th", "sid", "n")
+    nothing = rows.filter("n = 0").withColumns({"root": F.col("sid"), "least": F.lit(None).cast("long")})
+    out = with_number(rows.filter("n > 0"), ids, "sid", "doc_id").unionByName(nothing)
     component = F.when(F.col("n") > 0, F.when(F.col("least") < (1 << 63) - 1, F.col("least"))).otherwise(own_id(F.col("doc_id")))
     return out.select(own_id(F.col("doc_id")), F.col("doc_id").alias("row"), "th", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("root").alias("group"))
 

@@ -7,8 +7,12 @@ bound of each partition's number of sequences. A partition that meets its bound
 Partitions with gaps give up their emptiest sequences; these documents are exchanged between
 such partitions, packed anew, and the new packing is taken where it needs fewer sequences.
 
+Exchanges end when one saves nothing; `certified` marks the sequences of groups that met their bound,
+and certificate() compares the whole packing with the bound of all pieces together.
+
 Defined cases: null and empty texts are one piece of the end id alone; ties of length are
-packed by crc and id; repeated rows are packed each; other columns are ignored.
+packed by crc and id; repeated rows are packed each; null ids are kept as null; a very long text is
+tokenized whole by one worker and cut into pieces; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,9 +37,7 @@ END_ID = 1
 PARTITION_PIECES = 50_000
 #: Words whose ids a Python worker remembers.
 REMEMBERED_WORDS = 300_000
-#: Exchanges of documents between partitions with gaps.
-ROUNDS = 2
-#: Emptiest sequences that a partition gives up for each one above its bound.
+#: Emptiest sequences that a partition gives up for each one above its bound; it doubles with each exchange.
 RELEASED = 48
 
 
@@ -148,11 +150,12 @@ def tokenize(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
-    """Least number of sequences, by two families of dual feasible functions."""
+def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY, counts: np.ndarray | None = None) -> int:
+    """Least number of sequences, by two families of dual feasible functions. counts: how often each length is there (once)."""
     if not len(lengths):
         return 0
-    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    count = np.zeros(capacity + 1, np.int64)
+    np.add.at(count, lengths, 1 if counts is None else counts)
     size = np.arange(capacity + 1)
     number, weight = np.cumsum(count), np.cumsum(count * size)
     cut = np.arange(capacity // 2 + 1)  # lengths over capacity - cut count as 1, those under cut as 0
@@ -183,11 +186,14 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[
     return sequence, offset
 
 
-PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, sequence_id long, offset long, fill long, released boolean"
+PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, sequence_id long, offset long, certified boolean, released boolean"
+
 
+def _pack(base: int, again: bool, capacity: int, release: int):
+    """Pack one group. again: rows have a packing already, which stays unless fewer sequences are enough.
 
-def _pack(base: int, again: bool, capacity: int):
-    """Pack one group. again: rows have a packing already, which stays unless fewer sequences are enough."""
+    certified: the sequences that the group keeps are as many as the bound of what is in them.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "ids_crc32", "doc_id", "piece"], ascending=[False, True, True, True], kind="stable")
@@ -201,32 +207,44 @@ def _pack(base: int, again: bool, capacity: int):
         gap = bins - lower_bound(lengths, capacity)
         freed = np.zeros(bins, bool)
         if gap > 0:
-            emptiest = np.argsort(fill, kind="stable")[: gap * RELEASED]
+            emptiest = np.argsort(fill, kind="stable")[: gap * release]
             freed[emptiest[fill[emptiest] < capacity]] = True
         part = int(rows["part"].iloc[0])
-        return rows.assign(part=part, sequence_id=(np.int64(base + part) << 32) + sequence, offset=offset, fill=fill[sequence], released=freed[sequence])[[x.split()[0] for x in PACKED.split(", ")]]
+        certified = bins - int(freed.sum()) == lower_bound(lengths[~freed[sequence]], capacity)
+        return rows.assign(part=part, sequence_id=(np.int64(base + part) << 32) + sequence, offset=offset, certified=~freed[sequence] & certified, released=freed[sequence])[[x.split()[0] for x in PACKED.split(", ")]]
 
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PARTITION_PIECES, rounds: int = ROUNDS) -> DataFrame:
-    """pieces with sequence_id and offset. sequence_id is unique over all partitions and rounds."""
+def pack(pieces: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PARTITION_PIECES, exchange: bool = True) -> DataFrame:
+    """pieces with sequence_id, offset and certified. sequence_id is unique over all partitions and exchanges.
+
+    Exchanges go on as long as one saves a sequence.
+    """
     groups = max(1, math.ceil(pieces.count() / partition_pieces))
     dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
-    kept = materialize(dealt.groupBy("part").applyInPandas(_pack(0, False, capacity), PACKED), "packed")
-    base = groups
-    for _ in range(rounds):
+    kept = materialize(dealt.groupBy("part").applyInPandas(_pack(0, False, capacity, RELEASED), PACKED), "packed")
+    base, release, before = groups, RELEASED, None
+    while exchange:
+        now = kept.select("sequence_id").distinct().count()
         n, parts = kept.filter("released").agg(F.count("*"), F.count_distinct("part")).first()
-        if parts < 2 and groups > 1 or n == 0:
+        if n == 0 or (before is None and parts < 2) or (before is not None and now >= before):
             break
-        groups = max(1, math.ceil(n / partition_pieces))
+        groups, release, before = max(1, math.ceil(n / partition_pieces)), 2 * release, now
         moved = kept.filter("released").withColumn("part", F.pmod(F.xxhash64("sequence_id"), F.lit(groups)))
-        packed = moved.groupBy("part").applyInPandas(_pack(base, True, capacity), PACKED)
+        packed = moved.groupBy("part").applyInPandas(_pack(base, True, capacity, release), PACKED)
         base += groups
         kept = materialize(kept.filter("not released").unionByName(packed), "packed")
     return kept
 
 
+def certificate(packed: DataFrame, capacity: int = CAPACITY) -> tuple[int, int]:
+    """Number of sequences, and the bound of any packing of all the pieces; from one row for each length."""
+    counts = packed.groupBy("length").agg(F.count("*").alias("n")).toPandas()  # at most capacity rows
+    return packed.select("sequence_id").distinct().count(), lower_bound(counts["length"].to_numpy(), capacity, counts["n"].to_numpy())
+
+
 def pack_documents(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset and certified of every piece of every row of documents."""
     pieces = materialize(tokenize(documents, tokenizer_path, capacity), "pieces")
-    return pack(pieces, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack(pieces, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified")

@@ -1,9 +1,9 @@
 """Repeated stretches across a corpus, from winnowed anchors.
 
 A document is a sequence of units (bytes, or words). Every window of `window` units picks
-its anchor: the least hash among the grams of `gram` units inside it. Windows that share an
-anchor position form one context, so equal windows always pick equal anchors at the same
-place, and only rows per anchor are shuffled, about 2 / (window - gram + 2) of the units.
+its anchor: the least hash among the grams of `gram` units inside it, the first of equal ones.
+Windows that share an anchor position form one context, so equal windows always pick equal
+anchors at the same place, and only rows per anchor are shuffled, about 2 / (window - gram + 2) of the units.
 
 1. Occurrences of contexts are dealt by the anchor's hash. Inside a task, contexts met more
    than once are first reduced to one row each (their occurrences are known repeats).
@@ -27,10 +27,27 @@ from sunledger.llm.common import NULL_IDS, Rolling, U, byte_values, chunks, mix,
 
 #: Bits of an anchor's hash that are shuffled; a chance clash only adds work.
 ANCHOR_BITS = 48
+#: Low bits of a hash that are not compared when anchors are picked, whatever the chunk's size.
+PLACE_BITS = 24
+LOW = (1 << PLACE_BITS) - 1
 #: Rows that a task gathers before it reduces them.
 REDUCE_ROWS = 1_500_000
 
 
+def first_least(values: np.ndarray, width: int) -> np.ndarray:
+    """Place of the first least value of every `width` neighbours, whatever lies around them."""
+    at = np.arange(len(values))
+    size = 1
+    while size * 2 <= width:
+        left, right = at[:-size], at[size:]
+        at = np.where(values[right] < values[left], right, left)
+        size *= 2
+    if size < width:
+        left, right = at[: len(at) - (width - size)], at[width - size :]
+        at = np.where(values[right] < values[left], right, left)
+    return at
+
+
 class Sequences:
     """Units of a chunk of texts: values to hash, offset of each row's first unit, and places in the bytes."""
 
@@ -55,9 +72,10 @@ class Sequences:
         if len(grams) < width or not (last >= first).any():
             none = np.zeros(0, np.int64)
             return none.view(U), none, none, none
-        low = U((1 << int(len(grams)).bit_length()) - 1)
-        best = sliding_min((grams & ~low) | np.arange(len(grams), dtype=U), width)
-        picked = (best & low).astype(np.int64)
+        if len(grams) <= LOW:  # places fit under the bits that are compared
+            picked = (sliding_min((grams & ~U(LOW)) | np.arange(len(grams), dtype=U), width) & U(LOW)).astype(np.int64)
+        else:
+            picked = first_least(grams >> U(PLACE_BITS), width)
         has = np.flatnonzero(last >= first)
         starts = np.zeros(len(picked) + 1, np.int32)
         np.add.at(starts, first[has], 1)
@@ -152,7 +170,7 @@ def settle(found: DataFrame, earliest: bool) -> DataFrame:
 
 def keyed(documents: DataFrame) -> DataFrame:
     """doc_id, th, text of documents; null ids are told apart by text and count as the least id."""
-    return documents.select(row_id(F.col("doc_id"), F.col("text")), row_key(F.col("text")), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").isNull().alias("no_id"))
+    return documents.select(row_id(F.col("doc_id"), F.col("text")), row_key(F.col("text")), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def per_document(settled: DataFrame, kind: int) -> DataFrame:

@@ -1,14 +1,16 @@
 """Substring dedup by seed and extend on words.
 
-Seeds are winnowed anchors of `gram` words. Documents are joined on them; a seed whose whole
-surroundings (all windows that picked it) occur in a document with a smaller doc_id is settled
-at once, other shared seeds are extended word by word to both sides against all partners, up to
-the windows that hold the seed. The union of repeated windows is the maximal repeats of at
-least `window` words; their words are removed from all documents but the one with the least id.
-
-Defined cases: null or empty texts have no words; texts shorter than a window lose nothing; rows
-that share a doc_id never repeat each other; a null doc_id counts as the least id; other columns
-are ignored. Windows are compared by 64-bit hashes of their words and of the seed (48 bits).
+Seeds are winnowed anchors of `gram` words; every window of `window` words holds the one that it picked. Documents
+are joined on their seeds. A seed whose surroundings (all windows that picked it) occur as a whole in a
+document with a smaller doc_id is settled at once. Other shared seeds are extended to both sides, by
+each number of words to the left and the rest to the right that makes up the threshold; extensions
+meet by their whole content, with all partners at once and never as pairs, so a frequent seed is
+dealt over many tasks. Repeated extensions that touch or overlap join to the maximal repeats
+of at least `window` words (column repeats), and their words are removed.
+
+Defined cases: null or empty texts have no words; texts shorter than a window lose nothing; rows that share
+a doc_id never repeat each other; null ids count as one least id; a very long text is read whole by one
+worker; other columns are ignored. Extensions are compared by 64-bit hashes of all their words.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sunledger.llm.common import chunks, materialize, separators, word_spans
+from sunledger.llm.common import chunks, materialize, own_id, separators, word_spans
 from sunledger.llm.repeats import covered, edge_windows, keyed, list_rows, occurrences, per_document, settle, unite
 
 WINDOW = 13
@@ -29,23 +31,23 @@ GRAM = 4
 
 
 def substring_dedup(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (the text of kept words, joined by one space), kept_sha256."""
+    """doc_id, n_words, n_removed, repeats (first and end word of each maximal repeat), kept (kept words, joined by one space), kept_sha256."""
     docs = keyed(documents)
     settled = materialize(settle(occurrences(docs.select("doc_id", "th", "text"), "word", window, gram, True), True), "repeats")
     edges = edge_windows(docs.select("doc_id", "th", "text"), per_document(settled, 1), "word", window, True)
     whole = settled.filter("kind = 2").select("doc_id", "th", "place")
-    schema = pa.schema([("doc_id", pa.int64()), ("no_id", pa.bool_()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("kept_sha256", pa.string())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("repeats", pa.list_(pa.list_(pa.int64()))), ("kept", pa.string()), ("kept_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         is_sep = separators()
         for batch in batches:
             cuts, items = list_rows(batch["found"])
             place = np.asarray(items)
-            ids, no_id = batch["doc_id"], batch["no_id"]
+            ids = batch["doc_id"]
             for i, j, data, bounds in chunks(batch["text"]):
                 raw = data.tobytes()
                 start, end, first = word_spans(data, bounds, is_sep)
-                n, removed, kept, sha = [], [], [], []
+                n, removed, repeats, kept, sha = [], [], [], [], []
                 for row in range(i, j):
                     lo, hi = first[row - i], first[row - i + 1]
                     mask = covered(place[cuts[row] : cuts[row + 1]], hi - lo, window)
@@ -53,10 +55,11 @@ def substring_dedup(documents: DataFrame, window: int = WINDOW, gram: int = GRAM
                     text = b" ".join([raw[a:b] for a, b in zip(start[left].tolist(), end[left].tolist(), strict=True)])
                     n.append(hi - lo)
                     removed.append(int(mask.sum()))
+                    repeats.append(np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8))).reshape(-1, 2).tolist())
                     kept.append(text.decode())
                     sha.append(hashlib.sha256(text).hexdigest())
-                yield pa.record_batch([ids[i:j], no_id[i:j], pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(sha, pa.string())], schema=schema)
+                yield pa.record_batch([ids[i:j], pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(repeats, schema.field("repeats").type), pa.array(kept, pa.string()), pa.array(sha, pa.string())], schema=schema)
 
-    rows = unite(docs, whole, edges).select("doc_id", "no_id", "text", "found")
-    out = rows.mapInArrow(run, "doc_id long, no_id boolean, n_words long, n_removed long, kept string, kept_sha256 string")
-    return out.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "n_words", "n_removed", "kept", "kept_sha256")
+    rows = unite(docs, whole, edges).select("doc_id", "text", "found")
+    out = rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, repeats array<array<long>>, kept string, kept_sha256 string")
+    return out.select(own_id(F.col("doc_id")), "n_words", "n_removed", "repeats", "kept", "kept_sha256")

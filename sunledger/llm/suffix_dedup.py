@@ -1,17 +1,18 @@
 """Suffix-array dedup: removal of bytes that a repeated string of at least `window` bytes covers.
 
-Winnowed anchors settle the inside of long repeats and everything without a partner (see
-repeats). What is left, the edges of repeats, is dealt by anchor; a task sorts the suffixes
-of bounded runs of whole anchor groups, takes the Burrows-Wheeler transform and expands
-intervals breadth-first by backward extension: common prefixes of neighbours come out by
-increasing value, and the expansion stops at `window`. Rows whose common prefix was not
-found below it start a repeated window.
+Winnowed anchors settle the inside of long repeats and everything without a partner by hashes of whole contexts (see
+repeats); to sort all suffixes of a corpus would shuffle every byte 200 times. What is left, the edges of
+repeats, is dealt by anchor; a task sorts the suffixes of bounded runs of whole anchor groups, takes
+the Burrows-Wheeler transform and expands intervals breadth-first by backward extension: common
+prefixes of neighbours come out by increasing value, and the expansion stops at `window`. Rows
+whose common prefix was not found below it start a repeated window.
 
 An anchor with more than MAX_PARTNERS distinct contexts is not gathered in one task: its
-windows are compared by hash over all tasks instead, which is exact too.
+windows are compared by hash over all tasks instead, which gives the same rows.
 
 Defined cases: null and empty texts have no bytes; matches never cross documents; texts
-shorter than a window lose nothing; repeated rows repeat each other; other columns are ignored.
+shorter than a window lose nothing; repeated rows repeat each other; null ids are rows of their own; a
+very long text is read whole by one worker; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sunledger.llm.common import U, chunks, materialize
+from sunledger.llm.common import U, chunks, materialize, own_id
 from sunledger.llm.repeats import covered, edge_windows, keyed, list_rows, occurrences, pack_place, per_document, settle, unite
 
 WINDOW = 200
@@ -178,7 +179,7 @@ def suffix_dedup(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, m
     places = [settled.filter("kind = 2").select("doc_id", "th", "place"), starts]
     if large.filter("kind = 1").limit(1).count():
         places.append(edge_windows(texts, per_document(large, 1), "byte", window, False))
-    schema = pa.schema([("doc_id", pa.int64()), ("no_id", pa.bool_()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("kept", pa.binary()), ("kept_sha256", pa.string())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("kept", pa.binary()), ("kept_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,8 +194,8 @@ def suffix_dedup(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, m
                     left = own[~mask].tobytes()
                     for k, v in enumerate((len(own), int(mask.sum()), len(edge) // 2, edge.reshape(-1, 2).tolist(), left, hashlib.sha256(left).hexdigest())):
                         out[k].append(v)
-                yield pa.record_batch([batch["doc_id"][i:j], batch["no_id"][i:j], *(pa.array(x, schema.field(k + 2).type) for k, x in enumerate(out))], schema=schema)
+                yield pa.record_batch([batch["doc_id"][i:j], *(pa.array(x, schema.field(k + 1).type) for k, x in enumerate(out))], schema=schema)
 
-    rows = unite(docs, *places).select("doc_id", "no_id", "text", "found")
-    out = rows.mapInArrow(run, "doc_id long, no_id boolean, n_bytes long, n_removed long, n_spans long, spans array<array<long>>, kept binary, kept_sha256 string")
-    return out.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "spans", "kept", "kept_sha256")
+    rows = unite(docs, *places).select("doc_id", "text", "found")
+    out = rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<array<long>>, kept binary, kept_sha256 string")
+    return out.select(own_id(F.col("doc_id")), "n_bytes", "n_removed", "n_spans", "spans", "kept", "kept_sha256")

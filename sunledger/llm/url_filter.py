@@ -10,7 +10,8 @@ candidate words, runs and tokens of each block of about BLOCK_ROWS rows.
 
 Defined cases: null URLs and URLs without :// have empty host and path, fit no rule and are
 allowed; without blocked or without allowed examples everything that no rule fits is allowed;
-equal log odds allow; repeated rows get equal results; other columns of the input are ignored.
+equal log odds allow; repeated rows get equal results; null ids are kept; a very long URL costs its length
+times the number of lengths that words have; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,6 @@ from sunledger.llm.common import materialize
 
 #: Rows that a task looks words or tokens up for at a time.
 BLOCK_ROWS = 20_000
-LONGEST_WORD = 24
 RUN = re.compile(r"[0-9]+|[^\W\d_]+")
 
 
@@ -56,17 +56,21 @@ def word_counts(titles: DataFrame) -> tuple[DataFrame, int]:
     return words, words.agg(F.sum("count")).first()[0] or 0
 
 
-def split_words(name: str, model: dict[str, float]) -> list[str]:
-    """Most probable split of a run of letters into words; unknown words cost more with each letter."""
-    total = math.log10(model[""])
+def split_words(name: str, model: dict[str, float], lengths: list[int]) -> list[str]:
+    """Most probable split of a run of letters into words; unknown words cost more with each letter, and may be as long as the run.
+
+    lengths: those that known words have. Of equal splits the one with the longest last word counts.
+    """
+    unknown = 1 - math.log10(model[""])
     best: list[tuple[float, int]] = [(0.0, 0)]
+    open_ = (0.0, 0)  # the start that is best for an unknown word that ends here or later
     for end in range(1, len(name) + 1):
-        found = (-math.inf, end - 1)
-        for start in range(max(0, end - LONGEST_WORD), end):
-            p = best[start][0] + model.get(name[start:end], 1 - total - (end - start))
-            if p > found[0]:
-                found = (p, start)
+        found = (open_[0] + unknown - end, open_[1])
+        for n in lengths:
+            if n <= end and (p := model.get(name[end - n : end])) is not None:
+                found = max(found, (best[end - n][0] + p, end - n), key=lambda x: (x[0], -x[1]))
         best.append(found)
+        open_ = max(open_, (found[0] + end, end), key=lambda x: (x[0], -x[1]))
     words, end = [], len(name)
     while end:
         start = best[end][1]
@@ -93,9 +97,9 @@ def is_run(part: str) -> bool:
     return part[:2] != "e:" and part[2] != "#"
 
 
-def pieces(run: str) -> list[str]:
-    """Whatever could be a word of a run."""
-    return [run[i:j] for i in range(len(run)) for j in range(i + 2, min(len(run), i + LONGEST_WORD) + 1)]
+def pieces(run: str, lengths: list[int]) -> list[str]:
+    """Whatever could be a known word of a run."""
+    return [run[i : i + n] for n in lengths for i in range(len(run) - n + 1)]
 
 
 def look_up(rows: DataFrame, by: str, keys: Column, found: DataFrame, work: Callable[[pd.DataFrame, dict], pd.DataFrame], schema: str) -> DataFrame:
@@ -114,15 +118,16 @@ def tokens_of(urls: DataFrame, titles: DataFrame) -> DataFrame:
     """uid and tokens (host words, host ending, path words, numbers) of urls (uid, parts)."""
     words, total = word_counts(titles)
     size = float(max(total, 1))
+    lengths = sorted(r["n"] for r in words.select(F.length("word").alias("n")).distinct().collect())  # lengths only
     runs = materialize(urls.select(F.explode("parts").alias("part")).filter("part not like 'e:%' and substring(part, 3, 1) <> '#'").select(F.substring("part", 3, 1 << 30).alias("run")).distinct(), "url-runs")
 
     @F.pandas_udf("array<string>")
     def candidates(names: pd.Series) -> pd.Series:
-        return pd.Series([sorted(set(pieces(n))) for n in names], dtype=object)
+        return pd.Series([sorted(set(pieces(n, lengths))) for n in names], dtype=object)
 
     def split(left: pd.DataFrame, counts: dict) -> pd.DataFrame:
         model = {"": size, **{w: math.log10(n / size) for w, n in counts.items()}}
-        return pd.DataFrame({"key": left["run"], "value": pd.Series([split_words(r, model) for r in left["run"]], index=left.index, dtype=object)})
+        return pd.DataFrame({"key": left["run"], "value": pd.Series([split_words(r, model, lengths) for r in left["run"]], index=left.index, dtype=object)})
 
     splits = materialize(look_up(runs, "run", candidates("run"), words.select(F.col("word").alias("key"), F.col("count").alias("value")), split, "key string, value array<string>"), "url-splits")
 
