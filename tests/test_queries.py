@@ -10,14 +10,14 @@ from sunledger.plans.queries import ORACLE_SQL, QUERIES
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_matches_sql(spark, sf_dir, name):
-    got = QUERIES[name](spark, sf_dir).toPandas()
+    got = QUERIES[name](spark, sf_dir).toArrow()
     con = duckdb.connect()
     for f in os.listdir(sf_dir):
         con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{sf_dir}/{f}'")
-    want = con.sql(ORACLE_SQL[name]).df()
-    columns = sorted(want.columns)
-    assert columns == sorted(got.columns)
-    rows = lambda t: sorted(t[columns].astype(str).itertuples(index=False, name=None))
+    want = con.sql(ORACLE_SQL[name]).to_arrow_table()
+    columns = sorted(want.column_names)
+    assert columns == sorted(got.column_names)
+    rows = lambda t: sorted(tuple(str(r[c]) for c in columns) for r in t.to_pylist())
     assert rows(got) == rows(want)
 
 
