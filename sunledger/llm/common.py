@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,29 +10,27 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sunledger.stored import stored
+
 #: Bytes of text hashed at a time in a Python worker (one longer text is taken whole).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 U = np.uint64
 #: Fixed odd multiplier of the polynomial hash, and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 1 << 64)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests) a local one."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back: cuts the lineage and survives lost executors."""
+    return stored(df, name)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def discard(df: DataFrame) -> None:
+    """Delete a table that materialize wrote, once nothing reads it any more."""
+    sc = df.sparkSession.sparkContext
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,6 +78,7 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         j = min(j, n)
         yield i, j, data[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j
+    pa.default_memory_pool().release_unused()  # what batches before took
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -170,8 +167,9 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def worker_cache() -> dict:
-    """A dictionary that lasts as long as the Python worker, over all its tasks."""
-    import builtins
+_CACHE: dict = {}
+
 
-    return builtins.__dict__.setdefault("_sunledger_worker_cache", {})
+def worker_cache() -> dict:
+    """A dictionary that lasts as long as the Python worker, over all its tasks; operators that need much memory empty it."""
+    return _CACHE

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sunledger.llm.common import materialize
+from sunledger.llm.common import discard, materialize
 
 #: Rounds after which it is an error not to have ended (each round at least halves the longest path or so).
 MOST_ROUNDS = 40
@@ -42,7 +42,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = with_number(down, low, "a", "b")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        now = materialize(small.filter("a <> b").distinct(), "edges")
+        old, now = now, materialize(small.filter("a <> b").distinct(), "edges")
+        discard(old)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.count_distinct("a")).first()
         if mark == before and mark[0] == mark[2]:
             break

@@ -16,8 +16,8 @@ Lists over BLOCK and groups over SET_BLOCK members are split into pairs of block
 
 Defined cases: null texts and texts without words have no shingles and no links; with fewer
 words than a shingle the whole sequence is the only one; repeated rows and equal sets are
-linked; a null doc_id counts as larger than all; other columns are ignored. Shingles are
-compared by 64-bit hashes.
+linked; a null doc_id counts as larger than all; a very long text is read whole by one worker, and its
+set must fit there; other columns are ignored. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sunledger.llm.common import Rolling, U, byte_values, chunks, lowered, materialize, mix, own_id, row_id, row_key, separators, signed, word_spans
+from sunledger.llm.common import Rolling, U, byte_values, chunks, lowered, materialize, mix, own_id, row_id, row_key, separators, signed, word_spans, worker_cache
 from sunledger.llm.components import components, with_number
 
 #: Slots of the frequency sketch, and least length of a set's parity bitmap.
@@ -44,6 +44,7 @@ class Shingles:
     """Distinct shingle hashes of each row of a chunk, sorted within the row."""
 
     def __init__(self, k: int) -> None:
+        worker_cache().clear()
         self.k, self.values, self.is_sep, self.low, self.roll = k, byte_values(), separators(), lowered(), Rolling()
 
     def load(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -308,7 +309,7 @@ def links(sets: list[np.ndarray], percent: int, label: np.ndarray | None = None)
             found = low + np.flatnonzero(counts[low:] >= matches)
             found = found[label[found] != label[x]]
             cost = int(n[found].sum())
-            if best is None or cost < len(best):
+            if best is None or len(found) < len(best):
                 best = found
             if cost <= scanned + int(n[x]):  # a longer prefix costs more than it can save
                 break

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sunledger.llm.common import U, Rolling, byte_values, chunks, mix, signed
+from sunledger.llm.common import U, Rolling, byte_values, chunks, mix, signed, worker_cache
 
 SIZES = (3, 4, 5)
 SAMPLE_DOCS = 5000
@@ -36,6 +36,7 @@ class _Grams:
     """Hashes of the n-grams of each row of a chunk."""
 
     def __init__(self) -> None:
+        worker_cache().clear()
         self.values, self.roll = byte_values(), Rolling()
         self.letters = np.full(256, 32, np.uint8)
         self.letters[0x80:] = np.arange(0x80, 0x100)
