@@ -141,6 +141,64 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row", "th")
 
 
+# What SQL can express of op3, op4 and op9: the same operators, fewer columns.
+
+
+def _rule_case(as_name: bool) -> str:
+    """The first rule that fits, longest first: its name, or its action."""
+    out = []
+    for action, rule in sorted(URL_RULES, key=lambda x: -len(x[1])):
+        at, _, start = rule.partition("/")
+        out.append(f"WHEN (host = '{at}' OR ends_with(host, '.{at}')) AND starts_with(path, '/{start}') THEN '{rule if as_name else action}'")
+    return "CASE " + " ".join(out) + " END"
+
+
+@query
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op3's columns that the rules alone decide; verdict is null where the method decides."""
+    found = op3_url_filter(spark, sf_dir)
+    return found.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("ruled"))
+
+
+ORACLE_SQL["url_rules"] = f"""
+WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)
+SELECT page_id, host, path, {_rule_case(True)} AS rule, {_rule_case(False)} AS ruled FROM u
+"""
+
+
+@query
+def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op4's counts of base spans."""
+    return op4_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+ORACLE_SQL["pii_counts"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS email, regexp_extract_all(t, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)') AS ip,
+  list_transform(regexp_extract_all(t, '[0-9](?:[\x20-]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS card, list_transform(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS phone FROM d)
+SELECT doc_id, CAST(len(email) AS BIGINT) AS n_email, CAST(len(list_filter(ip, lambda x: list_max(list_transform(string_split(x, '.'), lambda p: CAST(p AS HUGEINT))) <= 255)) AS BIGINT) AS n_ip,
+  CAST(len(list_filter(card, lambda x: len(x) BETWEEN 13 AND 19 AND list_sum(list_transform(string_split(reverse(x), ''), lambda c, i: CASE WHEN i % 2 = 1 THEN CAST(c AS INTEGER) ELSE 2 * CAST(c AS INTEGER) // 10 + 2 * CAST(c AS INTEGER) % 10 END)) % 10 = 0)) AS BIGINT) AS n_card,
+  CAST(len(list_filter(phone, lambda x: len(x) BETWEEN 9 AND 15)) AS BIGINT) AS n_phone FROM m
+"""
+
+
+@query
+def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9's columns of the base score."""
+    return op9_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+ORACLE_SQL["lm_base"] = r"""
+WITH d AS (SELECT doc_id, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))) AS crc,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+h AS (SELECT doc_id, xor(crc, 4294967295) % 5 = 1 AS held_out, list_concat(w, [chr(10)]) AS w FROM d),
+t AS (SELECT doc_id, held_out, unnest(w) AS word FROM h), c AS (SELECT word, count(*) AS c FROM t WHERE NOT held_out GROUP BY 1),
+n AS (SELECT CAST(coalesce(sum(c), 0) AS BIGINT) AS total, count(*) AS words FROM c)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(total) AS train_tokens, round(sum(log10((coalesce(c, 0) + 0.5) / (total + 0.5 * (words + 1)))), 4) AS base_score FROM t LEFT JOIN c USING (word), n GROUP BY 1, 2
+"""
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
