@@ -94,6 +94,16 @@ class Items:
         self.words = [np.searchsorted(self.vocabulary, w) for w in self.words]
         self.answer = [np.searchsorted(self.vocabulary, w) for w in self.answer]
 
+    def plain(self) -> dict:
+        """What is broadcast: lists and arrays only."""
+        return dict(self.__dict__)
+
+    @classmethod
+    def of(cls, plain: dict) -> Items:
+        out = cls([])
+        out.__dict__.update(plain)
+        return out
+
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """Place in the vocabulary, or -1."""
         maybe = np.flatnonzero(self.slots[hashes & (len(self.slots) - 1)])
@@ -126,7 +136,7 @@ def _frequencies(docs: DataFrame, items) -> tuple[np.ndarray, int]:
     schema = pa.schema([("word", pa.int64()), ("count", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, own = Words(), items.value
+        reader, own = Words(), Items.of(items.value)
         counts, total = np.zeros(len(own.vocabulary), np.int64), 0
         for batch in batches:
             for _, _, data, bounds in chunks(batch["text"]):
@@ -138,7 +148,7 @@ def _frequencies(docs: DataFrame, items) -> tuple[np.ndarray, int]:
         used = np.flatnonzero(counts)
         yield pa.record_batch([np.append(used, -1), np.append(counts[used], total)], schema=schema)
 
-    size = len(items.value.vocabulary)
+    size = len(items.value["vocabulary"])
     counts, total = np.zeros(size, np.int64), 0
     for r in docs.select("text").mapInArrow(run, "word long, count long").groupBy("word").agg(F.sum("count").alias("n")).collect():  # the block's vocabulary
         if r["word"] < 0:
@@ -194,6 +204,7 @@ def _latent(docs: DataFrame, items: Items, weights: np.ndarray, least: float) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, (own, w, test) = Words(), shared.value
+        own = Items.of(own)
         total, scaled = np.zeros((size, width), np.float32), test * w[:, None]
         for batch in batches:
             for _, _, data, bounds in chunks(batch["text"]):
@@ -216,7 +227,7 @@ def _latent(docs: DataFrame, items: Items, weights: np.ndarray, least: float) ->
                 sums[part] = sums.get(part, 0) + np.frombuffer(raw, "<f4").astype(np.float64)
         yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([x.astype("<f4").tobytes() for x in sums.values()], pa.binary())], schema=schema)
 
-    shared = docs.sparkSession.sparkContext.broadcast((items, weights.astype(np.float32), omega))
+    shared = docs.sparkSession.sparkContext.broadcast((items.plain(), weights.astype(np.float32), omega))
     image = np.zeros((size, width))
     parts = docs.select("text").mapInArrow(run, "part int, sums binary").repartition("part").mapInArrow(add, "part int, sums binary")
     for r in parts.collect():  # the block's vocabulary times RANK + OVERSAMPLED numbers
@@ -344,6 +355,7 @@ MATCH = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("item_id", pa.in
 def _search(docs: DataFrame, shared, common: float, with_answer: float, answer: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, (own, weights, frequent, basis) = Words(), shared.value
+        own = Items.of(own)
         bounds_of = Bounds(own, weights, frequent, basis)
         words, goals = padded(own.words), padded(own.answer)
         heavy = np.append(weights, 0).astype(np.float64)  # the last one is what -1 weighs
@@ -412,7 +424,7 @@ def matches(documents: DataFrame, benchmark: DataFrame, common: float = COMMON,
         if not mine:
             continue
         items = Items(mine)
-        counts, total = _frequencies(docs, spark.sparkContext.broadcast(items))
+        counts, total = _frequencies(docs, spark.sparkContext.broadcast(items.plain()))
         weights = _weights(counts, total)
         frequent = counts > MOST_FREQUENT * total
         # the space may be any: the bounds hold in each, and only get closer
@@ -420,7 +432,7 @@ def matches(documents: DataFrame, benchmark: DataFrame, common: float = COMMON,
         mass = np.array([rare[w].sum() for w in items.words])
         least = float(np.median(mass[mass > 0])) * min(common, with_answer) / 2 if (mass > 0).any() else np.inf  # halves that could hold enough of a middle item
         basis = _latent(docs, items.without(frequent), rare, least)
-        shared = spark.sparkContext.broadcast((items, weights.astype(np.float32), frequent, basis))
+        shared = spark.sparkContext.broadcast((items.plain(), weights.astype(np.float32), frequent, basis))
         one = _search(docs, shared, common, with_answer, answer)
         found = one if found is None else found.unionByName(one)
     if found is None:
