@@ -141,6 +141,30 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row", "th")
 
 
+@query
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sunledger.llm.fingerprints import edited_fingerprints
+
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op13_document_fingerprints"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents),
+x AS (SELECT *, coalesce(lead(t) OVER w, first_value(t) OVER w) AS next_t, coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS next_id FROM d WINDOW w AS (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+e AS (SELECT *, left(t, n - n // 2) || left(next_t, n // 2) AS edited FROM x),
+a AS (SELECT doc_id, unnest([1, 2, 3]) AS which, regexp_extract_all(unnest([t, edited, next_t]), '[^\x20\x09-\x0D]+') AS w FROM e),
+h AS (SELECT doc_id, which, list_transform(CASE WHEN len(w) = 0 THEN [] ELSE range(1, greatest(len(w) - 4, 1) + 1) END, lambda i: left(md5(array_to_string(w[i : i + 4], ' ')), 16)) AS h FROM a),
+u AS (SELECT doc_id, which, h, list_sort(list_distinct(list_filter(h, lambda x: x < '1'))) AS u FROM h),
+s AS (SELECT doc_id, which, CASE WHEN len(u) > 0 OR len(h) = 0 THEN u ELSE [list_min(h)] END AS s FROM u),
+p AS (SELECT doc_id, any_value(s) FILTER (which = 1) AS s, any_value(s) FILTER (which = 2) AS s_edited, any_value(s) FILTER (which = 3) AS s_next FROM s GROUP BY 1),
+c AS (SELECT *, len(list_intersect(s, s_edited)) AS both_edited, len(list_intersect(s, s_next)) AS both_next, len(list_distinct(list_concat(s, s_edited))) AS all_edited, len(list_distinct(list_concat(s, s_next))) AS all_next FROM p)
+SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, array_to_string(s, '') AS fingerprint, array_to_string(s_edited, '') AS edited_fingerprint,
+  CASE WHEN all_edited > 0 THEN both_edited / all_edited ELSE 1.0::DOUBLE END AS near_edited, CASE WHEN all_next > 0 THEN both_next / all_next ELSE 1.0::DOUBLE END AS near_next,
+  CASE WHEN len(s) > 0 THEN both_edited / len(s) WHEN len(s_edited) > 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS contained_edited, CASE WHEN len(s) > 0 THEN both_next / len(s) WHEN len(s_next) > 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS contained_next, next_id
+FROM e JOIN c USING (doc_id)
+"""
+
+
 # What SQL can express of op3, op4 and op9: the same operators, fewer columns.
 
 
