@@ -165,6 +165,38 @@ FROM e JOIN c USING (doc_id)
 """
 
 
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sunledger.llm.merkle import document_manifest
+
+    return document_manifest(table(spark, sf_dir, "documents"))
+
+
+def _merkle_sql() -> str:
+    """Trees level by level, then each leaf's steps (siblings to the left and right of it) and what folds up from them."""
+    field = lambda c: f"coalesce(CAST(octet_length(encode(CAST({c} AS VARCHAR))) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda text: f"sha256({' || '.join(map(field, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+    crc = "list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))"
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce('=' || source, '') AS g, {leaf("text")} AS leaf, CASE WHEN xor({crc}, 4294967295) % 2 = 0 THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf("text")} END AS claimed FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY g) AS n, dense_rank() OVER (ORDER BY g) - 1 AS gi FROM d),
+a AS (SELECT gi, 0 AS level, i, n AS size, leaf AS digest FROM l UNION ALL SELECT gi, level + 1, i // 3, (size + 2) // 3, sha256(string_agg(digest, '' ORDER BY i)) FROM a WHERE size > 1 GROUP BY gi, level, i // 3, size),
+b AS (SELECT 0 AS level, gi AS i, (SELECT count(DISTINCT gi) FROM l) AS size, digest FROM a WHERE size = 1 UNION ALL SELECT level + 1, i // 3, (size + 2) // 3, sha256(string_agg(digest, '' ORDER BY i)) FROM b WHERE size > 1 GROUP BY level, i // 3, size),
+v AS (SELECT DISTINCT gi, level FROM a WHERE size > 1), z AS (SELECT DISTINCT level FROM b WHERE size > 1),
+p AS (SELECT doc_id, l.gi, 0 AS tree, v.level, i // CAST(pow(3, v.level) AS BIGINT) AS i FROM l JOIN v ON v.gi = l.gi UNION ALL SELECT doc_id, 0, 1, z.level, gi // CAST(pow(3, z.level) AS BIGINT) FROM l, z),
+k AS (SELECT gi, 0 AS tree, level, i, i // 3 AS up, digest FROM a UNION ALL SELECT 0, 1, level, i, i // 3, digest FROM b),
+s AS (SELECT doc_id, p.tree, p.level, row_number() OVER (PARTITION BY doc_id ORDER BY p.tree, p.level) AS nr, coalesce(string_agg(k.digest, '' ORDER BY k.i) FILTER (k.i < p.i), '') AS before, coalesce(string_agg(k.digest, '' ORDER BY k.i) FILTER (k.i > p.i), '') AS after
+  FROM p JOIN k ON k.gi = p.gi AND k.tree = p.tree AND k.level = p.level AND k.up = p.i // 3 GROUP BY 1, 2, 3),
+f AS (SELECT doc_id, 0 AS nr, claimed AS digest FROM l UNION ALL SELECT f.doc_id, s.nr, sha256(s.before || f.digest || s.after) FROM f JOIN s ON s.doc_id = f.doc_id AND s.nr = f.nr + 1),
+e AS (SELECT doc_id, arg_max(digest, nr) AS folded_root FROM f GROUP BY 1), h AS (SELECT doc_id, sha256(string_agg(before || after, '' ORDER BY nr)) AS proof_sha256 FROM s GROUP BY 1)
+SELECT doc_id, leaf, a.digest AS subroot, b.digest AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = b.digest AS verified
+FROM l JOIN a ON a.gi = l.gi AND a.size = 1 JOIN b ON b.size = 1 JOIN e USING (doc_id) LEFT JOIN h USING (doc_id)
+"""
+
+
+ORACLE_SQL["op11_merkle_manifest"] = _merkle_sql()
+
+
 # What SQL can express of op3, op4 and op9: the same operators, fewer columns.
 
 
