@@ -197,6 +197,36 @@ FROM l JOIN a ON a.gi = l.gi AND a.size = 1 JOIN b ON b.size = 1 JOIN e USING (d
 ORACLE_SQL["op11_merkle_manifest"] = _merkle_sql()
 
 
+@query
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sunledger.llm.centroids import cluster_vectors
+
+    return cluster_vectors(table(spark, sf_dir, "embeddings")).drop("scanned")
+
+
+def _centroid_sql(k: int = 16, rounds: int = 3, size: int = 64) -> str:
+    """Each round in two steps: a vector's nearest centroid, and each centroid's new components."""
+    out = f"""
+WITH v AS (SELECT vec_id, row_number() OVER () AS nr, list_transform(embedding, lambda x: CAST(floor({size} * x::DOUBLE) AS BIGINT)) AS e FROM embeddings
+  WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (SELECT row_number() OVER (ORDER BY h) - 1 AS cluster, e FROM (SELECT sha256('1:' || CAST(vec_id AS VARCHAR)) AS h, e FROM v ORDER BY h LIMIT {k})),"""
+    for r in range(rounds + 1):
+        out += f"""
+a{r} AS (SELECT nr, arg_min(cluster, {{'d': d, 'c': cluster}}) AS cluster, min(d) AS d FROM (SELECT nr, cluster, list_sum(list_transform(list_zip(v.e, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v, c{r} c) GROUP BY nr),"""
+        if r < rounds:
+            out += f"""
+m{r} AS (SELECT cluster, list(m ORDER BY i) AS e FROM (SELECT cluster, i, CAST(floor(sum(x)::HUGEINT / count(*)) AS BIGINT) AS m FROM (SELECT cluster, unnest(e) AS x, unnest(range(1, {size} + 1)) AS i FROM v JOIN a{r} USING (nr)) GROUP BY 1, 2) GROUP BY 1),
+c{r + 1} AS (SELECT cluster, coalesce(m.e, c.e) AS e FROM c{r} c LEFT JOIN m{r} m USING (cluster)),"""
+    return f"""{out}
+i AS (SELECT cluster, CAST(sum(d) AS BIGINT) AS cluster_inertia FROM a{rounds} GROUP BY 1)
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, d AS distance, cluster_inertia, (SELECT CAST(sum(d) AS BIGINT) FROM a{rounds}) AS inertia, sha256(array_to_string(c.e, ',')) AS centroid_sha256
+FROM v JOIN a{rounds} USING (nr) JOIN i USING (cluster) JOIN c{rounds} c USING (cluster)
+"""
+
+
+ORACLE_SQL["op12_centroid_clustering"] = _centroid_sql()
+
+
 # What SQL can express of op3, op4 and op9: the same operators, fewer columns.
 
 
