@@ -30,18 +30,23 @@ def signals_of(frame: DataFrame) -> list[str]:
     return [c for c in frame.columns if c not in KEYS]
 
 
+def reading(frame: DataFrame, signal: str) -> tuple[Column, Column]:
+    """A signal's reading as text and as a number (NULL where it is none)."""
+    x, kind = F.col(f"`{signal}`"), dict(frame.dtypes)[signal]
+    plain = kind in ("double", "float", "int", "bigint", "smallint", "tinyint") or kind.startswith("decimal")
+    return x.cast("string"), clean(x.cast("double")) if plain else number(x)
+
+
 def long(frame: DataFrame, signals: Sequence[str], **extra: dict) -> DataFrame:
     """A row for each reading of each signal that the frame has: KEYS, signal, value_text, value_num.
 
     extra: name -> {signal: constant}, carried along as columns. One pass, no join.
     """
     there = [s for s in signals if s in frame.columns]
-    kinds = dict(frame.dtypes)
 
     def one(s: str) -> Column:
-        x = F.col(f"`{s}`")
-        numeric = clean(x.cast("double")) if kinds[s] in ("double", "float", "int", "bigint", "smallint", "tinyint") or kinds[s].startswith("decimal") else number(x)
-        return F.struct(F.lit(s).alias("signal"), x.cast("string").alias("value_text"), numeric.alias("value_num"), *[F.lit(v.get(s)).alias(k) for k, v in extra.items()])
+        text, numeric = reading(frame, s)
+        return F.struct(F.lit(s).alias("signal"), text.alias("value_text"), numeric.alias("value_num"), *[F.lit(v.get(s)).alias(k) for k, v in extra.items()])
 
     if not there:
         return frame.select(*KEYS, F.lit("").alias("signal"), F.lit("").alias("value_text"), F.lit(0.0).alias("value_num"), *[F.lit(None).alias(k) for k in extra]).filter("false")

@@ -1,172 +1,229 @@
-"""Checks of signal frames. Each turns readings into findings by one pass and one aggregation."""
+"""Checks of signal frames: all checks of rows are tests of one fused aggregation, however many there are.
+
+The first step groups readings by series, test and what is told apart (the verdict of ranges and pairs, the distinct
+reading of constants, expected values and sentinels), with sums before the shuffle. The second one looks at these
+groups only, so numbers that need a whole series (does any reading parse, which five values are least) cost no pass.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sunledger.frame import KEYS, long, signals_of
-from sunledger.operators.runs import gap_findings, stall_findings
+from sunledger.frame import KEYS, long, reading, signals_of
+from sunledger.operators.runs import run_findings, series_key, stall_findings
 from sunledger.schema import ALL_SIGNALS, CHECK_ORDER, as_findings, clean, no_findings, number_text
 
 ZERO = 1e-9
 
 
-def _bad_spans(rows: DataFrame, bad: Column, value: Column) -> DataFrame:
-    """By series and signal: first bad value, first and last bad stamp by position, counts of bad and of all rows."""
-    keyed = rows.withColumns({"bad": bad, "shown": value})
-    return (
-        keyed.groupBy("series_id", "signal")
-        .agg(
-            F.min_by("shown", F.when(F.col("bad"), F.col("pos"))).alias("value_num"),
-            F.min_by("ts", F.when(F.col("bad"), F.col("pos"))).alias("start_ts"),
-            F.max_by("ts", F.when(F.col("bad"), F.col("pos"))).alias("end_ts"),
-            F.timestamp_diff("microsecond", F.min_by("ts", F.when(F.col("bad"), F.col("pos"))), F.max_by("ts", F.when(F.col("bad"), F.col("pos")))).alias("duration_us"),
-            F.count_if("bad").alias("n_samples"),
-            F.count("*").alias("rows"),
-        )
-        .filter("n_samples > 0")
-    )
-
-
-def check_ranges(frame: DataFrame, ranges: dict[str, tuple[float, float]]) -> DataFrame:
-    """Readings outside [lo, hi]; a missing one is outside."""
-    there = {s: r for s, r in ranges.items() if s in frame.columns}
-    rows = long(frame, list(there), lo={s: float(r[0]) for s, r in there.items()}, hi={s: float(r[1]) for s, r in there.items()})
-    bad = ~F.coalesce(F.col("value_num").between(F.col("lo"), F.col("hi")), F.lit(False))
-    found = _bad_spans(rows, bad, F.col("value_num")).drop("rows")
-    details = F.create_map(*[F.lit(x) for s, (lo, hi) in there.items() for x in (s, f"outside [{float(lo)}, {float(hi)}]")]) if there else F.create_map(F.lit(""), F.lit(""))
-    return as_findings(found.withColumns({"check": F.lit("range"), "detail": F.element_at(details, F.col("signal"))}))
+@dataclass(frozen=True)
+class Test:
+    """One check of one signal (or pair), as the fused aggregation sees it.
+
+    text and number: the reading; bad: whether it fails, where that can be told row by row. Readings of `by_value` tests
+    are grouped by their text, so what depends on a value is decided once for each distinct one.
+    """
+
+    check: str
+    signal: str
+    text: Column
+    number: Column
+    bad: Column
+    by_value: bool = False
+    want_num: float | None = None
+    want_text: str | None = None
+    eps: float = 0.0
+    zero_tol: float = 0.0
+    note: str = ""
 
 
-def _pairs(frame: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame | None:
-    there = [p for p in pairs if p[0] in frame.columns and p[1] in frame.columns]
-    if not there:
+LITERALS = ("check", "signal", "want_num", "want_text", "eps", "zero_tol", "note")
+
+
+def _number_or_none(v: float | str) -> float | None:
+    try:
+        return float(v)
+    except (TypeError, ValueError):
         return None
+
+
+def range_tests(frame: DataFrame, ranges: Mapping[str, tuple[float, float]]) -> list[Test]:
+    """Readings outside [lo, hi]; a missing one is outside."""
+    out = []
+    for s, (lo, hi) in ranges.items():
+        if s in frame.columns:
+            text, x = reading(frame, s)
+            out.append(Test("range", s, text, x, ~F.coalesce(x.between(float(lo), float(hi)), F.lit(False)), note=f"outside [{float(lo)}, {float(hi)}]"))
+    return out
+
+
+def _pair_tests(frame: DataFrame, check: str, pairs: Sequence[tuple[str, str]], bad: Callable[[Column, Column], Column], note: str) -> list[Test]:
     value = lambda s: clean(F.col(f"`{s}`").cast("double"))
-    one = [F.struct(F.lit(f"{a} vs {b}").alias("signal"), F.lit(a).alias("name_l"), F.lit(b).alias("name_r"), value(a).alias("l"), value(b).alias("r")) for a, b in there]
-    return frame.select(*KEYS, F.inline(F.array(*one)))
+    there = [(a, b) for a, b in pairs if a in frame.columns and b in frame.columns]
+    return [Test(check, f"{a} vs {b}", F.lit(None).cast("string"), value(a), bad(value(a), value(b)), note=note.format(a, b)) for a, b in there]
 
 
-def check_equivalent(frame: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+def equivalent_tests(frame: DataFrame, pairs: Sequence[tuple[str, str]]) -> list[Test]:
     """Pairs that must be equal; missing on either side is a difference."""
-    rows = _pairs(frame, pairs)
-    if rows is None:
-        return no_findings(frame)
-    found = _bad_spans(rows, ~F.coalesce(F.col("l") == F.col("r"), F.lit(False)), F.col("l"))
-    return as_findings(found.withColumns({"check": F.lit("equivalent"), "detail": F.format_string("%d of %d rows differ", "n_samples", "rows")}))
+    return _pair_tests(frame, "equivalent", pairs, lambda a, b: ~F.coalesce(a == b, F.lit(False)), "")
 
 
-def check_lesser(frame: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+def lesser_tests(frame: DataFrame, pairs: Sequence[tuple[str, str]]) -> list[Test]:
     """Pairs whose left must not exceed its right; missing and equal ones are fine."""
-    rows = _pairs(frame, pairs)
-    if rows is None:
-        return no_findings(frame)
-    found = _bad_spans(rows, F.coalesce(F.col("l") > F.col("r"), F.lit(False)), F.col("l"))
-    names = F.split("signal", " vs ")
-    return as_findings(found.withColumns({"check": F.lit("lesser"), "detail": F.format_string("%s exceeds %s in %d of %d rows", names[0], names[1], "n_samples", "rows")}))
+    return _pair_tests(frame, "lesser", pairs, lambda a, b: F.coalesce(a > b, F.lit(False)), "{} exceeds {}")
 
 
-def check_constants(frame: DataFrame, signals: list[str], zero_tol: float = ZERO, eps: float = 0.0) -> DataFrame:
-    """Signals that must hold one value other than zero or blank. n_samples counts distinct values (all missing: rows)."""
-    rows = long(frame, signals).withColumn("text", F.when(~F.lower("value_text").eqNullSafe("nan"), F.col("value_text")))
-    groups = rows.groupBy("series_id", "signal").agg(
-        F.count("*").alias("rows"), F.count("text").alias("known"), F.count("value_num").alias("numeric"),
-        F.min("value_num").alias("least"), F.max("value_num").alias("most"), F.min(F.abs("value_num")).alias("near_zero"),
-        F.count_distinct("text").alias("kinds"), F.min_by("text", F.when(F.col("text").isNotNull(), F.col("pos"))).alias("first_text"),
-        F.min_by("value_num", F.when(F.col("value_num").isNotNull(), F.col("pos"))).alias("first_num"),
-        F.min_by("ts", "pos").alias("start_ts"), F.max_by("ts", "pos").alias("end_ts"),
-    )
-    is_number = F.col("numeric") == F.col("known")
-    changes = F.when(is_number, F.col("most") - F.col("least") > eps).otherwise(F.col("kinds") > 1)
-    blank = F.when(is_number, F.col("near_zero") <= zero_tol).otherwise(F.trim("first_text").isin("", "0", "0.0", "None", "nan"))
-    none = F.col("known") == 0
-    missing = F.col("rows") - F.col("known")
-    detail = F.when(none, F.lit("all NaN")).otherwise(F.concat_ws("; ", F.when(changes, "changes"), F.when(blank, "zero/blank"), F.when(missing > 0, F.concat(missing.cast("string"), F.lit(" NaN")))))
-    found = groups.withColumns({"detail": detail, "check": F.lit("constant"), "n_samples": F.when(none, F.col("rows")).otherwise(F.col("kinds")), "value_num": F.when(is_number, F.col("first_num")), "value_text": F.when(~is_number, F.col("first_text")), "duration_us": F.when(~none, F.timestamp_diff("microsecond", F.col("start_ts"), F.col("end_ts")))})
-    found = found.withColumns({"start_ts": F.when(~none, F.col("start_ts")), "end_ts": F.when(~none, F.col("end_ts"))})
-    return as_findings(found.filter("detail <> ''"))
-
-
-def _five(values: DataFrame) -> DataFrame:
-    """series_id, signal and seen: the five least of the distinct values in column shown."""
-    least = Window.partitionBy("series_id", "signal").orderBy("shown")
-    some = values.select("series_id", "signal", "shown").distinct().withColumn("nr", F.row_number().over(least)).filter("nr <= 5")
-    return some.groupBy("series_id", "signal").agg(F.array_sort(F.collect_list("shown")).alias("seen"))
-
-
-def _expected_rows(frame: DataFrame, expected: dict[str, float | str], eps: float) -> DataFrame:
-    """Long rows with text and whether they deviate, compared as numbers (off_num) and as text (off_text)."""
-    there = {s: v for s, v in expected.items() if s in frame.columns}
+def _value_tests(frame: DataFrame, check: str, signals: Sequence[str], **of: Callable[[str], object]) -> list[Test]:
+    there = [s for s in signals if s in frame.columns]
+    return [Test(check, s, *reading(frame, s), F.lit(True), by_value=True, **{k: f(s) for k, f in of.items()}) for s in there]
 
-    def as_number(v) -> float | None:
-        try:
-            return float(v)
-        except (TypeError, ValueError):
-            return None
 
-    rows = long(frame, list(there), want_num={s: as_number(v) for s, v in there.items()}, want_text={s: str(v) for s, v in there.items()})
-    rows = rows.withColumn("text", F.when(~F.lower("value_text").eqNullSafe("nan"), F.col("value_text")))
-    off_num = ~F.coalesce(F.abs(F.col("value_num") - F.col("want_num").cast("double")) <= eps, F.lit(False))
-    return rows.withColumns({"off_num": off_num, "off_text": ~F.coalesce(F.col("text") == F.col("want_text"), F.lit(False))})
+def constant_tests(frame: DataFrame, signals: Sequence[str], zero_tol: float = ZERO, eps: float = 0.0) -> list[Test]:
+    """Signals that must hold one value other than zero or blank."""
+    return _value_tests(frame, "constant", signals, eps=lambda s: float(eps), zero_tol=lambda s: float(zero_tol))
 
 
-def _as_numbers(rows: DataFrame) -> DataFrame:
-    """series_id, signal, numeric: whether the wanted value and any reading are numbers."""
-    return rows.groupBy("series_id", "signal").agg(((F.count("value_num") > 0) & (F.count("want_num") > 0)).alias("numeric"))
+def expected_tests(frame: DataFrame, expected: Mapping[str, float | str], eps: float = 0.0) -> list[Test]:
+    """Signals that must always show one value; compared as numbers if the value and any reading are."""
+    return _value_tests(frame, "expected", list(expected), want_num=lambda s: _number_or_none(expected[s]), want_text=lambda s: str(expected[s]), eps=lambda s: float(eps))
 
 
-def expected_deviations(frame: DataFrame, expected: dict[str, float | str], eps: float = 0.0) -> DataFrame:
-    """Readings that do not show the signal's expected value, missing ones too: KEYS, signal, value_text, value_num."""
-    rows = _expected_rows(frame, expected, eps)
-    off = F.when(F.col("numeric"), F.col("off_num")).otherwise(F.col("off_text"))
-    return rows.join(_as_numbers(rows), ["series_id", "signal"]).filter(off).select(*KEYS, "signal", "value_text", "value_num")
+def sentinel_tests(frame: DataFrame, signals: Sequence[str], sentinel: float | Mapping[str, float] = -99.0, eps: float = 0.0) -> list[Test]:
+    """Unused signals that must show their sentinel."""
+    want = lambda s: float(sentinel.get(s, -99.0) if isinstance(sentinel, Mapping) else sentinel)
+    return _value_tests(frame, "sentinel", signals, want_num=want, eps=lambda s: float(eps))
 
 
-def check_expected(frame: DataFrame, expected: dict[str, float | str], eps: float = 0.0) -> DataFrame:
-    """Signals that must always show one value; the comparison is numeric if the value and any reading are."""
-    rows = _expected_rows(frame, expected, eps)
+def _off(numeric: Column) -> Column:
+    """Whether a row's reading fails its test; numeric: whether `expected` compares numbers."""
+    near = F.abs(F.col("value") - F.col("want_num")) <= F.col("eps")
+    by_number, by_text = ~F.coalesce(near, F.lit(False)), ~F.coalesce(F.col("text") == F.col("want_text"), F.lit(False))
+    return (
+        F.when(F.col("check") == "expected", F.when(numeric, by_number).otherwise(by_text)).when(F.col("check") == "sentinel", F.coalesce(~near, F.lit(False))).otherwise(F.col("bad"))
+    )
+
+
+def _groups(frame: DataFrame, tests: Sequence[Test]) -> DataFrame:
+    """By series, test and distinct reading (of by_value tests) or verdict (of the others): how often, and the first and last place.
 
-    def deviating(off: str) -> Column:
-        is_off, known = F.col(off), F.col("text").isNotNull()
-        at, other = F.when(is_off, F.col("pos")), F.when(is_off & known, F.col("pos"))
-        return F.struct(
-            F.min_by("value_num", other).alias("value_num"), F.min_by("text", other).alias("first_text"), F.min_by("ts", at).alias("start_ts"), F.max_by("ts", at).alias("end_ts"),
-            F.count_if(is_off).alias("n_samples"), F.count_if(is_off & known).alias("differ"), F.count_if(is_off & ~known).alias("missing"),
-        )
+    One pass over the frame with partial sums before the shuffle, whatever the number of tests.
+    """
+    known = lambda x: F.when(~F.lower(x).eqNullSafe("nan"), x)
+    one = [F.struct(F.lit(i).alias("test"), t.bad.alias("bad"), (known(t.text) if t.by_value else F.lit(None).cast("string")).alias("text"), t.number.alias("x")) for i, t in enumerate(tests)]
+    rows = frame.select("series_id", "pos", "ts", F.inline(F.array(*one)))
+    groups = rows.groupBy("series_id", "test", "bad", "text").agg(
+        F.count("*").alias("n"), F.min_by("x", "pos").alias("value"), F.min("pos").alias("p0"), F.min_by("ts", "pos").alias("t0"), F.max("pos").alias("p1"), F.max_by("ts", "pos").alias("t1"),
+    )
+    kinds = "struct<check:string,signal:string,want_num:double,want_text:string,eps:double,zero_tol:double,note:string>"
+    said = F.array(*[F.struct(*[F.lit(getattr(t, k)).alias(k) for k in LITERALS]).cast(kinds) for t in tests])
+    return groups.withColumn("said", F.element_at(said, F.col("test") + 1)).select("series_id", "test", "bad", "text", "n", "value", "p0", "t0", "p1", "t1", "said.*")
 
-    numeric = (F.count("value_num") > 0) & (F.count("want_num") > 0)
-    groups = rows.groupBy("series_id", "signal").agg(numeric.alias("numeric"), deviating("off_num").alias("by_num"), deviating("off_text").alias("by_text"), F.first("want_text").alias("want"))
-    found = groups.select("series_id", "signal", "want", F.inline(F.array(F.when(F.col("numeric"), F.col("by_num")).otherwise(F.col("by_text"))))).filter("n_samples > 0")
-    seen = _five(expected_deviations(frame, expected, eps).filter("lower(value_text) <> 'nan'").withColumn("shown", F.col("value_text")))
-    found = found.join(seen, ["series_id", "signal"], "left")
-    saw = F.concat(F.lit(" (saw ["), F.array_join("seen", ", "), F.lit("])"))
-    detail = F.concat_ws("; ", F.when(F.col("differ") > 0, F.concat(F.col("differ").cast("string"), F.lit(" value(s) != "), F.col("want"), saw)), F.when(F.col("missing") > 0, F.concat(F.col("missing").cast("string"), F.lit(" missing"))))
-    return as_findings(found.withColumns({"check": F.lit("expected"), "detail": detail, "value_text": F.when(F.col("value_num").isNull(), F.col("first_text")), "duration_us": F.timestamp_diff("microsecond", F.col("start_ts"), F.col("end_ts"))}))
+
+def row_findings(frame: DataFrame, tests: Sequence[Test]) -> DataFrame:
+    """Findings of tests: the readings are aggregated once, then the distinct readings of each series and test."""
+    if not tests:
+        return no_findings(frame)
+    by_test = Window.partitionBy("series_id", "test")
+    groups = _groups(frame, tests)
+    groups = groups.withColumn("numeric", (F.max(F.col("value").isNotNull()).over(by_test) & F.col("want_num").isNotNull()))
+    groups = groups.withColumn("off", _off(F.col("numeric"))).withColumn("known", F.col("text").isNotNull())
+    # the five least distinct readings that are off: numbers by size, others by their text
+    shown = F.col("off") & F.col("known")
+    groups = groups.withColumn("nr", F.row_number().over(by_test.orderBy(F.when(shown, 0).otherwise(1), F.when(F.col("check") == "sentinel", F.col("value")), "text")))
+    off, off_known, lost = F.col("off"), F.col("off") & F.col("known"), F.col("value").isNull()
+    total = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0))
+    span_of = F.when(F.col("check") == "constant", F.lit(True)).otherwise(off)
+    found = groups.groupBy("series_id", "test", "check", "signal", "want_num", "want_text", "eps", "zero_tol", "note").agg(
+        F.sum("n").alias("rows"), total(off).alias("n_off"), total(off_known).alias("differ"), total(off & ~F.col("known")).alias("missing"), total(lost).alias("lost"),
+        total(F.col("known")).alias("n_known"), total(~lost).alias("n_numeric"), F.count_if("known").alias("kinds"), F.min("value").alias("least"), F.max("value").alias("most"), F.min(F.abs("value")).alias("near_zero"),
+        F.min_by("value", F.when(off, F.col("p0"))).alias("first_off"), F.min_by("value", F.when(off_known, F.col("p0"))).alias("first_differing"), F.min_by("text", F.when(off_known, F.col("p0"))).alias("first_differing_text"),
+        F.min_by("text", F.when(F.col("known"), F.col("p0"))).alias("first_text"), F.min_by("value", F.when(~lost, F.col("p0"))).alias("first_num"), F.min(F.when(off, F.col("value"))).alias("least_off"),
+        F.min_by("t0", F.when(span_of, F.col("p0"))).alias("start_ts"), F.max_by("t1", F.when(span_of, F.col("p1"))).alias("end_ts"),
+        F.array_sort(F.collect_list(F.when(shown & (F.col("nr") <= 5), F.struct("nr", "text", "value")))).alias("seen"),
+    )
+    return as_findings(_told(found).filter("detail <> ''"))
+
+
+def _told(found: DataFrame) -> DataFrame:
+    """detail, value_num, value_text, n_samples and duration_us of each test's numbers; an empty detail where all is well."""
+    is_ = lambda c: F.col("check") == c
+    count = lambda c, text: F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(text)))
+    saw = lambda f: F.concat(F.lit(" (saw ["), F.array_join(F.transform("seen", f), ", "), F.lit("])"))
+    # constant
+    is_number, none = F.col("n_numeric") == F.col("n_known"), F.col("n_known") == 0
+    changes = F.when(is_number, F.col("most") - F.col("least") > F.col("eps")).otherwise(F.col("kinds") > 1)
+    blank = F.when(is_number, F.col("near_zero") <= F.col("zero_tol")).otherwise(F.trim("first_text").isin("", "0", "0.0", "None", "nan"))
+    unknown = F.col("rows") - F.col("n_known")
+    constant = F.when(none, F.lit("all NaN")).otherwise(F.concat_ws("; ", F.when(changes, "changes"), F.when(blank, "zero/blank"), F.when(unknown > 0, F.concat(unknown.cast("string"), F.lit(" NaN")))))
+    # expected
+    wrong = F.when(F.col("differ") > 0, F.concat(F.col("differ").cast("string"), F.lit(" value(s) != "), F.col("want_text"), saw(lambda x: x["text"])))
+    expected = F.concat_ws("; ", wrong, count("missing", " missing"))
+    # sentinel
+    sentinel = F.concat_ws("; ", F.when(F.col("n_off") > 0, F.concat(F.col("n_off").cast("string"), F.lit(" value(s) != "), number_text(F.col("want_num")))), count("lost", " NaN/non-numeric"))
+    sentinel = F.concat(sentinel, F.when(F.col("n_off") > 0, saw(lambda x: number_text(x["value"]))).otherwise(""))
+    pair = F.when(is_("equivalent"), F.format_string("%d of %d rows differ", "n_off", "rows")).otherwise(F.format_string("%s in %d of %d rows", "note", "n_off", "rows"))
+    detail = F.when(is_("constant"), constant).when(is_("expected"), expected).when(is_("sentinel"), sentinel).when(F.col("n_off") > 0, F.when(is_("range"), F.col("note")).otherwise(pair)).otherwise("")
+    number = F.when(is_("constant"), F.when(is_number, F.col("first_num"))).when(is_("expected"), F.col("first_differing")).when(is_("sentinel"), F.col("least_off")).otherwise(F.col("first_off"))
+    text = F.when(is_("constant") & ~is_number, F.col("first_text")).when(is_("expected") & F.col("first_differing").isNull(), F.col("first_differing_text"))
+    n = F.when(is_("constant"), F.when(none, F.col("rows")).otherwise(F.col("kinds"))).when(is_("sentinel"), F.col("n_off") + F.col("lost")).otherwise(F.col("n_off"))
+    shown = ~(is_("constant") & none)
+    found = found.withColumns({"detail": detail, "value_num": number, "value_text": text, "n_samples": n, "start_ts": F.when(shown, F.col("start_ts")), "end_ts": F.when(shown, F.col("end_ts"))})
+    return found.withColumn("duration_us", F.timestamp_diff("microsecond", F.col("start_ts"), F.col("end_ts")))
+
+
+def check_ranges(frame: DataFrame, ranges: Mapping[str, tuple[float, float]]) -> DataFrame:
+    """Readings outside [lo, hi]; a missing one is outside."""
+    return row_findings(frame, range_tests(frame, ranges))
 
 
-def _sentinel_rows(frame: DataFrame, signals: list[str], sentinel: float | dict[str, float], eps: float) -> DataFrame:
-    want = {s: float(sentinel.get(s, -99.0) if isinstance(sentinel, dict) else sentinel) for s in signals}
-    rows = long(frame, signals, want=want)
-    return rows.withColumns({"bad": F.coalesce(F.abs(F.col("value_num") - F.col("want").cast("double")) > eps, F.lit(False)), "lost": F.col("value_num").isNull()})
+def check_equivalent(frame: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Pairs that must be equal; missing on either side is a difference."""
+    return row_findings(frame, equivalent_tests(frame, pairs))
 
 
-def sentinel_deviations(frame: DataFrame, signals: list[str], sentinel: float | dict[str, float] = -99.0, eps: float = 0.0) -> DataFrame:
-    """Readings of unused signals that are not their sentinel, missing ones too: KEYS, signal, value_text, value_num."""
-    return _sentinel_rows(frame, signals, sentinel, eps).filter("bad OR lost").select(*KEYS, "signal", "value_text", "value_num")
+def check_lesser(frame: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Pairs whose left must not exceed its right; missing and equal ones are fine."""
+    return row_findings(frame, lesser_tests(frame, pairs))
+
+
+def check_constants(frame: DataFrame, signals: Sequence[str], zero_tol: float = ZERO, eps: float = 0.0) -> DataFrame:
+    """Signals that must hold one value other than zero or blank. n_samples counts distinct values (all missing: rows)."""
+    return row_findings(frame, constant_tests(frame, signals, zero_tol, eps))
+
+
+def check_expected(frame: DataFrame, expected: Mapping[str, float | str], eps: float = 0.0) -> DataFrame:
+    """Signals that must always show one value; the comparison is numeric if the value and any reading are."""
+    return row_findings(frame, expected_tests(frame, expected, eps))
 
 
-def check_sentinel(frame: DataFrame, signals: list[str], sentinel: float | dict[str, float] = -99.0, eps: float = 0.0) -> DataFrame:
+def check_sentinel(frame: DataFrame, signals: Sequence[str], sentinel: float | Mapping[str, float] = -99.0, eps: float = 0.0) -> DataFrame:
     """Unused signals that must show their sentinel; missing readings are counted apart. value: least deviating number."""
-    rows = _sentinel_rows(frame, signals, sentinel, eps)
-    at = F.when(F.col("bad"), F.col("pos"))
-    found = rows.groupBy("series_id", "signal").agg(
-        F.min(F.when(F.col("bad"), F.col("value_num"))).alias("value_num"), F.min_by("ts", at).alias("start_ts"), F.max_by("ts", at).alias("end_ts"), F.count_if("bad").alias("differ"), F.count_if("lost").alias("missing"), F.first("want").alias("want"),
-    ).filter("differ + missing > 0")
-    found = found.join(_five(rows.filter("bad").withColumn("shown", F.col("value_num"))), ["series_id", "signal"], "left")
-    saw = F.when(F.col("differ") > 0, F.concat(F.lit(" (saw ["), F.array_join(F.transform("seen", number_text), ", "), F.lit("])"))).otherwise("")
-    detail = F.concat(F.concat_ws("; ", F.when(F.col("differ") > 0, F.concat(F.col("differ").cast("string"), F.lit(" value(s) != "), number_text(F.col("want").cast("double")))), F.when(F.col("missing") > 0, F.concat(F.col("missing").cast("string"), F.lit(" NaN/non-numeric")))), saw)
-    return as_findings(found.withColumns({"check": F.lit("sentinel"), "detail": detail, "n_samples": F.col("differ") + F.col("missing"), "duration_us": F.timestamp_diff("microsecond", F.col("start_ts"), F.col("end_ts"))}))
+    return row_findings(frame, sentinel_tests(frame, signals, sentinel, eps))
+
+
+def expected_deviations(frame: DataFrame, expected: Mapping[str, float | str], eps: float = 0.0) -> DataFrame:
+    """Readings that do not show the signal's expected value, missing ones too: KEYS, signal, value_text, value_num."""
+    there = {s: v for s, v in expected.items() if s in frame.columns}
+    rows = long(frame, list(there), want_num={s: _number_or_none(v) for s, v in there.items()}, want_text={s: str(v) for s, v in there.items()})
+    rows = rows.withColumns({"text": F.when(~F.lower("value_text").eqNullSafe("nan"), F.col("value_text")), "want_num": F.col("want_num").cast("double")})
+    # numbers are compared where the wanted value and any reading of the series are; a row for each series and signal
+    numeric = rows.groupBy("series_id", "signal").agg((F.count("value_num") > 0).alias("any_number")).withColumn("k", series_key(F.col("series_id"))).drop("series_id")
+    near = F.coalesce(F.abs(F.col("value_num") - F.col("want_num")) <= eps, F.lit(False))
+    same = F.coalesce(F.col("text") == F.col("want_text"), F.lit(False))
+    fine = F.when(F.col("any_number") & F.col("want_num").isNotNull(), near).otherwise(same)
+    return rows.withColumn("k", series_key(F.col("series_id"))).join(numeric, ["k", "signal"]).filter(~fine).select(*KEYS, "signal", "value_text", "value_num")
+
+
+def sentinel_deviations(frame: DataFrame, signals: Sequence[str], sentinel: float | Mapping[str, float] = -99.0, eps: float = 0.0) -> DataFrame:
+    """Readings of unused signals that are not their sentinel, missing ones too: KEYS, signal, value_text, value_num."""
+    want = {s: float(sentinel.get(s, -99.0) if isinstance(sentinel, Mapping) else sentinel) for s in signals}
+    rows = long(frame, list(signals), want=want)
+    bad = F.coalesce(F.abs(F.col("value_num") - F.col("want").cast("double")) > eps, F.lit(True))
+    return rows.filter(bad).select(*KEYS, "signal", "value_text", "value_num")
 
 
 def missing_signals(frame: DataFrame, spec) -> DataFrame:
@@ -176,17 +233,28 @@ def missing_signals(frame: DataFrame, spec) -> DataFrame:
     return as_findings(frame.sparkSession.createDataFrame(rows, "series_id string, check string, signal string, detail string, n_samples bigint"))
 
 
+def spec_tests(frame: DataFrame, spec) -> list[Test]:
+    """All row checks of a spec, for one aggregation."""
+    return [
+        *range_tests(frame, spec.ranges), *equivalent_tests(frame, spec.equivalent), *lesser_tests(frame, spec.lesser), *constant_tests(frame, spec.constant),
+        *expected_tests(frame, spec.expected, spec.eps), *sentinel_tests(frame, spec.unused, spec.sentinel, spec.eps),
+    ]
+
+
 def validate(frame: DataFrame, spec) -> DataFrame:
-    """All findings of all checks of a spec, with check_order for sorting. The frame is read by each check; cache it if that is dear."""
+    """All findings of all checks of a spec, with check_order for sorting.
+
+    The frame is read twice: once for all checks of rows, once for gaps and stalls. Sun angles read it again.
+    """
     from sunledger.operators.angles import check_solar_angles
 
-    parts = [missing_signals(frame, spec)]
+    parts = [missing_signals(frame, spec), row_findings(frame, spec_tests(frame, spec))]
+    dynamic = [s for s in spec.dynamic if s in frame.columns]
+    options = {"max_stall_us": spec.max_stall_us, "windows": spec.stall_windows, "decimals": spec.stall_decimals, "gap_factor": spec.gap_factor}
     if spec.gaps:
-        parts.append(gap_findings(frame, spec.gap_factor))
-    parts += [check_ranges(frame, spec.ranges), check_equivalent(frame, list(spec.equivalent)), check_lesser(frame, list(spec.lesser))]
-    if any(s in frame.columns for s in spec.dynamic):
-        parts.append(stall_findings(frame, [s for s in spec.dynamic if s in frame.columns], max_stall_us=spec.max_stall_us, windows=spec.stall_windows, decimals=spec.stall_decimals, gap_factor=spec.gap_factor))
-    parts += [check_constants(frame, list(spec.constant)), check_expected(frame, spec.expected, spec.eps), check_sentinel(frame, list(spec.unused), spec.sentinel, spec.eps)]
+        parts.append(run_findings(frame, dynamic, **options))
+    elif dynamic:
+        parts.append(stall_findings(frame, dynamic, **options))
     if spec.solar is not None:
         parts.append(check_solar_angles(frame, spec.solar))
     out = parts[0]
@@ -204,4 +272,4 @@ def summarize(findings: DataFrame, spec) -> DataFrame:
     return out.withColumn("pass", F.col("n_findings") == 0).orderBy("pass", "check", "signal")
 
 
-__all__ = ["ALL_SIGNALS", "check_constants", "check_equivalent", "check_expected", "check_lesser", "check_ranges", "check_sentinel", "expected_deviations", "missing_signals", "sentinel_deviations", "summarize", "validate"]
+__all__ = ["ALL_SIGNALS", "check_constants", "check_equivalent", "check_expected", "check_lesser", "check_ranges", "check_sentinel", "expected_deviations", "missing_signals", "row_findings", "sentinel_deviations", "summarize", "validate"]

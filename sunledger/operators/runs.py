@@ -1,7 +1,8 @@
 """Runs over time: cadence, gaps, stalls, availability, windows, intervals and date bands.
 
-Cadence, gaps and stalls run in windows of a series' day, with the last row of each day carried over; the other
-windows are partitioned by series and see few rows of each.
+Cadence, gaps and stalls read their frame once: readings are dealt by series and day, each day sends a summary (its
+steps by value, first stamp, last reading), and gets back one row: the reading before it and the series' median step.
+The other windows are partitioned by series and see few rows of each.
 """
 
 from __future__ import annotations
@@ -9,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sunledger.frame import long
-from sunledger.schema import from_micros, span_text
+from sunledger.frame import reading
+from sunledger.schema import ALL_SIGNALS, as_findings, from_micros, number_text, span_text
 
 GAP_FACTOR = 1.5
 MAX_STALL_US = 20_000_000
@@ -19,49 +20,146 @@ MAX_STALL_US = 20_000_000
 DAY_US, BUCKET_ROWS = 86_400_000_000, 1 << 16
 
 
-def in_order(rows: DataFrame, keys: list[str], order: list[str], bucket: Column, carried: list[str]) -> DataFrame:
-    """rows with `nr` (place within keys, from 1) and `before`: a struct of carried of the row before it, NULL for the first.
+def _summaries(rows: DataFrame, order: list[str], carried: list[str]) -> DataFrame:
+    """One row for each bucket of each series in rows (__s, __bucket, us, order and carried columns).
 
-    Windows run inside buckets of keys, whose order must be that of the rows; only the last row and the
-    number of rows of each bucket are looked at over a whole key, so no task holds all rows of one.
+    __before: struct of us and carried of the last reading before the bucket; __offset: number of readings before it;
+    interval: exact median of the series' steps; last_us and rows of the whole series.
+
+    A bucket sends its steps, counted by value, its first stamp and its last reading. Over a whole series, windows see
+    these, not readings; they are sorted by Spark, which spills, so no buffer grows with a series' distinct steps.
+    """
+    inside = Window.partitionBy("__s", "__bucket").orderBy(*order)
+    step = F.col("us") - F.lag("us").over(inside)
+    last = F.when(F.lead("us").over(inside).isNull(), F.struct("us", *carried))
+    # a bucket's first reading is the only one without a step, its last reading the only one with __last
+    counted = rows.select("__s", "__bucket", "us", step.alias("__step"), last.alias("__last")).groupBy("__s", "__bucket", "__step").agg(F.count("*").alias("__n"), F.min("us").alias("__first"), F.first("__last", ignorenulls=True).alias("__last"))
+    by_bucket = Window.partitionBy("__s").orderBy("__bucket")
+    earlier, whole = by_bucket.rangeBetween(Window.unboundedPreceding, -1), Window.partitionBy("__s")
+    counted = counted.withColumns({
+        "__before": F.last("__last", ignorenulls=True).over(earlier), "__offset": F.coalesce(F.sum("__n").over(earlier), F.lit(0)),
+        "rows": F.sum("__n").over(whole), "last_us": F.last("__last.us", ignorenulls=True).over(by_bucket.rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+    })
+    is_first = F.col("__step").isNull()
+    counted = counted.withColumn("__is_first", is_first).withColumn("__step", F.when(is_first, F.col("__first") - F.col("__before.us")).otherwise(F.col("__step")))
+    # ranks of steps; the very first reading has none, and NULL sorts before them
+    up_to = F.sum(F.when(F.col("__step").isNotNull(), F.col("__n"))).over(Window.partitionBy("__s").orderBy("__step", "__bucket", "__is_first").rowsBetween(Window.unboundedPreceding, 0))
+    counted = counted.withColumn("__to", up_to)
+    steps = F.col("rows") - 1
+    at = lambda rank: F.max(F.when((F.col("__to") >= rank) & (F.col("__to") - F.col("__n") < rank), F.col("__step"))).over(whole)
+    median = (at(F.floor((steps + 1) / 2)) + at(F.ceil((steps + 1) / 2))) / 2
+    return counted.withColumn("interval", median.cast("double")).filter("__is_first").select("__s", "__bucket", "__before", "__offset", "interval", "last_us", "rows")
+
+
+def series_key(series_id: Column) -> Column:
+    """A key that is never NULL, so that series without an id meet their own numbers in joins."""
+    return F.coalesce(F.concat(F.lit("="), series_id), F.lit(""))
+
+
+def _bucketed(frame: DataFrame, by_time: bool) -> tuple[DataFrame, list[str]]:
+    bucket = F.floor(F.col("us") / DAY_US) if by_time else F.floor(F.col("pos") / BUCKET_ROWS)
+    rows = frame.filter("us IS NOT NULL").withColumns({"__s": series_key(F.col("series_id")), "__bucket": bucket})
+    return rows, (["us", "pos"] if by_time else ["pos"])
+
+
+def paced(frame: DataFrame, carried: list[str] | None = None) -> DataFrame:
+    """frame's readings by time, with `before` (struct of us and carried of the one before, NULL for a series' first), `nr` (from 1),
+    interval (exact median step of the series, NULL with less than two readings), last_us and rows of the series.
+
+    Readings are dealt by series and day, once; windows run inside a day, and what a day needs to know of the others is one row.
+    Readings without a stamp have no place in time and are left out. __s and __bucket say how the rows are dealt.
     """
-    rows = rows.withColumn("__bucket", bucket)
-    inside = Window.partitionBy(*keys, "__bucket").orderBy(*order)
-    ends = rows.groupBy(*keys, "__bucket").agg(F.max_by(F.struct(*carried), F.struct(*order)).alias("__last"), F.count("*").alias("__n"))
-    over = Window.partitionBy(*keys).orderBy("__bucket")
-    ends = ends.withColumns({"__before": F.lag("__last").over(over), "__offset": F.coalesce(F.sum("__n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
-    rows = rows.join(ends.drop("__last", "__n"), [*keys, "__bucket"])
-    placed = {"nr": F.col("__offset") + F.row_number().over(inside), "before": F.coalesce(F.lag(F.struct(*carried)).over(inside), F.col("__before"))}
-    return rows.withColumns(placed).drop("__bucket", "__before", "__offset")
+    carried = carried or []
+    rows, order = _bucketed(frame, True)
+    inside = F.lag(F.struct("us", *carried)).over(Window.partitionBy("__s", "__bucket").orderBy(*order))
+    nr = F.row_number().over(Window.partitionBy("__s", "__bucket").orderBy(*order))
+    placed = rows.withColumns({"__inside": inside, "__nr": nr}).join(_summaries(rows, order, carried), ["__s", "__bucket"])
+    return placed.withColumns({"before": F.coalesce("__inside", "__before"), "nr": F.col("__offset") + F.col("__nr")}).drop("__inside", "__before", "__nr", "__offset")
+
+
+def sampling_interval(frame: DataFrame, in_time_order: bool = False) -> DataFrame:
+    """series_id, interval_us: exact median of consecutive steps, in file order unless told otherwise."""
+    rows, order = _bucketed(frame.select("series_id", "pos", "us"), in_time_order)
+    series = F.when(F.col("__s") != "", F.substring("__s", 2, 1 << 30)).alias("series_id")
+    return _summaries(rows, order, []).filter("__before IS NULL").select(series, F.col("interval").alias("interval_us"))
 
 
 def exact_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """keys and median of value: equal values are counted first, so a buffer holds distinct ones only."""
-    return rows.groupBy(*keys, value).agg(F.count("*").alias("n")).groupBy(*keys).agg(F.percentile(value, F.lit(0.5), F.when(F.col(value).isNotNull(), F.col("n")).otherwise(0)).alias("median"))
+    """keys and median of value: equal values are counted first, then ranked by Spark's sort, so no buffer grows with them.
 
+    The average of the middle two of an even number; NULL and NaN do not count. Keys may be NULL.
+    """
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
+    whole = Window.partitionBy(*keys)
+    counted = counted.withColumns({"__to": F.sum("__n").over(whole.orderBy(value)), "__all": F.sum("__n").over(whole)})
+    low, high = F.floor((F.col("__all") + 1) / 2), F.ceil((F.col("__all") + 1) / 2)
+    middle = counted.filter((F.col("__to") >= low) & (F.col("__to") - F.col("__n") < high))
+    return middle.groupBy(*keys).agg(((F.min(value) + F.max(value)) / 2).cast("double").alias("median"))
 
-def steps(frame: DataFrame) -> DataFrame:
-    """frame's readings with the time since the one before (prev_us and step, NULL for the first), by time."""
-    rows = in_order(frame, ["series_id"], ["us", "pos"], F.floor(F.col("us") / DAY_US), ["us"])
-    return rows.withColumn("prev_us", F.col("before.us")).withColumn("step", F.col("us") - F.col("prev_us")).drop("nr", "before")
 
+def _is_gap(gap_factor: float) -> Column:
+    return F.coalesce((F.col("interval") > 0) & (F.col("us") - F.col("before.us") > gap_factor * F.col("interval")), F.lit(False))
 
-def sampling_interval(frame: DataFrame, in_time_order: bool = False) -> DataFrame:
-    """series_id, interval_us: exact median of consecutive steps, in file order unless told otherwise."""
-    if in_time_order:
-        stepped = steps(frame.select("series_id", "pos", "us"))
-    else:
-        rows = in_order(frame.select("series_id", "pos", "us"), ["series_id"], ["pos"], F.floor(F.col("pos") / BUCKET_ROWS), ["us"])
-        stepped = rows.withColumn("step", F.col("us") - F.col("before.us"))
-    return exact_median(stepped, ["series_id"], "step").withColumnRenamed("median", "interval_us")
+
+def _missing_in_gap() -> Column:
+    return (F.rint((F.col("us") - F.col("before.us")) / F.col("interval")) - 1).cast("bigint")
 
 
 def gap_runs(frame: DataFrame, gap_factor: float = GAP_FACTOR) -> DataFrame:
     """Steps wider than gap_factor medians: series_id, start_ts, end_ts, duration_us, n_missing."""
-    stepped = steps(frame.select("series_id", "pos", "us"))
-    median = exact_median(stepped, ["series_id"], "step").withColumnRenamed("median", "interval")
-    wide = stepped.join(median, "series_id").filter((F.col("interval") > 0) & (F.col("step") > gap_factor * F.col("interval")))
-    return wide.select("series_id", from_micros(F.col("prev_us")).alias("start_ts"), from_micros(F.col("us")).alias("end_ts"), F.col("step").alias("duration_us"), (F.rint(F.col("step") / F.col("interval")) - 1).cast("bigint").alias("n_missing"))
+    wide = paced(frame.select("series_id", "pos", "us")).filter(_is_gap(gap_factor))
+    before = F.col("before.us")
+    return wide.select("series_id", from_micros(before).alias("start_ts"), from_micros(F.col("us")).alias("end_ts"), (F.col("us") - before).alias("duration_us"), _missing_in_gap().alias("n_missing"))
+
+
+def _held_runs(frame: DataFrame, signals: list[str], gaps: bool, max_stall_us: float | Column, windows: dict[str, float] | None, decimals: int | None, gap_factor: float, in_medians: bool) -> DataFrame:
+    """Stalls of signals, and gaps where asked for (signal NULL): series_id, signal, value, us, end, n (a gap's: missing samples).
+
+    A day hands on one row for each signal: the runs that it could finish, its first start and its last, open one.
+    """
+    seen = lambda x: F.bround(x, decimals) if decimals is not None else x
+    there = [s for s in signals if s in frame.columns]
+    values = F.array(*[reading(frame, s)[1] for s in there]) if there else F.array().cast("array<double>")
+    rows = paced(frame.select("series_id", "pos", "us", values.alias("__v")), ["__v"]).withColumn("gap", _is_gap(gap_factor))
+
+    def one(i: int, s: str) -> Column:
+        window = max_stall_us if isinstance(max_stall_us, Column) else F.lit(float((windows or {}).get(s, max_stall_us)))
+        limit = window * F.col("interval") if in_medians else window
+        refused = F.when(limit < F.col("interval"), F.raise_error(F.lit(f"max_stall is below the sampling interval of {s}"))).otherwise(limit)
+        value = F.col("__v")[i]
+        starts = F.col("interval").isNotNull() & (F.col("before").isNull() | F.col("gap") | ~seen(value).eqNullSafe(seen(F.col("before.__v")[i])))
+        return F.struct(F.lit(s).alias("signal"), value.alias("value"), refused.cast("double").alias("limit"), starts.alias("starts"))
+
+    tests = [one(i, s) for i, s in enumerate(there)]
+    if gaps:
+        tests.append(F.struct(F.lit(None).cast("string").alias("signal"), F.lit(None).cast("double").alias("value"), F.lit(0.0).alias("limit"), F.col("gap").alias("starts")))
+    keys = ["__s", "__bucket", "signal"]
+    starts = rows.select("__s", "__bucket", "series_id", "us", "pos", "nr", "gap", F.col("before.us").alias("prev_us"), "interval", "last_us", "rows", F.inline(F.array(*tests))).filter("starts")
+    following = F.lead(F.struct("us", "gap", "prev_us", "nr")).over(Window.partitionBy(*keys).orderBy("us", "pos"))
+    starts = starts.withColumn("following", following)
+
+    def run(of: str, end: Column, n: Column) -> Column:
+        return F.struct(F.col(f"{of}value").alias("value"), F.col(f"{of}us").alias("us"), end.alias("end"), n.cast("bigint").alias("n"))
+
+    def until(what: str) -> Column:
+        return F.when(F.col(f"{what}.gap"), F.col(f"{what}.prev_us")).otherwise(F.col(f"{what}.us"))
+
+    is_gap = F.col("signal").isNull()
+    missing = (F.rint((F.col("us") - F.col("prev_us")) / F.col("interval")) - 1).cast("bigint")
+    gap_run = F.struct(F.lit(None).cast("double").alias("value"), F.col("prev_us").alias("us"), F.col("us").alias("end"), missing.alias("n"))
+    held = F.col("following").isNotNull() & F.col("value").isNotNull() & (until("following") - F.col("us") > F.col("limit"))
+    done = F.when(is_gap, gap_run).when(held, run("", until("following"), F.col("following.nr") - F.col("nr")))
+    place = F.struct("us", "pos")
+    days = starts.groupBy(*keys).agg(
+        F.first("series_id").alias("series_id"), F.collect_list(done).alias("done"), F.min_by(F.struct("us", "gap", "prev_us", "nr"), place).alias("first"),
+        F.max_by(F.struct("us", "value", "limit", "nr"), place).alias("open"), F.first("last_us").alias("last_us"), F.first("rows").alias("rows"),
+    )
+    days = days.withColumn("after", F.lead("first").over(Window.partitionBy("__s", "signal").orderBy("__bucket")))
+    end = F.when(F.col("after").isNull(), F.col("last_us")).otherwise(until("after"))
+    n = F.coalesce(F.col("after.nr"), F.col("rows") + 1) - F.col("open.nr")
+    outlasts = F.col("signal").isNotNull() & F.col("open.value").isNotNull() & (end - F.col("open.us") > F.col("open.limit"))
+    last = F.when(outlasts, F.array(run("open.", end, n))).otherwise(F.array())
+    return days.select("series_id", "signal", F.inline(F.concat("done", last)))
 
 
 def stall_runs(frame: DataFrame, signals: list[str], max_stall_us: float | Column = MAX_STALL_US, windows: dict[str, float] | None = None, decimals: int | None = None, gap_factor: float = GAP_FACTOR, in_medians: bool = False) -> DataFrame:
@@ -71,25 +169,8 @@ def stall_runs(frame: DataFrame, signals: list[str], max_stall_us: float | Colum
     A run ends where the next of its segment starts; the last at its segment's last reading.
     in_medians: windows are multiples of the series' median step. A window below the median step is refused.
     """
-    keys = ["series_id", "signal"]
-    rows = long(frame, signals, window={s: float((windows or {}).get(s, max_stall_us)) for s in signals} if not isinstance(max_stall_us, Column) else {})
-    rows = rows.withColumn("seen", F.bround("value_num", decimals) if decimals is not None else F.col("value_num"))
-    median = sampling_interval(frame, in_time_order=True).withColumnRenamed("interval_us", "interval")
-    whole = rows.groupBy(*keys).agg(F.max("us").alias("last_us"), F.count("*").alias("rows"))
-    rows = in_order(rows.select(*keys, "pos", "us", "value_num", "seen", "window"), keys, ["us", "pos"], F.floor(F.col("us") / DAY_US), ["us", "seen"])
-    rows = rows.join(median, "series_id").filter("interval IS NOT NULL")
-    window = F.col("window") * F.col("interval") if in_medians else F.col("window")
-    refused = F.when(window < F.col("interval"), F.raise_error(F.concat(F.lit("max_stall is below the sampling interval of "), "signal"))).otherwise(window)
-    gap = F.coalesce((F.col("interval") > 0) & (F.col("us") - F.col("before.us") > gap_factor * F.col("interval")), F.lit(False))
-    rows = rows.withColumns({"limit": refused, "gap": gap, "prev_us": F.col("before.us")})
-    starts = rows.filter(F.col("before").isNull() | F.col("gap") | ~F.col("seen").eqNullSafe(F.col("before.seen")))
-    # what follows a run: the next start, in descending order the one before
-    starts = starts.select(*keys, (-F.col("us")).alias("back_us"), (-F.col("pos")).alias("back_pos"), "us", "value_num", "limit", "gap", "prev_us", F.col("nr").alias("at"))
-    runs = in_order(starts, keys, ["back_us", "back_pos"], F.floor(F.col("back_us") / DAY_US), ["us", "gap", "prev_us", "at"]).join(whole, keys)
-    end = F.when(F.col("before").isNull(), F.col("last_us")).when(F.col("before.gap"), F.col("before.prev_us")).otherwise(F.col("before.us"))
-    runs = runs.withColumns({"end": end, "n_samples": F.coalesce(F.col("before.at"), F.col("rows") + 1) - F.col("at")}).withColumn("duration_us", F.col("end") - F.col("us"))
-    held = runs.filter(F.col("value_num").isNotNull() & (F.col("duration_us") > F.col("limit")))
-    return held.select(*keys, F.col("value_num").alias("value"), from_micros(F.col("us")).alias("start_ts"), from_micros(F.col("end")).alias("end_ts"), "duration_us", "n_samples")
+    held = _held_runs(frame, signals, False, max_stall_us, windows, decimals, gap_factor, in_medians)
+    return held.select("series_id", "signal", "value", from_micros(F.col("us")).alias("start_ts"), from_micros(F.col("end")).alias("end_ts"), (F.col("end") - F.col("us")).alias("duration_us"), F.col("n").alias("n_samples"))
 
 
 def expected_periods(start_us: int, end_us: int, interval_us: int) -> int:
@@ -127,7 +208,7 @@ def windows_over(track: DataFrame, value: str, threshold: float, peak_columns: l
     over = F.coalesce(F.col(value) > threshold, F.lit(False))
     rows = track.withColumns({"over": over, "step": F.col("us") - F.lag("us").over(w)})
     rows = rows.withColumn("run", F.sum((F.col("over") & ~F.coalesce(F.lag("over").over(w), F.lit(False))).cast("int")).over(w))
-    step = rows.groupBy("series_id").agg(F.median("step").cast("bigint").alias("median"))
+    step = exact_median(rows, ["series_id"], "step").withColumn("median", F.col("median").cast("bigint"))
     best = F.struct(F.col(value), -F.col("us"))
     runs = rows.filter("over").groupBy("series_id", "run").agg(F.min("us").alias("first"), F.max("us").alias("last"), F.max(value).alias("peak"), *[F.max_by(c, best).alias(c) for c in peak_columns])
     runs = runs.join(step, "series_id").withColumn("end", F.col("last") + F.coalesce("median", F.lit(0)))
@@ -164,17 +245,29 @@ def date_bands(dates: DataFrame) -> DataFrame:
     return dates.withColumn("island", island).groupBy("series_id", "island").agg(F.min("date").alias("start_date"), F.max("date").alias("end_date"), F.count("*").alias("n_days")).drop("island")
 
 
-def gap_findings(frame: DataFrame, gap_factor: float = GAP_FACTOR) -> DataFrame:
-    from sunledger.schema import ALL_SIGNALS, as_findings
-
-    runs = gap_runs(frame, gap_factor)
+def _as_gaps(runs: DataFrame) -> DataFrame:
+    """runs: series_id, start_ts, end_ts, duration_us, n_missing."""
     detail = F.concat(F.lit("no data for "), span_text(F.col("duration_us")), F.lit(" (~"), F.col("n_missing").cast("string"), F.lit(" samples missing)"))
     return as_findings(runs.withColumns({"check": F.lit("gap"), "signal": F.lit(ALL_SIGNALS), "detail": detail, "value_num": F.col("n_missing"), "n_samples": F.lit(0)}))
 
 
-def stall_findings(frame: DataFrame, signals: list[str], **options) -> DataFrame:
-    from sunledger.schema import as_findings, number_text
+def gap_findings(frame: DataFrame, gap_factor: float = GAP_FACTOR) -> DataFrame:
+    return _as_gaps(gap_runs(frame, gap_factor))
+
 
+def stall_findings(frame: DataFrame, signals: list[str], **options) -> DataFrame:
     runs = stall_runs(frame, signals, **options)
     detail = F.concat(F.lit("held "), number_text(F.col("value")), F.lit(" for "), span_text(F.col("duration_us")))
     return as_findings(runs.withColumns({"check": F.lit("stall"), "detail": detail, "value_num": F.col("value")}))
+
+
+def run_findings(frame: DataFrame, signals: list[str], max_stall_us: float | Column = MAX_STALL_US, windows: dict[str, float] | None = None, decimals: int | None = None, gap_factor: float = GAP_FACTOR) -> DataFrame:
+    """gap_findings and stall_findings together, from one pass over the frame."""
+    runs = _held_runs(frame, signals, True, max_stall_us, windows, decimals, gap_factor, False).withColumn("took", F.col("end") - F.col("us"))
+    is_gap = F.col("signal").isNull()
+    gap = F.concat(F.lit("no data for "), span_text(F.col("took")), F.lit(" (~"), F.col("n").cast("string"), F.lit(" samples missing)"))
+    stall = F.concat(F.lit("held "), number_text(F.col("value")), F.lit(" for "), span_text(F.col("took")))
+    return as_findings(runs.select(
+        "series_id", F.when(is_gap, F.lit("gap")).otherwise("stall").alias("check"), F.coalesce("signal", F.lit(ALL_SIGNALS)).alias("signal"), F.when(is_gap, gap).otherwise(stall).alias("detail"), F.when(is_gap, F.col("n")).otherwise(F.col("value")).alias("value_num"),
+        from_micros(F.col("us")).alias("start_ts"), from_micros(F.col("end")).alias("end_ts"), F.col("took").alias("duration_us"), F.when(is_gap, F.lit(0)).otherwise(F.col("n")).alias("n_samples"),
+    ))
