@@ -20,10 +20,10 @@ MAX_STALL_US = 20_000_000
 DAY_US, BUCKET_ROWS = 86_400_000_000, 1 << 16
 
 
-def _summaries(rows: DataFrame, order: list[str], carried: list[str]) -> DataFrame:
-    """One row for each bucket of each series in rows (__s, __bucket, us, order and carried columns).
+def _summaries(rows: DataFrame, order: list[str]) -> DataFrame:
+    """One row for each bucket of each series in rows (__s, __bucket, us, __own and the order's columns).
 
-    __before: struct of us and carried of the last reading before the bucket; __offset: number of readings before it;
+    __before: __own of the last reading before the bucket; __offset: number of readings before it;
     interval: exact median of the series' steps; last_us and rows of the whole series.
 
     A bucket sends its steps, counted by value, its first stamp and its last reading. Over a whole series, windows see
@@ -31,9 +31,9 @@ def _summaries(rows: DataFrame, order: list[str], carried: list[str]) -> DataFra
     """
     inside = Window.partitionBy("__s", "__bucket").orderBy(*order)
     step = F.col("us") - F.lag("us").over(inside)
-    last = F.when(F.lead("us").over(inside).isNull(), F.struct("us", *carried))
+    last = F.when(F.lead("us").over(inside).isNull(), F.col("__own"))
     # a bucket's first reading is the only one without a step, its last reading the only one with __last
-    counted = rows.select("__s", "__bucket", "us", step.alias("__step"), last.alias("__last")).groupBy("__s", "__bucket", "__step").agg(F.count("*").alias("__n"), F.min("us").alias("__first"), F.first("__last", ignorenulls=True).alias("__last"))
+    counted = rows.withColumns({"__step": step, "__last": last}).groupBy("__s", "__bucket", "__step").agg(F.count("*").alias("__n"), F.min("us").alias("__first"), F.first("__last", ignorenulls=True).alias("__last"))
     by_bucket = Window.partitionBy("__s").orderBy("__bucket")
     earlier, whole = by_bucket.rangeBetween(Window.unboundedPreceding, -1), Window.partitionBy("__s")
     counted = counted.withColumns({
@@ -51,37 +51,41 @@ def _summaries(rows: DataFrame, order: list[str], carried: list[str]) -> DataFra
     return counted.withColumn("interval", median.cast("double")).filter("__is_first").select("__s", "__bucket", "__before", "__offset", "interval", "last_us", "rows")
 
 
+def series_of(key: Column) -> Column:
+    return F.when(key != "", F.substring(key, 2, 1 << 30)).alias("series_id")
+
+
 def series_key(series_id: Column) -> Column:
     """A key that is never NULL, so that series without an id meet their own numbers in joins."""
     return F.coalesce(F.concat(F.lit("="), series_id), F.lit(""))
 
 
-def _bucketed(frame: DataFrame, by_time: bool) -> tuple[DataFrame, list[str]]:
+def _bucketed(frame: DataFrame, by_time: bool, carried: list[str]) -> tuple[DataFrame, list[str]]:
     bucket = F.floor(F.col("us") / DAY_US) if by_time else F.floor(F.col("pos") / BUCKET_ROWS)
-    rows = frame.filter("us IS NOT NULL").withColumns({"__s": series_key(F.col("series_id")), "__bucket": bucket})
+    keyed = frame.withColumns({"__s": series_key(F.col("series_id")), "__bucket": bucket, "__own": F.struct("us", *carried)})
+    # summaries and readings need the same columns under the same filter, so Spark deals them once for both: series_id is in __s
+    rows = keyed.filter("us IS NOT NULL AND __bucket IS NOT NULL").drop("series_id")
     return rows, (["us", "pos"] if by_time else ["pos"])
 
 
 def paced(frame: DataFrame, carried: list[str] | None = None) -> DataFrame:
-    """frame's readings by time, with `before` (struct of us and carried of the one before, NULL for a series' first), `nr` (from 1),
+    """frame's readings by time, with `own` and `before` (structs of us and carried, of the reading and of the one before; NULL for a series' first), `nr` (from 1),
     interval (exact median step of the series, NULL with less than two readings), last_us and rows of the series.
 
     Readings are dealt by series and day, once; windows run inside a day, and what a day needs to know of the others is one row.
     Readings without a stamp have no place in time and are left out. __s and __bucket say how the rows are dealt.
     """
-    carried = carried or []
-    rows, order = _bucketed(frame, True)
-    inside = F.lag(F.struct("us", *carried)).over(Window.partitionBy("__s", "__bucket").orderBy(*order))
+    rows, order = _bucketed(frame, True, carried or [])
+    inside = F.lag("__own").over(Window.partitionBy("__s", "__bucket").orderBy(*order))
     nr = F.row_number().over(Window.partitionBy("__s", "__bucket").orderBy(*order))
-    placed = rows.withColumns({"__inside": inside, "__nr": nr}).join(_summaries(rows, order, carried), ["__s", "__bucket"])
-    return placed.withColumns({"before": F.coalesce("__inside", "__before"), "nr": F.col("__offset") + F.col("__nr")}).drop("__inside", "__before", "__nr", "__offset")
+    placed = rows.withColumns({"__inside": inside, "__nr": nr}).join(_summaries(rows, order), ["__s", "__bucket"])
+    return placed.withColumns({"series_id": series_of(F.col("__s")), "before": F.coalesce("__inside", "__before"), "nr": F.col("__offset") + F.col("__nr")}).drop("__inside", "__before", "__nr", "__offset").withColumnRenamed("__own", "own")
 
 
 def sampling_interval(frame: DataFrame, in_time_order: bool = False) -> DataFrame:
     """series_id, interval_us: exact median of consecutive steps, in file order unless told otherwise."""
-    rows, order = _bucketed(frame.select("series_id", "pos", "us"), in_time_order)
-    series = F.when(F.col("__s") != "", F.substring("__s", 2, 1 << 30)).alias("series_id")
-    return _summaries(rows, order, []).filter("__before IS NULL").select(series, F.col("interval").alias("interval_us"))
+    rows, order = _bucketed(frame.select("series_id", "pos", "us"), in_time_order, [])
+    return _summaries(rows, order).filter("__before IS NULL").select(series_of(F.col("__s")), F.col("interval").alias("interval_us"))
 
 
 def exact_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -126,7 +130,7 @@ def _held_runs(frame: DataFrame, signals: list[str], gaps: bool, max_stall_us: f
         window = max_stall_us if isinstance(max_stall_us, Column) else F.lit(float((windows or {}).get(s, max_stall_us)))
         limit = window * F.col("interval") if in_medians else window
         refused = F.when(limit < F.col("interval"), F.raise_error(F.lit(f"max_stall is below the sampling interval of {s}"))).otherwise(limit)
-        value = F.col("__v")[i]
+        value = F.col("own.__v")[i]  # not the column itself: see _bucketed
         starts = F.col("interval").isNotNull() & (F.col("before").isNull() | F.col("gap") | ~seen(value).eqNullSafe(seen(F.col("before.__v")[i])))
         return F.struct(F.lit(s).alias("signal"), value.alias("value"), refused.cast("double").alias("limit"), starts.alias("starts"))
 
@@ -134,7 +138,7 @@ def _held_runs(frame: DataFrame, signals: list[str], gaps: bool, max_stall_us: f
     if gaps:
         tests.append(F.struct(F.lit(None).cast("string").alias("signal"), F.lit(None).cast("double").alias("value"), F.lit(0.0).alias("limit"), F.col("gap").alias("starts")))
     keys = ["__s", "__bucket", "signal"]
-    starts = rows.select("__s", "__bucket", "series_id", "us", "pos", "nr", "gap", F.col("before.us").alias("prev_us"), "interval", "last_us", "rows", F.inline(F.array(*tests))).filter("starts")
+    starts = rows.select("__s", "__bucket", "us", "pos", "nr", "gap", F.col("before.us").alias("prev_us"), "interval", "last_us", "rows", F.inline(F.array(*tests))).filter("starts")
     following = F.lead(F.struct("us", "gap", "prev_us", "nr")).over(Window.partitionBy(*keys).orderBy("us", "pos"))
     starts = starts.withColumn("following", following)
 
@@ -151,7 +155,7 @@ def _held_runs(frame: DataFrame, signals: list[str], gaps: bool, max_stall_us: f
     done = F.when(is_gap, gap_run).when(held, run("", until("following"), F.col("following.nr") - F.col("nr")))
     place = F.struct("us", "pos")
     days = starts.groupBy(*keys).agg(
-        F.first("series_id").alias("series_id"), F.collect_list(done).alias("done"), F.min_by(F.struct("us", "gap", "prev_us", "nr"), place).alias("first"),
+        F.collect_list(done).alias("done"), F.min_by(F.struct("us", "gap", "prev_us", "nr"), place).alias("first"),
         F.max_by(F.struct("us", "value", "limit", "nr"), place).alias("open"), F.first("last_us").alias("last_us"), F.first("rows").alias("rows"),
     )
     days = days.withColumn("after", F.lead("first").over(Window.partitionBy("__s", "signal").orderBy("__bucket")))
@@ -159,7 +163,7 @@ def _held_runs(frame: DataFrame, signals: list[str], gaps: bool, max_stall_us: f
     n = F.coalesce(F.col("after.nr"), F.col("rows") + 1) - F.col("open.nr")
     outlasts = F.col("signal").isNotNull() & F.col("open.value").isNotNull() & (end - F.col("open.us") > F.col("open.limit"))
     last = F.when(outlasts, F.array(run("open.", end, n))).otherwise(F.array())
-    return days.select("series_id", "signal", F.inline(F.concat("done", last)))
+    return days.select(series_of(F.col("__s")), "signal", F.inline(F.concat("done", last)))
 
 
 def stall_runs(frame: DataFrame, signals: list[str], max_stall_us: float | Column = MAX_STALL_US, windows: dict[str, float] | None = None, decimals: int | None = None, gap_factor: float = GAP_FACTOR, in_medians: bool = False) -> DataFrame:

@@ -74,3 +74,19 @@ def test_specs():
     assert one.ranges["BP"] == (0, 1) and one.ranges["RH"] == (0, 100) and MODBUS.ranges["BP"] == (800, 1200)
     assert ("utc", "(all signals)") in MODBUS.tested()
     assert SolarAngles(1, 2, utc_offset_us=0).override(tolerance=2).tolerance == 2
+
+
+def test_many_tests_are_one_aggregation_and_series_keep_apart(spark):
+    rows = [("a", i, dt.datetime(2024, 5, 1) + dt.timedelta(minutes=i), float(i), str(i % 7), None if i % 3 else 1.0) for i in range(20)]
+    rows += [(None, i, dt.datetime(2024, 5, 1), 1.0, "on", 1.0) for i in range(5)]
+    f = signal_frame(spark.createDataFrame(rows, "s string, pos bigint, ts timestamp_ntz, x double, t string, z double"), "ts", "pos", ["x", "t", "z"], "s")
+    spec = Spec(ranges={"x": (0, 10), "z": (0, 2)}, lesser=(("x", "z"),), equivalent=(("x", "z"),), constant=("t", "x", "z"), expected={"t": "3", "z": 1}, unused=("x",), sentinel=1.0, gaps=False)
+    got = {(r["series_id"], r["check"], r["signal"]): (r["detail"], r["value_num"], r["value_text"], r["n_samples"]) for r in checks.validate(f, spec).collect()}
+    assert got == {
+        ("a", "range", "x"): ("outside [0.0, 10.0]", 11.0, None, 9), ("a", "range", "z"): ("outside [0.0, 2.0]", None, None, 13), ("a", "lesser", "x vs z"): ("x exceeds z in 6 of 20 rows", 3.0, None, 6),
+        ("a", "equivalent", "x vs z"): ("20 of 20 rows differ", 0.0, None, 20), ("a", "constant", "t"): ("changes; zero/blank", 0.0, None, 7), ("a", "constant", "x"): ("changes; zero/blank", 0.0, None, 20),
+        ("a", "constant", "z"): ("13 NaN", 1.0, None, 1), ("a", "expected", "t"): ("17 value(s) != 3 (saw [0, 1, 2, 4, 5])", 0.0, None, 17), ("a", "expected", "z"): ("13 missing", None, None, 13),
+        ("a", "sentinel", "x"): ("19 value(s) != 1.0 (saw [0.0, 2.0, 3.0, 4.0, 5.0])", 0.0, None, 19), (None, "expected", "t"): ("5 value(s) != 3 (saw [on])", None, "on", 5),
+    }
+    assert checks.expected_deviations(f, {"t": "3", "z": 1}).count() == 17 + 13 + 5
+    assert checks.sentinel_deviations(f, ["x"], 1.0).count() == 19

@@ -93,3 +93,81 @@ def test_an_open_fault_ends_with_the_log(spark):
     found = sorted((r["start_ts"].minute, r["seconds"]) for r in runs.fault_intervals(events, F.col("x") == 1).collect())
     assert found == [(1, 120.0), (4, 60.0)]
     assert [r["seconds"] for r in runs.fault_intervals(frame(spark, [0, 1, 1]), F.col("x") == 1).collect()] == [60.0]
+
+
+def by_hand(rows, factor, window, decimals):
+    """Gaps and stalls of one series' (us, pos, value) rows."""
+    rows = sorted(rows)
+    steps = sorted(b[0] - a[0] for a, b in zip(rows, rows[1:], strict=False))
+    if not steps:
+        return [], []
+    median = (steps[(len(steps) - 1) // 2] + steps[len(steps) // 2]) / 2
+    gaps, runs = [], []
+    segments = [[rows[0]]]
+    for a, b in zip(rows, rows[1:], strict=False):
+        if median > 0 and b[0] - a[0] > factor * median:
+            gaps.append((a[0], b[0]))
+            segments.append([])
+        segments[-1].append(b)
+    for segment in segments:
+        starts = [i for i, r in enumerate(segment) if not i or seen(r[2], decimals) != seen(segment[i - 1][2], decimals)]
+        for i, j in zip(starts, [*starts[1:], None], strict=True):
+            end = segment[j][0] if j is not None else segment[-1][0]
+            if segment[i][2] is not None and end - segment[i][0] > window:
+                runs.append((segment[i][2], segment[i][0], end, (j if j is not None else len(segment)) - i))
+    return gaps, runs
+
+
+def seen(value, decimals):
+    return None if value is None else round(value, decimals)
+
+
+def test_runs_of_many_days_series_and_signals_against_brute_force(spark):
+    import random
+
+    rnd = random.Random(4)
+    rows, pos = [], 0
+    for series in ("a", "b", None, "", "one"):
+        us, held = 1_700_000_000_000_000, [1.0, 2.0]
+        for _ in range(1 if series == "one" else 1500):
+            us += rnd.choice([60, 60, 60, 61, 75, 0]) * 1_000_000 + rnd.choice([0, 0, rnd.randrange(999_999)]) + (rnd.random() < 0.01) * rnd.randrange(20 * 86_400_000_000)
+            held = [rnd.choice([None, 0.5, 1.04, 1.06]) if rnd.random() < 0.03 else v for v in held]
+            rows.append((series, pos := pos + 1, us, *held))
+    rnd.shuffle(rows)
+    rows.append(("a", 0, None, 9.0, 9.0))  # no stamp, no place in time
+    df = spark.createDataFrame(rows, "s string, pos bigint, us bigint, x double, y double").withColumn("ts", F.timestamp_micros("us").cast("timestamp_ntz"))
+    f = signal_frame(df.drop("us"), "ts", "pos", ["x", "y"], "s").repartition(7)
+    gaps = sorted(((r["series_id"], r["start_ts"], r["end_ts"]) for r in runs.gap_runs(f, 3).collect()), key=str)
+    stalls = sorted(((r["series_id"], r["signal"], r["value"], r["start_ts"], r["end_ts"], r["n_samples"]) for r in runs.stall_runs(f, ["x", "y", "absent"], max_stall_us=20 * MINUTE, decimals=1, gap_factor=3).collect()), key=str)
+    both = sorted(((r["series_id"], r["check"], r["signal"], r["start_ts"], r["end_ts"]) for r in runs.run_findings(f, ["x", "y"], max_stall_us=20 * MINUTE, decimals=1, gap_factor=3).collect()), key=str)
+    stamp = lambda us: dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=us)
+    want_gaps, want_stalls = [], []
+    for series in ("a", "b", None, ""):
+        for signal in (3, 4):
+            g, r = by_hand([(row[2], row[1], row[signal]) for row in rows if row[0] == series and row[2] is not None], 3, 20 * MINUTE, 1)
+            want_gaps += [(series, stamp(a), stamp(b)) for a, b in g] if signal == 3 else []
+            want_stalls += [(series, "xy"[signal - 3], v, stamp(a), stamp(b), n) for v, a, b, n in r]
+    assert len(want_gaps) > 20 and len(want_stalls) > 50
+    assert gaps == sorted(want_gaps, key=str)
+    assert stalls == sorted(want_stalls, key=str)
+    assert both == sorted([(s, "gap", "(all signals)", a, b) for s, a, b in want_gaps] + [(s, "stall", x, a, b) for s, x, _, a, b, _ in want_stalls], key=str)
+
+
+def test_median_of_distinct_steps(spark):
+    steps = [3, 1, 10, 7, 2, 40]
+    minutes = [sum(steps[:i]) for i in range(len(steps) + 1)]
+    assert runs.sampling_interval(frame(spark, [0.0] * 7, minutes)).first()["interval_us"] == 5 * MINUTE
+    assert runs.sampling_interval(frame(spark, [0.0] * 6, minutes[:6])).first()["interval_us"] == 3 * MINUTE
+    assert runs.sampling_interval(frame(spark, [0.0])).first()["interval_us"] is None
+    df = spark.createDataFrame([(None, 4.0), (None, 1.0), ("k", None), ("k", 2.0), ("k", 2.0), ("k", 9.0)], "k string, v double")
+    assert {(r["k"], r["median"]) for r in runs.exact_median(df, ["k"], "v").collect()} == {(None, 2.5), ("k", 2.0)}
+
+
+def test_readings_are_scanned_once(spark, sf_dir):
+    from sunledger.plans import queries as Q
+
+    for name, scans in (("gap_runs", 1), ("stall_runs", 1), ("validate_events", 2), ("expected_findings", 1)):
+        df = Q.QUERIES[name](spark, sf_dir)
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert plan.count("FileScan") == scans, name
