@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -118,6 +119,23 @@ class Rolling:
         return mix((self.sums[k:] - self.sums[:-k]) * self.inv[: n - k + 1] + U(k)) if n >= k else np.zeros(0, U)
 
 
+#: Words over this many bytes are hashed one by one; shorter ones by slices of the chunk's polynomial.
+LONG_WORD = 64
+
+
+def word_hashes(roll: Rolling, values: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each word data[start:end].
+
+    A polynomial modulo 2**64 gives long words of a certain make (Thue-Morse words of 1024 letters and their complements)
+    equal hashes whatever its base, so it serves short words only; long ones get BLAKE2b.
+    """
+    roll.load(values[data])
+    out = roll.slices(start, end)
+    for i in np.flatnonzero(end - start > LONG_WORD):
+        out[i] = int.from_bytes(blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 def byte_values() -> np.ndarray:
     """A 64-bit value for each byte."""
     return mix(np.arange(1, 257, dtype=U) * U(BASE)) | U(1)

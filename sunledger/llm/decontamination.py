@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sunledger.llm.common import Rolling, byte_values, chunks, lowered, materialize, own_id, row_id, row_key, signed, word_spans
+from sunledger.llm.common import Rolling, byte_values, chunks, lowered, materialize, own_id, row_id, row_key, signed, word_hashes, word_spans
 
 HALF = 32
 #: Words of a chunk whose sums are a matrix product.
@@ -65,8 +65,7 @@ class Words:
     def load(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         data = self.low[data]
         start, end, first = word_spans(data, bounds, self.is_end)
-        self.roll.load(self.values[data])
-        return signed(self.roll.slices(start, end)), first
+        return signed(word_hashes(self.roll, self.values, data, start, end)), first
 
 
 class Items:

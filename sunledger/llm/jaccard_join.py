@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sunledger.llm.common import Rolling, U, byte_values, chunks, lowered, materialize, mix, own_id, row_id, row_key, separators, signed, word_spans, worker_cache
+from sunledger.llm.common import Rolling, U, byte_values, chunks, lowered, materialize, mix, own_id, row_id, row_key, separators, signed, word_hashes, word_spans, worker_cache
 from sunledger.llm.components import components, with_number
 
 #: Slots of the frequency sketch, and least length of a set's parity bitmap.
@@ -50,8 +50,7 @@ class Shingles:
     def load(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         data = self.low[data]
         start, end, first = word_spans(data, bounds, self.is_sep)
-        self.roll.load(self.values[data])
-        self.roll.load(self.roll.slices(start, end))
+        self.roll.load(word_hashes(self.roll, self.values, data, start, end))
         words = np.diff(first)
         count = np.where(words > 0, np.maximum(words - self.k + 1, 1), 0)
         row = np.repeat(np.arange(len(words)), count)

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sunledger.llm.common import Rolling, byte_values, chunks, lowered, materialize, separators, signed, word_spans
+from sunledger.llm.common import Rolling, byte_values, chunks, lowered, materialize, separators, signed, word_hashes, word_spans
 
 #: Bytes of the longest context.
 DEPTH = 4
@@ -155,8 +155,7 @@ class _Words:
     def load(self, data: np.ndarray, bounds: np.ndarray) -> None:
         data = self.low[data]
         start, end, self.first = word_spans(data, bounds, self.is_sep)
-        self.roll.load(self.values[data])
-        self.hashes = signed(self.roll.slices(start, end))
+        self.hashes = signed(word_hashes(self.roll, self.values, data, start, end))
         text, self.ends = _normal(data, start, end, self.first, bounds, self.is_sep)
         self.runs = runs_of(text, self.ends, self.depth)
 

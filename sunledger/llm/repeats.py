@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sunledger.llm.common import NULL_IDS, Rolling, U, byte_values, chunks, mix, row_id, row_key, separators, signed, sliding_min, word_spans
+from sunledger.llm.common import NULL_IDS, Rolling, U, byte_values, chunks, mix, row_id, row_key, separators, signed, sliding_min, word_hashes, word_spans
 
 #: Bits of an anchor's hash that are shuffled; a chance clash only adds work.
 ANCHOR_BITS = 48
@@ -56,11 +56,11 @@ class Sequences:
 
     def load(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Fill the rolling hash and return the bounds in units."""
-        units = self.values[data]
         if self.unit == "word":
             self.start, self.end, word_bounds = word_spans(data, bounds, self.is_sep)
-            self.roll.load(units)
-            units, bounds = self.roll.slices(self.start, self.end), word_bounds
+            units, bounds = word_hashes(self.roll, self.values, data, self.start, self.end), word_bounds
+        else:
+            units = self.values[data]
         self.roll.load(units)
         return bounds
 
