@@ -364,6 +364,14 @@ def test_top_k(spark, k):
     assert set(got) == {0, 50, 100}
 
 
+def test_a_twin_of_the_query_is_a_candidate(spark):
+    from sunledger.llm.topk_search import top_k
+
+    rows = [(50, [4.0, 0.0]), (50, [5.0, 0.0]), (1, [1.0, 1.0]), (2, [0.0, 2.0])]
+    got = top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), F.col("vec_id") % 50 == 0, 2).orderBy("rank", "score").collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got] == [(50, 1, 50, 20 * 65536), (50, 1, 50, 20 * 65536), (50, 2, 1, 4 * 65536), (50, 2, 1, 5 * 65536)]
+
+
 def test_lists_are_read_in_sequence_and_reading_stops():
     from sunledger.llm.topk_search import SortedLists
 
