@@ -10,9 +10,16 @@ the kind's pattern lies between or covers it. Over the corpus
     p(kind | term) = (documents with the term near the kind + p(kind)) / (documents with the term + 1)
     disclosure = PMI(term; kind) / IC(kind) = log2(p(kind | term) / p(kind)) / -log2 p(kind)
 
-so disclosure is near 1 for terms that are hardly seen elsewhere, 0 for those that tell nothing, and
-a term met once is weighed by one pseudo-document, with no least count. Occurrences near an entity of
-terms at or over `remove` are removed, those at or over `generalise` are replaced by a general word.
+so disclosure is near 1 for terms that are hardly seen elsewhere, 0 for those that tell nothing.
+A term that happens to stand near an entity has told nothing yet: with
+
+    q(kind) = (document, term) pairs near the kind / all (document, term) pairs
+    evidence = all * KL(both / all || q(kind)), for both / all over q(kind)
+
+exp(-evidence) bounds the chance that a term placed without regard to entities comes that near that often (Chernoff).
+Only terms whose evidence exceeds log(terms / CHANCE) count, so in the whole vocabulary fewer than CHANCE terms
+are expected by mere chance. No least count is set: what it takes follows from the corpus. Occurrences near an entity
+of such terms at or over `remove` are removed, those at or over `generalise` are replaced by a general word.
 
 Places come from running sums over the pieces between matches, in rows, so long texts with many
 matches cost no more than their length; rows are told apart by a row id of the stored table.
@@ -25,6 +32,8 @@ equal results; null ids are rows of their own; other columns are kept by sanitiz
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +54,8 @@ GATES = {"email": "@", "ip": ".", "card": None, "phone": "+", "secret": None}
 TERM = r"[\p{L}\p{N}_]{2,}"
 CONTEXT = 64
 REMOVE, GENERALISE = 0.9, 0.75
+#: Terms of a whole vocabulary that may pass for telling by chance, for each kind.
+CHANCE = 0.05
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "secret": "[SECRET]", "generalised": "[TERM]", "removed": ""}
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
@@ -145,21 +156,29 @@ def near_terms(found: DataFrame) -> DataFrame:
 
 
 def disclosure(rows: DataFrame, near: DataFrame) -> DataFrame:
-    """term, kind and disclosure of each term that stands near the kind, over all prepared rows."""
+    """term, kind, disclosure and by_chance (whether its place may be chance) of each term that stands near the kind, over all prepared rows."""
     together = near.select("rid", "kind", "term").distinct().groupBy("term", "kind").agg(F.count("*").alias("both"))
     words = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")).groupBy("term").agg(F.count("*").alias("all"))
     counts = rows.agg(F.count("*").alias("n"), *[F.count_if(F.array_contains("__kinds", k)).alias(k) for k in _kinds()]).first()
+    words = materialize(words, "pii-terms")
+    size = words.agg(F.count("*").alias("terms"), F.sum("all").alias("pairs")).first()
+    near_pairs = {r["kind"]: r["n"] for r in together.groupBy("kind").agg(F.sum("both").alias("n")).collect()}  # one row for each kind
+    chance = F.create_map(*[F.lit(x) for k in _kinds() for x in (k, near_pairs.get(k, 0) / max(1, size["pairs"] or 0))])
     share = F.create_map(*[F.lit(x) for k in _kinds() for x in (k, counts[k] / max(1, counts["n"]))])  # one entry for each kind
     p = F.element_at(share, F.col("kind"))
     told = together.join(words, "term").withColumn("p", p).filter((F.col("p") > 0) & (F.col("p") < 1))
-    return told.select("term", "kind", (-F.log2((F.col("both") + F.col("p")) / (F.col("all") + 1) / F.col("p")) / F.log2("p")).alias("disclosure"))
+    q, rate = F.element_at(chance, F.col("kind")), F.col("both") / F.col("all")
+    kl = rate * F.log(rate / q) + F.when(rate < 1, (1 - rate) * F.log((1 - rate) / (1 - q))).otherwise(0.0)
+    evidence = F.when((rate > q) & (q > 0), F.col("all") * kl).otherwise(0.0)
+    by_chance = evidence <= math.log(max(1, size["terms"]) / CHANCE)
+    return told.select("term", "kind", by_chance.alias("by_chance"), (-F.log2((F.col("both") + F.col("p")) / (F.col("all") + 1) / F.col("p")) / F.log2("p")).alias("disclosure"))
 
 
 def spans_of(rows: DataFrame, remove: float = REMOVE, generalise: float = GENERALISE) -> DataFrame:
     """rid, base and added (arrays of kind, start, end; added: secret, removed, generalised) of the prepared rows that have any."""
     found = materialize(entities(rows), "pii-entities")
     near = materialize(near_terms(found), "pii-near")
-    told = disclosure(rows, near).filter(F.col("disclosure") >= generalise)
+    told = disclosure(rows, near).filter(~F.col("by_chance") & (F.col("disclosure") >= generalise))
     acted = near.join(told, ["term", "kind"]).groupBy("rid", "start", "end").agg(F.max("disclosure").alias("most"))
     acted = acted.select("rid", F.when(F.col("most") >= remove, "removed").otherwise("generalised").alias("kind"), "start", "end")
     every = found.select("rid", "kind", "start", "end").unionByName(acted)
