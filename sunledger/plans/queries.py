@@ -410,24 +410,24 @@ def diagnostic_spec(spark, sf_dir):
     return spark.createDataFrame(DIAGNOSTIC.tested(), "check string, signal string")
 
 
-def _region_files(spark: SparkSession, sf_dir: str) -> str:
-    """A folder with a logger file for each region: its nations as rows, every seventh with a field too many."""
-    nation, region = _read(spark, sf_dir, "nation"), _read(spark, sf_dir, "region")
-    rows = nation.join(region, nation.n_regionkey == region.r_regionkey).select("r_regionkey", "r_name", "n_nationkey", "n_name").orderBy("n_nationkey").collect()  # 25 rows
-    files: dict[str, list[str]] = {}
-    for r in rows:
-        head = [f"Site Name:\t{r['r_name']}", f"Latitude:\t{40 + r['r_regionkey']}.5", "Site Longitude\t-73.2", "Channel\t1", "Description\tAir Temp", "Units\tdeg_C", "Channel\t2", "Type\tGauge", "Units\tmm", "Data", "Timestamp\tCh1_Avg_deg_C\tCh1_Min_deg_C\tCh2_Total_mm\tname"]
-        lines = files.setdefault(f"site{r['r_regionkey']}_log.dat", head)
-        extra = "\tover" if r["n_nationkey"] % 7 == 3 else ""
-        lines.append(f"2024-01-01T00:{r['n_nationkey']:02d}:00Z\t{r['n_nationkey'] * 1.5}\t{r['n_nationkey']}\t2\t{r['n_name']}{extra}")
-    folder = f"{shared_dir(spark)}/logger-{uuid.uuid4().hex}"
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for name, lines in {**files, "notes.txt": ["no logger file"]}.items():
-        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
-        out = path.getFileSystem(conf).create(path, True)
-        out.write(bytearray("\n".join(lines).encode()))
-        out.close()
-    return folder
+def _region_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """region, nr, line: a logger file for each region, its nations as rows, every seventh with a field too many."""
+    key, line = F.col("n_nationkey"), lambda *x: F.concat_ws("\t", *x)
+    rows = _read(spark, sf_dir, "nation").select(
+        F.col("n_regionkey").alias("region"), (key + 100).alias("nr"),
+        line(F.format_string("2024-01-01T00:%02d:00Z", key), (key * 1.5).cast("double").cast("string"), key.cast("string"), F.lit("2"), F.col("n_name"), F.when(key % 7 == 3, "over")).alias("line"),
+    )
+    region = F.col("r_regionkey")
+    head = [line(F.lit("Site Name:"), F.col("r_name")), line(F.lit("Latitude:"), F.concat((region + 40).cast("string"), F.lit(".5"))), "Site Longitude\t-73.2", "Channel\t1", "Description\tAir Temp", "Units\tdeg_C", "Channel\t2", "Type\tGauge", "Units\tmm", "Data", "Timestamp\tCh1_Avg_deg_C\tCh1_Min_deg_C\tCh2_Total_mm\tname"]
+    top = _read(spark, sf_dir, "region").select(region.alias("region"), F.posexplode(F.array(*[F.lit(x) if isinstance(x, str) else x for x in head])).alias("nr", "line"))
+    return top.unionByName(rows)
+
+
+def _region_files(spark: SparkSession, sf_dir: str, packed: bool = False, start: int = 0) -> str:
+    """A folder with those files, from line `start` on."""
+    lines = _region_lines(spark, sf_dir).filter(F.col("nr") >= start)
+    file = F.concat(F.lit("site"), F.col("region").cast("string"), F.lit("_log.dat.gz" if packed else "_log.dat"))
+    return logger.write_files(lines.select(file.alias("file"), F.col("nr").alias("pos"), "line"), f"{shared_dir(spark)}/logger-{uuid.uuid4().hex}")
 
 
 @query("""SELECT concat('site', n_regionkey, '_log.dat') AS file, printf('2024-01-01T00:%02d:00Z', n_nationkey) AS "Timestamp", CAST(CAST(n_nationkey * 1.5 AS DOUBLE) AS VARCHAR) AS avg, n_name AS name FROM nation WHERE n_nationkey % 7 <> 3""")
@@ -452,16 +452,33 @@ def logger_indexed(spark, sf_dir):
 @query("""SELECT concat('site', r_regionkey, '_log.dat') AS file, r_name AS site, CAST(40.5 + r_regionkey AS DOUBLE) AS latitude, CAST(-73.2 AS DOUBLE) AS longitude FROM region""")
 def site_positions(spark, sf_dir):
     _, header, _ = logger.read_files(spark, _region_files(spark, sf_dir))
-    sites = [(r["file"], r["fields"]["Site Name"], *channels.site_coordinates(r["fields"])) for r in channels.site_fields(header).collect()]  # a row for each file
-    return spark.createDataFrame(sites, "file string, site string, latitude double, longitude double")
+    return channels.site_positions(channels.site_fields(header)).select("file", F.element_at("fields", "Site Name").alias("site"), "latitude", "longitude")
 
 
 @query("""SELECT concat('site', n_regionkey, '_log.dat') AS file, CAST(13 + row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 2 AS INTEGER) AS pos, n_name AS name, TIMESTAMP '2024-01-01' + to_minutes(CAST(n_nationkey AS INTEGER)) AS ts FROM nation""")
 def capture_rows(spark, sf_dir):
-    folder = _region_files(spark, sf_dir)
-    lines = logger.read_lines(spark, folder).filter(F.col("pos") > 9)  # from the column names on: a capture without a header of its own
-    fields = lines.filter("pos > 10").select("file", (F.col("pos") + 1).cast("int").alias("pos"), F.split("line", "\t").alias("f"))
-    return logger.time_axis(fields.select("file", "pos", F.get("f", 0).alias("Timestamp"), F.get("f", 4).alias("name")), "Timestamp").select("file", "pos", "name", "ts")
+    """From the column names on, the files are captures without a header of their own."""
+    data = logger.read_tsv(spark, _region_files(spark, sf_dir, start=10) + "/*.dat", "Timestamp")
+    return data.select("file", (F.col("pos") + 11).cast("int").alias("pos"), "name", F.to_timestamp_ntz("Timestamp", F.lit("yyyy-MM-dd'T'HH:mm:ssX")).alias("ts"))
+
+
+@query("""SELECT concat('site', n_regionkey, '_log.dat.gz') AS file, CAST(n_nationkey AS VARCHAR) AS least, n_name AS name FROM nation""")
+def logger_packed(spark, sf_dir):
+    """Packed files, malformed rows kept: fields beyond the names are left out."""
+    data, _, _ = logger.read_files(spark, _region_files(spark, sf_dir, packed=True), malformed="keep")
+    return data.select("file", F.col("Ch1_Min_deg_C").alias("least"), "name")
+
+
+@query("""SELECT concat('d', date_part('year', o_orderdate), '_log.dat') AS file, CAST(o_orderkey AS VARCHAR) AS key, CASE WHEN date_part('year', o_orderdate) % 2 = 0 THEN o_orderstatus END AS status, CASE WHEN date_part('year', o_orderdate) % 2 = 1 THEN o_orderpriority END AS priority FROM orders""")
+def logger_mixed_columns(spark, sf_dir):
+    """A file for each year of orders, even years with other columns than odd ones, read as one table."""
+    year = F.year("o_orderdate")
+    even = year % 2 == 0
+    file = F.concat(F.lit("d"), year.cast("string"), F.lit("_log.dat"))
+    rows = _read(spark, sf_dir, "orders").filter("o_orderdate IS NOT NULL").select(file.alias("file"), F.col("o_orderkey").alias("pos"), F.concat_ws("\t", F.col("o_orderkey").cast("string"), F.when(even, F.col("o_orderstatus")).otherwise(F.col("o_orderpriority"))).alias("line"), even.alias("even"))
+    head = rows.select("file", "even").distinct().select("file", F.posexplode(F.array(F.lit("Data"), F.when(F.col("even"), "key\tstatus").otherwise("key\tpriority"))).alias("pos", "line"))
+    folder = logger.write_files(head.withColumn("pos", F.col("pos") - 2).unionByName(rows.drop("even")), f"{shared_dir(spark)}/logger-{uuid.uuid4().hex}")
+    return logger.read_files(spark, folder, columns=["key", "status", "priority"])[0].drop("pos")
 
 
 #: Parts as channels: 50 to a brand, of which the last block counts.

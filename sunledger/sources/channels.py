@@ -274,6 +274,20 @@ def site_coordinates(fields: dict[str, str]) -> tuple[float, float]:
     return out[0], out[1]
 
 
+def site_positions(sites: DataFrame) -> DataFrame:
+    """sites (with fields, as of site_fields) with latitude and longitude, as site_coordinates reads them; a header without a position is an error."""
+
+    def one(name: str, limit: float) -> Column:
+        label = lambda e: F.lower(F.replace(F.regexp_replace(F.trim(e["key"]), ":$", ""), F.lit("_"), F.lit(" ")))
+        of = lambda label_is: F.get(F.reverse(F.filter(F.map_entries("fields"), lambda e: label(e) == label_is)), 0)["value"]
+        raw = F.coalesce(of(name), of(f"site {name}"))
+        value = raw.try_cast("double")
+        wrong = F.concat(F.lit(f"{name} is no position: "), raw)
+        return F.when(F.abs(value) <= limit, value).otherwise(F.raise_error(F.coalesce(wrong, F.lit(f"the header has no {name}"))).cast("double")).alias(name)
+
+    return sites.select("*", one("latitude", 90.0), one("longitude", 180.0))
+
+
 def choose_statistic(statistics: Column, named: str | None = None) -> Column:
     """The one of an array of statistics ('' for none) that stands for a signal, or NULL.
 

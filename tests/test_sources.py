@@ -112,3 +112,48 @@ def test_streams(spark, tmp_path):
     assert len(out(live.sessions(stream(), "5 minutes"), "parts", "complete")) == 1
     held = out(live.stalls(stream(), 600_000_000), "held", "append")
     assert len(held) == 1 and held[0]["n_samples"] == 20
+
+
+def test_a_file_is_read_by_several_tasks_and_lines_keep_their_place(spark, tmp_path):
+    (tmp_path / "big_log.dat").write_text("Site\tx\n\nData\n\nTimestamp\tCh1_Avg\n" + "".join(f"2024-05-01 00:00:00\t{i}\n" for i in range(20000)))
+    (tmp_path / "b_log.dat").write_bytes(b"k\tv\r\nData\r\nTimestamp\tother\r\nt\t1\r\nshort\r\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50k")
+    try:
+        tasks = spark.read.text(str(tmp_path / "big_log.dat")).select(F.spark_partition_id()).distinct().count()
+        data, header, bad = logger.read_files(spark, str(tmp_path))
+        got = data.filter("file = 'big_log.dat'").select(F.count("*"), F.min(F.col("pos") - F.col("Ch1_Avg")), F.max(F.col("pos") - F.col("Ch1_Avg"))).first()
+        small = data.filter("file = 'b_log.dat'").collect()
+        heads, wrong = sorted(map(tuple, header.collect())), [tuple(r) for r in bad.collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert tasks > 5 and tuple(got) == (20000, 5, 5)
+    assert [(r["pos"], r["Timestamp"], r["other"], r["Ch1_Avg"]) for r in small] == [(3, "t", "1", None)]
+    assert heads == [("b_log.dat", 0, "k", "v"), ("big_log.dat", 0, "Site", "x")] and wrong == [("b_log.dat", "short", 1, 2)]
+
+
+def test_records_of_files_with_different_and_odd_columns(spark, tmp_path):
+    (tmp_path / "a_log.dat").write_text("Data\nt\tit's\tsame\tsame\n1\tx\ty\tz\n2\tshort\n")
+    (tmp_path / "b_log.dat").write_text("Data\nt\tsay \"it's\"\n3\tq\textra\n")
+    records = logger.read_records(spark, str(tmp_path), malformed="keep")
+    assert dict(records.dtypes)["record"] == "variant"
+    got = logger.columns_of(records, ["t", "it's", "same", "say \"it's\"", "absent"]).orderBy("t").collect()
+    assert [tuple(r)[2:] for r in got] == [("1", "x", "y", None, None), ("2", "short", None, None, None), ("3", None, None, "q", None)]
+    assert logger.read_records(spark, str(tmp_path)).count() == 1
+
+
+def test_files_written_by_tasks_are_read_back(spark, tmp_path):
+    lines = spark.createDataFrame([(f"f {i % 3}=x_log.dat.gz", i, f"{i}\tv" if i > 5 else ("Data" if i < 3 else "a\tb")) for i in range(60)], "file string, pos int, line string")
+    folder = logger.write_files(lines.repartition(5), str(tmp_path / "out"))
+    data, _, bad = logger.read_files(spark, folder)
+    assert sorted(int(r["a"]) for r in data.collect()) == list(range(6, 60)) and bad.count() == 0
+    assert {r["file"] for r in data.select("file").distinct().collect()} == {f"f {i}=x_log.dat.gz" for i in range(3)}
+
+
+def test_positions_of_many_headers(spark):
+    fields = [{"Latitude:": "44.5", "site_longitude": "-73.2"}, {"Site Latitude": "1", "LONGITUDE": "2"}]
+    sites = spark.createDataFrame([(str(i), f) for i, f in enumerate(fields)], "file string, fields map<string,string>")
+    assert sorted((r["latitude"], r["longitude"]) for r in channels.site_positions(sites).collect()) == [(1.0, 2.0), (44.5, -73.2)]
+    for bad, said in (({"Latitude": "100", "Longitude": "1"}, "no position"), ({"Latitude": "x", "Longitude": "1"}, "no position"), ({"Latitude": "1"}, "no longitude")):
+        with pytest.raises(Exception, match=said):
+            channels.site_positions(spark.createDataFrame([("f", bad)], "file string, fields map<string,string>")).collect()
