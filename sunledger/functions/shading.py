@@ -91,6 +91,11 @@ def shade(df: DataFrame, us: Column, latitude: float, longitude: float, geometry
 def local_days(spark: SparkSession, start: str, end: str, tz: str, step_seconds: int) -> DataFrame:
     """series_id (local date), pos, ts and us of a grid over whole local days, DST included: from midnight up to the next one."""
     days = spark.range(1).select(F.explode(F.sequence(F.to_date(F.lit(start)), F.to_date(F.lit(end)))).alias("date"))
+    return day_grid(days, tz, step_seconds)
+
+
+def day_grid(days: DataFrame, tz: str, step_seconds: int) -> DataFrame:
+    """The same for the local dates of days (column date, distinct): each date's grid is made where its row lies."""
     at = lambda d: F.to_utc_timestamp(d.cast("timestamp_ntz").cast("timestamp"), tz)
     step = F.expr(f"INTERVAL {int(step_seconds)} SECOND")
     grid = days.select("date", F.posexplode(F.sequence(at(F.col("date")), at(F.date_add("date", 1)) - step, step)).alias("pos", "ts"))
@@ -103,7 +108,11 @@ def shadow_track(spark: SparkSession, date: str, latitude: float, longitude: flo
 
 def shadow_season(spark: SparkSession, start: str, end: str, latitude: float, longitude: float, tz: str, step_seconds: int = 60, threshold: float = THRESHOLD, geometry: Geometry | None = None) -> DataFrame:
     """A row for each local date: peak, at (UTC), elevation and azimuth there, minutes over the threshold."""
-    track = shade(local_days(spark, start, end, tz, step_seconds), F.col("us"), latitude, longitude, geometry)
+    return season_of(shade(local_days(spark, start, end, tz, step_seconds), F.col("us"), latitude, longitude, geometry), step_seconds, threshold)
+
+
+def season_of(track: DataFrame, step_seconds: int, threshold: float = THRESHOLD) -> DataFrame:
+    """The same of a shaded track whose series_id is the local date."""
     best = F.struct("blocked", -F.col("us"))
     return track.groupBy(F.to_date("series_id").alias("date")).agg(
         F.max("blocked").alias("peak"), F.max_by("ts", best).alias("at"), F.max_by("elevation", best).alias("elevation"), F.max_by("azimuth", best).alias("azimuth"), (F.count_if(F.col("blocked") > threshold) * F.lit(step_seconds / 60.0)).alias("minutes")

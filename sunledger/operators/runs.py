@@ -215,7 +215,8 @@ def windows_over(track: DataFrame, value: str, threshold: float, peak_columns: l
     step = exact_median(rows, ["series_id"], "step").withColumn("median", F.col("median").cast("bigint"))
     best = F.struct(F.col(value), -F.col("us"))
     runs = rows.filter("over").groupBy("series_id", "run").agg(F.min("us").alias("first"), F.max("us").alias("last"), F.max(value).alias("peak"), *[F.max_by(c, best).alias(c) for c in peak_columns])
-    runs = runs.join(step, "series_id").withColumn("end", F.col("last") + F.coalesce("median", F.lit(0)))
+    keyed = lambda df: df.withColumn("__s", series_key(F.col("series_id")))
+    runs = keyed(runs).join(keyed(step).drop("series_id"), "__s").withColumn("end", F.col("last") + F.coalesce("median", F.lit(0)))
     return runs.select("series_id", from_micros(F.col("first")).alias("start_ts"), from_micros(F.col("end")).alias("end_ts"), (F.col("end") - F.col("first")).alias("duration_us"), "peak", *peak_columns)
 
 

@@ -18,7 +18,7 @@ from sunledger.operators import checks, runs, status_table
 from sunledger.operators.angles import check_solar_angles
 from sunledger.operators.offset import infer_utc_offset
 from sunledger.plans.spec import SolarAngles, Spec
-from sunledger.plans.specs import DIAGNOSTIC, MODBUS, modbus_signals
+from sunledger.plans.specs import DIAGNOSTIC, MODBUS, is_measured
 from sunledger.schema import from_micros, number
 from sunledger.sources import channels, logger
 from sunledger.stored import shared_dir
@@ -244,9 +244,12 @@ shade AS (SELECT *, degrees(miss_rad) AS miss, degrees(2 * half) AS rod_width, C
 """
 
 
-#: A local day's stamps every ten seconds, and a spring's every minute with the change of clocks in it.
-DAY_ROWS = "SELECT i AS pos, TIMESTAMP '2024-04-01 04:00:00' + to_seconds(10 * i) AS ts, epoch_us(TIMESTAMP '2024-04-01 04:00:00') + 10000000 * i AS us FROM range(8640) AS v(i)"
-SEASON_ROWS = "SELECT ts, epoch_us(ts) AS us, CAST(ts - CASE WHEN ts < TIMESTAMP '2024-03-10 07:00:00' THEN INTERVAL 5 HOUR ELSE INTERVAL 4 HOUR END AS DATE) AS date FROM (SELECT unnest(generate_series(TIMESTAMP '2024-03-01 05:00:00', TIMESTAMP '2024-06-01 03:59:00', INTERVAL 1 MINUTE)) AS ts)"
+SHADED = shade_sql("SELECT event_id, ts, epoch_us(ts) AS us FROM events")
+#: The local days of orders, each from midnight to the next by ten minutes; the clock changed on the first Sunday of April and the last of October.
+SEASON_ROWS = """SELECT date, midnight + to_minutes(CAST(10 * i AS INTEGER)) AS ts, epoch_us(midnight) + 600000000 * i AS us FROM (SELECT date, midnight, unnest(range(date_diff('minute', midnight, until) // 10)) AS i FROM (
+  SELECT date, CAST(date AS TIMESTAMP) + CASE WHEN date > april AND date <= october THEN INTERVAL 4 HOUR ELSE INTERVAL 5 HOUR END AS midnight, CAST(date + 1 AS TIMESTAMP) + CASE WHEN date + 1 > april AND date + 1 <= october THEN INTERVAL 4 HOUR ELSE INTERVAL 5 HOUR END AS until FROM (
+  SELECT date, april + CAST((7 - dayofweek(april)) % 7 AS INTEGER) AS april, october - CAST(dayofweek(october) AS INTEGER) AS october FROM (
+  SELECT DISTINCT CAST(o_orderdate AS DATE) AS date, make_date(year(o_orderdate), 4, 1) AS april, make_date(year(o_orderdate), 10, 31) AS october FROM orders WHERE o_orderdate IS NOT NULL))))"""
 
 
 @query(SUN + "SELECT event_id, round(elevation, 6) AS elevation, round(90.0 - elevation, 6) AS zenith, round(azimuth, 6) AS azimuth FROM k")
@@ -309,28 +312,39 @@ def solar_angle_findings(spark, sf_dir):
     return check_solar_angles(_recorded(spark, sf_dir, -18_000_000_000), angles).select("series_id", "check", "signal", "detail", "n_samples")
 
 
-@query(shade_sql(DAY_ROWS) + "SELECT pos, ts, round(elevation, 4) AS elevation, round(azimuth, 4) AS azimuth, round(miss, 4) AS miss, round(rod_width, 6) AS rod_width, round(blocked, 4) AS blocked FROM shade")
+@query(SHADED + "SELECT event_id, round(elevation, 4) AS elevation, round(azimuth, 4) AS azimuth, round(miss, 4) AS miss, round(rod_width, 6) AS rod_width, round(blocked, 4) AS blocked FROM shade")
 def shade_track(spark, sf_dir):
-    track = shading.shadow_track(spark, "2024-04-01", LAT, LON, "America/New_York")
-    return track.select("pos", "ts", *[F.round(c, n).alias(c) for c, n in (("elevation", 4), ("azimuth", 4), ("miss", 4), ("rod_width", 6), ("blocked", 4))])
+    """The rod's shadow at the stamps of events."""
+    track = shading.shade(events(spark, sf_dir), F.col("us"), LAT, LON)
+    return track.select(F.col("pos").alias("event_id"), *[F.round(c, n).alias(c) for c, n in (("elevation", 4), ("azimuth", 4), ("miss", 4), ("rod_width", 6), ("blocked", 4))])
 
 
-@query(shade_sql(DAY_ROWS) + """, o AS (SELECT *, blocked > 0.01 AS over FROM shade), u AS (SELECT *, sum(CASE WHEN over AND NOT coalesce(was, FALSE) THEN 1 ELSE 0 END) OVER (ORDER BY pos) AS run FROM (SELECT *, lag(over) OVER (ORDER BY pos) AS was FROM o))
-SELECT '2024-04-01' AS series_id, min(ts) AS start_ts, max(ts) + INTERVAL 10 SECOND AS end_ts, max(us) + 10000000 - min(us) AS duration_us, round(max(blocked), 4) AS peak FROM u WHERE over GROUP BY run""")
+def _shaded_days(spark, sf_dir):
+    """Shade of every local day on which something was ordered, by ten minutes."""
+    days = _read(spark, sf_dir, "orders").filter("o_orderdate IS NOT NULL").select(F.to_date("o_orderdate").alias("date")).distinct()
+    return shading.shade(shading.day_grid(days, "America/New_York", 600), F.col("us"), LAT, LON)
+
+
+@query(shade_sql(SEASON_ROWS) + """, o AS (SELECT *, coalesce(blocked > 0.01, FALSE) AS over, lag(coalesce(blocked > 0.01, FALSE)) OVER (PARTITION BY date ORDER BY us) AS was FROM shade),
+u AS (SELECT *, sum(CASE WHEN over AND NOT coalesce(was, FALSE) THEN 1 ELSE 0 END) OVER (PARTITION BY date ORDER BY us) AS run FROM o)
+SELECT CAST(date AS VARCHAR) AS series_id, min(ts) AS start_ts, max(ts) + INTERVAL 10 MINUTE AS end_ts, max(us) + 600000000 - min(us) AS duration_us, round(max(blocked), 4) AS peak, round(arg_max(elevation, {'b': blocked, 'u': -us}), 4) AS elevation FROM u WHERE over GROUP BY date, run""")
 def shadow_windows(spark, sf_dir):
-    track = shading.shadow_track(spark, "2024-04-01", LAT, LON, "America/New_York")
-    return runs.windows_over(track, "blocked", shading.THRESHOLD, ["elevation", "azimuth"]).select("series_id", "start_ts", "end_ts", "duration_us", F.round("peak", 4).alias("peak"))
+    found = runs.windows_over(_shaded_days(spark, sf_dir), "blocked", shading.THRESHOLD, ["elevation", "azimuth"])
+    return found.select("series_id", "start_ts", "end_ts", "duration_us", F.round("peak", 4).alias("peak"), F.round("elevation", 4).alias("elevation"))
+
+
+def _season(spark, sf_dir):
+    return shading.season_of(_shaded_days(spark, sf_dir), 600)
 
 
-@query(shade_sql(SEASON_ROWS) + "SELECT date, round(max(blocked), 4) AS peak, CAST(count(*) FILTER (blocked > 0.01) AS DOUBLE) AS minutes FROM shade GROUP BY 1")
+@query(shade_sql(SEASON_ROWS) + "SELECT date, round(max(blocked), 4) AS peak, arg_max(ts, {'b': blocked, 'u': -us}) AS at, 10.0 * count(*) FILTER (blocked > 0.01) AS minutes FROM shade GROUP BY 1".replace("10.0 * count(*) FILTER (blocked > 0.01)", "CAST(10 * count(*) FILTER (blocked > 0.01) AS DOUBLE)"))
 def shadow_season(spark, sf_dir):
-    season = shading.shadow_season(spark, "2024-03-01", "2024-05-31", LAT, LON, "America/New_York", 60)
-    return season.select("date", F.round("peak", 4).alias("peak"), "minutes")
+    return _season(spark, sf_dir).select("date", F.round("peak", 4).alias("peak"), "at", "minutes")
 
 
-@query(shade_sql(SEASON_ROWS) + "SELECT date, CAST(count(*) FILTER (blocked > 0.01) AS DOUBLE) AS minutes FROM shade GROUP BY 1 HAVING count(*) FILTER (blocked > 0.01) > 0")
+@query(shade_sql(SEASON_ROWS) + "SELECT date, CAST(10 * count(*) FILTER (blocked > 0.01) AS DOUBLE) AS minutes FROM shade GROUP BY 1 HAVING count(*) FILTER (blocked > 0.01) > 0")
 def shadow_days(spark, sf_dir):
-    return shading.shadow_season(spark, "2024-03-01", "2024-05-31", LAT, LON, "America/New_York", 60).filter("minutes > 0").select("date", "minutes")
+    return _season(spark, sf_dir).filter("minutes > 0").select("date", "minutes")
 
 
 @query("""WITH r AS (SELECT *, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS b FROM conversations)
@@ -350,10 +364,23 @@ def classified_parts(spark, sf_dir):
     return _read(spark, sf_dir, "part").select("p_partkey", channels.kind_of(F.when(F.col("p_size") <= 10, "small").otherwise(""), text, rules).alias("kind"))
 
 
-@query("""SELECT * FROM (VALUES ('Ch1_Avg_deg_C', 1, 'Avg', 'Avg'), ('Ch4_Total_low_B_Sum_mm', 4, 'Total', 'Sum'), ('Ch12_Samples_W/m^2', 12, '', ''), ('Ch7_NotUsed', 7, 'NotUsed', 'NotUsed'), ('Timestamp', -1, '', '')) AS v(name, channel, next_statistic, last_statistic)""")
+#: Parts as columns of a file for each brand: a channel, a statistic (or none), words, and sometimes another statistic.
+STATS_OF = ("Avg", "Min", "Max", "SD", "Samples", "Gust", "NotUsed", "Total")
+PART_COLUMNS = f"""WITH n AS (SELECT p_brand AS file, p_partkey AS pos, p_type, CASE WHEN p_partkey % 11 = 0 THEN p_name ELSE concat('Ch', p_partkey % 50, '_', {list(STATS_OF)}[p_size % 8 + 1], '_', p_type, CASE WHEN p_partkey % 3 = 0 THEN concat('_', {list(STATS_OF)}[p_partkey % 4 + 1]) ELSE '' END) END AS name FROM part)
+"""
+
+
+def _part_columns(spark, sf_dir):
+    key = F.col("p_partkey")
+    stat = lambda i: F.get(F.array(*map(F.lit, STATS_OF)), i.cast("int"))
+    name = F.concat(F.lit("Ch"), (key % 50).cast("string"), F.lit("_"), stat(F.col("p_size") % 8), F.lit("_"), "p_type", F.when(key % 3 == 0, F.concat(F.lit("_"), stat(key % 4))).otherwise(""))
+    return _read(spark, sf_dir, "part").select(F.col("p_brand").alias("file"), key.alias("pos"), F.when(key % 11 == 0, F.col("p_name")).otherwise(name).alias("name"))
+
+
+@query(PART_COLUMNS + r"""SELECT pos, name, CAST(CASE WHEN regexp_matches(name, '^Ch[0-9]+_') THEN regexp_extract(name, '^Ch([0-9]+)_', 1) ELSE '-1' END AS INTEGER) AS channel, CASE WHEN s IN ('Avg', 'Min', 'Max', 'SD', 'Gust', 'NotUsed', 'Total') THEN s ELSE '' END AS next_statistic,
+  CASE WHEN regexp_matches(name, '^Ch[0-9]+_') THEN coalesce(list_filter(string_split(regexp_replace(name, '^Ch[0-9]+_', ''), '_'), lambda x: x IN ('Avg', 'Min', 'Max', 'SD', 'Gust', 'NotUsed', 'Total'))[-1], '') ELSE '' END AS last_statistic FROM (SELECT *, regexp_extract(name, '^Ch[0-9]+_([^_]+)', 1) AS s FROM n)""")
 def column_grammar(spark, sf_dir):
-    names = ["Ch1_Avg_deg_C", "Ch4_Total_low_B_Sum_mm", "Ch12_Samples_W/m^2", "Ch7_NotUsed", "Timestamp"]
-    return channels.column_grammar(spark.createDataFrame([(n,) for n in names], "name string")).withColumn("channel", F.coalesce("channel", F.lit(-1)))
+    return channels.column_grammar(_part_columns(spark, sf_dir).select("pos", "name")).withColumn("channel", F.coalesce("channel", F.lit(-1)))
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS nr FROM documents),
@@ -403,11 +430,15 @@ def export_days_left(spark, sf_dir):
     return logger.export_days("1992-01-01", "1998-12-31", _read(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("date")))
 
 
-@query("""WITH r AS (SELECT unnest(['VIN_RP_V', '+VIN_RP', '-VIN_RP_V', '13_3V_V', '12_4V_V', 'COMA EXC_V', 'COMB EXC_V', '15V_V', '-15V_V', '12V_V', '5V_V', '3_3V_V']) AS s), c AS (SELECT unnest(['12_4V_mA', '3_3V_mA', '12V_mA', 'COMA EXC_mA', 'COMB EXC_mA']) AS s), n AS (FROM r UNION ALL FROM c)
-SELECT 'gap' AS "check", '(all signals)' AS signal UNION ALL SELECT 'range', s || '_' || t FROM n, (VALUES ('Avg'), ('Min'), ('Max'), ('SD')) AS v(t)
-UNION ALL SELECT 'lesser', s || '_Min vs ' || s || '_Avg' FROM n UNION ALL SELECT 'lesser', s || '_Avg vs ' || s || '_Max' FROM n UNION ALL SELECT 'stall', s || '_' || t FROM c, (VALUES ('Avg'), ('SD')) AS v(t)""")
+@query(DAILY.replace("avg(l_tax) AS tax_Avg", "stddev_pop(l_quantity) AS quantity_SD") + """, v AS (SELECT day, quantity_Avg / 5 AS a, quantity_Min / 5 AS lo, quantity_Max / 5 AS hi, quantity_SD / 150 AS sd FROM d),
+t AS (SELECT day, unnest(['5V_V_Avg', '5V_V_Min', '5V_V_Max', '5V_V_SD']) AS signal, unnest([a, lo, hi, sd]) AS x, unnest([4.75, 4.75, 4.75, 0.0]) AS l, unnest([5.25, 5.25, 5.25, 0.1]) AS h FROM v)
+SELECT 'range' AS "check", signal, count(*) AS n_samples FROM t WHERE NOT (x BETWEEN l AND h) GROUP BY signal UNION ALL SELECT 'lesser', '5V_V_Min vs 5V_V_Avg', count(*) FROM v WHERE lo > a HAVING count(*) > 0 UNION ALL SELECT 'lesser', '5V_V_Avg vs 5V_V_Max', count(*) FROM v WHERE a > hi HAVING count(*) > 0""")
 def diagnostic_spec(spark, sf_dir):
-    return spark.createDataFrame(DIAGNOSTIC.tested(), "check string, signal string")
+    """The spec of diagnostic files, held against daily statistics as one rail's."""
+    quantity = F.col("l_quantity")
+    day = _read(spark, sf_dir, "lineitem").groupBy(F.to_date("l_shipdate").alias("day")).agg((F.avg(quantity) / 5).alias("5V_V_Avg"), (F.min(quantity) / 5).alias("5V_V_Min"), (F.max(quantity) / 5).alias("5V_V_Max"), (F.stddev_pop(quantity) / 150).alias("5V_V_SD"))
+    frame = signal_frame(day, F.col("day"), F.date_diff("day", F.lit("1970-01-01").cast("date")), ["5V_V_Avg", "5V_V_Min", "5V_V_Max", "5V_V_SD"], F.lit("daily"))
+    return checks.validate(frame, DIAGNOSTIC.override(gaps=False)).filter("check <> 'missing'").select("check", "signal", "n_samples")
 
 
 def _region_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -523,16 +554,22 @@ def channels_unclassified(spark, sf_dir):
     return channels.unclassified(channels.channels(LISTED, _part_blocks(spark, sf_dir)))
 
 
-@query("""SELECT * FROM (VALUES ('Ch1_Avg_deg_C', 'Ch1_Avg_Air'), ('Ch1_Min_deg_C', 'Ch1_Min_Air'), ('Ch2_Total_mm', 'Ch2_Rain_mm'), ('Timestamp', 'Timestamp')) AS v("old", "new")""")
+@query(PART_CHANNELS + """, d AS (SELECT sum(l_quantity) AS a, max(l_quantity) AS b, sum(l_tax) AS c FROM lineitem), x AS (SELECT channel, concat_ws('_', regexp_replace(description, '\\s+', '_', 'g'), regexp_replace(measurand, '\\s+', '_', 'g'), regexp_replace(units, '\\s+', '_', 'g')) AS rest FROM k WHERE file = (SELECT min(p_brand) FROM part) AND channel IN (1, 2))
+SELECT concat('Ch1_Avg_', rest) AS name, round(a, 4) AS total FROM x, d WHERE channel = 1 UNION ALL SELECT concat('Ch1_Max_', rest), round(b, 4) FROM x, d WHERE channel = 1 UNION ALL SELECT concat('Ch2_', rest), round(c, 4) FROM x, d WHERE channel = 2""")
 def renamed_channels(spark, sf_dir):
-    new = channels.rename_channels(["Timestamp", "Ch1_Avg_deg_C", "Ch1_Min_deg_C", "Ch2_Total_mm", "Ch9_NotUsed"], {1: "Ch1_Air", 2: "Ch2_Rain_mm"})
-    return spark.createDataFrame(list(new.items()), "old string, new string")
+    """Columns named by the header of the first brand; the unused one is dropped."""
+    blocks = _part_blocks(spark, sf_dir)
+    first = blocks.agg(F.min("file")).first()[0]
+    names = {r["channel"]: r["name"] for r in channels.channel_names(blocks).filter((F.col("file") == first) & F.col("channel").isin(1, 2)).collect()}  # two channels
+    table = _read(spark, sf_dir, "lineitem").agg(F.sum("l_quantity").alias("Ch1_Avg_x"), F.max("l_quantity").alias("Ch1_Max_x"), F.sum("l_tax").alias("Ch2_Total_x"), F.count("*").alias("Ch9_NotUsed"))
+    new = channels.rename_channels(table.columns, names)
+    return table.select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.round(F.col(c).cast("double"), 4).alias("total")) for c, n in new.items()])))
 
 
-@query("""SELECT * FROM (VALUES ('Wind', 'Wind_Avg Wind_Max'), ('Wind_Gust', 'Wind_Gust'), ('plain', 'plain')) AS v(signal, columns)""")
+@query(PART_COLUMNS + r"""SELECT file, signal, string_agg(name, ' | ' ORDER BY pos, name) AS columns FROM (SELECT *, CASE WHEN regexp_matches(name, '^.+_(Avg|Min|Max|SD)$') THEN regexp_extract(name, '^(.+)_[^_]*$', 1) ELSE name END AS signal FROM n) GROUP BY 1, 2""")
 def signal_groups(spark, sf_dir):
-    groups = channels.signal_groups(["Wind_Avg", "Wind_Gust", "plain", "Wind_Max"])
-    return spark.createDataFrame([(k, " ".join(v)) for k, v in groups.items()], "signal string, columns string")
+    groups = channels.grouped_signals(_part_columns(spark, sf_dir))
+    return groups.select("file", "signal", F.array_join("columns", " | ").alias("columns"))
 
 
 @query("""WITH g AS (SELECT p_brand, list_sort(list(DISTINCT CASE p_size % 4 WHEN 0 THEN 'Avg' WHEN 1 THEN 'Max' WHEN 2 THEN '' ELSE 'SD' END)) AS s FROM part WHERE p_size % 50 < p_partkey % 3 GROUP BY 1)
@@ -543,28 +580,54 @@ def chosen_statistics(spark, sf_dir):
     return groups.select("p_brand", channels.choose_statistic(F.col("s"), "Max").alias("named"), channels.choose_statistic(F.col("s")).alias("usual"))
 
 
-@query("""SELECT * FROM (VALUES ('range', 43), ('equivalent', 1), ('lesser', 2), ('stall', 30), ('constant', 11), ('expected', 2), ('sentinel', 3), ('solar', 3), ('utc', 1), ('clock', 1), ('gap', 1)) AS v("check", n)""")
+@query(f"""WITH e AS (SELECT event_type, value * 10 AS g, value * 9 + event_id % 40 AS d, CASE WHEN event_id % 10 = 0 THEN -99.0 ELSE value - 20 END AS r, event_id % 3 AS w FROM events),
+f AS (SELECT 'range' AS "check", 'GHI' AS signal, event_type, count(*) AS n FROM e WHERE NOT (g BETWEEN {MODBUS.ranges["GHI"][0]} AND {MODBUS.ranges["GHI"][1]}) GROUP BY 3 UNION ALL SELECT 'range', 'DHI', event_type, count(*) FROM e WHERE NOT (d BETWEEN {MODBUS.ranges["DHI"][0]} AND {MODBUS.ranges["DHI"][1]}) GROUP BY 3
+UNION ALL SELECT 'range', 'RH', event_type, count(*) FROM e WHERE NOT (r BETWEEN 0 AND 50) GROUP BY 3 UNION ALL SELECT 'lesser', 'DHI vs GHI', event_type, count(*) FROM e WHERE d > g GROUP BY 3 UNION ALL SELECT 'sentinel', 'Wind_Quality', event_type, count(*) FROM e WHERE w <> -99 GROUP BY 3)
+SELECT event_type AS series_id, "check", signal, n AS n_samples FROM f""")
 def modbus_checks(spark, sf_dir):
-    return spark.createDataFrame(MODBUS.tested(), "check string, signal string").groupBy("check").agg(F.count("*").cast("int").alias("n"))
+    """The gateway's spec, with limits of one signal overridden, held against events as four of its signals."""
+    value, key = F.col("value"), F.col("event_id")
+    table = _read(spark, sf_dir, "events").withColumns({"GHI": value * 10, "DHI": value * 9 + key % 40, "RH": F.when(key % 10 == 0, -99.0).otherwise(value - 20), "Wind_Quality": (key % 3).cast("double")})
+    frame = signal_frame(table, "ts", "event_id", ["GHI", "DHI", "RH", "Wind_Quality"], "event_type")
+    spec = MODBUS.override(ranges={"RH": (0, 50)}, dynamic=(), gaps=False, solar=None)
+    return checks.validate(frame, spec).filter("check <> 'missing'").select("series_id", "check", "signal", "n_samples")
 
 
-@query("SELECT * FROM (VALUES ('GHI'), ('Counter')) AS v(signal)")
+@query("""SELECT p_partkey, name FROM (SELECT p_partkey, concat(['reserved_', 'ProtoNode.', 'Unnamed: ', '__', '', 'no '][p_partkey % 6 + 1], p_name) AS name FROM part) WHERE NOT (starts_with(name, 'reserved') OR starts_with(name, 'ProtoNode') OR starts_with(name, 'Unnamed') OR starts_with(name, '__'))""")
 def measured_columns(spark, sf_dir):
-    return spark.createDataFrame([(c,) for c in modbus_signals(["GHI", "ProtoNode.Modbus_Poll_Timestamp", "reserved_1", "Unnamed: 4", "__x", "Counter"])], "signal string")
+    prefix = F.get(F.array(*map(F.lit, ("reserved_", "ProtoNode.", "Unnamed: ", "__", "", "no "))), (F.col("p_partkey") % 6).cast("int"))
+    names = _read(spark, sf_dir, "part").select("p_partkey", F.concat(prefix, "p_name").alias("name"))
+    return names.filter(is_measured(F.col("name")))
 
 
-@query("""SELECT * FROM (VALUES ('gap', '(all signals)'), ('range', 'Ch1_Avg_deg_C'), ('range', 'Ch1_Min_deg_C'), ('range', 'Ch1_Max_deg_C'), ('range', 'Ch1_SD_deg_C'), ('range', 'Ch2_Avg_deg'), ('stall', 'Ch1_Avg_deg_C'), ('stall', 'Ch2_Avg_deg'), ('lesser', 'Ch1_Min_deg_C vs Ch1_Avg_deg_C'), ('lesser', 'Ch1_Avg_deg_C vs Ch1_Max_deg_C'), ('solar', 'Ch2_Avg_deg')) AS v("check", signal)""")
+#: What each file's own header and columns say it must keep to.
+KIND_ROWS = ", ".join(f"({k!r}, CAST({v.lo} AS DOUBLE), CAST({v.hi} AS DOUBLE), {v.dynamic}, {'range' in v.sunlit}, {'stall' in v.sunlit}, {v.extremes}, {int(v.stall_hours * 3_600_000_000)})" for k, v in channels.KINDS.items())
+SPEC_ROWS = PART_CHANNELS + f""", n AS {PART_COLUMNS.strip().removeprefix("WITH n AS ")}, b AS (SELECT * FROM (VALUES {KIND_ROWS}) AS v(kind, lo, hi, dynamic, s_range, s_stall, extremes, win)),
+g AS (SELECT file, channel, stat, max(name) AS name FROM (SELECT file, name, CAST(regexp_extract(name, '^Ch([0-9]+)_', 1) AS INTEGER) AS channel, CASE WHEN t IN ('Avg', 'Min', 'Max', 'SD', 'Gust', 'NotUsed', 'Total') THEN t ELSE '' END AS stat FROM (SELECT *, regexp_extract(name, '^Ch[0-9]+_([^_]+)', 1) AS t FROM n) WHERE t <> '') GROUP BY 1, 2, 3),
+w AS (SELECT g.*, lo, hi, dynamic, s_range, s_stall, extremes, win, max(CASE WHEN stat = 'Total' THEN 1 ELSE 0 END) OVER c AS summed, max(CASE WHEN stat = '' THEN name END) OVER c AS plain, max(CASE WHEN stat = 'Avg' THEN name END) OVER c AS average, max(CASE WHEN stat = 'Min' THEN name END) OVER c AS least, max(CASE WHEN stat = 'Max' THEN name END) OVER c AS most, max(CASE WHEN stat = 'Gust' THEN name END) OVER c AS gust, row_number() OVER (PARTITION BY file, channel ORDER BY stat) AS nr
+  FROM g JOIN k USING (file, channel) JOIN b ON b.kind = k.kind WINDOW c AS (PARTITION BY file, channel))
+"""
+
+
+@query(SPEC_ROWS + """SELECT file, 'range' AS "check", name AS signal, lo, hi, CAST(NULL AS BIGINT) AS window_us FROM w WHERE NOT s_range AND stat IN ('', 'Avg', 'Min', 'Max', 'Gust') AND (stat NOT IN ('Min', 'Max') OR (extremes AND summed = 0))
+UNION ALL SELECT file, 'range', name, 0.0, hi - lo, NULL FROM w WHERE NOT s_range AND stat = 'SD' UNION ALL SELECT file, 'stall', coalesce(average, plain), NULL, NULL, win FROM w WHERE nr = 1 AND dynamic AND NOT s_stall AND coalesce(average, plain) IS NOT NULL
+UNION ALL SELECT file, 'lesser', concat(least, ' vs ', average), NULL, NULL, NULL FROM w WHERE nr = 1 AND extremes AND least IS NOT NULL AND average IS NOT NULL AND most IS NOT NULL UNION ALL SELECT file, 'lesser', concat(average, ' vs ', most), NULL, NULL, NULL FROM w WHERE nr = 1 AND extremes AND least IS NOT NULL AND average IS NOT NULL AND most IS NOT NULL
+UNION ALL SELECT file, 'lesser', concat(gust, ' vs ', most), NULL, NULL, NULL FROM w WHERE nr = 1 AND gust IS NOT NULL AND most IS NOT NULL""")
 def header_spec(spark, sf_dir):
-    columns = ["Ch1_Avg_deg_C", "Ch1_Min_deg_C", "Ch1_Max_deg_C", "Ch1_SD_deg_C", "Ch2_Avg_deg", "Ch3_Avg_x", "Ch4_Avg_W"]
-    kinds = {1: "temperature", 2: "solar zenith", 4: "albedo"}
-    spec = channels.spec_for(columns, kinds, solar=channels.solar_angles(columns, kinds, LAT, LON))
-    return spark.createDataFrame(spec.tested(), "check string, signal string")
+    return channels.spec_rows(_part_columns(spark, sf_dir), channels.channel_kinds(_part_blocks(spark, sf_dir)))
+
+
+@query(SPEC_ROWS + """SELECT file, 'range' AS "check", name AS signal, lo, hi, CAST(NULL AS BIGINT) AS window_us FROM w WHERE s_range AND stat IN ('', 'Avg', 'Min', 'Max', 'Gust') AND (stat NOT IN ('Min', 'Max') OR (extremes AND summed = 0))
+UNION ALL SELECT file, 'range', name, 0.0, hi - lo, NULL FROM w WHERE s_range AND stat = 'SD' UNION ALL SELECT file, 'stall', coalesce(average, plain), NULL, NULL, win FROM w WHERE nr = 1 AND dynamic AND s_stall AND coalesce(average, plain) IS NOT NULL""")
+def sunlit_spec(spark, sf_dir):
+    return channels.spec_rows(_part_columns(spark, sf_dir), channels.channel_kinds(_part_blocks(spark, sf_dir)), sunlit=True)
 
 
-@query("""SELECT * FROM (VALUES ('range', 'a'), ('range', 'b'), ('stall', 'c')) AS v("check", signal)""")
+@query("""SELECT event_type AS series_id, 'range' AS "check", 'value' AS signal, 'outside [20.0, 120.0]' AS detail, count(*) AS n_samples FROM events WHERE NOT (value BETWEEN 20 AND 120) GROUP BY 1""")
 def overridden_spec(spark, sf_dir):
-    spec = Spec(ranges={"a": (0, 1)}, dynamic=("a",)).override(ranges={"b": (0, 2)}, dynamic=("c",), gaps=False)
-    return spark.createDataFrame(spec.tested(), "check string, signal string")
+    """validate_events' spec with other limits; whatever else it checks is taken out."""
+    spec = SPEC.override(ranges={"value": (20, 120)}, dynamic=(), constant=(), unused=(), lesser=(), gaps=False)
+    return checks.validate(events(spark, sf_dir), spec).select("series_id", "check", "signal", "detail", "n_samples")
 
 
 @query("""SELECT o_orderpriority AS series_id, o_orderkey AS pos, 'o_orderstatus' AS signal, o_orderstatus AS value_text FROM orders WHERE o_orderstatus <> 'F' OR o_orderstatus IS NULL""")

@@ -84,6 +84,42 @@ def signal_groups(columns: list[str], statistics: tuple[str, ...] = ("Avg", "Min
     return out
 
 
+def grouped_signals(names: DataFrame, statistics: tuple[str, ...] = ("Avg", "Min", "Max", "SD")) -> DataFrame:
+    """signal_groups of many files at once. names: file, pos, name. file, signal, columns (by pos; a file's columns are few)."""
+    tail = F.regexp_extract("name", r"^.+_([^_]*)$", 1)
+    signal = F.when(tail.isin(*statistics), F.regexp_extract("name", r"^(.+)_[^_]*$", 1)).otherwise(F.col("name"))
+    groups = names.groupBy("file", signal.alias("signal")).agg(F.array_sort(F.collect_list(F.struct("pos", "name"))).alias("all"))
+    return groups.select("file", "signal", F.transform("all", lambda x: x["name"]).alias("columns"))
+
+
+def spec_rows(names: DataFrame, kinds: DataFrame, sunlit: bool = False, extremes: bool = True) -> DataFrame:
+    """spec_for of many files at once, as rows: file, check, signal, lo, hi, window_us.
+
+    names: file, name of each column; kinds: file, channel, kind. Columns meet their kind by file and channel; the table of
+    kinds is a literal of the plan. Of two columns of one channel and statistic the last by name counts.
+    """
+    listed = names.withColumn("channel", F.regexp_extract("name", r"^Ch(\d+)_([^_]+)", 1).try_cast("int")).filter("channel IS NOT NULL")
+    token = F.regexp_extract("name", r"^Ch(\d+)_([^_]+)", 2)
+    listed = listed.withColumn("stat", F.when(token.isin(*STATISTICS), token).otherwise(""))
+    per = listed.groupBy("file", "channel", "stat").agg(F.max("name").alias("name")).groupBy("file", "channel").agg(F.map_from_entries(F.collect_list(F.struct("stat", "name"))).alias("of"))
+    said = F.create_map(*[x for k, v in KINDS.items() for x in (F.lit(k), F.struct(F.lit(float(v.lo)).alias("lo"), F.lit(float(v.hi)).alias("hi"), F.lit(v.dynamic).alias("dynamic"), F.lit("range" in v.sunlit).alias("sunlit_range"), F.lit("stall" in v.sunlit).alias("sunlit_stall"), F.lit(v.extremes).alias("extremes"), F.lit(int(v.stall_hours * 3_600_000_000)).alias("window")))])
+    rows = per.join(kinds, ["file", "channel"]).withColumn("k", F.try_element_at(said, F.col("kind"))).filter("k IS NOT NULL")
+    of, k = lambda s: F.try_element_at(F.col("of"), F.lit(s)), F.col("k")
+    none, no_window = F.lit(None).cast("double"), F.lit(None).cast("long")
+    one = lambda check, signal, lo=none, hi=none, window=no_window: F.struct(F.lit(check).alias("check"), signal.alias("signal"), lo.alias("lo"), hi.alias("hi"), window.alias("window_us"))
+    pair = lambda a, b: F.concat(of(a), F.lit(" vs "), of(b))
+    wide = F.lit(extremes) & k["extremes"] & ~(F.map_contains_key("of", "Sum") | F.map_contains_key("of", "Total"))
+    ranged = k["sunlit_range"] == F.lit(sunlit)
+    out = [F.when(ranged & (wide if s in ("Min", "Max") else F.lit(True)) & of(s).isNotNull(), one("range", of(s), k["lo"], k["hi"])) for s in LEVELS]
+    out.append(F.when(ranged & of("SD").isNotNull(), one("range", of("SD"), F.lit(0.0), k["hi"] - k["lo"])))
+    primary = F.coalesce(of("Avg"), of(""))
+    out.append(F.when(k["dynamic"] & primary.isNotNull() & (k["sunlit_stall"] == F.lit(sunlit)), one("stall", primary, window=k["window"])))
+    if not sunlit:
+        whole = k["extremes"] & pair("Min", "Avg").isNotNull() & pair("Avg", "Max").isNotNull()
+        out += [F.when(whole, one("lesser", pair("Min", "Avg"))), F.when(whole, one("lesser", pair("Avg", "Max"))), F.when(pair("Gust", "Max").isNotNull(), one("lesser", pair("Gust", "Max")))]
+    return rows.select("file", F.inline(F.array_compact(F.array(*out))))
+
+
 def channel_columns(columns: list[str]) -> dict[int, dict[str, str]]:
     """channel -> statistic -> column; the statistic is the token right after the channel, else empty. The last column wins."""
     out: dict[int, dict[str, str]] = {}

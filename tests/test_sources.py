@@ -157,3 +157,17 @@ def test_positions_of_many_headers(spark):
     for bad, said in (({"Latitude": "100", "Longitude": "1"}, "no position"), ({"Latitude": "x", "Longitude": "1"}, "no position"), ({"Latitude": "1"}, "no longitude")):
         with pytest.raises(Exception, match=said):
             channels.site_positions(spark.createDataFrame([("f", bad)], "file string, fields map<string,string>")).collect()
+
+
+def test_spec_rows_say_what_spec_for_says(spark):
+    columns = ["Ch1_Avg_deg_C", "Ch1_Min_deg_C", "Ch1_Max_deg_C", "Ch1_SD_deg_C", "Ch1_Gust_x", "Ch2_Avg_deg", "Ch3_Avg_x", "Ch4_Avg_W", "Ch5_W", "Ch6_Total_mm", "Ch6_Min_mm", "Ch7_Avg_x", "Ch8_NotUsed", "plain"]
+    kinds = {1: "temperature", 2: "solar zenith", 4: "albedo", 5: "irradiance", 6: "precipitation", 7: None, 8: "soiling"}
+    names = spark.createDataFrame([("f", c) for c in columns] + [("g", "Ch1_Avg_x")], "file string, name string")
+    known = spark.createDataFrame([("f", k, v) for k, v in kinds.items()] + [("g", 1, "wind direction")], "file string, channel int, kind string")
+    for sunlit in (False, True):
+        spec = channels.spec_for(columns, {k: v for k, v in kinds.items() if v}, sunlit=sunlit)
+        want = [("range", s, float(lo), float(hi), None) for s, (lo, hi) in spec.ranges.items()] + [("stall", s, None, None, spec.stall_windows[s]) for s in spec.dynamic] + [("lesser", f"{a} vs {b}", None, None, None) for a, b in spec.lesser]
+        got = [tuple(r)[1:] for r in channels.spec_rows(names, known, sunlit=sunlit).filter("file = 'f'").collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+    groups = channels.grouped_signals(spark.createDataFrame([("f", i, c) for i, c in enumerate(["Wind_Avg", "Wind_Gust", "plain", "Wind_Max", "_Avg"])], "file string, pos int, name string"))
+    assert {r["signal"]: r["columns"] for r in groups.collect()} == channels.signal_groups(["Wind_Avg", "Wind_Gust", "plain", "Wind_Max", "_Avg"])
