@@ -19,8 +19,8 @@ from sunledger.operators.angles import check_solar_angles
 from sunledger.operators.offset import infer_utc_offset
 from sunledger.plans.spec import SolarAngles, Spec
 from sunledger.plans.specs import DIAGNOSTIC, MODBUS, is_measured
-from sunledger.schema import from_micros, number
-from sunledger.sources import channels, logger
+from sunledger.schema import CHECK_ORDER, from_micros, number
+from sunledger.sources import channels, findings, logger
 from sunledger.stored import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -697,3 +697,15 @@ UNION ALL SELECT image, channel, concat('unknown units ', units) FROM c WHERE un
 UNION ALL SELECT image, CAST(unnest(range(before + 1, channel)) AS INTEGER), 'channel is absent' FROM (SELECT image, channel, lag(channel) OVER (PARTITION BY image ORDER BY channel) AS before FROM c) WHERE channel - before > 1""")
 def status_suspects(spark, sf_dir):
     return status_table.suspect_cells(status_table.channel_table(_page_words(spark, sf_dir)))
+
+
+@query(ORACLE_SQL["validate_events"])
+def stored_findings(spark, sf_dir):
+    """validate_events written twice over, the first time with findings that are gone the second time, and read back."""
+    frame = events(spark, sf_dir)
+    folder, covered = f"{shared_dir(spark)}/findings-{uuid.uuid4().hex}", findings.looked_at(frame)
+    findings.write_findings(checks.check_ranges(frame, {"value": (40, 60)}), folder, covered)
+    for _ in range(2):
+        findings.write_findings(checks.validate(frame, SPEC), folder, covered)
+    order = F.create_map(*[F.lit(x) for i, c in enumerate(CHECK_ORDER) for x in (c, i)])
+    return findings.read_findings(spark, folder).drop("series", "day").withColumn("check_order", F.element_at(order, F.col("check")))
