@@ -7,6 +7,10 @@ The other windows are partitioned by series and see few rows of each.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -187,22 +191,51 @@ def expected_periods(start_us: int, end_us: int, interval_us: int) -> int:
     return (end_us // day * day + day - start_us // day * day) // interval_us
 
 
+def _presence(frame: DataFrame, n: int, origin: int, interval_us: int) -> DataFrame:
+    """series_id, block and bits of each block of slots with a reading; a row with neither for a series without any in 0..n-1."""
+    slot = F.rint((F.col("us") - F.lit(origin)) / F.lit(interval_us)).cast("bigint")
+    kept = F.when(slot.between(0, n - 1), slot + 1)
+    return frame.groupBy("series_id", F.bitmap_bucket_number(kept).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(kept)).alias("bits"))
+
+
+BLOCK_SLOTS = 32768  # of a bitmap of Spark's
+ABSENT = "series_id string, block long, least long, most long, runs array<struct<before:long,after:long>>"
+
+
+def _absent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each block of presence: its first and last slot with a reading, and pairs of such slots with none between them."""
+    for batch in batches:
+        least, most, runs = [], [], []
+        for block, bits in zip(batch.column("block").to_pylist(), batch.column("bits").to_pylist(), strict=True):
+            there = np.flatnonzero(np.unpackbits(np.frombuffer(bits or b"", np.uint8), bitorder="little")) + ((block or 1) - 1) * BLOCK_SLOTS
+            wide = np.flatnonzero(np.diff(there) > 1)
+            least.append(int(there[0]) if len(there) else None)
+            most.append(int(there[-1]) if len(there) else None)
+            runs.append([{"before": int(a), "after": int(b)} for a, b in zip(there[wide], there[wide + 1], strict=True)])
+        kind = pa.list_(pa.struct([("before", pa.int64()), ("after", pa.int64())]))
+        yield pa.RecordBatch.from_arrays([batch.column("series_id"), batch.column("block"), pa.array(least, pa.int64()), pa.array(most, pa.int64()), pa.array(runs, kind)], ["series_id", "block", "least", "most", "runs"])
+
+
 def availability(frame: DataFrame, start_us: int, end_us: int, interval_us: int) -> tuple[DataFrame, DataFrame]:
-    """Share of expected slots with a reading (series_id, n_expected, n_present, percent), and the runs of empty ones."""
+    """Share of expected slots with a reading (series_id, n_expected, n_present, percent), and the runs of empty ones.
+
+    Readings become a bit each in bitmaps of 32768 slots, before they are shuffled; a window over a series sees a row for each bitmap.
+    """
     n = expected_periods(start_us, end_us, interval_us)
     origin = start_us // 86_400_000_000 * 86_400_000_000
-    slot = F.rint((F.col("us") - F.lit(origin)) / F.lit(interval_us)).cast("bigint")
-    present = frame.select("series_id", slot.alias("slot")).filter(F.col("slot").between(0, n - 1)).distinct()
-    series = frame.select("series_id").distinct()
-    counts = series.join(present.groupBy("series_id").agg(F.count("*").alias("n_present")), "series_id", "left")
-    share = counts.select("series_id", F.lit(n).cast("bigint").alias("n_expected"), F.coalesce("n_present", F.lit(0)).cast("bigint").alias("n_present"))
+    presence = _presence(frame, n, origin, interval_us)
+    share = presence.groupBy("series_id").agg(F.lit(n).cast("bigint").alias("n_expected"), F.coalesce(F.sum(F.when(F.col("block").isNotNull(), F.bitmap_count("bits"))), F.lit(0)).cast("bigint").alias("n_present"))
     share = share.withColumn("percent", F.col("n_present") * 100.0 / F.col("n_expected"))
-    # gaps between neighbouring present slots, with a fence at either end: no grid needs to be made
-    fenced = present.unionByName(series.select("series_id", F.explode(F.array(F.lit(-1).cast("bigint"), F.lit(n).cast("bigint"))).alias("slot")))
-    before = F.lag("slot").over(Window.partitionBy("series_id").orderBy("slot"))
-    runs = fenced.withColumn("before", before).filter("slot - before > 1")
+    blocks = presence.mapInArrow(_absent, ABSENT)
+    by_block = Window.partitionBy("series_id").orderBy("block")
+    before = F.coalesce(F.last("most", ignorenulls=True).over(by_block.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1).cast("long"))
+    pair = lambda a, b: F.struct(a.alias("before"), b.alias("after"))
+    blocks = blocks.withColumns({"before": before, "is_last": F.lead(F.lit(1)).over(by_block).isNull()})
+    to_first = F.when(F.col("least").isNotNull(), F.array(pair(F.col("before"), F.col("least")))).otherwise(F.array())
+    to_end = F.when(F.col("is_last"), F.array(pair(F.coalesce("most", F.col("before")), F.lit(n).cast("long")))).otherwise(F.array())
+    runs = blocks.select("series_id", F.inline(F.concat(to_first, "runs", to_end))).filter("after - before > 1")
     at = lambda c: from_micros(F.lit(origin) + c * F.lit(interval_us))
-    missing = runs.select("series_id", at(F.col("before") + 1).alias("start_ts"), at(F.col("slot")).alias("end_ts"), (F.col("slot") - F.col("before") - 1).alias("n_missing"))
+    missing = runs.select("series_id", at(F.col("before") + 1).alias("start_ts"), at(F.col("after")).alias("end_ts"), (F.col("after") - F.col("before") - 1).alias("n_missing"))
     return share, missing
 
 

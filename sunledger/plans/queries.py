@@ -16,6 +16,7 @@ from sunledger.frame import signal_frame
 from sunledger.functions import shading, solar
 from sunledger.operators import checks, runs, status_table
 from sunledger.operators.angles import check_solar_angles
+from sunledger.operators.intervals import interval_join, within
 from sunledger.operators.offset import infer_utc_offset
 from sunledger.plans.spec import SolarAngles, Spec
 from sunledger.plans.specs import DIAGNOSTIC, MODBUS, is_measured
@@ -401,11 +402,17 @@ def fault_intervals(spark, sf_dir):
     return runs.fault_intervals(frame, F.col("event_type") == "error").withColumn("seconds", F.round("seconds", 6))
 
 
+@query(ORACLE_SQL["fault_intervals"].replace("SELECT CAST(user_id AS VARCHAR) AS series_id", "SELECT e.event_id, e.event_type, f.start_ts, f.seconds FROM events e JOIN (SELECT user_id", 1) + ") f ON e.user_id = f.user_id AND e.ts >= f.start_ts AND e.ts < f.end_ts")
+def readings_in_faults(spark, sf_dir):
+    """Events of every type in the fault intervals of their user."""
+    frame = signal_frame(_read(spark, sf_dir, "events"), "ts", "event_id", ["event_type"], "user_id")
+    return within(frame, fault_intervals(spark, sf_dir), 86_400_000_000).select(F.col("pos").alias("event_id"), "event_type", "start_ts", "seconds")
+
+
 @query("SELECT p_partkey, CASE WHEN p_size < 10 THEN 'low' WHEN p_size < 30 THEN 'middle' ELSE 'high' END AS band FROM part WHERE p_size >= 0 AND p_size < 1000")
 def size_bands(spark, sf_dir):
     bands = spark.createDataFrame([("low", 0, 10), ("middle", 10, 30), ("high", 30, 1000)], "band string, lo int, hi int")
-    part = _read(spark, sf_dir, "part")
-    return part.join(F.broadcast(bands), (part.p_size >= bands.lo) & (part.p_size < bands.hi)).select("p_partkey", "band")  # three rows
+    return interval_join(_read(spark, sf_dir, "part"), F.col("p_size"), bands, "lo", "hi", 10).select("p_partkey", "band")
 
 
 @query("""WITH d AS (SELECT DISTINCT o_orderpriority AS p, CAST(o_orderdate AS DATE) AS date FROM orders), i AS (SELECT p, date, date - CAST(row_number() OVER (PARTITION BY p ORDER BY date) AS INTEGER) AS k FROM d)

@@ -171,3 +171,26 @@ def test_readings_are_scanned_once(spark, sf_dir):
         df.collect()
         plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
         assert plan.count("FileScan") == scans, name
+
+
+def test_missing_slots_over_many_bitmaps_against_a_grid(spark):
+    import random
+
+    rnd = random.Random(8)
+    origin, n = 1_700_006_400_000_000, 86400  # a day of seconds: three bitmaps
+    rows = []
+    for series, slots in (("a", sorted(rnd.sample(range(n), 2000))), (None, [0, n - 1]), ("", [40000]), ("none", [-5, n + 3]), ("all of the second block", list(range(32768, 65536)))):
+        rows += [(series, i, origin + s * 1_000_000 + rnd.randrange(-400_000, 400_000) * (0 < s < n - 1)) for i, s in enumerate(slots)]
+    df = spark.createDataFrame(rows, "s string, pos bigint, us bigint").withColumn("ts", F.timestamp_micros("us").cast("timestamp_ntz")).withColumn("x", F.lit(1.0)).drop("us")
+    share, missing = runs.availability(signal_frame(df, "ts", "pos", ["x"], "s"), origin, origin, 1_000_000)
+    got = {r["series_id"]: r["n_present"] for r in share.collect()}
+    assert got == {"a": 2000, None: 2, "": 1, "none": 0, "all of the second block": 32768}
+    found = {}
+    for r in missing.collect():
+        start = int((r["start_ts"] - dt.datetime(1970, 1, 1)).total_seconds()) - origin // 1_000_000
+        found.setdefault(r["series_id"], []).append((start, r["n_missing"]))
+    assert sorted(found["none"]) == [(0, n)] and sorted(found[""]) == [(0, 40000), (40001, n - 40001)] and found[None] == [(1, n - 2)]
+    assert sorted(found["all of the second block"]) == [(0, 32768), (65536, n - 65536)]
+    there = sorted({round((r[2] - origin) / 1_000_000) for r in rows if r[0] == "a"})
+    fence = [-1, *there, n]
+    assert sorted(found["a"]) == [(a + 1, b - a - 1) for a, b in zip(fence, fence[1:], strict=False) if b - a > 1]
