@@ -20,9 +20,10 @@ from sunledger.operators.intervals import interval_join, within
 from sunledger.operators.offset import infer_utc_offset
 from sunledger.plans.spec import SolarAngles, Spec
 from sunledger.plans.specs import DIAGNOSTIC, MODBUS, is_measured
-from sunledger.schema import CHECK_ORDER, from_micros, number
+from sunledger.schema import CHECK_ORDER, from_micros, micros, number
 from sunledger.sources import channels, findings, logger
 from sunledger.stored import shared_dir
+from sunledger.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -716,3 +717,17 @@ def stored_findings(spark, sf_dir):
         findings.write_findings(checks.validate(frame, SPEC), folder, covered)
     order = F.create_map(*[F.lit(x) for i, c in enumerate(CHECK_ORDER) for x in (c, i)])
     return findings.read_findings(spark, folder).drop("series", "day").withColumn("check_order", F.element_at(order, F.col("check")))
+
+
+@query("""SELECT event_type AS series_id, epoch_us(prev) AS start_us, epoch_us(ts) AS end_us FROM (SELECT event_type, ts, lag(ts) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS prev FROM events)
+WHERE date_diff('microsecond', prev, ts) > 7200000000 AND epoch_us(ts) <= (SELECT max(epoch_ms(ts)) * 1000 FROM events)""")
+def live_gaps(spark, sf_dir):
+    """events replayed as a stream; what its watermark has passed gives the batch's gaps for a cadence of half an hour."""
+    session = spark.newSession()
+    live.use_rocksdb(session)
+    stream = session.readStream.schema(_read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern may be one file
+    readings = stream.select(F.col("event_type").alias("series_id"), F.lit("value").alias("signal"), F.timestamp_micros(micros(F.col("ts"))).alias("ts"), F.col("event_id").alias("pos"), "value")
+    folder = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
+    found = live.runs(readings, 1_800_000_000, 86_400_000_000, 4, "0 seconds")
+    found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(live.RUN).parquet(f"{folder}/out").filter("kind = 'gap'").select("series_id", "start_us", "end_us")

@@ -5,11 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
+
+from sunledger.operators.runs import GAP_FACTOR
 
 STALL = "series_id string, signal string, value double, start_us bigint, end_us bigint, n_samples bigint"
+RUN = "series_id string, signal string, kind string, value double, start_us bigint, end_us bigint, n_samples bigint"
 
 
 def range_counts(readings: DataFrame, lo: float, hi: float, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -25,7 +30,10 @@ def sessions(readings: DataFrame, gap: str, late: str = "10 minutes") -> DataFra
 
 
 def stalls(readings: DataFrame, max_stall_us: int) -> DataFrame:
-    """Runs of one value that have ended and outlasted max_stall_us. State: value, start, last reading and count of each signal."""
+    """Runs of one value that have ended and outlasted max_stall_us. State: value, start, last reading and count of each signal.
+
+    For readings that come in order: each is judged as it comes, gaps do not end a run, and no state expires (see runs).
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = list(state.get) if state.exists else None
@@ -45,3 +53,98 @@ def stalls(readings: DataFrame, max_stall_us: int) -> DataFrame:
 
     rows = readings.select("series_id", "signal", F.unix_micros("ts").alias("us"), "value")
     return rows.groupBy("series_id", "signal").applyInPandasWithState(step, STALL, "value double, start_us bigint, last_us bigint, n bigint", "append", GroupStateTimeout.NoTimeout)
+
+
+class _Runs(StatefulProcessor):
+    """Readings wait until the watermark has passed them, and are then taken in order of time: late ones fall into place.
+
+    State of a key: the readings that wait, and the run that is open (value, start, last reading, count).
+    """
+
+    def __init__(self, interval_us: int, gap_factor: float, max_stall_us: int, forget_us: int) -> None:
+        self.gap_us, self.max_stall_us, self.forget_us = interval_us * gap_factor, max_stall_us, forget_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us bigint, pos bigint, value double")
+        self.open = handle.getValueState("open", "value double, start_us bigint, last_us bigint, n bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        ends = []
+        for batch in rows:
+            new = [(int(us), int(pos), None if pd.isna(value) else float(value)) for us, pos, value in batch[["us", "pos", "value"]].itertuples(index=False)]
+            self.waiting.appendList(new)
+            ends += [min(r[0] for r in new), max(r[0] for r in new)] if new else []
+        for us in {min(ends), max(ends)} if ends else ():  # at the first, what the watermark has passed by then is taken
+            self.handle.registerTimer(us // 1000 + 1)
+        yield _rows([])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: r[:2]) if self.waiting.exists() else []
+        ready, rest = [r for r in waiting if r[0] <= passed], [r for r in waiting if r[0] > passed]
+        held = list(self.open.get()) if self.open.exists() else None
+        out: list[tuple] = []
+        for us, _, value in ready:
+            held = self._step(key, held, us, value, out)
+        if rest:
+            self.waiting.put(rest)
+        elif waiting:
+            self.waiting.clear()
+        forgotten = held is not None and passed - held[2] > self.forget_us
+        if held is not None and held[1] is not None and (forgotten or (not rest and passed - held[2] > self.gap_us)):
+            self._close(key, held, held[2], out)  # whatever comes next comes after a gap, so this run is over
+            if not rest:
+                out.append((*key, "silence", None, held[2], None, 0))
+            held = [None, None, held[2], 0]
+        if forgotten:
+            held = None
+            self.open.clear()
+        if held is not None:
+            self.open.update(tuple(held))
+            if not rest:
+                wait = self.gap_us if held[1] is not None else self.forget_us
+                self.handle.registerTimer(int((held[2] + wait) // 1000) + 1)
+        yield _rows(out)
+
+    def _close(self, key: tuple, held: list, end: int, out: list[tuple]) -> None:
+        if held[0] is not None and held[1] is not None and end - held[1] > self.max_stall_us:
+            out.append((*key, "stall", held[0], held[1], end, held[3]))
+
+    def _step(self, key: tuple, held: list | None, us: int, value: float | None, out: list[tuple]) -> list:
+        if held is not None:
+            gap = us - held[2] > self.gap_us
+            if gap:
+                self._close(key, held, held[2], out)
+                out.append((*key, "gap", None, held[2], us, 0))
+            elif held[1] is not None and held[0] == value:
+                return [value, held[1], us, held[3] + 1]
+            else:
+                self._close(key, held, us, out)
+        return [value, us, us, 1]
+
+    def close(self) -> None:
+        pass
+
+
+def _rows(out: list[tuple]) -> pd.DataFrame:
+    frame = pd.DataFrame(out, columns=[c.split()[0] for c in RUN.split(", ")])
+    return frame.astype({"start_us": "Int64", "end_us": "Int64", "n_samples": "int64", "value": "float64"})
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """The state store that `runs` needs."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def runs(readings: DataFrame, interval_us: int, max_stall_us: int, gap_factor: float = GAP_FACTOR, late: str = "10 minutes", forget_us: int = 86_400_000_000) -> DataFrame:
+    """Gaps and stalls as they end, and silences as they begin: series_id, signal, kind, value, start_us, end_us, n_samples.
+
+    readings: series_id, signal, ts (TIMESTAMP), pos, value. A reading may come up to `late` after a younger one. Gaps and stalls are
+    those of the batch operators for a cadence of interval_us. A series is silent once it has sent nothing for gap_factor
+    intervals (by the watermark): its open run ends, and forget_us later its state goes; a reading after that begins anew,
+    without a gap. Needs the RocksDB state store (see use_rocksdb).
+    """
+    rows = readings.withWatermark("ts", late).select("series_id", "signal", "ts", "pos", F.unix_micros("ts").alias("us"), "value")
+    keyed = rows.groupBy("series_id", "signal")
+    return keyed.transformWithStateInPandas(statefulProcessor=_Runs(interval_us, gap_factor, max_stall_us, forget_us), outputStructType=RUN, outputMode="Append", timeMode="EventTime")
