@@ -287,6 +287,6 @@ SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(to
 
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
+    from sunledger.llm.pipeline import run
 
-    return corpus_pipeline.run(spark, sf_dir)
+    return run(spark, sf_dir)
