@@ -547,6 +547,12 @@ def channel_kinds(spark, sf_dir):
     return channels.channel_kinds(_part_blocks(spark, sf_dir))
 
 
+@query(PART_CHANNELS + "SELECT file, channel, kind FROM k")
+def channel_kinds_by_rules(spark, sf_dir):
+    """The same through one automaton over all words of all rules."""
+    return channels.channel_kinds(_part_blocks(spark, sf_dir), as_data=True)
+
+
 LISTED = ["Timestamp", "Ch1_Avg_deg_C", "Ch1_Min_deg_C", "Ch1_SD_deg_C", "Ch2_Total_mm", "Ch3_deg", "Ch3_NotUsed"]
 LISTING = PART_CHANNELS + f""", n AS (SELECT * FROM (VALUES (1, 'Avg Min SD'), (2, 'Total'), (3, 'NotUsed')) AS v(channel, statistics)), b AS (SELECT * FROM (VALUES {", ".join(f"({k!r}, CAST({v.lo} AS DOUBLE), CAST({v.hi} AS DOUBLE), {v.dynamic})" for k, v in channels.KINDS.items())}) AS v(kind, lo, hi, dynamic))
 SELECT file, n.channel AS channel, description, measurand, units, statistics, coalesce(k.kind, '') AS kind, lo, hi, coalesce(dynamic, FALSE) AS dynamic FROM n LEFT JOIN k USING (channel) LEFT JOIN b ON k.kind = b.kind"""

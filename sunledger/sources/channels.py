@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -229,11 +232,69 @@ def kind_of(units: Column, text: Column, rules=RULES) -> Column:
     return out
 
 
-def channel_kinds(blocks: DataFrame) -> DataFrame:
-    """file, channel, kind of each channel's last block; what no rule fits has kind NULL."""
+class RuleBook:
+    """Rules (as RULES) behind one automaton: a text is read once for all words of all rules, and the first rule that fits is looked up.
+
+    A rule fits if its units hold the unit (or it has none) and each of its groups has a word in the text. What decides is
+    counted from the words found, so the work of a text grows with its length and its words, not with the number of rules.
+    """
+
+    def __init__(self, rules) -> None:
+        self.kinds = [kind for kind, _, _ in rules]
+        self.units = [frozenset(units) for _, units, _ in rules]
+        self.groups = [len(words) for _, _, words in rules]
+        self.wordless: dict[str | None, int] = {}  # unit, or None for any: first rule that asks for no word
+        uses: dict[str, list[tuple[int, int]]] = {}
+        for nr, (_, units, words) in enumerate(rules):
+            for group, alternatives in enumerate(words):
+                for word in set(alternatives):
+                    uses.setdefault(word, []).append((nr, group))
+            if not words:
+                for unit in units or (None,):
+                    self.wordless.setdefault(unit, nr)
+        self.always = uses.pop("", [])  # the empty word is in every text
+        self.automaton = ahocorasick.Automaton()
+        for word, where in uses.items():
+            self.automaton.add_word(word, where)
+        if uses:
+            self.automaton.make_automaton()
+        self.has_words = bool(uses)
+
+    def first(self, unit: str | None, text: str | None) -> str | None:
+        if unit is None or text is None:
+            return None
+        met: dict[int, set[int]] = {}
+        found = {id(where): where for _, where in self.automaton.iter(text)}.values() if self.has_words else ()
+        for where in (*found, self.always):
+            for nr, group in where:
+                met.setdefault(nr, set()).add(group)
+        fits = [nr for nr, groups in met.items() if len(groups) == self.groups[nr] and (not self.units[nr] or unit in self.units[nr])]
+        fits += [self.wordless[u] for u in (unit, None) if u in self.wordless]
+        return self.kinds[min(fits)] if fits else None
+
+
+def kind_by_rules(units: Column, text: Column, rules=RULES) -> Column:
+    """kind_of for any number of rules: an Arrow batch at a time through one automaton, so the plan does not grow with the rules.
+
+    The rules go to each task with the function; NULL units or texts have no kind.
+    """
+
+    @F.pandas_udf("string")
+    def first(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        book = RuleBook(rules)
+        for unit, words in batches:
+            known: dict[tuple, str | None] = {}  # a batch's channels repeat
+            yield pd.Series([known[k] if k in known else known.setdefault(k, book.first(*k)) for k in zip(unit, words, strict=True)], dtype="object")
+
+    return first(units, text)
+
+
+def channel_kinds(blocks: DataFrame, rules=RULES, as_data: bool = False) -> DataFrame:
+    """file, channel, kind of each channel's last block; what no rule fits has kind NULL. as_data: rules go through one automaton (see kind_by_rules)."""
     units, text = F.lower(_field("Units")), F.lower(F.concat_ws(" ", _field("Description"), _field("Measurand")))
-    kinds = blocks.groupBy("file", "channel").agg(F.max_by(F.coalesce(kind_of(units, text), F.lit("")), "block_no").alias("kind"))
-    return kinds.withColumn("kind", F.nullif("kind", F.lit("")))
+    last = blocks.groupBy("file", "channel").agg(F.max_by(F.struct(units.alias("units"), text.alias("text")), "block_no").alias("last"))
+    kind = kind_by_rules if as_data else kind_of
+    return last.select("file", "channel", F.nullif(F.coalesce(kind(F.col("last.units"), F.col("last.text"), rules), F.lit("")), F.lit("")).alias("kind"))
 
 
 def channels(columns: list[str], blocks: DataFrame) -> DataFrame:

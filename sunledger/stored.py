@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, as in tests, a local folder that is set for the session."""
+    """spark.checkpoint.dir; where it is unset and all runs on this machine, as in tests, a local folder that is set for the session."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not found and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a folder that the driver and all executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         sc.setCheckpointDir(found)

@@ -171,3 +171,26 @@ def test_spec_rows_say_what_spec_for_says(spark):
         assert sorted(got, key=str) == sorted(want, key=str)
     groups = channels.grouped_signals(spark.createDataFrame([("f", i, c) for i, c in enumerate(["Wind_Avg", "Wind_Gust", "plain", "Wind_Max", "_Avg"])], "file string, pos int, name string"))
     assert {r["signal"]: r["columns"] for r in groups.collect()} == channels.signal_groups(["Wind_Avg", "Wind_Gust", "plain", "Wind_Max", "_Avg"])
+
+
+def test_thousands_of_rules_are_one_automaton(spark):
+    import random
+
+    rnd = random.Random(2)
+    letters = "abc"
+    word = lambda: "".join(rnd.choice(letters) for _ in range(rnd.randrange(1, 7)))
+    rules = tuple((f"kind {i}", tuple({rnd.choice(["v", "a", "mm", ""]) for _ in range(rnd.randrange(3))}), tuple(tuple(word() for _ in range(rnd.randrange(1, 3))) for _ in range(rnd.randrange(1, 4)))) for i in range(5000))
+    rules = (*rules[:4000], ("no words", ("hpa",), ()), ("empty word", ("w",), (("",),)), *rules[4000:], ("anything", (), ()))
+    rows = [(i, rnd.choice(["v", "a", "mm", "", "hpa", "w", "other"]), "".join(rnd.choice(letters + "  xyz") for _ in range(rnd.randrange(0, 14)))) for i in range(400)] + [(900, None, "abc"), (901, "v", None)]
+
+    def by_hand(unit, text):
+        if unit is None or text is None:
+            return None
+        return next((k for k, units, words in rules if (not units or unit in units) and all(any(w in text for w in g) for g in words)), None)
+
+    df = spark.createDataFrame(rows, "i int, unit string, text string")
+    got = {r["i"]: r["kind"] for r in df.select("i", channels.kind_by_rules(F.col("unit"), F.col("text"), rules).alias("kind")).collect()}
+    assert got == {i: by_hand(u, t) for i, u, t in rows}
+    assert len(set(got.values())) > 10
+    usual = df.select(channels.kind_of(F.col("unit"), F.col("text")).alias("a"), channels.kind_by_rules(F.col("unit"), F.col("text")).alias("b"))
+    assert usual.filter("a IS DISTINCT FROM b").count() == 0
