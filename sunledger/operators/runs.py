@@ -266,6 +266,17 @@ def fault_intervals(events: DataFrame, on: Column) -> DataFrame:
     return out.select("series_id", F.col("ts").alias("start_ts"), from_micros(F.col("end")).alias("end_ts"), ((F.col("end") - F.col("us")) / 1e6).alias("seconds"))
 
 
+def messages(log: DataFrame, kind_column: str, text_column: str, kind: str | None = None, starts: str | None = None, holds: list[str] | None = None) -> DataFrame:
+    """Rows of a log of one kind whose text starts with `starts` and has all of `holds` in it, as they stand; what is None is not asked for."""
+    kind_of, text = F.col(f"`{kind_column}`"), F.col(f"`{text_column}`")
+    asked = [kind_of == kind] if kind is not None else []
+    asked += [text.startswith(starts)] if starts is not None else []
+    asked += [text.contains(x) for x in holds or []]
+    for one in asked:
+        log = log.filter(one)
+    return log
+
+
 def fault_totals(intervals: DataFrame) -> DataFrame:
     """series_id, n_spans, seconds: how often and how long a series was on. intervals: as of fault_intervals."""
     return intervals.groupBy("series_id").agg(F.count("*").alias("n_spans"), F.sum("seconds").alias("seconds"))

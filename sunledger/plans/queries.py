@@ -388,10 +388,10 @@ def column_grammar(spark, sf_dir):
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS nr FROM documents),
 k AS (SELECT doc_id, nr, len(string_split(line, ' ')) AS n FROM l WHERE trim(line) <> '') SELECT k.doc_id, k.nr - 1 AS pos, k.n AS fields, f.n AS expected FROM k JOIN (SELECT doc_id, arg_min(n, nr) AS n FROM k GROUP BY 1) f USING (doc_id) WHERE k.n <> f.n""")
 def malformed_lines(spark, sf_dir):
-    lines = _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).filter(F.trim("line") != "")
-    sized = lines.select("doc_id", "pos", F.size(F.split("line", " ", -1)).alias("fields"))
-    expected = sized.groupBy("doc_id").agg(F.min_by("fields", "pos").alias("expected"))
-    return sized.join(expected, "doc_id").filter("fields <> expected").select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.col("fields").cast("bigint").alias("fields"), F.col("expected").cast("bigint").alias("expected"))
+    """Documents as files: their first line's words are the columns, every line of another size is malformed."""
+    lines = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).filter(F.trim("line") != "")
+    wrong = logger.misfits(logger.sized(lines.select("file", "pos", F.split("line", " ", -1).alias("fields"))))
+    return wrong.select(F.col("file").cast("bigint").alias("doc_id"), *[F.col(c).cast("bigint").alias(c) for c in ("pos", "fields", "expected")])
 
 
 @query("""WITH e AS (SELECT user_id, event_id, ts, event_type = 'error' AS o FROM events WHERE event_type IN ('error', 'view')),
@@ -661,8 +661,8 @@ def sliced_rows(spark, sf_dir):
 
 @query("SELECT event_id, ts FROM events WHERE event_type = 'error' AND contains(props, '7') AND starts_with(props, '{')")
 def fault_messages(spark, sf_dir):
-    rows = _read(spark, sf_dir, "events").filter((F.col("event_type") == "error") & F.col("props").contains("7") & F.col("props").startswith("{"))
-    return rows.select("event_id", "ts")
+    table = _read(spark, sf_dir, "events")
+    return runs.messages(table, "event_type", "props", kind="error", starts="{", holds=["7"]).select("event_id", "ts")
 
 
 @query(ORACLE_SQL["fault_intervals"].replace("SELECT CAST(user_id", "SELECT series_id, count(*) AS n_spans, round(sum(seconds), 4) AS seconds FROM (SELECT CAST(user_id") + ") GROUP BY 1")

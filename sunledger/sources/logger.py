@@ -69,6 +69,17 @@ def parts(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return header, rows.select("file", "pos", F.split("line", "\t", -1).alias("fields"), F.split("names", "\t", -1).alias("names"))
 
 
+def sized(rows: DataFrame) -> DataFrame:
+    """rows (file, pos, fields) with expected, the number of fields of their file's first one."""
+    first = rows.groupBy("file").agg(F.min_by(F.size("fields"), "pos").alias("expected"))
+    return rows.join(first, "file")
+
+
+def misfits(rows: DataFrame) -> DataFrame:
+    """file, pos, fields (their number), expected of the sized rows whose number of fields is not the expected one."""
+    return rows.filter(F.size("fields") != F.col("expected")).select("file", "pos", F.size("fields").alias("fields"), "expected")
+
+
 def malformed_rows(lines: DataFrame) -> DataFrame:
     """file, timestamp, fields, expected of rows whose number of fields is not their file's."""
     _, rows = parts(lines)
