@@ -568,13 +568,13 @@ def channels_unclassified(spark, sf_dir):
     return channels.unclassified(channels.channels(LISTED, _part_blocks(spark, sf_dir)))
 
 
-@query(PART_CHANNELS + """, d AS (SELECT sum(l_quantity) AS a, max(l_quantity) AS b, sum(l_tax) AS c FROM lineitem), x AS (SELECT channel, concat_ws('_', regexp_replace(description, '\\s+', '_', 'g'), regexp_replace(measurand, '\\s+', '_', 'g'), regexp_replace(units, '\\s+', '_', 'g')) AS rest FROM k WHERE file = (SELECT min(p_brand) FROM part) AND channel IN (1, 2))
+@query(PART_CHANNELS + """, d AS (SELECT sum(l_quantity) AS a, max(l_quantity) AS b, sum(l_tax) AS c FROM lineitem), x AS (SELECT channel, concat_ws('_', regexp_replace(description, '\\s+', '_', 'g'), regexp_replace(measurand, '\\s+', '_', 'g'), regexp_replace(units, '\\s+', '_', 'g')) AS rest FROM k WHERE (file, channel) IN (SELECT p_brand, p_partkey FROM part WHERE p_partkey IN (1, 2)))
 SELECT concat('Ch1_Avg_', rest) AS name, round(a, 4) AS total FROM x, d WHERE channel = 1 UNION ALL SELECT concat('Ch1_Max_', rest), round(b, 4) FROM x, d WHERE channel = 1 UNION ALL SELECT concat('Ch2_', rest), round(c, 4) FROM x, d WHERE channel = 2""")
 def renamed_channels(spark, sf_dir):
-    """Columns named by the header of the first brand; the unused one is dropped."""
+    """Columns named by the headers of the first two parts; the unused one is dropped."""
     blocks = _part_blocks(spark, sf_dir)
-    first = blocks.agg(F.min("file")).first()[0]
-    names = {r["channel"]: r["name"] for r in channels.channel_names(blocks).filter((F.col("file") == first) & F.col("channel").isin(1, 2)).collect()}  # two channels
+    own = _read(spark, sf_dir, "part").filter("p_partkey IN (1, 2)").select(F.col("p_brand").alias("file"), F.col("p_partkey").cast("int").alias("channel"))
+    names = {r["channel"]: r["name"] for r in channels.channel_names(blocks).join(own, ["file", "channel"]).collect()}  # two channels
     table = _read(spark, sf_dir, "lineitem").agg(F.sum("l_quantity").alias("Ch1_Avg_x"), F.max("l_quantity").alias("Ch1_Max_x"), F.sum("l_tax").alias("Ch2_Total_x"), F.count("*").alias("Ch9_NotUsed"))
     new = channels.rename_channels(table.columns, names)
     return table.select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.round(F.col(c).cast("double"), 4).alias("total")) for c, n in new.items()])))
