@@ -129,11 +129,13 @@ def row_findings(frame: DataFrame, tests: Sequence[Test]) -> DataFrame:
         return no_findings(frame)
     by_test = Window.partitionBy("series_id", "test")
     groups = _groups(frame, tests)
-    groups = groups.withColumn("numeric", (F.max(F.col("value").isNotNull()).over(by_test) & F.col("want_num").isNotNull()))
+    by_value = any(t.by_value for t in tests)  # ranges and pairs need neither whether any reading parses nor the least readings
+    groups = groups.withColumn("numeric", F.max(F.col("value").isNotNull()).over(by_test) & F.col("want_num").isNotNull() if by_value else F.lit(False))
     groups = groups.withColumn("off", _off(F.col("numeric"))).withColumn("known", F.col("text").isNotNull())
     # the five least distinct readings that are off: numbers by size, others by their text
     shown = F.col("off") & F.col("known")
-    groups = groups.withColumn("nr", F.row_number().over(by_test.orderBy(F.when(shown, 0).otherwise(1), F.when(F.col("check") == "sentinel", F.col("value")), "text")))
+    least = by_test.orderBy(F.when(shown, 0).otherwise(1), F.when(F.col("check") == "sentinel", F.col("value")), "text")
+    groups = groups.withColumn("nr", F.row_number().over(least) if by_value else F.lit(1))
     off, off_known, lost = F.col("off"), F.col("off") & F.col("known"), F.col("value").isNull()
     total = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0))
     span_of = F.when(F.col("check") == "constant", F.lit(True)).otherwise(off)
