@@ -62,6 +62,7 @@ class Sequences:
         else:
             units = self.values[data]
         self.roll.load(units)
+        self.units = units
         return bounds
 
     def contexts(self, bounds: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:

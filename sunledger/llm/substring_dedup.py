@@ -2,15 +2,15 @@
 
 Seeds are winnowed anchors of `gram` words; every window of `window` words holds the one that it picked. Documents
 are joined on their seeds. A seed whose surroundings (all windows that picked it) occur as a whole in a
-document with a smaller doc_id is settled at once. Other shared seeds are extended to both sides, by
-each number of words to the left and the rest to the right that makes up the threshold; extensions
-meet by their whole content, with all partners at once and never as pairs, so a frequent seed is
-dealt over many tasks. Repeated extensions that touch or overlap join to the maximal repeats
-of at least `window` words (column repeats), and their words are removed.
+document with a smaller doc_id is settled by a hash of them. The others, the edges of repeats, are extended word by word
+to the left and to the right, all members of a seed together (see extension). Runs of repeated
+windows that touch or overlap join to the maximal repeats of at least `window` words (column repeats), and their
+words are removed.
 
 Defined cases: null or empty texts have no words; texts shorter than a window lose nothing; rows that share
 a doc_id never repeat each other; null ids count as one least id; a very long text is read whole by one
-worker; other columns are ignored. Extensions are compared by 64-bit hashes of all their words.
+worker; other columns are ignored. Words are compared by 64-bit hashes, one by one in extensions; settled surroundings by
+one 64-bit hash.
 """
 
 from __future__ import annotations
@@ -24,17 +24,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sunledger.llm.common import chunks, materialize, own_id, separators, word_spans
-from sunledger.llm.repeats import covered, edge_windows, keyed, list_rows, occurrences, per_document, settle, unite
+from sunledger.llm.extension import SEED_MEMBERS, repeated_windows
+from sunledger.llm.repeats import covered, keyed, list_rows, occurrences, per_document, settle, unite
 
 WINDOW = 13
 GRAM = 4
 
 
-def substring_dedup(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_words, n_removed, repeats (first and end word of each maximal repeat), kept (kept words, joined by one space), kept_sha256."""
+def substring_dedup(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, seed_members: int = SEED_MEMBERS) -> DataFrame:
+    """doc_id, n_words, n_removed, repeats (first and end word of each maximal repeat), kept (kept words, joined by one space), kept_sha256.
+
+    seed_members: members of one seed that one task may gather; a seed with more is lengthened, with the same rows.
+    """
     docs = keyed(documents)
     settled = materialize(settle(occurrences(docs.select("doc_id", "th", "text"), "word", window, gram, True), True), "repeats")
-    edges = edge_windows(docs.select("doc_id", "th", "text"), per_document(settled, 1), "word", window, True)
+    seeds = settled.filter("kind = 1").select("anchor")
+    edges = repeated_windows(docs.select("doc_id", "th", "text"), per_document(settled, 1), seeds, window, gram, seed_members)
     whole = settled.filter("kind = 2").select("doc_id", "th", "place")
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("repeats", pa.list_(pa.list_(pa.int64()))), ("kept", pa.string()), ("kept_sha256", pa.string())])
 
