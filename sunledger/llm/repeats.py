@@ -10,7 +10,7 @@ anchors at the same place, and only rows per anchor are shuffled, about 2 / (win
 2. Contexts whose whole content occurs again are settled: all their windows repeat.
    Contexts alone with their anchor are settled too: none does.
 3. What is left are edges of repeats: distinct contexts that share an anchor. Only their
-   content is looked at (see suffix_dedup and substring_dedup).
+   content is looked at (see suffix_dedup and extension).
 """
 
 from __future__ import annotations
@@ -195,68 +195,6 @@ def list_rows(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return np.concatenate([[0], np.cumsum(lengths)]), column.flatten()
 
 
-WINDOWS = pa.schema([("content", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("place", pa.int64()), ("alone", pa.bool_()), ("known", pa.bool_())])
-
-
-def edge_windows(docs: DataFrame, edges: DataFrame, unit: str, window: int, earliest: bool) -> DataFrame:
-    """Repeated windows of edges, by hash of each whole window: (doc_id, th, place).
-
-    A task first settles what repeats among its own rows and passes on one row for each content.
-    """
-
-    def reduce(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        content, doc, th, start, alone = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((start, th, doc, content))
-        content, doc, th, start, alone = (x[order] for x in (content, doc, th, start, alone))
-        new = np.concatenate([[True], np.diff(content) != 0])
-        group, first = np.cumsum(new) - 1, np.flatnonzero(new)
-        if earliest:
-            known = doc > np.maximum(doc[first[group]], NULL_IDS)
-            keep = np.flatnonzero((known & alone) | (~known & (alone | new)))
-        else:
-            known = np.diff(np.append(first, len(new)))[group] > 1
-            extra = np.flatnonzero(new & known)  # goes on as the partner of other tasks' rows
-            keep = np.flatnonzero((known & alone) | ~known)
-            at = np.concatenate([keep, extra])
-            is_known = np.concatenate([known[keep], np.zeros(len(extra), bool)])
-            is_alone = np.concatenate([alone[keep], np.zeros(len(extra), bool)])
-            far = np.where(is_known, signed(mix(doc[at].astype(U))), content[at])
-            return pa.record_batch([far, doc[at], th[at], pack_place(start[at], 1), is_alone, is_known], schema=WINDOWS)
-        far = np.where(known[keep], signed(mix(doc[keep].astype(U))), content[keep])
-        return pa.record_batch([far, doc[keep], th[keep], pack_place(start[keep], 1), alone[keep], known[keep]], schema=WINDOWS)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seq = Sequences(unit)
-        parts: list[tuple[np.ndarray, ...]] = []
-        n = 0
-        for batch in batches:
-            ids, th = batch["doc_id"].to_numpy(), batch["th"].to_numpy()
-            cuts, items = list_rows(batch["found"])
-            place, anchor, alone = (np.asarray(items.field(x)) for x in ("place", "anchor", "alone"))
-            for i, j, data, bounds in chunks(batch["text"]):
-                bounds = seq.load(data, bounds)
-                row = np.repeat(np.arange(i, j), np.diff(cuts[i : j + 1]))
-                own = slice(cuts[i], cuts[j])
-                count = place[own] & 65535
-                lo = place[own] >> 16
-                start = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())
-                row = np.repeat(row, count)
-                at = start + bounds[row - i]
-                content = signed(mix(seq.roll.slices(at, at + window) ^ (np.repeat(anchor[own], count).astype(U) << U(8))))
-                parts.append((content, ids[row], th[row], start, np.repeat(alone[own].astype(bool), count)))
-                n += len(start)
-            if n >= REDUCE_ROWS:
-                yield reduce(parts)
-                parts, n = [], 0
-        if n:
-            yield reduce(parts)
-
-    rows = docs.join(edges, ["doc_id", "th"]).select("doc_id", "th", "text", "found").mapInArrow(run, "content long, doc_id long, th long, place long, alone boolean, known boolean")
-    same = Window.partitionBy("content")
-    again = (F.col("doc_id") > F.greatest(F.min("doc_id").over(same), F.lit(NULL_IDS))) if earliest else (F.count("*").over(same) > 1)
-    return rows.withColumn("again", F.col("known") | again).filter("alone and again").select("doc_id", "th", "place")
-
-
 def unite(docs: DataFrame, *places: DataFrame) -> DataFrame:
     """docs with column found: places of repeated windows of each document, or null."""
     every = places[0]

@@ -7,8 +7,10 @@ the Burrows-Wheeler transform and expands intervals breadth-first by backward ex
 prefixes of neighbours come out by increasing value, and the expansion stops at `window`. Rows
 whose common prefix was not found below it start a repeated window.
 
-An anchor with more than MAX_PARTNERS distinct contexts is not gathered in one task: its
-windows are compared by hash over all tasks instead, which gives the same rows.
+An anchor with more than MAX_PARTNERS contexts is not gathered in one task: it is lengthened. Each window lacks
+`window - gram` bytes beside the anchor and has at least half of them before it or at least half after it; so a
+context is dealt again under the anchor lengthened to the left, for its windows of the first sort, and to the right, for
+the others, until an anchor is rare enough to be sorted, or is a whole window. Then all its contexts are equal.
 
 Defined cases: null and empty texts have no bytes; matches never cross documents; texts
 shorter than a window lose nothing; repeated rows repeat each other; null ids are rows of their own; a
@@ -19,22 +21,25 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sunledger.llm.common import U, chunks, materialize, own_id
-from sunledger.llm.repeats import covered, edge_windows, keyed, list_rows, occurrences, pack_place, per_document, settle, unite
+from sunledger.llm.common import U, chunks, materialize, own_id, signed
+from sunledger.llm.repeats import ANCHOR_BITS, Sequences, covered, keyed, list_rows, occurrences, pack_place, per_document, settle, unite
 
 WINDOW = 200
 GRAM = 64
-#: Distinct contexts of one anchor that one task may gather (each up to 2 * WINDOW bytes).
+#: Contexts of one anchor that one task may gather (each up to 2 * WINDOW bytes).
 MAX_PARTNERS = 4000
 #: Bytes of contexts that are sorted together.
 SORT_BYTES = 1 << 18
 END = 0xFF  # no byte of UTF-8
+#: Contexts whose anchors are looked up together.
+SEED_ROWS = 1000
 
 
 def suffix_rows(text: np.ndarray, depth: int) -> np.ndarray:
@@ -128,6 +133,60 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBa
             yield pa.record_batch([anchor[own], ids[row[own]], th[row[own]], place[own], alone[own].astype(bool), pa.array(content, pa.binary())], schema=EDGES)
 
 
+def _with_seed(batches: Iterator[pa.RecordBatch], gram: int) -> Iterator[pa.RecordBatch]:
+    """EDGES with the place of the anchor in the content."""
+    seq = Sequences("byte")
+    for batch in batches:
+        for i in range(0, len(batch), SEED_ROWS):
+            part = batch.slice(i, SEED_ROWS)
+            contents = part["content"].to_pylist()
+            bounds = seq.load(np.frombuffer(b"".join(contents), np.uint8), np.cumsum([0, *map(len, contents)]))
+            seeds = signed(seq.roll.grams(gram) >> U(64 - ANCHOR_BITS))
+            row = np.searchsorted(bounds, np.arange(len(seeds)), side="right") - 1
+            hit = np.flatnonzero(seeds == part["anchor"].to_numpy()[row])
+            rows, first = np.unique(row[hit], return_index=True)  # every content holds its anchor
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(hit[first] - bounds[rows])], names=[*EDGES.names, "seed"])
+
+
+def lengthen(rows: DataFrame, window: int) -> DataFrame:
+    """Contexts under anchors lengthened to the left and to the right.
+
+    rows: EDGES with seed (place of the anchor in content), have_left and have_right (bytes that the key already holds beside the
+    gram), lacks (bytes it lacks to a window, not 0) and gram.
+    """
+    more = F.floor((F.col("lacks") + 1) / 2).cast("int")
+    first, windows = F.shiftright("place", 16), F.col("place").bitwiseAND(65535)
+    to_left, to_right = F.col("have_left") + more, F.col("have_right") + F.col("lacks") - more + 1
+    start = F.greatest(F.lit(0).cast("long"), F.col("seed") - to_left + 1)
+
+    def part(side: str, begin: Column, n: Column, beside: Column, length: Column) -> dict[str, Column]:
+        return {
+            "windows": n, "place": (first + begin) * 65536 + n, "content": F.substring("content", (begin + 1).cast("int"), (n - 1 + window).cast("int")), "seed": F.col("seed") - begin,
+            "anchor": F.xxhash64("anchor", F.lit(side), F.substring("content", (beside + 1).cast("int"), length.cast("int"))),
+        }
+
+    left = rows.withColumns({**part("left", F.lit(0).cast("long"), F.least(windows, F.col("seed") - to_left + 1), F.col("seed") - to_left, more), "have_left": to_left, "lacks": F.col("lacks") - more})
+    right = rows.withColumns({**part("right", start, windows - start, F.col("seed") + F.col("gram") + F.col("have_right"), to_right - F.col("have_right")), "have_right": to_right, "lacks": more - 1})
+    return left.unionByName(right).filter("windows > 0").drop("windows")
+
+
+def lengthened(rows: DataFrame, window: int, gram: int, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Frequent anchors' contexts (EDGES with seed) under anchors of at most `limit` contexts, and under whole windows."""
+    rows = rows.withColumns({"have_left": F.lit(0), "have_right": F.lit(0), "lacks": F.lit(window - gram), "gram": F.lit(gram)})
+    rare, whole = [], [rows.filter("lacks = 0")]
+    while True:
+        rows = materialize(lengthen(rows.filter("lacks > 0"), window), "lengthened")
+        often = rows.groupBy("anchor").count().filter(F.col("count") > limit).select("anchor")
+        if often.isEmpty():
+            rare.append(rows)
+            break
+        rare.append(rows.join(often, "anchor", "left_anti"))
+        rows = rows.join(often, "anchor", "left_semi")
+        whole.append(rows.filter("lacks = 0"))
+    unite_all = lambda parts: reduce(DataFrame.unionByName, (p.select(EDGES.names) for p in parts))
+    return unite_all(rare), unite_all(whole)
+
+
 def _expand(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by anchor; whole anchor groups are sorted together."""
     schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("place", pa.int64())])
@@ -174,11 +233,17 @@ def suffix_dedup(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, m
     settled = materialize(settle(occurrences(texts, "byte", window, gram, False), False), "repeats")
     small, large = settled.filter(F.col("partners") <= max_partners), settled.filter(F.col("partners") > max_partners)
     edges = texts.join(per_document(small, 1), ["doc_id", "th"]).select("doc_id", "th", "text", "found")
-    edges = edges.mapInArrow(lambda b: _cut(b, window), "anchor long, doc_id long, th long, place long, alone boolean, content binary")
+    fields = "anchor long, doc_id long, th long, place long, alone boolean, content binary"
+    edges = edges.mapInArrow(lambda b: _cut(b, window), fields)
+    places = [settled.filter("kind = 2").select("doc_id", "th", "place")]
+    if not large.filter("kind = 1").isEmpty():
+        frequent = texts.join(per_document(large, 1), ["doc_id", "th"]).select("doc_id", "th", "text", "found").mapInArrow(lambda b: _with_seed(_cut(b, window), gram), f"{fields}, seed long")
+        rare, whole = lengthened(frequent, window, gram, max_partners)
+        edges = edges.unionByName(rare)
+        often = whole.groupBy("anchor").count().filter("count > 1").select("anchor")
+        places.append(whole.filter("alone").join(often, "anchor", "left_semi").select("doc_id", "th", "place"))
     starts = edges.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda b: _expand(b, window), "doc_id long, th long, place long")
-    places = [settled.filter("kind = 2").select("doc_id", "th", "place"), starts]
-    if large.filter("kind = 1").limit(1).count():
-        places.append(edge_windows(texts, per_document(large, 1), "byte", window, False))
+    places.append(starts)
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("kept", pa.binary()), ("kept_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

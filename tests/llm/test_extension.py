@@ -93,3 +93,32 @@ def test_frequent_seeds_become_longer_until_they_are_windows(spark):
         starts += [r["first"] for r in todo.filter("lacks = 0 and windows = 1").collect()]
         todo = todo.filter("lacks > 0")
     assert todo.count() == 0 and sorted(starts) == list(range(10))
+
+
+@pytest.mark.parametrize("most", [4000, 3, 1])
+def test_suffix_dedup_lengthens_frequent_anchors(spark, most):
+    """Near copies whose anchors have many surroundings; the windows are those of brute force."""
+    from sunledger.llm.suffix_dedup import suffix_dedup
+
+    rng = np.random.default_rng(5)
+    base = "".join(rng.choice(list("abcdefgh é"), 330))
+    texts = []
+    for _ in range(12):
+        a, b = sorted(rng.integers(0, 330, 2).tolist())
+        texts.append(base[:a] + "#" + base[a:b] + str(rng.integers(0, 99)) + base[b:])
+    texts += ["ab" * 300, "ab" * 150 + "c" + "ab" * 150, "x" * 199, None]
+    raw = [(t or "").encode() for t in texts]
+    count = {}
+    for t in raw:
+        for i in range(len(t) - 199):
+            count[t[i : i + 200]] = count.get(t[i : i + 200], 0) + 1
+    want = []
+    for d, t in enumerate(raw):
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - 199):
+            if count[t[i : i + 200]] > 1:
+                gone[i : i + 200] = True
+        want.append((d, len(t), int(gone.sum()), hashlib.sha256(np.frombuffer(t, np.uint8)[~gone].tobytes()).hexdigest()))
+    docs = spark.createDataFrame([(d, t, "k", "b", "a") for d, t in enumerate(texts)], SCHEMA)
+    got = suffix_dedup(docs, max_partners=most).select("doc_id", "n_bytes", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got)) == want
