@@ -176,7 +176,8 @@ def lengthened(rows: DataFrame, window: int, gram: int, limit: int) -> tuple[Dat
     rare, whole = [], [rows.filter("lacks = 0")]
     while True:
         rows = materialize(lengthen(rows.filter("lacks > 0"), window), "lengthened")
-        often = rows.groupBy("anchor").count().filter(F.col("count") > limit).select("anchor")
+        # written first, so that Spark knows its size: contents are then shuffled by no join with a small table
+        often = materialize(rows.groupBy("anchor").count().filter(F.col("count") > limit).select("anchor"), "frequent")
         if often.isEmpty():
             rare.append(rows)
             break
@@ -240,7 +241,7 @@ def suffix_dedup(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, m
         frequent = texts.join(per_document(large, 1), ["doc_id", "th"]).select("doc_id", "th", "text", "found").mapInArrow(lambda b: _with_seed(_cut(b, window), gram), f"{fields}, seed long")
         rare, whole = lengthened(frequent, window, gram, max_partners)
         edges = edges.unionByName(rare)
-        often = whole.groupBy("anchor").count().filter("count > 1").select("anchor")
+        often = materialize(whole.groupBy("anchor").count().filter("count > 1").select("anchor"), "frequent")
         places.append(whole.filter("alone").join(often, "anchor", "left_semi").select("doc_id", "th", "place"))
     starts = edges.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda b: _expand(b, window), "doc_id long, th long, place long")
     places.append(starts)
