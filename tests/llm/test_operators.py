@@ -401,6 +401,29 @@ def test_a_twin_of_the_query_is_a_candidate(spark):
     assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got] == [(50, 1, 50, 20 * 65536), (50, 1, 50, 20 * 65536), (50, 2, 1, 4 * 65536), (50, 2, 1, 5 * 65536)]
 
 
+@pytest.mark.parametrize("size", [0.3, 3e5])
+def test_every_row_is_a_candidate_whatever_its_length(spark, size):
+    from sunledger.llm.topk_search import top_k
+
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(0, size, int(rng.choice([0, 1, 7, 8, 8, 8, 9])))]) for i in range(150)]
+    rows[50], rows[100] = (50, rows[50][1][:3]), (100, [])
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    found = top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") % 50 == 0, 60, block_rows=20).orderBy("query_id", "rank").collect()
+    for q in (0, 50, 100):
+        scores = sorted((-sum(a * b for a, b in zip(whole[q][1], v, strict=False)), i) for i, v in whole if i != q)
+        assert [(r["vec_id"], r["score"]) for r in found if r["query_id"] == q] == [(i, -s) for s, i in scores[:60]]
+
+
+def test_bounds_that_do_not_fit_are_not_used():
+    from sunledger.llm.topk_search import SortedLists
+
+    rows = np.zeros((400, 4), np.int64)
+    rows[np.arange(400), np.arange(400) % 4] = (np.arange(400) + 1) << 53  # each score fits, the sum of the lists' ends does not
+    found, scores = SortedLists(rows, np.arange(400)).best(np.full(4, 2), -1, 2, -np.inf)
+    assert (found.tolist(), scores.tolist()) == ([399, 398], [400 << 54, 399 << 54])
+
+
 def test_lists_are_read_in_sequence_and_reading_stops():
     from sunledger.llm.topk_search import SortedLists
 
