@@ -62,3 +62,24 @@ def test_silence_is_told_once_and_state_is_forgotten(spark, tmp_path):
     told = sorted((r["kind"], (r["start_us"] - base) // MINUTE, None if r["end_us"] is None else (r["end_us"] - base) // MINUTE) for r in got)
     assert [t for t in told if t[0] == "gap"] == [("gap", 1, 20), ("gap", 20, 90)]  # none to 5001: what was before is forgotten
     assert [t[1] for t in told if t[0] == "silence"] == [20, 90, 5001]
+
+
+def test_readings_reach_the_state_in_packs(spark):
+    rows = spark.range(0, 50000, 1, 1).selectExpr("if(id % 2 = 0, 'a', null) AS series_id", "'x' AS signal", "(id * 7919) % 50000 * 60000000 AS us", "id AS pos", "if(id % 3 = 0, null, id / 8) AS value")
+    packs = rows.mapInArrow(live._pack, "series_id string, signal string, ts timestamp, readings binary").collect()
+    assert len(packs) <= 10 and {p["series_id"] for p in packs} == {"a", None}
+    got = []
+    for p in packs:
+        us, pos, value = live._unpacked([bytes(p["readings"])])
+        assert int(p["ts"].timestamp() * 1e6) == us[-1]
+        got += [(p["series_id"], u, n, None if v != v else v) for u, n, v in zip(us.tolist(), pos.tolist(), value.tolist(), strict=True)]
+    assert sorted(got, key=lambda r: r[2]) == [tuple(r) for r in rows.drop("signal").orderBy("pos").collect()]
+
+
+def test_what_comes_too_late_is_dropped_from_a_pack(spark, tmp_path):
+    one = lambda m: ("a", "x", START + dt.timedelta(minutes=m), m, 1.0)
+    clock = lambda m: ("clock", "x", START + dt.timedelta(minutes=m), m, 0.0)
+    batches = [[one(0), one(1), clock(500)], [clock(501)], [one(2), one(600), clock(600)], [clock(4000)]]
+    got = [r for r in replay(spark, tmp_path, batches, interval_us=10 * MINUTE, max_stall_us=5 * MINUTE, late="1 minute", forget_us=9000 * MINUTE) if r["series_id"] == "a"]
+    base = int(START.timestamp() * 1e6)
+    assert sorted((r["kind"], (r["start_us"] - base) // MINUTE, r["end_us"] and (r["end_us"] - base) // MINUTE) for r in got) == [("gap", 1, 600), ("silence", 1, None), ("silence", 600, None)]
