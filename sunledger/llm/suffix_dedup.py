@@ -115,7 +115,10 @@ def repeated_starts(contents: list[bytes], counts: np.ndarray, window: int) -> l
     return out
 
 
-EDGES = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("place", pa.int64()), ("alone", pa.bool_()), ("content", pa.binary())])
+EDGES = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("place", pa.int64()), ("alone", pa.bool_()), ("content", pa.binary()), ("partners", pa.int64())])
+
+#: Columns of an edge that is sorted with its anchor's others.
+SORTED = EDGES.names[:-1]
 
 
 def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -123,14 +126,14 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBa
     for batch in batches:
         ids, th = batch["doc_id"].to_numpy(), batch["th"].to_numpy()
         cuts, items = list_rows(batch["found"])
-        place, anchor, alone = (np.asarray(items.field(x)) for x in ("place", "anchor", "alone"))
+        place, anchor, alone, partners = (np.asarray(items.field(x)) for x in ("place", "anchor", "alone", "partners"))
         row = np.repeat(np.arange(len(ids)), np.diff(cuts))
         for i, j, data, bounds in chunks(batch["text"]):
             raw = data.tobytes()
             own = slice(cuts[i], cuts[j])
             lo = (place[own] >> 16) + bounds[row[own] - i]
             content = [raw[a:b] for a, b in zip(lo.tolist(), (lo + (place[own] & 65535) - 1 + window).tolist(), strict=True)]
-            yield pa.record_batch([anchor[own], ids[row[own]], th[row[own]], place[own], alone[own].astype(bool), pa.array(content, pa.binary())], schema=EDGES)
+            yield pa.record_batch([anchor[own], ids[row[own]], th[row[own]], place[own], alone[own].astype(bool), pa.array(content, pa.binary()), partners[own]], schema=EDGES)
 
 
 def _with_seed(batches: Iterator[pa.RecordBatch], gram: int) -> Iterator[pa.RecordBatch]:
@@ -180,10 +183,11 @@ def lengthened(rows: DataFrame, window: int, gram: int, limit: int) -> tuple[Dat
         if often.isEmpty():
             rare.append(rows)
             break
+        often = F.broadcast(often)  # less than one for `limit` contexts; contents are not shuffled for it
         rare.append(rows.join(often, "anchor", "left_anti"))
         rows = rows.join(often, "anchor", "left_semi")
         whole.append(rows.filter("lacks = 0"))
-    unite_all = lambda parts: reduce(DataFrame.unionByName, (p.select(EDGES.names) for p in parts))
+    unite_all = lambda parts: reduce(DataFrame.unionByName, (p.select(SORTED) for p in parts))
     return unite_all(rare), unite_all(whole)
 
 
@@ -231,14 +235,14 @@ def suffix_dedup(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, m
     docs = keyed(documents)
     texts = docs.select("doc_id", "th", "text")
     settled = materialize(settle(occurrences(texts, "byte", window, gram, False), False), "repeats")
-    small, large = settled.filter(F.col("partners") <= max_partners), settled.filter(F.col("partners") > max_partners)
-    edges = texts.join(per_document(small, 1), ["doc_id", "th"]).select("doc_id", "th", "text", "found")
-    fields = "anchor long, doc_id long, th long, place long, alone boolean, content binary"
-    edges = edges.mapInArrow(lambda b: _cut(b, window), fields)
+    # rare and frequent anchors' contexts are cut from the texts at once: so texts are shuffled twice, whether any anchor is frequent or not
+    edges = texts.join(per_document(settled, 1), ["doc_id", "th"]).select("doc_id", "th", "text", "found")
+    fields = "anchor long, doc_id long, th long, place long, alone boolean, content binary, partners long"
+    cut = materialize(edges.mapInArrow(lambda b: _cut(b, window), fields), "edges")
+    edges, frequent = cut.filter(F.col("partners") <= max_partners).select(SORTED), cut.filter(F.col("partners") > max_partners)
     places = [settled.filter("kind = 2").select("doc_id", "th", "place")]
-    if not large.filter("kind = 1").isEmpty():
-        frequent = texts.join(per_document(large, 1), ["doc_id", "th"]).select("doc_id", "th", "text", "found").mapInArrow(lambda b: _with_seed(_cut(b, window), gram), f"{fields}, seed long")
-        rare, whole = lengthened(frequent, window, gram, max_partners)
+    if not frequent.isEmpty():
+        rare, whole = lengthened(frequent.mapInArrow(lambda b: _with_seed(b, gram), f"{fields}, seed long"), window, gram, max_partners)
         edges = edges.unionByName(rare)
         often = whole.groupBy("anchor").count().filter("count > 1").select("anchor")
         places.append(whole.filter("alone").join(often, "anchor", "left_semi").select("doc_id", "th", "place"))

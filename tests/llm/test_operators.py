@@ -373,6 +373,20 @@ def test_cues_are_found_and_chance_neighbours_left_alone(spark):
     assert len(set(found) & set(planted)) >= 0.95 * len(found)
 
 
+def test_suffix_dedup_joins_texts_to_its_edges_once(spark, monkeypatch):
+    from sunledger.llm import suffix_dedup as S
+
+    joined, of = [], S.per_document
+    monkeypatch.setattr(S, "per_document", lambda settled, kind: joined.append(kind) or of(settled, kind))
+    rng = np.random.default_rng(5)
+    draw = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    line = draw(150)
+    rows = [(i, draw(300) + line + draw(300)) for i in range(4)] + [(9, "")]
+    rows.append((10, rows[0][1][200:500]))
+    frequent = {r["doc_id"]: r["n_removed"] for r in S.suffix_dedup(docs(spark, rows), max_partners=1).collect()}
+    assert joined == [1] and frequent == {0: 300, 1: 0, 2: 0, 3: 0, 9: 0, 10: 300}
+
+
 @pytest.mark.parametrize("k", [1, 5, 500])
 def test_top_k(spark, k):
     from sunledger.llm.topk_search import top_k
